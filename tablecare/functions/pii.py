@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from tablecare.functions.hashing import short_hash
-from tablecare.functions.text import pattern_sql
+from tablecare.functions.text import pattern_sql, text_sql
 
 # Patterns, in the order in which they take precedence.
 PATTERNS = {
@@ -60,21 +60,20 @@ def name_type(column_name: str) -> str | None:
     return TYPE_OF_NAME.get(column_name.lower().replace(" ", "_").replace("-", "_"))
 
 
-def _literal_map(entries: dict[str, str]) -> Column:
-    return F.create_map(*[F.lit(x) for pair in entries.items() for x in pair])
+def type_of_name(column_name: str) -> Column:
+    """Type of personal data a column name, itself a value, announces; else null."""
+    entries = ", ".join(f"'{name}', '{kind}'" for name, kind in TYPE_OF_NAME.items())
+    return F.expr(f"try_element_at(map({entries}), regexp_replace(lower({column_name}), '[ -]', '_'))")
 
 
-def type_of_name(column_name: Column) -> Column:
-    """Type of personal data a column name announces, else null."""
-    normal = F.regexp_replace(F.lower(column_name), "[ -]", "_")
-    return F.try_element_at(_literal_map(TYPE_OF_NAME), normal)
+def remediation_sql(pii_type: str) -> str:
+    """Advice for a type, with a default for unknown types."""
+    cases = " ".join(f"WHEN '{kind}' THEN {text_sql(advice)}" for kind, advice in REMEDIATION.items())
+    return f"CASE {pii_type} {cases} ELSE {text_sql(DEFAULT_REMEDIATION)} END"
 
 
-def remediation(pii_type: Column) -> Column:
-    """Advice for a type, with a default for unknown types."""
-    return F.coalesce(
-        F.try_element_at(_literal_map(REMEDIATION), pii_type), F.lit(DEFAULT_REMEDIATION)
-    )
+def remediation(pii_type: str) -> Column:
+    return F.expr(remediation_sql(pii_type))
 
 
 def matches_sql(c: str, pii_type: str) -> str:

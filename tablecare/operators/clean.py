@@ -72,13 +72,13 @@ def flag_nulls(df: DataFrame, columns: list[str]) -> DataFrame:
 def drop_sparse_columns(df: DataFrame, above_percent: float = NULL_CRITICAL) -> DataFrame:
     """Table without the columns that are null in more than the given share of rows."""
     sparse = profile_columns(df, set()).filter(F.col("null_percent") > above_percent)
-    return df.drop(*[quoted(r["column"]) for r in sparse.select("column").collect()])
+    return df.drop(*[r["column"] for r in sparse.select("column").collect()])
 
 
 def drop_constant_columns(df: DataFrame) -> DataFrame:
     """Table without the columns that hold exactly one distinct value."""
     constant = profile_columns(df, {"distinct"}).filter(F.col("unique_count") == 1)
-    return df.drop(*[quoted(r["column"]) for r in constant.select("column").collect()])
+    return df.drop(*[r["column"] for r in constant.select("column").collect()])
 
 
 # duplicates

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tablecare.operators.profile import profile_columns
-from tablecare.operators.rules import DRIFT_POINTS, _text
+from tablecare.operators.rules import DRIFT_POINTS, finding_sql
 
 # Fixed value: change of the null share, in points, that counts as drift (strictly more).
 NULL_SHIFT = 20
@@ -22,50 +22,39 @@ def paired(current: DataFrame, previous: DataFrame) -> DataFrame:
     return cur.join(prev, F.col("cur_column") == F.col("prev_column"), "full_outer")
 
 
-def _issue(rule: str, severity: str, description, recommendation: str):
-    return F.struct(
-        F.lit("schema_drift").alias("category"),
-        F.lit(severity).alias("severity"),
-        F.lit(rule).alias("rule"),
-        F.coalesce("cur_column", "prev_column").alias("column"),
-        description.alias("description"),
-        F.lit(recommendation).alias("recommendation"),
-        F.lit(True).alias("detected"),
-        F.lit(DRIFT_POINTS).cast("bigint").alias("points"),
-    )
-
-
-def _issues(compare_nulls: bool):
+def _issues_sql(compare_nulls: bool) -> str:
     """Array of the findings for one pair of columns."""
-    new, removed = F.col("prev_column").isNull(), F.col("cur_column").isNull()
-    both = ~new & ~removed
-    before = F.coalesce("prev_null_percent", F.lit(0.0))
-    after = F.coalesce("cur_null_percent", F.lit(0.0))
-    issues = [
-        F.when(new, _issue(
-            "new_column", "warning",
-            _text("New column '{}' detected (not in previous schema)", "cur_column"),
-            "Update pipeline to handle new column or ignore it")),
-        F.when(removed, _issue(
-            "removed_column", "critical",
-            _text("Column '{}' was removed from the data source", "prev_column"),
-            "Update pipeline — downstream dependencies may break")),
-        F.when(both & ~F.col("cur_dtype").eqNullSafe(F.col("prev_dtype")), _issue(
-            "type_change", "critical",
-            _text("Column '{}' type changed: {} → {}", "cur_column", "prev_dtype", "cur_dtype"),
-            "Update type casting in ETL pipeline")),
+    both = "cur_column IS NOT NULL AND prev_column IS NOT NULL"
+    before, after = "coalesce(prev_null_percent, 0D)", "coalesce(cur_null_percent, 0D)"
+    cases = [
+        ("prev_column IS NULL", "warning", "new_column",
+         "New column '{cur_column}' detected (not in previous schema)",
+         "Update pipeline to handle new column or ignore it"),
+        ("cur_column IS NULL", "critical", "removed_column",
+         "Column '{prev_column}' was removed from the data source",
+         "Update pipeline — downstream dependencies may break"),
+        (f"{both} AND NOT cur_dtype <=> prev_dtype", "critical", "type_change",
+         "Column '{cur_column}' type changed: {prev_dtype} → {cur_dtype}",
+         "Update type casting in ETL pipeline"),
     ]
     if compare_nulls:
-        issues.append(F.when(both & (F.abs(after - before) > NULL_SHIFT), _issue(
-            "null_rate_change", "warning",
-            _text("Column '{}' null rate changed significantly: {}% → {}%", "cur_column", before, after),
-            "Investigate upstream data source for quality regression")))
-    return F.filter(F.array(*issues), lambda x: x.isNotNull())
+        cases.append((
+            f"{both} AND abs({after} - {before}) > {NULL_SHIFT}", "warning", "null_rate_change",
+            f"Column '{{cur_column}}' null rate changed significantly: {{{before}}}% → {{{after}}}%",
+            "Investigate upstream data source for quality regression",
+        ))
+    column = "coalesce(cur_column, prev_column)"
+    findings = ", ".join(
+        f"CASE WHEN {condition} THEN "
+        f"{finding_sql('schema_drift', severity, rule, column, text, advice, DRIFT_POINTS)} END"
+        for condition, severity, rule, text, advice in cases
+    )
+    return f"filter(array({findings}), f -> f IS NOT NULL)"
 
 
 def drift(current: DataFrame, previous: DataFrame) -> DataFrame:
     """Findings for new, removed, re-typed columns and shifted null shares."""
-    return paired(current, previous).select(F.inline(_issues(compare_nulls=True)))
+    return paired(current, previous).selectExpr(f"inline({_issues_sql(compare_nulls=True)})")
 
 
 def new_columns(current: DataFrame, previous: DataFrame) -> DataFrame:
@@ -92,4 +81,6 @@ def contract_check(df: DataFrame, contract: T.StructType) -> DataFrame:
     A contract declares names and types, so null shares are shown, not compared.
     """
     pair = paired(profile_columns(df, set()), contract_profile(df.sparkSession, contract))
-    return pair.select(F.inline(_issues(compare_nulls=False)), F.col("cur_null_percent").alias("null_percent"))
+    return pair.selectExpr(
+        f"inline({_issues_sql(compare_nulls=False)})", "cur_null_percent AS null_percent"
+    )

@@ -23,14 +23,14 @@ def detect_pii(df: DataFrame, *, mode: str = "full", order_by: list[str] | None
         "column",
         F.col("pii_type").alias("type"),
         F.col("pii_method").alias("detection_method"),
-        pii.remediation(F.col("pii_type")).alias("remediation"),
+        pii.remediation("pii_type").alias("remediation"),
     )
 
 
 def named_pii(df: DataFrame) -> DataFrame:
     """Columns whose names announce personal data, with the values they expose."""
     profile = profile_columns(df, set())
-    kind = pii.type_of_name(F.col("column"))
+    kind = pii.type_of_name("column")
     return profile.select(
         "column", kind.alias("type"), (F.col("row_count") - F.col("null_count")).alias("values_exposed")
     ).filter(F.col("type").isNotNull())

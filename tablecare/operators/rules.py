@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import re
 from datetime import datetime
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tablecare.functions import pii
+from tablecare.functions.text import text_sql
 
 # Thresholds, all compared strictly.
 NULL_CRITICAL, NULL_WARNING = 50, 20
@@ -33,13 +35,23 @@ DRIFT_POINTS = 8
 # Name parts of columns that should not be negative.
 POSITIVE_NAME_PARTS = ["price", "amount", "quantity", "count", "age", "revenue", "sales"]
 
-RULES = [
-    "null_threshold", "duplicate_threshold", "type_consistency", "high_cardinality",
-    "low_cardinality", "outlier_detection", "negative_values", "pii_detected", "data_freshness",
-]
+# What a profile must measure for each rule to be judged.
+MEASURES = {
+    "null_threshold": frozenset(),
+    "duplicate_threshold": frozenset({"duplicates"}),
+    "type_consistency": frozenset({"types"}),
+    "high_cardinality": frozenset({"distinct"}),
+    "low_cardinality": frozenset({"distinct"}),
+    "outlier_detection": frozenset({"stats"}),
+    "negative_values": frozenset({"stats"}),
+    "pii_detected": frozenset({"pii"}),
+    "data_freshness": frozenset({"types", "freshness"}),
+}
 
 ALL_COLUMNS = "_all_"
 
+_UNIQUE = "row_count > 0 AND unique_count = row_count AND semantic_type <> 'integer'"
+
 # Readiness of a run that needed no repair.
 READINESS_BASE = 75
 READINESS_CONSTANTS = {
@@ -47,140 +59,118 @@ READINESS_CONSTANTS = {
 }
 
 
-def _text(template: str, *args) -> Column:
-    """Template with {} filled from columns."""
-    pieces = template.split("{}")
-    out: list[Column] = []
-    for i, piece in enumerate(pieces):
-        if piece:
-            out.append(F.lit(piece))
-        if i < len(args):
-            value = args[i]
-            out.append((F.col(value) if isinstance(value, str) else value).cast("string"))
-    return F.concat(*out)
-
-
-def _finding(rule: str, severity: str, description: Column, recommendation: Column | str,
-             category: str = "data_quality", column: Column | None = None) -> Column:
-    advice = F.lit(recommendation) if isinstance(recommendation, str) else recommendation
-    return F.struct(
-        F.lit(category).alias("category"),
-        F.lit(severity).alias("severity"),
-        F.lit(rule).alias("rule"),
-        (F.col("column") if column is None else column).alias("column"),
-        description.alias("description"),
-        advice.alias("recommendation"),
-        F.lit(True).alias("detected"),
-        F.lit(POINTS.get((rule, severity), 0)).cast("bigint").alias("points"),
-    )
-
+def finding_sql(category: str, severity: str, rule: str, column: str, description: str,
+                recommendation: str, points: int) -> str:
+    """A finding as a struct.
 
-def _positive_name() -> Column:
-    return F.lower("column").rlike("|".join(POSITIVE_NAME_PARTS))
-
-
-def _null_threshold() -> Column:
-    nulls = F.col("null_percent")
-    return (
-        F.when(nulls > NULL_CRITICAL, _finding(
-            "null_threshold", "critical",
-            _text("Column '{}' has {}% null values (>50% threshold)", "column", nulls),
-            "Drop column, impute values, or investigate upstream source"))
-        .when(nulls > NULL_WARNING, _finding(
-            "null_threshold", "warning", _text("Column '{}' has {}% null values", "column", nulls),
-            "Consider imputation strategy (mean/median/mode/forward-fill)"))
-        .when(nulls > 0, _finding(
-            "null_threshold", "info", _text("Column '{}' has {}% null values", "column", nulls),
-            "Handle nulls in ETL transformation"))
-    )
-
-
-def _duplicates() -> Column:
-    share = F.round(F.try_divide(F.col("duplicate_rows") * F.lit(100.0), F.col("row_count")), 2)
-    whole = F.lit(ALL_COLUMNS)
-    first = F.col("position") == 0
+    `column` is an expression.  The texts are templates whose {expressions}
+    are filled in per row.
+    """
     return (
-        F.when(first & (share > DUPLICATES_CRITICAL), _finding(
-            "duplicate_threshold", "critical",
-            _text("{} duplicate rows ({}% of data)", "duplicate_rows", share),
-            "Implement deduplication with MERGE/UPSERT strategy", column=whole))
-        .when(first & (share > 0), _finding(
-            "duplicate_threshold", "warning",
-            _text("{} duplicate rows ({}%)", "duplicate_rows", share),
-            "Add deduplication step in ETL pipeline", column=whole))
+        f"struct('{category}' AS category, '{severity}' AS severity, '{rule}' AS rule, {column} AS column,"
+        f" {_filled_sql(description)} AS description, {_filled_sql(recommendation)} AS recommendation,"
+        f" true AS detected, {points}L AS points)"
     )
 
 
-def _type_consistency() -> Column:
-    return F.when(
-        (F.col("semantic_type") == "string")
-        & (F.col("text_values") > 2)
-        & (F.col("numeric_values") > F.col("text_values") * NUMERIC_SHARE),
-        _finding("type_consistency", "warning",
-                 _text("Column '{}' detected as string but contains mostly numeric values", "column"),
-                 "Cast to numeric type in ETL step"),
-    )
-
-
-def _cardinality() -> Column:
-    unique, rows = F.col("unique_count"), F.col("row_count")
-    return F.when(
-        (rows > 0) & (unique == rows) & (F.col("semantic_type") != "integer"),
-        _finding("high_cardinality", "info",
-                 _text("Column '{}' has 100% unique values — potential primary key", "column"),
-                 "Consider using as primary key or unique identifier"),
-    ).when(
-        (rows > 0) & (unique == 1),
-        _finding("low_cardinality", "warning",
-                 _text("Column '{}' has only 1 unique value — zero information content", "column"),
-                 "Consider dropping this column"),
-    )
-
-
-def _outliers() -> Column:
-    spread = F.col("std") * OUTLIER_SIGMAS
-    return F.when(
-        (F.col("std") > 0)
-        & ((F.col("max") > F.col("mean") + spread) | (F.col("min") < F.col("mean") - spread)),
-        _finding("outlier_detection", "warning",
-                 _text("Column '{}' has extreme outliers (range: {}–{}, mean: {}, std: {})",
-                       "column", "min", "max", "mean", "std"),
-                 "Add outlier capping/removal in ETL or flag as anomaly"),
-    )
-
-
-def _negatives() -> Column:
-    return F.when(
-        (F.col("min") < 0) & _positive_name(),
-        _finding("negative_values", "warning",
-                 _text("Column '{}' has negative values (min={}) which may be invalid for this field type",
-                       "column", "min"),
-                 "Validate negative values — clip to 0 or flag as anomalies"),
-    )
+def _filled_sql(template: str) -> str:
+    pieces = re.split(r"\{([^}]*)\}", template)
+    parts = [
+        f"CAST({piece} AS string)" if i % 2 else text_sql(piece)
+        for i, piece in enumerate(pieces) if piece
+    ]
+    return parts[0] if len(parts) == 1 else f"concat({', '.join(parts)})"
 
 
-def _personal_data() -> Column:
-    kind = F.col("pii_type")
-    return F.when(
-        kind.isNotNull(),
-        _finding("pii_detected", "critical",
-                 _text("Potential PII detected in '{}': {}", "column", kind),
-                 F.concat(F.lit("Apply "), pii.remediation(kind),
-                          F.lit(" before storing in data warehouse")),
-                 category="security"),
+def _case(rule: str, *branches: tuple[str, str, str, str], category: str = "data_quality",
+          column: str = "column") -> str:
+    """First branch (condition, severity, description, recommendation) that holds, as a finding."""
+    cases = " ".join(
+        f"WHEN {condition} THEN "
+        + finding_sql(category, severity, rule, column, text, advice, POINTS.get((rule, severity), 0))
+        for condition, severity, text, advice in branches
     )
+    return f"CASE {cases} END"
+
+
+_DUPLICATE_SHARE = "round(try_divide(duplicate_rows * 100.0D, row_count), 2)"
+_SPREAD = f"{OUTLIER_SIGMAS} * std"
+
+
+def _rules_sql() -> list[str]:
+    """Rules that need nothing but the profile."""
+    return [
+        _case(
+            "null_threshold",
+            (f"null_percent > {NULL_CRITICAL}", "critical",
+             "Column '{column}' has {null_percent}% null values (>50% threshold)",
+             "Drop column, impute values, or investigate upstream source"),
+            (f"null_percent > {NULL_WARNING}", "warning",
+             "Column '{column}' has {null_percent}% null values",
+             "Consider imputation strategy (mean/median/mode/forward-fill)"),
+            ("null_percent > 0", "info",
+             "Column '{column}' has {null_percent}% null values",
+             "Handle nulls in ETL transformation"),
+        ),
+        _case(
+            "duplicate_threshold",
+            (f"position = 0 AND {_DUPLICATE_SHARE} > {DUPLICATES_CRITICAL}", "critical",
+             f"{{duplicate_rows}} duplicate rows ({{{_DUPLICATE_SHARE}}}% of data)",
+             "Implement deduplication with MERGE/UPSERT strategy"),
+            (f"position = 0 AND {_DUPLICATE_SHARE} > 0", "warning",
+             f"{{duplicate_rows}} duplicate rows ({{{_DUPLICATE_SHARE}}}%)",
+             "Add deduplication step in ETL pipeline"),
+            column=f"'{ALL_COLUMNS}'",
+        ),
+        _case(
+            "type_consistency",
+            ("semantic_type = 'string' AND text_values > 2"
+             f" AND numeric_values > text_values * {NUMERIC_SHARE}D", "warning",
+             "Column '{column}' detected as string but contains mostly numeric values",
+             "Cast to numeric type in ETL step"),
+        ),
+        _case(
+            "high_cardinality",
+            (_UNIQUE, "info",
+             "Column '{column}' has 100% unique values — potential primary key",
+             "Consider using as primary key or unique identifier"),
+        ),
+        _case(
+            "low_cardinality",
+            (f"row_count > 0 AND unique_count = 1 AND NOT ({_UNIQUE})", "warning",
+             "Column '{column}' has only 1 unique value — zero information content",
+             "Consider dropping this column"),
+        ),
+        _case(
+            "outlier_detection",
+            (f"std > 0 AND (max > mean + {_SPREAD} OR min < mean - {_SPREAD})", "warning",
+             "Column '{column}' has extreme outliers (range: {min}–{max}, mean: {mean}, std: {std})",
+             "Add outlier capping/removal in ETL or flag as anomaly"),
+        ),
+        _case(
+            "negative_values",
+            (f"min < 0 AND lower(column) RLIKE '{'|'.join(POSITIVE_NAME_PARTS)}'", "warning",
+             "Column '{column}' has negative values (min={min}) which may be invalid for this field type",
+             "Validate negative values — clip to 0 or flag as anomalies"),
+        ),
+        _case(
+            "pii_detected",
+            ("pii_type IS NOT NULL", "critical",
+             "Potential PII detected in '{column}': {pii_type}",
+             f"Apply {{{pii.remediation_sql('pii_type')}}} before storing in data warehouse"),
+            category="security",
+        ),
+    ]
 
 
-def _freshness(as_of: datetime | str) -> Column:
-    moment = F.lit(as_of).cast("timestamp_ntz")
-    days = F.floor(
-        (F.unix_seconds(moment.cast("timestamp")) - F.unix_seconds(F.col("latest").cast("timestamp"))) / 86400
-    )
-    return F.when(
-        F.col("semantic_type").isin("datetime", "datetime_string") & (days > STALE_DAYS),
-        _finding("data_freshness", "warning",
-                 _text("Most recent date in '{}' is {} days old", "column", days),
-                 "Verify data source is providing current data"),
+def _freshness_sql(as_of: datetime | str) -> str:
+    moment = f"CAST('{as_of}' AS timestamp_ntz)"
+    days = f"floor((unix_micros(CAST({moment} AS timestamp)) - unix_micros(CAST(latest AS timestamp))) / 86400000000L)"
+    return _case(
+        "data_freshness",
+        (f"semantic_type IN ('datetime', 'datetime_string') AND {days} > {STALE_DAYS}", "warning",
+         f"Most recent date in '{{column}}' is {{{days}}} days old",
+         "Verify data source is providing current data"),
     )
 
 
@@ -192,14 +182,10 @@ def check(profile: DataFrame, *, as_of: datetime | str | None = None,
     the `previous` profile.  Everything is a projection of the profile, whose
     size the schema bounds.
     """
-    rules = [
-        _null_threshold(), _duplicates(), _type_consistency(), _cardinality(), _outliers(),
-        _negatives(), _personal_data(),
-    ]
+    rules = _rules_sql()
     if as_of is not None:
-        rules.append(_freshness(as_of))
-    found = F.filter(F.array(*rules), lambda x: x.isNotNull())
-    findings = profile.select(F.inline(found))
+        rules.append(_freshness_sql(as_of))
+    findings = profile.selectExpr(f"inline(filter(array({', '.join(rules)}), f -> f IS NOT NULL))")
     if previous is not None:
         from tablecare.operators.drift import drift
 
@@ -238,9 +224,10 @@ def report(findings: DataFrame) -> DataFrame:
 
 
 def findings_by_severity(findings: DataFrame) -> DataFrame:
-    """Per severity: the number of findings and their texts; bounded by columns times rules."""
+    """Per severity: the number of findings, their columns and texts; bounded by columns times rules."""
     return findings.groupBy("severity").agg(
         F.count(F.lit(1)).alias("findings"),
+        F.array_sort(F.collect_list("column")).alias("columns"),
         F.array_sort(F.collect_list("description")).alias("descriptions"),
     )
 

@@ -48,12 +48,12 @@ def session_metrics(points: DataFrame, session_id: str) -> DataFrame:
 
 
 def session_metric_summary(points: DataFrame) -> DataFrame:
-    """Per session and metric name: number of points, extremes and mean."""
+    """Per session and metric name: number of points, extremes and sum."""
     return points.groupBy(F.col("labels")["session_id"].alias("session_id"), "name").agg(
         F.count(F.lit(1)).alias("points"),
         F.min("value").alias("min_value"),
         F.max("value").alias("max_value"),
-        F.round(F.avg("value"), 4).alias("mean_value"),
+        F.round(F.sum("value"), 4).alias("sum_value"),
     )
 
 

@@ -8,12 +8,11 @@ from datetime import datetime
 from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
-from tablecare.functions.hashing import quoted
 from tablecare.operators import clean
 from tablecare.operators.personal import remedy_columns
 from tablecare.operators.profile import ALL_MEASURES, profile_columns
 from tablecare.operators.rules import check, report
-from tablecare.sources.session import cut_lineage
+from tablecare.sources.session import cut_lineage, local_copy
 
 # Fixed value: passes after which repair stops.
 MAX_PASSES = 2
@@ -120,7 +119,7 @@ def apply(df: DataFrame, fixes: list[Fix], salt: str = "") -> DataFrame:
     Statistics are taken from the table as the first half left it, which is
     written out so that they, and later passes, read it instead of redoing it.
     """
-    out = df.drop(*[quoted(c) for c in _columns(fixes, "drop_column")])
+    out = df.drop(*_columns(fixes, "drop_column"))
     if _columns(fixes, "dedup_exact"):
         out = clean.dedup_exact(out)
     personal = {f.column: f.detail for f in fixes if f.action == "remedy"}
@@ -149,10 +148,10 @@ def apply(df: DataFrame, fixes: list[Fix], salt: str = "") -> DataFrame:
 
 
 def heal(df: DataFrame, *, as_of: datetime | str | None = None, max_passes: int = MAX_PASSES,
-         salt: str = "") -> HealResult:
+         salt: str = "", profile: DataFrame | None = None) -> HealResult:
     """Repairs a table until nothing fixable is found or the passes are used up.
 
-    Only profiles and findings, which the schema bounds, come to the driver;
+    A `profile` of the table as it is saves the first profiling.  Only profiles and findings, which the schema bounds, come to the driver;
     rows stay in tables.  Personal data once treated is not reported again.
     """
     spark = df.sparkSession
@@ -162,12 +161,12 @@ def heal(df: DataFrame, *, as_of: datetime | str | None = None, max_passes: int
     before = None
     passes = 0
     while True:
-        profile = profile_columns(df, ALL_MEASURES, pii_exempt=remedied)
-        profile_rows = profile.collect()
-        small = spark.createDataFrame(profile_rows, profile.schema)
-        findings = check(small, as_of=as_of)
-        found = findings.collect()
-        current = spark.createDataFrame(found, findings.schema)
+        if passes or profile is None:
+            profile = profile_columns(df, ALL_MEASURES, pii_exempt=remedied)
+        small = local_copy(profile)
+        profile_rows = small.collect()
+        current = local_copy(check(small, as_of=as_of))
+        found = current.collect()
         before = before if before is not None else current
         fixes = plan(found, profile_rows, done) if passes < max_passes else []
         if not fixes:

@@ -5,7 +5,7 @@ from __future__ import annotations
 import time
 import uuid
 from dataclasses import dataclass
-from datetime import datetime
+from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame
 
@@ -13,6 +13,7 @@ from tablecare.functions.hashing import table_fingerprint
 from tablecare.operators.profile import profile_columns
 from tablecare.operators.rules import check, report
 from tablecare.plans.heal import HealResult, heal
+from tablecare.sources.session import local_copy
 from tablecare.sources.store import RunStore
 from tablecare.sources.tables import read_table, write_table
 
@@ -44,34 +45,34 @@ def run(df: DataFrame, target: str, store: RunStore, *, as_of: datetime | str |
         store.record_event("run_skipped", run_id, {"input_hash": input_hash})
         return result
     store.record_event("run_created", run_id, {"source": name})
+    timings: dict[str, float] = {}
 
     def stage(label: str, work):
-        store.mark(run_id, label, "started", input_hash=input_hash)
-        start = time.monotonic()
+        began, start = datetime.now(timezone.utc), time.monotonic()
+        begin = store.stage_row(run_id, label, "started", input_hash=input_hash, ts=began)
         try:
             value, metadata = work()
         except Exception as error:
-            store.mark(run_id, label, "failed", input_hash=input_hash, error=str(error))
+            store.append("stages", [
+                begin, store.stage_row(run_id, label, "failed", input_hash=input_hash, error=str(error)),
+            ])
             store.record("errors_total", 1, {"phase": label, "session_id": run_id})
             store.record_event("run_failed", run_id, {"error": str(error)})
             raise
-        elapsed = (time.monotonic() - start) * 1000
-        store.record(f"{label}_duration_ms", elapsed, {"session_id": run_id})
-        store.mark(run_id, label, "completed", input_hash=input_hash, metadata=metadata)
+        timings[f"{label}_duration_ms"] = (time.monotonic() - start) * 1000
+        store.append("stages", [
+            begin, store.stage_row(run_id, label, "completed", input_hash=input_hash, metadata=metadata),
+        ])
         return value
 
     def do_profile():
-        lazy = profile_columns(df)
-        # one row per column
-        rows = lazy.collect()
-        return spark.createDataFrame(rows, lazy.schema), {"rows": identity["row_count"]}
+        return local_copy(profile_columns(df)), {"rows": identity["row_count"]}
 
     def do_check():
-        findings = check(result.profile, as_of=as_of, previous=previous)
-        return spark.createDataFrame(findings.collect(), findings.schema), {}
+        return local_copy(check(result.profile, as_of=as_of, previous=previous)), {}
 
     def do_heal():
-        healed = heal(df, as_of=as_of)
+        healed = heal(df, as_of=as_of, profile=result.profile)
         return healed, {"iterations": healed.passes}
 
     def do_write():
@@ -82,11 +83,12 @@ def run(df: DataFrame, target: str, store: RunStore, *, as_of: datetime | str |
     result.findings = stage("check", do_check)
     result.report = report(result.findings)
     score = result.report.first()
-    store.record("input_rows", identity["row_count"], {"session_id": run_id})
-    store.record("quality_score", score["quality_score"], {"session_id": run_id})
-    store.record("critical_issues", score["critical_count"], {"session_id": run_id})
     result.healed = stage("heal", do_heal)
     written = stage("write", do_write)
+    store.record_all({
+        **timings, "input_rows": identity["row_count"], "quality_score": score["quality_score"],
+        "critical_issues": score["critical_count"],
+    }, {"session_id": run_id})
     store.record_nodes(run_id, [
         {"type": "source", "name": name, "row_count": identity["row_count"]},
         {"type": "transformation", "name": "heal", "input_rows": identity["row_count"], "output_rows": written},

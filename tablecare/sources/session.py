@@ -37,3 +37,11 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     path = work_path(df.sparkSession, "table")
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def local_copy(df: DataFrame) -> DataFrame:
+    """A small result held by the driver, so what is derived from it needs no job.
+
+    Only for results the schema bounds, such as profiles and findings.
+    """
+    return df.sparkSession.createDataFrame(df.toArrow(), schema=df.schema)

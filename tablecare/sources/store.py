@@ -50,6 +50,10 @@ class RunStore:
     def record(self, name: str, value: float, labels: dict | None = None, ts: datetime | None = None) -> None:
         self.append("points", [(name, float(value), ts or _now(), _texts(labels))])
 
+    def record_all(self, values: dict[str, float], labels: dict | None = None) -> None:
+        now = _now()
+        self.append("points", [(n, float(v), now, _texts(labels)) for n, v in values.items()])
+
     def record_event(self, event_type: str, session_id: str, details: dict | None = None,
                      ts: datetime | None = None) -> None:
         self.append("events", [(event_type, session_id, ts or _now(), _texts(details))])
@@ -82,13 +86,16 @@ class RunStore:
 
     # stage checkpoints
 
-    def mark(self, run_id: str, stage: str, status: str, *, input_hash: str = "", output_hash: str = "",
-             error: str = "", metadata: dict | None = None, ts: datetime | None = None) -> None:
-        """Appends a stage event; status is started, completed or failed."""
+    @staticmethod
+    def stage_row(run_id: str, stage: str, status: str, *, input_hash: str = "", output_hash: str = "",
+                  error: str = "", metadata: dict | None = None, ts: datetime | None = None) -> tuple:
         if status not in ("started", "completed", "failed"):
             raise ValueError(f"unknown stage status {status!r}")
-        self.append("stages", [(run_id, stage, status, ts or _now(), input_hash, output_hash,
-                                error, _texts(metadata))])
+        return (run_id, stage, status, ts or _now(), input_hash, output_hash, error, _texts(metadata))
+
+    def mark(self, run_id: str, stage: str, status: str, **details) -> None:
+        """Appends a stage event; status is started, completed or failed."""
+        self.append("stages", [self.stage_row(run_id, stage, status, **details)])
 
     def latest_stages(self) -> DataFrame:
         stages = self.table("stages").withColumn("details", F.to_json("metadata"))
