@@ -70,9 +70,17 @@ def date_like_sql(c: str) -> str:
     return f"CASE WHEN substring({c}, 1, 2) RLIKE '[0-9]{{2}}' THEN {c} END"
 
 
-def fits_date_format_sql(c: str, shape: str, fmt: str) -> str:
-    """True when the text has the shape and is a real date in the format."""
-    return f"({c} RLIKE {pattern_sql(shape)} AND try_to_timestamp({c}, {text_sql(fmt)}) IS NOT NULL)"
+def date_formats_sql(c: str) -> str:
+    """Bit mask of the date formats the text fits; null for null.
+
+    The bitwise AND over a column tells which formats fit all its values.
+    """
+    bits = " | ".join(
+        f"CASE WHEN {c} RLIKE {pattern_sql(shape)} AND try_to_timestamp({c}, {text_sql(fmt)}) IS NOT NULL"
+        f" THEN {1 << i} ELSE 0 END"
+        for i, (shape, fmt) in enumerate(DATE_FORMATS)
+    )
+    return f"CASE WHEN {c} IS NULL THEN NULL WHEN {date_like_sql(c)} IS NOT NULL THEN {bits} ELSE 0 END"
 
 
 def iso_wall_time_sql(c: str) -> str:

@@ -20,7 +20,7 @@ from tablecare.functions.hashing import (
     clean_sql, clean_value, is_nested, quoted, row_key_sql, value_key_sql,
 )
 from tablecare.functions.text import (
-    DATE_FORMATS, date_like_sql, fits_date_format_sql, is_numeric_sql, iso_wall_time_sql, text_sql,
+    date_formats_sql, date_like_sql, is_numeric_sql, iso_wall_time_sql, text_sql,
 )
 
 ALL_MEASURES = frozenset({"stats", "types", "distinct", "duplicates", "pii", "freshness"})
@@ -92,11 +92,6 @@ def _judged_sql(field: T.StructField, scan_all_types: bool) -> str | None:
     return None
 
 
-def _date_fits_sql(c: str) -> str:
-    """Per date format, how many values fit it."""
-    return "array(" + ", ".join(f"count_if({fits_date_format_sql(c, s, f)})" for s, f in DATE_FORMATS) + ")"
-
-
 def _column_sql(position: int, field: T.StructField, measures: frozenset[str], full: bool,
                 exempt: set[str], scan_all_types: bool) -> str:
     """Aggregates over one column as a struct in the shape all columns share."""
@@ -112,7 +107,7 @@ def _column_sql(position: int, field: T.StructField, measures: frozenset[str], f
         "min": "CAST(null AS double)", "max": "CAST(null AS double)",
         "mean": "CAST(null AS double)", "std": "CAST(null AS double)",
         "text_values": "CAST(null AS bigint)", "numeric_values": "CAST(null AS bigint)",
-        "date_fits": "CAST(null AS array<bigint>)", "pii_hits": "CAST(null AS array<bigint>)",
+        "date_fits": "CAST(null AS int)", "pii_hits": "CAST(null AS array<bigint>)",
         "latest": "CAST(null AS timestamp_ntz)",
     }
     if "stats" in measures and base in ("integer", "float"):
@@ -126,7 +121,7 @@ def _column_sql(position: int, field: T.StructField, measures: frozenset[str], f
             out |= {
                 "text_values": f"count({value})",
                 "numeric_values": f"count_if({is_numeric_sql(value)})",
-                "date_fits": _date_fits_sql(f"__date{position}"),
+                "date_fits": f"bit_and(__dates{position})",
             }
         if "freshness" in measures:
             out["latest"] = f"max({iso_wall_time_sql(f'__date{position}')})"
@@ -158,8 +153,11 @@ def _scan(df: DataFrame, measures: frozenset[str], full: bool, exempt: set[str],
             judged = _judged_sql(field, scan_all_types)
             if "pii" in measures and judged and field.name not in exempt and not pii.name_type(field.name):
                 needed.append(f"{pii.type_of_value_sql(judged)} AS __pii{position}")
-            if measures & {"types", "freshness"} and base_semantic_type(field.dataType) == "string":
-                needed.append(f"{date_like_sql(quoted(field.name))} AS __date{position}")
+            if base_semantic_type(field.dataType) == "string":
+                if "types" in measures:
+                    needed.append(f"{date_formats_sql(quoted(field.name))} AS __dates{position}")
+                if "freshness" in measures:
+                    needed.append(f"{date_like_sql(quoted(field.name))} AS __date{position}")
         structs = [_column_sql(i, f, measures, full, exempt, scan_all_types) for i, f in group]
         one_row = df.selectExpr(*needed).selectExpr(f"array({', '.join(structs)}) AS columns")
         parts.append(one_row.selectExpr("inline(columns)"))
@@ -178,13 +176,13 @@ def _sample_evidence(df: DataFrame, measures: frozenset[str], order_by: list[str
     return (
         head_values(df, order_by, DATE_TRIAL_VALUES)
         .selectExpr("*", f"{kind if judged else 'CAST(null AS string)'} AS kind",
-                    f"{date_like_sql('value')} AS dated")
+                    f"{date_formats_sql('value')} AS dates", f"{date_like_sql('value')} AS dated")
         .groupBy(F.col("column").alias("sampled"))
         .agg(
             F.expr(f"count_if({sample}) AS s_text"),
             F.expr(f"count_if({sample} AND {is_numeric_sql('value')}) AS s_numeric"),
             F.expr("count(1) AS s_trials"),
-            F.expr(f"{_date_fits_sql('dated')} AS s_fits"),
+            F.expr("bit_and(dates) AS s_fits"),
             F.expr("min_by(kind, CASE WHEN kind IS NOT NULL THEN position END) AS s_pii"),
             F.expr(f"max(CASE WHEN {sample} THEN {iso_wall_time_sql('dated')} END) AS s_latest"),
         )
@@ -295,8 +293,7 @@ def profile_columns(
         semantic = "base_type"
     else:
         semantic = (
-            "CASE WHEN base_type = 'string' AND (date_trials = 0 OR"
-            " coalesce(exists(date_fits, n -> n = date_trials), false))"
+            "CASE WHEN base_type = 'string' AND (date_trials = 0 OR coalesce(date_fits, 0) <> 0)"
             " THEN 'datetime_string' ELSE base_type END"
         )
     # most frequent type wins; a tie goes to the earlier pattern
