@@ -47,7 +47,7 @@ def _hashable_sql(field: T.StructField) -> str:
     return clean_sql(field)
 
 
-def key128_sql(columns: list[str]) -> str:
+def key128_sql(columns: list[str]) -> tuple[str, str]:
     """128-bit key of the expressions: two independently seeded 64-bit hashes.
 
     Two longs travel through a shuffle in less space than a SHA-256 digest and
@@ -55,31 +55,23 @@ def key128_sql(columns: list[str]) -> str:
     collision is about n*n / 2**129 (1e-13 for 1e13 rows).
     """
     inside = ", ".join(columns)
-    return f"struct(xxhash64('a', {inside}) AS a, xxhash64('b', {inside}) AS b)"
+    return f"xxhash64('a', {inside})", f"xxhash64('b', {inside})"
 
 
-def value_key_sql(field: T.StructField) -> str:
-    """Key of one value; null stays null."""
+def value_key_sql(field: T.StructField) -> tuple[str, str]:
+    """Both halves of the key of one value; null stays null."""
     c = _hashable_sql(field)
-    if isinstance(field.dataType, _WORDS):
-        key = f"struct(xxhash64({c}) AS a, 0L AS b)"
-    else:
-        key = key128_sql([c])
-    return f"CASE WHEN {c} IS NOT NULL THEN {key} END"
+    halves = (f"xxhash64({c})", "0L") if isinstance(field.dataType, _WORDS) else key128_sql([c])
+    return tuple(f"CASE WHEN {c} IS NOT NULL THEN {half} END" for half in halves)
 
 
-def row_key_sql(schema: T.StructType) -> str:
-    """Key of a whole row, null equal to null.
+def row_key_sql(schema: T.StructType) -> tuple[str, str]:
+    """Both halves of the key of a whole row, null equal to null.
 
     xxhash64 passes over nulls, so each column is followed by its null flag;
     otherwise ('x', null) and (null, 'x') would meet.
     """
-    parts = [x for f in schema.fields for x in (_hashable_sql(f), f"{clean_sql(f)} IS NULL")]
-    return key128_sql(parts)
-
-
-def row_key(schema: T.StructType) -> Column:
-    return F.expr(row_key_sql(schema))
+    return key128_sql([x for f in schema.fields for x in (_hashable_sql(f), f"{clean_sql(f)} IS NULL")])
 
 
 def short_hash(c: Column) -> Column:
@@ -99,7 +91,8 @@ def table_fingerprint(df: DataFrame) -> DataFrame:
     The fingerprint sums the row keys, so repeated rows count and no sort or
     shuffle of rows is needed.  Decimal sums hold any number of rows.
     """
-    return df.select(row_key(df.schema).alias("k")).selectExpr(
+    a, b = row_key_sql(df.schema)
+    return df.selectExpr(
         "count(1) AS row_count",
-        "concat_ws('-', sum(CAST(k.a AS decimal(20,0))), sum(CAST(k.b AS decimal(20,0)))) AS fingerprint",
+        f"concat_ws('-', sum(CAST({a} AS decimal(20,0))), sum(CAST({b} AS decimal(20,0)))) AS fingerprint",
     )

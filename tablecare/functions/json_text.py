@@ -4,52 +4,66 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tablecare.functions.hashing import quoted
+from tablecare.functions.text import pattern_sql
+
 _FENCE = r"(?s)```(?:json)?\s*\n?(.*)\n?```"
 _BRACES = r"(?s)(\{.*\})"
 
 
-def _from_object(text: Column, key: str) -> Column:
-    # a variant is only made from text that is one valid JSON value
-    return F.try_variant_get(F.try_parse_json(text), f"$['{key}']", "string")
-
-
-def _unescape(c: Column) -> Column:
-    plain = F.replace(F.replace(F.replace(c, F.lit("\\n"), F.lit("\n")), F.lit("\\t"), F.lit("\t")),
-                      F.lit('\\"'), F.lit('"'))
-    return F.coalesce(F.from_json(F.concat(F.lit('{"v":"'), c, F.lit('"}')), "v string")["v"], F.trim(plain))
+def _object_sql(text: str) -> str:
+    """The text as a variant where it is one valid JSON object, else null."""
+    return f"try_parse_json(CASE WHEN left(ltrim({text}), 1) IN ('{{', '\\n') THEN {text} END)"
 
 
-def _by_key(raw: Column, key: str, keys: list[str]) -> Column:
-    name = re.escape(key)
-    following = "|".join(re.escape(k) for k in keys)
-    closed = rf'(?s)"{name}"\s*:\s*"(.*?)"\s*,\s*"(?:{following})"'
-    tail = rf'(?s)"{name}"\s*:\s*"(.*?)(?:"\s*\}}|"?\s*$)'
-    bare = rf'"{name}"\s*:\s*(-?[0-9][0-9.eE+-]*|true|false)'
+def object_of_sql(raw: str) -> str:
+    """First JSON object among the whole text, a fenced block and the outermost braces."""
+    fence, braces = pattern_sql(_FENCE), pattern_sql(_BRACES)
     return (
-        F.when(raw.rlike(closed), _unescape(F.regexp_extract(raw, closed, 1)))
-        .when(raw.rlike(tail), _unescape(F.regexp_extract(raw, tail, 1)))
-        .when(raw.rlike(bare), F.regexp_extract(raw, bare, 1))
+        f"coalesce({_object_sql(raw)},"
+        f" CASE WHEN contains({raw}, '```') THEN {_object_sql(f'regexp_extract({raw}, {fence}, 1)')} END,"
+        f" CASE WHEN contains({raw}, '{{') THEN {_object_sql(f'regexp_extract({raw}, {braces}, 1)')} END)"
     )
 
 
-def salvage_field(raw: Column, key: str, keys: list[str]) -> Column:
-    """Text of one field of a JSON object that may be wrapped or broken.
+def _unescaped_sql(c: str) -> str:
+    plain = f"trim(replace(replace(replace({c}, '\\\\n', '\\n'), '\\\\t', '\\t'), '\\\\\"', '\"'))"
+    decoded = f"try_variant_get(try_parse_json(concat('\"', {c}, '\"')), '$', 'string')"
+    return f"CASE WHEN contains({c}, '\\\\') THEN coalesce({decoded}, {plain}) ELSE trim({c}) END"
 
-    Tried in turn: the whole text, a fenced block, the outermost braces, and a
-    search for the key alone.  `keys` lists the field names that may follow.
-    """
-    fence = F.regexp_extract(raw, _FENCE, 1)
-    braces = F.regexp_extract(raw, _BRACES, 1)
-    return F.coalesce(
-        _from_object(raw, key),
-        F.when(raw.contains("```"), _from_object(fence, key)),
-        F.when(raw.contains("{"), _from_object(braces, key)),
-        _by_key(raw, key, keys),
+
+def field_by_key_sql(raw: str, key: str, keys: list[str]) -> str:
+    """Value of a key found by name alone, in text that holds no valid object."""
+    name, following = re.escape(key), "|".join(re.escape(k) for k in keys)
+    q = "[\\x22]"  # a double quote, which would end the SQL literal
+    closed = rf"(?s){q}{name}{q}\s*:\s*{q}(.*?){q}\s*,\s*{q}(?:{following}){q}"
+    tail = rf"(?s){q}{name}{q}\s*:\s*{q}(.*?)(?:{q}\s*\}}|{q}?\s*$)"
+    bare = rf"{q}{name}{q}\s*:\s*(-?[0-9][0-9.eE+-]*|true|false)"
+
+    def found(pattern: str) -> str:
+        return f"regexp_extract({raw}, {pattern_sql(pattern)}, 1)"
+
+    return (
+        f"CASE WHEN {raw} RLIKE {pattern_sql(closed)} THEN {_unescaped_sql(found(closed))}"
+        f" WHEN {raw} RLIKE {pattern_sql(tail)} THEN {_unescaped_sql(found(tail))}"
+        f" WHEN {raw} RLIKE {pattern_sql(bare)} THEN {found(bare)} END"
     )
 
 
-def salvage_fields(raw: Column, keys: list[str]) -> list[Column]:
-    return [salvage_field(raw, k, keys).alias(k) for k in keys]
+def salvage_fields(df: DataFrame, raw: str, keys: list[str]) -> DataFrame:
+    """Adds one text column per key of a JSON object that may be wrapped or broken.
+
+    The object is parsed once per row; only where no valid object is found are
+    the keys looked up one by one.
+    """
+    c = quoted(raw)
+    parsed = df.withColumn("__object", F.expr(object_of_sql(c)))
+    fields = [
+        f"CASE WHEN __object IS NOT NULL THEN try_variant_get(__object, \"$['{k}']\", 'string')"
+        f" ELSE {field_by_key_sql(c, k, keys)} END AS {quoted(k)}"
+        for k in keys
+    ]
+    return parsed.selectExpr(*[quoted(x) for x in df.columns], *fields)

@@ -48,7 +48,9 @@ DEFAULT_REMEDIATION = "apply appropriate data protection"
 # A necessary condition of a match that is cheaper to test than its pattern.
 _NEEDS = {
     "email": "contains({c}, '@') AND ",
+    "phone": "{c} RLIKE '[0-9]{{4}}' AND ",
     "ssn": "contains({c}, '-') AND ",
+    "credit_card": "{c} RLIKE '[0-9]{{4}}' AND ",
     "ip_address": "contains({c}, '.') AND {c} RLIKE r'[.][0-9]{{1,3}}[.]' AND ",
 }
 
@@ -91,10 +93,15 @@ def type_of_value_sql(c: str) -> str:
     def case(names: list[str]) -> str:
         return " ".join(f"WHEN {matches_sql(c, n)} THEN '{n}'" for n in names)
 
-    # phone, ssn and card need four digits in a row: one test spares all three
+    def in_digits(names: list[str]) -> str:
+        return " ".join(f"WHEN {c} RLIKE {pattern_sql(PATTERNS[n])} THEN '{n}'" for n in names)
+
+    # no pattern matches fewer than six characters; phone, ssn and card need
+    # four digits in a row, so one test spares all three
     return (
-        f"CASE {case(['email'])}"
-        f" WHEN {c} RLIKE '[0-9]{{4}}' THEN CASE {case(['phone', 'ssn', 'credit_card', 'ip_address'])} END"
+        f"CASE WHEN octet_length({c}) < 6 THEN null {case(['email'])}"
+        f" WHEN {c} RLIKE '[0-9]{{4}}' THEN CASE {in_digits(['phone', 'ssn', 'credit_card'])}"
+        f" {case(['ip_address'])} END"
         f" {case(['ip_address'])} END"
     )
 

@@ -18,19 +18,21 @@ NUMERIC_PATTERN = (
     r"|[iI][nN][fF](?:[iI][nN][iI][tT][yY])?|[nN][aA][nN])\s*$"
 )
 
-# Fixed values: (shape, Spark datetime pattern) pairs tried for text dates.
-# A column is a date column only when one pair fits every value in it.
-DATE_FORMATS = [
-    (r"^\d{4}-\d{2}-\d{2}$", "yyyy-MM-dd"),
-    (r"^\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2}$", "yyyy-MM-dd HH:mm:ss"),
-    (r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}$", "yyyy-MM-dd'T'HH:mm:ss"),
-    (r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}(?:Z|[+-]\d{2}:\d{2})$", "yyyy-MM-dd'T'HH:mm:ssXXX"),
-    (r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}\.\d{3}(?:Z|[+-]\d{2}:\d{2})$", "yyyy-MM-dd'T'HH:mm:ss.SSSXXX"),
-    (r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}\.\d{6}(?:Z|[+-]\d{2}:\d{2})$", "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"),
-    (r"^\d{4}/\d{2}/\d{2}$", "yyyy/MM/dd"),
-    (r"^\d{2}/\d{2}/\d{4}$", "MM/dd/yyyy"),
-    (r"^\d{2}/\d{2}/\d{4}$", "dd/MM/yyyy"),
-    (r"^\d{2}-\d{2}-\d{4}$", "dd-MM-yyyy"),
+# Forms of text dates, each with the ISO readings it is tried as.
+# A column is a date column only when one reading of one form fits every value.
+# {c} is the text; readings use substrings because the forms have fixed widths.
+DATE_FORMS = [
+    (r"^\d{4}-\d{2}-\d{2}$", ["{c}"]),
+    (r"^\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2}$", ["{c}"]),
+    (r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}$", ["{c}"]),
+    (r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}(?:Z|[+-]\d{2}:\d{2})$", ["{c}"]),
+    (r"^\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}:\d{2}\.\d{1,6}(?:Z|[+-]\d{2}:\d{2})?$", ["{c}"]),
+    (r"^\d{4}/\d{2}/\d{2}$", ["replace({c}, '/', '-')"]),
+    (r"^\d{2}/\d{2}/\d{4}$", [
+        "concat_ws('-', right({c}, 4), left({c}, 2), substring({c}, 4, 2))",
+        "concat_ws('-', right({c}, 4), substring({c}, 4, 2), left({c}, 2))",
+    ]),
+    (r"^\d{2}-\d{2}-\d{4}$", ["concat_ws('-', right({c}, 4), substring({c}, 4, 2), left({c}, 2))"]),
 ]
 
 # ISO 8601 text; the zone is captured apart because freshness compares wall time.
@@ -59,28 +61,32 @@ def is_numeric_sql(c: str) -> str:
     """
     trimmed = f"trim(BOTH ' \\t\\n\\u000b\\f\\r' FROM {c})"
     return (
-        f"(substring({trimmed}, 1, 1) RLIKE '[0-9+.iInN-]'"
+        f"(instr('0123456789+-.iInN', left({trimmed}, 1)) > 0"
         f" AND right({trimmed}, 2) RLIKE {pattern_sql(r'(?:[0-9][.]?|[fFyYnN])$')}"
         f" AND {c} RLIKE {pattern_sql(NUMERIC_PATTERN)})"
     )
 
 
 def date_like_sql(c: str) -> str:
-    """The text where it starts with two digits, as every date form does, else null."""
-    return f"CASE WHEN substring({c}, 1, 2) RLIKE '[0-9]{{2}}' THEN {c} END"
+    """The text where it may start with two digits, as every date form does, else null."""
+    return f"CASE WHEN left({c}, 2) BETWEEN '00' AND '99' THEN {c} END"
 
 
 def date_formats_sql(c: str) -> str:
-    """Bit mask of the date formats the text fits; null for null.
+    """Bit mask of the date readings the text allows; null for null.
 
-    The bitwise AND over a column tells which formats fit all its values.
+    The bitwise AND over a column tells which readings fit all its values.
     """
-    bits = " | ".join(
-        f"CASE WHEN {c} RLIKE {pattern_sql(shape)} AND try_to_timestamp({c}, {text_sql(fmt)}) IS NOT NULL"
-        f" THEN {1 << i} ELSE 0 END"
-        for i, (shape, fmt) in enumerate(DATE_FORMATS)
+    bit, cases = 1, []
+    for shape, readings in DATE_FORMS:
+        masks = []
+        for reading in readings:
+            masks.append(f"CASE WHEN try_cast({reading.format(c=c)} AS timestamp) IS NOT NULL THEN {bit} ELSE 0 END")
+            bit *= 2
+        cases.append(f"WHEN {c} RLIKE {pattern_sql(shape)} THEN {' | '.join(masks)}")
+    return (
+        f"CASE WHEN {c} IS NULL THEN NULL WHEN {date_like_sql(c)} IS NULL THEN 0 {' '.join(cases)} ELSE 0 END"
     )
-    return f"CASE WHEN {c} IS NULL THEN NULL WHEN {date_like_sql(c)} IS NOT NULL THEN {bits} ELSE 0 END"
 
 
 def iso_wall_time_sql(c: str) -> str:

@@ -96,10 +96,11 @@ def _first_of(df: DataFrame, subset: list[str], order: list[Column]) -> DataFram
     hash leads the grouping so sorting seldom compares long texts.
     """
     parts = [x for c in subset for x in (quoted(c), f"{quoted(c)} IS NULL")]
-    keyed = df.withColumn("__k", F.expr(key128_sql(parts)))
-    window = Window.partitionBy("__k.a", "__k.b", *[F.col(quoted(c)) for c in subset]).orderBy(*order)
+    a, b = key128_sql(parts)
+    keyed = df.selectExpr("*", f"{a} AS __a", f"{b} AS __b")
+    window = Window.partitionBy("__a", "__b", *[F.col(quoted(c)) for c in subset]).orderBy(*order)
     return (
-        keyed.withColumn("__rn", F.row_number().over(window)).filter("__rn = 1").drop("__rn", "__k")
+        keyed.withColumn("__rn", F.row_number().over(window)).filter("__rn = 1").drop("__rn", "__a", "__b")
     )
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tablecare.functions import pii
 from tablecare.functions.hashing import quoted
+from tablecare.functions.text import pattern_sql
 from tablecare.operators.profile import profile_columns
 
 
@@ -36,6 +37,24 @@ def named_pii(df: DataFrame) -> DataFrame:
     ).filter(F.col("type").isNotNull())
 
 
+def pii_matches(df: DataFrame, key: str, text: str) -> DataFrame:
+    """Every match of every type in a text column, as rows (id, kind, value).
+
+    Texts are searched in place and only matches travel on; a pattern's matches
+    are listed only where a first one is found.
+    """
+    c = quoted(text)
+    lists = ", ".join(
+        f"struct('{kind}' AS kind, CASE WHEN {pii.matches_sql(c, kind)}"
+        f" THEN regexp_extract_all({c}, {pattern_sql(pattern)}, 0) END AS found)"
+        for kind, pattern in pii.PATTERNS.items()
+    )
+    return (
+        df.selectExpr(f"{quoted(key)} AS id", f"inline(array({lists}))")
+        .selectExpr("id", "kind", "explode(found) AS value")
+    )
+
+
 def remedy_columns(df: DataFrame, types: dict[str, str], salt: str = "") -> DataFrame:
     """Table with each named column treated as its type of personal data advises."""
     return df.select(*[

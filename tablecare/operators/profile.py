@@ -29,6 +29,10 @@ ALL_MEASURES = frozenset({"stats", "types", "distinct", "duplicates", "pii", "fr
 SAMPLE_VALUES = 5
 DATE_TRIAL_VALUES = 20
 
+# Columns judged in one scan, a text column weighing as much as several others.
+SCAN_BUDGET = 12
+TEXT_WEIGHT = 5
+
 # Distinct estimates at or above this share of the non-null count are counted exactly.
 _NEAR_UNIQUE = 0.9
 
@@ -137,17 +141,29 @@ def _column_sql(position: int, field: T.StructField, measures: frozenset[str], f
     return "struct(" + ", ".join(f"{sql} AS {name}" for name, sql in out.items()) + ")"
 
 
+def _scan_groups(schema: T.StructType, budget: int) -> list[list[tuple[int, T.StructField]]]:
+    """Columns in groups whose total weight stays within the budget."""
+    groups, weight = [], budget
+    for position, field in enumerate(schema.fields):
+        cost = TEXT_WEIGHT if base_semantic_type(field.dataType) == "string" else 1
+        if weight + cost > budget:
+            groups.append([])
+            weight = 0
+        groups[-1].append((position, field))
+        weight += cost
+    return groups
+
+
 def _scan(df: DataFrame, measures: frozenset[str], full: bool, exempt: set[str],
-          scan_all_types: bool, columns_per_scan: int) -> DataFrame:
+          scan_all_types: bool, scan_budget: int) -> DataFrame:
     """Evidence rows, one per column, from aggregations that shuffle one row per task.
 
-    Columns are taken in groups so the generated code stays small on wide
-    tables; each group reads only its own columns.
+    Columns are taken in groups: beyond a certain size the JVM no longer
+    compiles the code Spark generates.  Each group reads only its own columns,
+    so a columnar table is still read once in all.
     """
     parts = []
-    fields = list(enumerate(df.schema.fields))
-    for start in range(0, len(fields), columns_per_scan):
-        group = fields[start : start + columns_per_scan]
+    for group in _scan_groups(df.schema, scan_budget):
         needed = [quoted(f.name) for _, f in group]
         for position, field in group if full else ():
             judged = _judged_sql(field, scan_all_types)
@@ -197,20 +213,20 @@ def distinct_counts(df: DataFrame, columns: list[str] | None = None, rows: bool
     neither long texts nor a value held by most rows weigh on one task.
     """
     wanted = set(df.columns if columns is None else columns)
-    entries = [
-        f"struct({i} AS position, {value_key_sql(f)} AS key)"
-        for i, f in enumerate(df.schema.fields)
+    keys = {
+        i: value_key_sql(f) for i, f in enumerate(df.schema.fields)
         if f.name in wanted and not is_nested(f.dataType)
-    ]
+    }
     if rows:
-        entries.append(f"struct(-1 AS position, {row_key_sql(df.schema)} AS key)")
-    return (
-        df.selectExpr(f"inline(array({', '.join(entries)}))")
-        .filter("key IS NOT NULL")
-        .selectExpr("position", "key.a AS a", "key.b AS b")
-        .distinct()
-        .groupBy("position").agg(F.count(F.lit(1)).alias("unique_count"))
+        keys[-1] = row_key_sql(df.schema)
+    wide = df.selectExpr(*[f"{half} AS {name}" for i, pair in keys.items()
+                           for name, half in zip((f"`a{i}`", f"`b{i}`"), pair)])
+    pairs = ", ".join(f"(`a{i}`, `b{i}`) AS `{i}`" for i in keys)
+    long = df.sparkSession.sql(
+        f"SELECT CAST(position AS int) AS position, a, b FROM {{wide}} UNPIVOT ((a, b) FOR position IN ({pairs}))",
+        wide=wide,
     )
+    return long.distinct().groupBy("position").agg(F.count(F.lit(1)).alias("unique_count"))
 
 
 def _approximate_counts(df: DataFrame) -> tuple[DataFrame, list[str]]:
@@ -242,7 +258,8 @@ def duplicate_rows(df: DataFrame) -> DataFrame:
 
 def _row_groups(df: DataFrame) -> DataFrame:
     """Per distinct row, how many rows equal it."""
-    return df.selectExpr(f"inline(array({row_key_sql(df.schema)}))").groupBy("a", "b").agg(
+    a, b = row_key_sql(df.schema)
+    return df.selectExpr(f"{a} AS a", f"{b} AS b").groupBy("a", "b").agg(
         F.count(F.lit(1)).alias("n")
     )
 
@@ -256,7 +273,7 @@ def profile_columns(
     approx: bool = False,
     scan_all_types: bool = False,
     pii_exempt: list[str] | tuple[str, ...] = (),
-    columns_per_scan: int = 32,
+    scan_budget: int = SCAN_BUDGET,
 ) -> DataFrame:
     """One row per column: counts, statistics and the evidence the rules need.
 
@@ -264,6 +281,8 @@ def profile_columns(
     in `order_by`, which it requires.  `approx` estimates distinct counts that
     are far from unique.  `scan_all_types` searches numbers and dates for
     personal data too.  `pii_exempt` names columns already made safe.
+    `scan_budget` sets how many columns share a scan; raise it for row-oriented
+    files, which every scan reads whole.
     Measures left out come back null.
     """
     measures = frozenset(measures)
@@ -272,7 +291,7 @@ def profile_columns(
         raise ValueError(f"unknown mode {mode!r}")
     if not full and not order_by:
         raise ValueError("sample mode needs order_by: rows of a table have no order of their own")
-    scan = _scan(df, measures, full, set(pii_exempt), scan_all_types, columns_per_scan)
+    scan = _scan(df, measures, full, set(pii_exempt), scan_all_types, scan_budget)
 
     if full or not measures & {"types", "pii", "freshness"}:
         judged = scan.selectExpr(

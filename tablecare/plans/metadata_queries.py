@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tablecare.functions.hashing import row_fingerprint
-from tablecare.functions.json_text import salvage_field
+from tablecare.functions.json_text import salvage_fields
 from tablecare.operators import ordered, runmeta
 from tablecare.plans.catalog import query
 from tablecare.plans.relations import (
@@ -236,9 +236,8 @@ def incremental_since(spark, folder) -> DataFrame:
 SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events
 """)
 def json_field_props(spark, folder) -> DataFrame:
-    return table(spark, folder, "events").select(
-        "event_id", salvage_field(F.col("props"), "k", ["k"]).cast("bigint").alias("k")
-    )
+    events = table(spark, folder, "events").select("event_id", "props")
+    return salvage_fields(events, "props", ["k"]).selectExpr("event_id", "CAST(k AS bigint) AS k")
 
 
 @query("json_field_salvage", """
@@ -257,9 +256,6 @@ def json_field_salvage(spark, folder) -> DataFrame:
               WHEN 3 THEN concat('```json\\n', left({good}, length({good}) - 1))
               ELSE concat('{{bad ', substring({good}, 2)) END AS raw""",
     )
-    keys = ["k", "reasoning"]
-    return raw.select(
-        "event_id", "form",
-        salvage_field(F.col("raw"), "k", keys).cast("bigint").alias("k"),
-        salvage_field(F.col("raw"), "reasoning", keys).alias("reasoning"),
+    return salvage_fields(raw, "raw", ["k", "reasoning"]).selectExpr(
+        "event_id", "form", "CAST(k AS bigint) AS k", "reasoning"
     )

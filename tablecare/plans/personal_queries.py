@@ -201,18 +201,9 @@ def _matches_sql() -> str:
 
 
 def _matches(spark, folder) -> DataFrame:
-    """Every match of every type as a row; each text is read once."""
-    parts = []
-    for name, key, text in (("documents", "doc_id", "text"), ("pages", "page_id", "html")):
-        lists = ", ".join(
-            f"'{kind}', regexp_extract_all({text}, {pattern_sql(p)}, 0)" for kind, p in _PATTERNS.items()
-        )
-        parts.append(
-            table(spark, folder, name)
-            .select(F.col(key).alias("id"), F.explode(F.expr(f"map({lists})")).alias("kind", "values"))
-            .select("id", "kind", F.explode("values").alias("value"))
-        )
-    return parts[0].unionAll(parts[1])
+    return personal.pii_matches(table(spark, folder, "documents"), "doc_id", "text").unionAll(
+        personal.pii_matches(table(spark, folder, "pages"), "page_id", "html")
+    )
 
 
 @query("pii_mask", f"""
