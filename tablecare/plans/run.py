@@ -5,7 +5,7 @@ from __future__ import annotations
 import time
 import uuid
 from dataclasses import dataclass
-from datetime import datetime, timezone
+from datetime import datetime
 
 from pyspark.sql import DataFrame
 
@@ -29,17 +29,21 @@ class RunResult:
 
 
 def run(df: DataFrame, target: str, store: RunStore, *, as_of: datetime | str | None = None,
-        previous: DataFrame | None = None, name: str = "source", run_id: str | None = None) -> RunResult:
+        previous: DataFrame | None = None, name: str = "source", run_id: str | None = None,
+        input_hash: str | None = None) -> RunResult:
     """Profiles, checks, repairs and writes a table, recording each stage.
 
-    An input already written by an earlier run is not processed again.  A stage
-    that fails is recorded as failed and its error raised.
+    An input already written by an earlier run is not processed again.  Inputs
+    are told apart by `input_hash`; give one (a table version, say) to save the
+    scan that fingerprints all values.  A stage that fails is recorded as failed
+    and its error raised.
     """
     spark = df.sparkSession
     run_id = run_id or uuid.uuid4().hex[:8]
     result = RunResult(run_id)
-    identity = table_fingerprint(df).first()
-    input_hash = f"{identity['row_count']}:{identity['fingerprint']}"
+    if input_hash is None:
+        identity = table_fingerprint(df).first()
+        input_hash = f"{identity['row_count']}:{identity['fingerprint']}"
     if store.completed_input("write", input_hash):
         result.skipped = True
         store.record_event("run_skipped", run_id, {"input_hash": input_hash})
@@ -48,25 +52,22 @@ def run(df: DataFrame, target: str, store: RunStore, *, as_of: datetime | str |
     timings: dict[str, float] = {}
 
     def stage(label: str, work):
-        began, start = datetime.now(timezone.utc), time.monotonic()
-        begin = store.stage_row(run_id, label, "started", input_hash=input_hash, ts=began)
+        store.mark(run_id, label, "started", input_hash=input_hash)
+        start = time.monotonic()
         try:
             value, metadata = work()
         except Exception as error:
-            store.append("stages", [
-                begin, store.stage_row(run_id, label, "failed", input_hash=input_hash, error=str(error)),
-            ])
+            store.mark(run_id, label, "failed", input_hash=input_hash, error=str(error))
             store.record("errors_total", 1, {"phase": label, "session_id": run_id})
             store.record_event("run_failed", run_id, {"error": str(error)})
             raise
         timings[f"{label}_duration_ms"] = (time.monotonic() - start) * 1000
-        store.append("stages", [
-            begin, store.stage_row(run_id, label, "completed", input_hash=input_hash, metadata=metadata),
-        ])
+        store.mark(run_id, label, "completed", input_hash=input_hash, metadata=metadata)
         return value
 
     def do_profile():
-        return local_copy(profile_columns(df)), {"rows": identity["row_count"]}
+        profile = local_copy(profile_columns(df))
+        return profile, {"rows": profile.first()["row_count"]}
 
     def do_check():
         return local_copy(check(result.profile, as_of=as_of, previous=previous)), {}
@@ -83,15 +84,16 @@ def run(df: DataFrame, target: str, store: RunStore, *, as_of: datetime | str |
     result.findings = stage("check", do_check)
     result.report = report(result.findings)
     score = result.report.first()
+    rows = result.profile.first()["row_count"]
     result.healed = stage("heal", do_heal)
     written = stage("write", do_write)
     store.record_all({
-        **timings, "input_rows": identity["row_count"], "quality_score": score["quality_score"],
+        **timings, "input_rows": rows, "quality_score": score["quality_score"],
         "critical_issues": score["critical_count"],
     }, {"session_id": run_id})
     store.record_nodes(run_id, [
-        {"type": "source", "name": name, "row_count": identity["row_count"]},
-        {"type": "transformation", "name": "heal", "input_rows": identity["row_count"], "output_rows": written},
+        {"type": "source", "name": name, "row_count": rows},
+        {"type": "transformation", "name": "heal", "input_rows": rows, "output_rows": written},
         {"type": "sink", "name": target, "row_count": written},
     ])
     store.record_event("run_completed", run_id, {"rows": written})

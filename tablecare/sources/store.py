@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from datetime import datetime, timezone
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,6 +19,15 @@ _SCHEMAS = {
     "watermarks": runmeta.WATERMARK_SCHEMA,
 }
 
+_ARROW = {
+    "string": pa.string(),
+    "int": pa.int32(),
+    "bigint": pa.int64(),
+    "double": pa.float64(),
+    "timestamp": pa.timestamp("us", tz="UTC"),
+    "map<string,string>": pa.map_(pa.string(), pa.string()),
+}
+
 
 def _now() -> datetime:
     return datetime.now(timezone.utc)
@@ -42,7 +52,13 @@ class RunStore:
         return read_or_empty(self.spark, f"{self.root}/{name}", _SCHEMAS[name])
 
     def append(self, name: str, rows: list[tuple]) -> None:
-        frame = self.spark.createDataFrame(rows, _SCHEMAS[name])
+        fields = [f.split(" ", 1) for f in _SCHEMAS[name].split(", ")]
+        columns = [
+            pa.array([list(v.items()) if isinstance(v, dict) else v for v in values], _ARROW[kind])
+            for values, (_, kind) in zip(zip(*rows), fields)
+        ]
+        # an Arrow table stays with the driver, so a few rows need no Python workers
+        frame = self.spark.createDataFrame(pa.table(columns, names=[f for f, _ in fields]))
         frame.coalesce(1).write.mode("append").parquet(f"{self.root}/{name}")
 
     # metrics and events
@@ -86,16 +102,13 @@ class RunStore:
 
     # stage checkpoints
 
-    @staticmethod
-    def stage_row(run_id: str, stage: str, status: str, *, input_hash: str = "", output_hash: str = "",
-                  error: str = "", metadata: dict | None = None, ts: datetime | None = None) -> tuple:
+    def mark(self, run_id: str, stage: str, status: str, *, input_hash: str = "", output_hash: str = "",
+             error: str = "", metadata: dict | None = None, ts: datetime | None = None) -> None:
+        """Appends a stage event; status is started, completed or failed."""
         if status not in ("started", "completed", "failed"):
             raise ValueError(f"unknown stage status {status!r}")
-        return (run_id, stage, status, ts or _now(), input_hash, output_hash, error, _texts(metadata))
-
-    def mark(self, run_id: str, stage: str, status: str, **details) -> None:
-        """Appends a stage event; status is started, completed or failed."""
-        self.append("stages", [self.stage_row(run_id, stage, status, **details)])
+        self.append("stages", [(run_id, stage, status, ts or _now(), input_hash, output_hash,
+                                error, _texts(metadata))])
 
     def latest_stages(self) -> DataFrame:
         stages = self.table("stages").withColumn("details", F.to_json("metadata"))
