@@ -3,9 +3,9 @@
 A window partitioned by the key alone puts a whole key in one task, and one key
 may hold a third of the table.  Here each key is cut into chunks of its order
 range, the windows run within (key, chunk), and what a chunk must know of the
-earlier ones is carried over from one summary row per chunk.  The cuts are
-quantiles of the whole table, so no (key, chunk) holds much more than
-1/chunks of all rows.
+earlier ones is carried over from one summary row per chunk.  The number of
+chunks follows the row count, so what one task must hold does not; a table
+small enough for one chunk needs no summary.
 """
 
 from __future__ import annotations
@@ -16,7 +16,10 @@ from pyspark.sql import types as T
 
 from tablecare.functions.hashing import quoted
 
-CHUNKS = 64
+# Rows a (key, chunk) should hold at most, were they all of one key.
+ROWS_PER_CHUNK = 1_000_000
+# Cuts at quantiles; further chunks divide the ranges between them evenly.
+QUANTILE_CHUNKS = 64
 _CHUNK, _ORDER = "__chunk", "__order"
 
 
@@ -40,15 +43,42 @@ def _position_among(value: Column, cuts: list) -> Column:
     return search(0, len(cuts))
 
 
-def _chunked(df: DataFrame, order_by: list[str], chunks: int) -> DataFrame:
+def _chunk_of(value: Column, low, high, cuts: list, parts: int) -> Column:
+    """Chunk of an order value; a higher value never falls in a lower chunk."""
+    coarse = _position_among(value, cuts)
+    if parts == 1:
+        return coarse
+    edges = F.array(*[F.lit(float(x)) for x in [low, *cuts, high]])
+    start, end = F.get(edges, coarse), F.get(edges, coarse + 1)
+    share = F.coalesce(F.try_divide(value.cast("double") - start, end - start), F.lit(0.0))
+    part = F.least(F.greatest(F.floor(share * parts), F.lit(0)), F.lit(parts - 1))
+    return (coarse * parts + part).cast("int")
+
+
+def _chunked(df: DataFrame, order_by: list[str], chunks: int | None) -> tuple[DataFrame, int]:
+    """Rows with their chunk and order, and the number of chunks."""
     lead = _numeric_order(df, order_by[0])
-    steps = [i / chunks for i in range(1, chunks)]
-    cuts = df.agg(F.percentile_approx(lead, steps, 10 * chunks).alias("q")).first()["q"] if steps else []
-    cuts = sorted(set(cuts or []))
-    # a null order key sorts first, so it belongs to the first chunk
-    return df.withColumn(_CHUNK, F.when(lead.isNull(), 0).otherwise(_position_among(lead, cuts))).withColumn(
+    if chunks is None:
+        chunks = -(-df.count() // ROWS_PER_CHUNK)
+    if chunks <= 1:
+        chunk, chunks = F.lit(0), 1
+    else:
+        quantiles = min(chunks, QUANTILE_CHUNKS)
+        steps = [i / quantiles for i in range(1, quantiles)]
+        row = df.agg(
+            F.min(lead).alias("low"), F.max(lead).alias("high"),
+            F.percentile_approx(lead, steps, 10 * quantiles).alias("cuts"),
+        ).first()
+        if row["low"] is None:
+            chunk = F.lit(0)
+        else:
+            parts = -(-chunks // quantiles)
+            chunk = _chunk_of(lead, row["low"], row["high"], sorted(set(row["cuts"])), parts)
+            # a null order key sorts first, so it belongs to the first chunk
+            chunk = F.when(lead.isNull(), 0).otherwise(chunk)
+    return df.withColumn(_CHUNK, chunk).withColumn(
         _ORDER, F.struct(*[F.col(quoted(o)) for o in order_by])
-    )
+    ), chunks
 
 
 def _within(keys: list[str]) -> Window:
@@ -69,10 +99,19 @@ def _attach(rows: DataFrame, summary: DataFrame, keys: list[str], carried: list[
 
 
 def forward_fill(df: DataFrame, keys: list[str], order_by: list[str], columns: list[str],
-                 chunks: int = CHUNKS) -> DataFrame:
+                 chunks: int | None = None) -> DataFrame:
     """Nulls in `columns` replaced by the last earlier value of the same key."""
-    rows = _chunked(df, order_by, chunks)
+    rows, chunks = _chunked(df, order_by, chunks)
     seen = _within(keys).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    local = rows.select(
+        *[
+            F.last(F.col(quoted(c)), ignorenulls=True).over(seen).alias(c) if c in columns else F.col(quoted(c))
+            for c in df.columns
+        ],
+        _CHUNK,
+    )
+    if chunks == 1:
+        return local.drop(_CHUNK)
     before = Window.partitionBy(*keys).orderBy(_CHUNK).rowsBetween(Window.unboundedPreceding, -1)
     summary = rows.groupBy(*keys, _CHUNK).agg(*[
         F.max_by(F.col(quoted(c)), F.when(F.col(quoted(c)).isNotNull(), F.col(_ORDER))).alias(f"__last{i}")
@@ -81,13 +120,6 @@ def forward_fill(df: DataFrame, keys: list[str], order_by: list[str], columns: l
     carried = [f"__carry{i}" for i in range(len(columns))]
     for i, name in enumerate(carried):
         summary = summary.withColumn(name, F.last(f"__last{i}", ignorenulls=True).over(before))
-    local = rows.select(
-        *[
-            F.last(F.col(quoted(c)), ignorenulls=True).over(seen).alias(c) if c in columns else F.col(quoted(c))
-            for c in df.columns
-        ],
-        _CHUNK,
-    )
     filled = _attach(local, summary, keys, carried)
     return filled.select(*[
         F.coalesce(F.col(quoted(c)), F.col(carried[columns.index(c)])).alias(c)
@@ -97,29 +129,33 @@ def forward_fill(df: DataFrame, keys: list[str], order_by: list[str], columns: l
 
 
 def with_previous(df: DataFrame, keys: list[str], order_by: list[str], column: str, alias: str,
-                  chunks: int = CHUNKS) -> DataFrame:
+                  chunks: int | None = None) -> DataFrame:
     """Adds the value `column` has in the row before, per key; null in its first row."""
-    rows = _chunked(df, order_by, chunks)
+    rows, chunks = _chunked(df, order_by, chunks)
     window = _within(keys)
-    chunk_order = Window.partitionBy(*keys).orderBy(_CHUNK)
-    summary = rows.groupBy(*keys, _CHUNK).agg(F.max_by(F.col(quoted(column)), F.col(_ORDER)).alias("__last"))
-    summary = summary.withColumn("__carry", F.lag("__last").over(chunk_order))
     local = rows.select(
         *df.columns, _CHUNK,
         F.lag(F.col(quoted(column))).over(window).alias(alias),
         F.row_number().over(window).alias("__rn"),
     )
+    if chunks == 1:
+        return local.drop(_CHUNK, "__rn")
+    chunk_order = Window.partitionBy(*keys).orderBy(_CHUNK)
+    summary = rows.groupBy(*keys, _CHUNK).agg(F.max_by(F.col(quoted(column)), F.col(_ORDER)).alias("__last"))
+    summary = summary.withColumn("__carry", F.lag("__last").over(chunk_order))
     out = _attach(local, summary, keys, ["__carry"])
     return out.select(*df.columns, F.when(F.col("__rn") == 1, F.col("__carry")).otherwise(F.col(alias)).alias(alias))
 
 
 def with_position(df: DataFrame, keys: list[str], order_by: list[str], alias: str = "seq",
-                  chunks: int = CHUNKS) -> DataFrame:
+                  chunks: int | None = None) -> DataFrame:
     """Adds each row's position within its key, counted from 0."""
-    rows = _chunked(df, order_by, chunks)
+    rows, chunks = _chunked(df, order_by, chunks)
+    local = rows.select(*df.columns, _CHUNK, F.row_number().over(_within(keys)).alias("__rn"))
+    if chunks == 1:
+        return local.select(*df.columns, (F.col("__rn") - 1).cast("bigint").alias(alias))
     before = Window.partitionBy(*keys).orderBy(_CHUNK).rowsBetween(Window.unboundedPreceding, -1)
     summary = rows.groupBy(*keys, _CHUNK).agg(F.count(F.lit(1)).alias("__n"))
     summary = summary.withColumn("__carry", F.coalesce(F.sum("__n").over(before), F.lit(0)))
-    local = rows.select(*df.columns, _CHUNK, F.row_number().over(_within(keys)).alias("__rn"))
     out = _attach(local, summary, keys, ["__carry"])
     return out.select(*df.columns, (F.col("__carry") + F.col("__rn") - 1).cast("bigint").alias(alias))

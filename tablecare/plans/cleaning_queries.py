@@ -209,7 +209,7 @@ WITH {_BOUNDS_SQL}
 SELECT event_id, round(greatest(least(value, high), low), 4) AS value FROM events, b
 """)
 def outlier_cap(spark, folder) -> DataFrame:
-    capped = clean.cap_outliers(table(spark, folder, "events").select("event_id", "value"), "value")
+    capped = clean.cap_outliers(table(spark, folder, "events").select("event_id", "value"), ["value"])
     return capped.select("event_id", F.round("value", 4).alias("value"))
 
 

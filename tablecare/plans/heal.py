@@ -132,8 +132,8 @@ def apply(df: DataFrame, fixes: list[Fix], salt: str = "") -> DataFrame:
     if negative := numeric(_columns(fixes, "clip_negative")):
         out = clean.clip_negative(out, negative)
     out = cut_lineage(out)
-    for column in numeric(_columns(fixes, "cap_outliers")):
-        out = clean.cap_outliers(out, column)
+    if capped := numeric(_columns(fixes, "cap_outliers")):
+        out = clean.cap_outliers(out, capped)
     if means := numeric(_columns(fixes, "fill_mean")):
         out = clean.fill_mean(out, means)
     for column in numeric(_columns(fixes, "fill_median")):

@@ -126,7 +126,7 @@ def read_watermark_json(spark: SparkSession, path: str) -> DataFrame:
 
 def _whole_texts(spark: SparkSession, path: str) -> DataFrame:
     try:
-        texts = spark.read.option("wholetext", True).text(path)
+        texts = spark.read.text(path, wholetext=True)
     except AnalysisException:
         return spark.createDataFrame([], "file_name string, value string")
     return texts.select(F.element_at(F.split(F.input_file_name(), "/"), -1).alias("file_name"), "value")

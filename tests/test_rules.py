@@ -91,7 +91,6 @@ def test_negative_values_go_by_name(spark, name, hit):
 ])
 def test_freshness_counts_whole_days(spark, latest, hit):
     column = {"column": "d", "semantic_type": "datetime", "latest": latest}
-    # 2024 has 366 days: 2025-01-01 is 366 days after 2024-01-01
     as_of = "2024-12-31 00:00:00"
     got = found(rules.check(profile_of(spark, column), as_of=as_of))
     assert bool(got) is hit
