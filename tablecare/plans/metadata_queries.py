@@ -10,7 +10,7 @@ from tablecare.functions.json_text import salvage_fields
 from tablecare.operators import ordered, runmeta
 from tablecare.plans.catalog import query
 from tablecare.plans.relations import (
-    NODES_SQL, STAGES_SQL, lifecycle, lineage_nodes, points, stage_events, table,
+    NODES_SQL, STAGES_SQL, lifecycle, lineage_nodes, points, spread_table, stage_events, table,
 )
 
 _TIME = "yyyy-MM-dd HH:mm:ss.SSSSSS"
@@ -247,7 +247,7 @@ FROM events
 def json_field_salvage(spark, folder) -> DataFrame:
     """Props as plain, fenced, wrapped, unclosed and run-on responses; all give the field back."""
     good = "concat('{\"k\": \"', get_json_object(props, '$.k'), '\", \"reasoning\": \"', event_type, '\"}')"
-    raw = table(spark, folder, "events").selectExpr(
+    raw = spread_table(spark, folder, "events").selectExpr(
         "event_id", "event_id % 5 AS form",
         f"""CASE event_id % 5
               WHEN 0 THEN {good}

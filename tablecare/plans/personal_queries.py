@@ -11,7 +11,7 @@ from tablecare.functions import pii
 from tablecare.functions.text import pattern_sql
 from tablecare.operators import personal, profile, rules
 from tablecare.plans.catalog import query
-from tablecare.plans.relations import CONTACTS_SQL, contacts, table
+from tablecare.plans.relations import CONTACTS_SQL, contacts, spread_table, table
 
 _PATTERNS = pii.PATTERNS
 
@@ -50,7 +50,7 @@ WITH {CONTACTS_SQL}, detected AS (
 
 
 def _sources(spark, folder) -> dict[str, DataFrame]:
-    found = {n: table(spark, folder, n) for n in ("documents", "pages", "conversations")}
+    found = {n: spread_table(spark, folder, n) for n in ("documents", "pages", "conversations")}
     found["contacts"] = contacts(spark, folder)
     return found
 
@@ -160,7 +160,7 @@ for _name, _kind in {
 
 @query("pii_row_type", f"SELECT doc_id, coalesce({_type_sql('text')}, 'none') AS pii_type FROM documents")
 def pii_row_type(spark, folder) -> DataFrame:
-    return table(spark, folder, "documents").select(
+    return spread_table(spark, folder, "documents").select(
         "doc_id", F.coalesce(pii.type_of_value("text"), F.lit("none")).alias("pii_type")
     )
 
@@ -176,7 +176,7 @@ SELECT doc_id, sha256({_redact_sql('text')}) AS redacted_sha, redacted <> text A
 FROM (SELECT *, {_redact_sql('text')} AS redacted FROM documents)
 """)
 def pii_redact_docs(spark, folder) -> DataFrame:
-    redacted = table(spark, folder, "documents").select("doc_id", "text", pii.redact(F.col("text")).alias("r"))
+    redacted = spread_table(spark, folder, "documents").select("doc_id", "text", pii.redact(F.col("text")).alias("r"))
     return redacted.select(
         "doc_id", F.sha2("r", 256).alias("redacted_sha"), (F.col("r") != F.col("text")).alias("changed")
     )
@@ -187,7 +187,7 @@ SELECT doc_id, sha256(regexp_replace(text, '\b((?:\d{1,3}\.){3})\d{1,3}\b', '\10
 FROM documents
 """)
 def pii_anonymize_ip(spark, folder) -> DataFrame:
-    return table(spark, folder, "documents").select(
+    return spread_table(spark, folder, "documents").select(
         "doc_id", F.sha2(pii.anonymize_ip(F.col("text")), 256).alias("anonymized_sha")
     )
 
@@ -201,8 +201,8 @@ def _matches_sql() -> str:
 
 
 def _matches(spark, folder) -> DataFrame:
-    return personal.pii_matches(table(spark, folder, "documents"), "doc_id", "text").unionAll(
-        personal.pii_matches(table(spark, folder, "pages"), "page_id", "html")
+    return personal.pii_matches(spread_table(spark, folder, "documents"), "doc_id", "text").unionAll(
+        personal.pii_matches(spread_table(spark, folder, "pages"), "page_id", "html")
     )
 
 

@@ -10,7 +10,7 @@ from tablecare.operators import drift, profile, rules
 from tablecare.plans.catalog import query
 from tablecare.plans.relations import (
     DIRTY_COLUMNS, DIRTY_FINDINGS_SQL, DIRTY_SQL, LATER_SQL, dirty_orders, duplicates_sql,
-    faulty_orders, orders_as_delivered_later, profile_sql, table,
+    faulty_orders, orders_as_delivered_later, profile_sql, spread_table, table,
 )
 
 FINDING = ["rule", "column", "severity", "points"]
@@ -58,7 +58,7 @@ SELECT "column", dtype, semantic_type, row_count, null_count, unique_count, mean
 FROM profile
 """)
 def profile_lineitem(spark, folder) -> DataFrame:
-    found = profile.profile_columns(table(spark, folder, "lineitem"))
+    found = profile.profile_columns(spread_table(spark, folder, "lineitem"))
     return found.select("column", "dtype", "semantic_type", "row_count", "null_count", "unique_count",
                         "mean", "std", "duplicate_rows")
 
@@ -111,7 +111,7 @@ UNION ALL SELECT 'large', 'boolean', count(large) FROM texts
 UNION ALL SELECT 'o_orderdate', 'datetime', count(o_orderdate) FROM texts
 """)
 def semantic_types(spark, folder) -> DataFrame:
-    texts = table(spark, folder, "orders").selectExpr(
+    texts = spread_table(spark, folder, "orders").selectExpr(
         "o_orderkey",
         "date_format(o_orderdate, 'yyyy-MM-dd') AS iso_date",
         "date_format(o_orderdate, 'dd/MM/yyyy') AS day_first",

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tablecare.sources.tables import spread_out
+
 TABLES = [
     "region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
     "documents", "embeddings", "pages", "benchmark", "labels", "conversations",
@@ -19,6 +21,11 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def spread_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    """A table about to be searched value by value."""
+    return spread_out(table(spark, folder, name))
+
+
 def faulty_orders(spark: SparkSession, folder: str) -> DataFrame:
     """Orders with nulls, negatives, text numbers and a constant."""
     return table(spark, folder, "orders").selectExpr(

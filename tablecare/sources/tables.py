@@ -92,6 +92,17 @@ def read_table(spark: SparkSession, path: str, fmt: str = "parquet", **options)
     return spark.read.format(fmt).options(**options).load(path)
 
 
+def spread_out(df: DataFrame) -> DataFrame:
+    """Rows of a small file dealt out to all cores, ahead of costly expressions.
+
+    A table with at least as many input splits as cores comes back as it is, so
+    large tables are never moved.  Only for tables read straight from files:
+    asking a plan with a shuffle for its splits would run it.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def read_or_empty(spark: SparkSession, path: str, schema: str, fmt: str = "parquet") -> DataFrame:
     """Table at a path, or no rows where nothing has been written yet."""
     reader = spark.read.schema(schema)
