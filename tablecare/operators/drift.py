@@ -12,6 +12,34 @@ from tablecare.operators.rules import DRIFT_POINTS, finding_sql
 # Fixed value: change of the null share, in points, that counts as drift (strictly more).
 NULL_SHIFT = 20
 
+# Severity of each drift rule.
+SEVERITIES = {
+    "new_column": "warning",
+    "removed_column": "critical",
+    "type_change": "critical",
+    "null_rate_change": "warning",
+}
+
+# Description and recommendation of each finding.
+TEXTS = {
+    "new_column": (
+        "New column '{name}' detected (not in previous schema)",
+        "Update pipeline to handle new column or ignore it",
+    ),
+    "removed_column": (
+        "Column '{name}' was removed from the data source",
+        "Update pipeline — downstream dependencies may break",
+    ),
+    "type_change": (
+        "Column '{name}' type changed: {prev_dtype} → {cur_dtype}",
+        "Update type casting in ETL pipeline",
+    ),
+    "null_rate_change": (
+        "Column '{name}' null rate changed significantly: {before}% → {after}%",
+        "Investigate upstream data source for quality regression",
+    ),
+}
+
 _SIDE = ["column", "dtype", "null_percent"]
 
 
@@ -26,30 +54,21 @@ def _issues_sql(compare_nulls: bool) -> str:
     """Array of the findings for one pair of columns."""
     both = "cur_column IS NOT NULL AND prev_column IS NOT NULL"
     before, after = "coalesce(prev_null_percent, 0D)", "coalesce(cur_null_percent, 0D)"
-    cases = [
-        ("prev_column IS NULL", "warning", "new_column",
-         "New column '{cur_column}' detected (not in previous schema)",
-         "Update pipeline to handle new column or ignore it"),
-        ("cur_column IS NULL", "critical", "removed_column",
-         "Column '{prev_column}' was removed from the data source",
-         "Update pipeline — downstream dependencies may break"),
-        (f"{both} AND NOT cur_dtype <=> prev_dtype", "critical", "type_change",
-         "Column '{cur_column}' type changed: {prev_dtype} → {cur_dtype}",
-         "Update type casting in ETL pipeline"),
-    ]
+    conditions = {
+        "new_column": "prev_column IS NULL",
+        "removed_column": "cur_column IS NULL",
+        "type_change": f"{both} AND NOT cur_dtype <=> prev_dtype",
+    }
     if compare_nulls:
-        cases.append((
-            f"{both} AND abs({after} - {before}) > {NULL_SHIFT}", "warning", "null_rate_change",
-            f"Column '{{cur_column}}' null rate changed significantly: {{{before}}}% → {{{after}}}%",
-            "Investigate upstream data source for quality regression",
-        ))
-    column = "coalesce(cur_column, prev_column)"
-    findings = ", ".join(
-        f"CASE WHEN {condition} THEN "
-        f"{finding_sql('schema_drift', severity, rule, column, text, advice, DRIFT_POINTS)} END"
-        for condition, severity, rule, text, advice in cases
-    )
-    return f"filter(array({findings}), f -> f IS NOT NULL)"
+        conditions["null_rate_change"] = f"{both} AND abs({after} - {before}) > {NULL_SHIFT}"
+    name = "coalesce(cur_column, prev_column)"
+
+    def finding(rule: str) -> str:
+        return finding_sql("schema_drift", SEVERITIES[rule], rule, name, TEXTS[rule], DRIFT_POINTS,
+                           name=name, before=before, after=after)
+
+    cases = ", ".join(f"CASE WHEN {condition} THEN {finding(rule)} END" for rule, condition in conditions.items())
+    return f"filter(array({cases}), f -> f IS NOT NULL)"
 
 
 def drift(current: DataFrame, previous: DataFrame) -> DataFrame:

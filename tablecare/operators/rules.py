@@ -32,6 +32,59 @@ POINTS = {
 }
 DRIFT_POINTS = 8
 
+# Description and recommendation of each finding.  {braces} hold
+# profile columns, or names the rule fills in.
+TEXTS = {
+    ("null_threshold", "critical"): (
+        "Column '{column}' has {null_percent}% null values (>50% threshold)",
+        "Drop column, impute values, or investigate upstream source",
+    ),
+    ("null_threshold", "warning"): (
+        "Column '{column}' has {null_percent}% null values",
+        "Consider imputation strategy (mean/median/mode/forward-fill)",
+    ),
+    ("null_threshold", "info"): (
+        "Column '{column}' has {null_percent}% null values",
+        "Handle nulls in ETL transformation",
+    ),
+    ("duplicate_threshold", "critical"): (
+        "{duplicate_rows} duplicate rows ({share}% of data)",
+        "Implement deduplication with MERGE/UPSERT strategy",
+    ),
+    ("duplicate_threshold", "warning"): (
+        "{duplicate_rows} duplicate rows ({share}%)",
+        "Add deduplication step in ETL pipeline",
+    ),
+    ("type_consistency", "warning"): (
+        "Column '{column}' detected as string but contains mostly numeric values",
+        "Cast to numeric type in ETL step",
+    ),
+    ("high_cardinality", "info"): (
+        "Column '{column}' has 100% unique values — potential primary key",
+        "Consider using as primary key or unique identifier",
+    ),
+    ("low_cardinality", "warning"): (
+        "Column '{column}' has only 1 unique value — zero information content",
+        "Consider dropping this column",
+    ),
+    ("outlier_detection", "warning"): (
+        "Column '{column}' has extreme outliers (range: {min}–{max}, mean: {mean}, std: {std})",
+        "Add outlier capping/removal in ETL or flag as anomaly",
+    ),
+    ("negative_values", "warning"): (
+        "Column '{column}' has negative values (min={min}) which may be invalid for this field type",
+        "Validate negative values — clip to 0 or flag as anomalies",
+    ),
+    ("pii_detected", "critical"): (
+        "Potential PII detected in '{column}': {pii_type}",
+        "Apply {remediation} before storing in data warehouse",
+    ),
+    ("data_freshness", "warning"): (
+        "Most recent date in '{column}' is {days} days old",
+        "Verify data source is providing current data",
+    ),
+}
+
 # Name parts of columns that should not be negative.
 POSITIVE_NAME_PARTS = ["price", "amount", "quantity", "count", "age", "revenue", "sales"]
 
@@ -59,106 +112,76 @@ READINESS_CONSTANTS = {
 }
 
 
-def finding_sql(category: str, severity: str, rule: str, column: str, description: str,
-                recommendation: str, points: int) -> str:
+def finding_sql(category: str, severity: str, rule: str, column: str, texts: tuple[str, str],
+                points: int, **names: str) -> str:
     """A finding as a struct.
 
-    `column` is an expression.  The texts are templates whose {expressions}
-    are filled in per row.
+    `column` is an expression.  Each {name} in the texts stands for the
+    expression given for it, or for the profile column of that name.
     """
+    description, recommendation = (_filled_sql(text, names) for text in texts)
     return (
         f"struct('{category}' AS category, '{severity}' AS severity, '{rule}' AS rule, {column} AS column,"
-        f" {_filled_sql(description)} AS description, {_filled_sql(recommendation)} AS recommendation,"
+        f" {description} AS description, {recommendation} AS recommendation,"
         f" true AS detected, {points}L AS points)"
     )
 
 
-def _filled_sql(template: str) -> str:
-    pieces = re.split(r"\{([^}]*)\}", template)
+def _filled_sql(template: str, names: dict[str, str]) -> str:
+    pieces = re.split(r"\{(\w+)\}", template)
     parts = [
-        f"CAST({piece} AS string)" if i % 2 else text_sql(piece)
+        f"CAST({names.get(piece, piece)} AS string)" if i % 2 else text_sql(piece)
         for i, piece in enumerate(pieces) if piece
     ]
     return parts[0] if len(parts) == 1 else f"concat({', '.join(parts)})"
 
 
-def _case(rule: str, *branches: tuple[str, str, str, str], category: str = "data_quality",
-          column: str = "column") -> str:
-    """First branch (condition, severity, description, recommendation) that holds, as a finding."""
+def _case(rule: str, *branches: tuple[str, str], category: str = "data_quality",
+          column: str = "column", **names: str) -> str:
+    """A finding of the severity whose condition holds first, else null."""
     cases = " ".join(
-        f"WHEN {condition} THEN "
-        + finding_sql(category, severity, rule, column, text, advice, POINTS.get((rule, severity), 0))
-        for condition, severity, text, advice in branches
+        f"WHEN {condition} THEN " + finding_sql(
+            category, severity, rule, column, TEXTS[rule, severity], POINTS.get((rule, severity), 0), **names
+        )
+        for severity, condition in branches
     )
     return f"CASE {cases} END"
 
 
-_DUPLICATE_SHARE = "round(try_divide(duplicate_rows * 100.0D, row_count), 2)"
-_SPREAD = f"{OUTLIER_SIGMAS} * std"
-
-
 def _rules_sql() -> list[str]:
     """Rules that need nothing but the profile."""
+    share = "round(try_divide(duplicate_rows * 100.0D, row_count), 2)"
+    reach = f"{OUTLIER_SIGMAS} * std"
+    name_parts = "|".join(POSITIVE_NAME_PARTS)
     return [
         _case(
             "null_threshold",
-            (f"null_percent > {NULL_CRITICAL}", "critical",
-             "Column '{column}' has {null_percent}% null values (>50% threshold)",
-             "Drop column, impute values, or investigate upstream source"),
-            (f"null_percent > {NULL_WARNING}", "warning",
-             "Column '{column}' has {null_percent}% null values",
-             "Consider imputation strategy (mean/median/mode/forward-fill)"),
-            ("null_percent > 0", "info",
-             "Column '{column}' has {null_percent}% null values",
-             "Handle nulls in ETL transformation"),
+            ("critical", f"null_percent > {NULL_CRITICAL}"),
+            ("warning", f"null_percent > {NULL_WARNING}"),
+            ("info", "null_percent > 0"),
         ),
+        # one finding for the table, made from the row of its first column
         _case(
             "duplicate_threshold",
-            (f"position = 0 AND {_DUPLICATE_SHARE} > {DUPLICATES_CRITICAL}", "critical",
-             f"{{duplicate_rows}} duplicate rows ({{{_DUPLICATE_SHARE}}}% of data)",
-             "Implement deduplication with MERGE/UPSERT strategy"),
-            (f"position = 0 AND {_DUPLICATE_SHARE} > 0", "warning",
-             f"{{duplicate_rows}} duplicate rows ({{{_DUPLICATE_SHARE}}}%)",
-             "Add deduplication step in ETL pipeline"),
-            column=f"'{ALL_COLUMNS}'",
+            ("critical", f"position = 0 AND {share} > {DUPLICATES_CRITICAL}"),
+            ("warning", f"position = 0 AND {share} > 0"),
+            column=f"'{ALL_COLUMNS}'", share=share,
         ),
         _case(
             "type_consistency",
-            ("semantic_type = 'string' AND text_values > 2"
-             f" AND numeric_values > text_values * {NUMERIC_SHARE}D", "warning",
-             "Column '{column}' detected as string but contains mostly numeric values",
-             "Cast to numeric type in ETL step"),
-        ),
-        _case(
-            "high_cardinality",
-            (_UNIQUE, "info",
-             "Column '{column}' has 100% unique values — potential primary key",
-             "Consider using as primary key or unique identifier"),
-        ),
-        _case(
-            "low_cardinality",
-            (f"row_count > 0 AND unique_count = 1 AND NOT ({_UNIQUE})", "warning",
-             "Column '{column}' has only 1 unique value — zero information content",
-             "Consider dropping this column"),
+            ("warning", "semantic_type = 'string' AND text_values > 2"
+                        f" AND numeric_values > text_values * {NUMERIC_SHARE}D"),
         ),
+        _case("high_cardinality", ("info", _UNIQUE)),
+        _case("low_cardinality", ("warning", f"row_count > 0 AND unique_count = 1 AND NOT ({_UNIQUE})")),
         _case(
             "outlier_detection",
-            (f"std > 0 AND (max > mean + {_SPREAD} OR min < mean - {_SPREAD})", "warning",
-             "Column '{column}' has extreme outliers (range: {min}–{max}, mean: {mean}, std: {std})",
-             "Add outlier capping/removal in ETL or flag as anomaly"),
-        ),
-        _case(
-            "negative_values",
-            (f"min < 0 AND lower(column) RLIKE '{'|'.join(POSITIVE_NAME_PARTS)}'", "warning",
-             "Column '{column}' has negative values (min={min}) which may be invalid for this field type",
-             "Validate negative values — clip to 0 or flag as anomalies"),
+            ("warning", f"std > 0 AND (max > mean + {reach} OR min < mean - {reach})"),
         ),
+        _case("negative_values", ("warning", f"min < 0 AND lower(column) RLIKE '{name_parts}'")),
         _case(
-            "pii_detected",
-            ("pii_type IS NOT NULL", "critical",
-             "Potential PII detected in '{column}': {pii_type}",
-             f"Apply {{{pii.remediation_sql('pii_type')}}} before storing in data warehouse"),
-            category="security",
+            "pii_detected", ("critical", "pii_type IS NOT NULL"),
+            category="security", remediation=pii.remediation_sql("pii_type"),
         ),
     ]
 
@@ -168,9 +191,8 @@ def _freshness_sql(as_of: datetime | str) -> str:
     days = f"floor((unix_micros(CAST({moment} AS timestamp)) - unix_micros(CAST(latest AS timestamp))) / 86400000000L)"
     return _case(
         "data_freshness",
-        (f"semantic_type IN ('datetime', 'datetime_string') AND {days} > {STALE_DAYS}", "warning",
-         f"Most recent date in '{{column}}' is {{{days}}} days old",
-         "Verify data source is providing current data"),
+        ("warning", f"semantic_type IN ('datetime', 'datetime_string') AND {days} > {STALE_DAYS}"),
+        days=days,
     )
 
 

@@ -131,20 +131,24 @@ def drop_sparse_columns(spark, folder) -> DataFrame:
 
 
 @query("drop_constant_columns", f"""
-WITH {DIRTY_SQL} SELECT o_orderkey, mostly_null, some_null, few_null, amount, code FROM dirty_orders
+WITH {DIRTY_SQL}
+SELECT o_orderkey, CAST(mostly_null AS DOUBLE) AS mostly_null, some_null, few_null, amount, code FROM dirty_orders
 """)
 def drop_constant_columns(spark, folder) -> DataFrame:
-    return clean.drop_constant_columns(dirty_orders(spark, folder).drop("o_orderdate"))
+    kept = clean.drop_constant_columns(dirty_orders(spark, folder).drop("o_orderdate"))
+    return kept.withColumn("mostly_null", F.col("mostly_null").cast("double"))
 
 
 # duplicates
 
 @query("dedup_exact", f"""
 WITH {DIRTY_SQL}
-SELECT DISTINCT o_orderkey, mostly_null, some_null, few_null, amount, code, constant_col FROM dirty_orders
+SELECT DISTINCT o_orderkey, CAST(mostly_null AS DOUBLE) AS mostly_null, some_null, few_null, amount, code, constant_col
+FROM dirty_orders
 """)
 def dedup_exact(spark, folder) -> DataFrame:
-    return clean.dedup_exact(dirty_orders(spark, folder).drop("o_orderdate"))
+    kept = clean.dedup_exact(dirty_orders(spark, folder).drop("o_orderdate"))
+    return kept.withColumn("mostly_null", F.col("mostly_null").cast("double"))
 
 
 @query("dedup_keep_first", """
@@ -353,10 +357,9 @@ def heal_history(spark, folder) -> DataFrame:
 
 @query("quality_run", f"""
 WITH {_HEALED_SQL}
-SELECT CAST(row_number() OVER () - 1 AS INTEGER) AS seq, type, input_rows, output_rows, row_count FROM (
-  SELECT 'source' AS type, NULL::BIGINT AS input_rows, NULL::BIGINT AS output_rows, count(*) AS row_count FROM dirty_orders
-  UNION ALL SELECT 'transformation', (SELECT count(*) FROM dirty_orders), count(*), NULL FROM healed
-  UNION ALL SELECT 'sink', NULL, NULL, count(*) FROM healed)
+SELECT 0 AS seq, 'source' AS type, 0 AS input_rows, 0 AS output_rows, count(*) AS row_count FROM dirty_orders
+UNION ALL SELECT 1, 'transformation', (SELECT count(*) FROM dirty_orders), count(*), 0 FROM healed
+UNION ALL SELECT 2, 'sink', 0, 0, count(*) FROM healed
 """)
 def quality_run(spark, folder) -> DataFrame:
     from tablecare.plans.run import run
@@ -365,4 +368,5 @@ def quality_run(spark, folder) -> DataFrame:
 
     store = RunStore(spark, work_path(spark, "metadata"))
     run(dirty_orders(spark, folder), work_path(spark, "healed"), store, name="dirty_orders")
-    return store.table("lineage").select("seq", "type", "input_rows", "output_rows", "row_count")
+    counts = [F.coalesce(c, F.lit(0)).alias(c) for c in ("input_rows", "output_rows", "row_count")]
+    return store.table("lineage").select("seq", "type", *counts)

@@ -1,4 +1,5 @@
 import datetime as dt
+import statistics
 
 import pytest
 from pyspark.sql import functions as F
@@ -18,8 +19,8 @@ def by_column(df):
 def small_csv(spark, tmp_path):
     path = tmp_path / "small.csv"
     path.write_text(
-        "id,name,amount,date\n1,Alice,100.50,2024-01-01\n2,Bob,200.75,2024-01-02\n"
-        "3,Alice,100.50,2024-01-03\n4,,150.00,2024-01-04\n"
+        "id,city,price,day\n11,Oslo,10.25,2023-05-01\n12,Rome,20.75,2023-05-02\n"
+        "13,Oslo,10.25,2023-05-03\n14,,14.00,2023-05-07\n"
     )
     return read_csv(spark, str(path), dates=False)
 
@@ -27,12 +28,14 @@ def small_csv(spark, tmp_path):
 def test_profile_of_small_csv(small_csv):
     found = by_column(profile_columns(small_csv))
     assert found["id"]["row_count"] == 4
-    assert found["name"]["null_count"] == 1 and found["name"]["null_percent"] == 25.0
-    assert found["name"]["unique_count"] == 2
-    assert found["amount"]["semantic_type"] == "float"
-    assert found["date"]["semantic_type"] == "datetime_string"
-    assert found["date"]["latest"] == dt.datetime(2024, 1, 4)
-    assert found["amount"]["mean"] == 137.94 and found["amount"]["std"] == 47.94
+    assert found["city"]["null_count"] == 1 and found["city"]["null_percent"] == 25.0
+    assert found["city"]["unique_count"] == 2
+    assert found["price"]["semantic_type"] == "float"
+    assert found["day"]["semantic_type"] == "datetime_string"
+    assert found["day"]["latest"] == dt.datetime(2023, 5, 7)
+    prices = [10.25, 20.75, 10.25, 14.0]
+    assert found["price"]["mean"] == round(statistics.mean(prices), 2)
+    assert found["price"]["std"] == round(statistics.stdev(prices), 2)
     assert found["id"]["duplicate_rows"] == 0
     table = profile_table(small_csv, "small.csv").first()
     assert tuple(table) == ("small.csv", 4, 4, 0)

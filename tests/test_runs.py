@@ -226,9 +226,9 @@ def test_fingerprints(spark):
 
 BROKEN = '''```json
 {
-  "etl_code": "print(\\"hello\\")\\nfor i in range(3):\\n    print(i)",
-  "sql_schema": "CREATE TABLE t(id INT);",
-  "reasoning": "ok"
+  "code": "total = \\"sum\\"\\nif total:\\n\\tshow(total)",
+  "ddl": "CREATE TABLE visits (day DATE);",
+  "why": "because"
 '''
 
 
@@ -248,10 +248,10 @@ def test_salvage(spark, raw, want):
 
 
 def test_salvage_of_an_unclosed_fenced_object(spark):
-    keys = ["etl_code", "sql_schema", "reasoning"]
+    keys = ["code", "ddl", "why"]
     row = salvage_fields(spark.createDataFrame([(BROKEN,)], "raw string"), "raw", keys).first()
-    assert row["etl_code"] == 'print("hello")\nfor i in range(3):\n    print(i)'
-    assert row["sql_schema"] == "CREATE TABLE t(id INT);" and row["reasoning"] == "ok"
+    assert row["code"] == 'total = "sum"\nif total:\n\tshow(total)'
+    assert row["ddl"] == "CREATE TABLE visits (day DATE);" and row["why"] == "because"
 
 
 # sources and sinks
@@ -277,6 +277,15 @@ def test_csv_with_line_breaks(spark, tmp_path):
     assert sorted(r["a"] for r in df.collect()) == ["one\ntwo", "three"]
 
 
+def test_spread_out(spark, tmp_path):
+    spark.range(100).coalesce(1).write.parquet(str(tmp_path / "one"))
+    one = tables.read_table(spark, str(tmp_path / "one"))
+    assert one.rdd.getNumPartitions() == 1
+    assert tables.spread_out(one).rdd.getNumPartitions() == 8
+    many = spark.range(0, 100, 1, 20)
+    assert tables.spread_out(many) is many
+
+
 def test_landing_keeps_file_and_run(spark, tmp_path):
     for name in ("a", "b"):
         (tmp_path / f"{name}.csv").write_text("x\n1\n")
