@@ -60,7 +60,8 @@ def session_metric_summary(points: DataFrame) -> DataFrame:
 def metrics_summary(points: DataFrame, events: DataFrame) -> DataFrame:
     """One row: point and event counts with the sorted names and event types.
 
-    Names and types are reduced per value before they are listed.
+    Names and types are reduced per value before they are listed; the lists are
+    as long as the vocabulary of the code that records them, not as the data.
     """
     names = points.groupBy("name").agg(F.count(F.lit(1)).alias("n")).agg(
         F.coalesce(F.sum("n"), F.lit(0)).cast("bigint").alias("total_metrics"),
