@@ -6,11 +6,14 @@ so further columns, also ones named like its results, do no harm.
 
 from __future__ import annotations
 
+import tempfile
+import zipfile
 from collections.abc import Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that a mapper holds as arrays at a time, a longer single text apart.
@@ -19,6 +22,7 @@ SLICE_BYTES = 4 << 20
 
 def id_and_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The two columns as ``doc_id`` long and ``text`` string; a null text is empty."""
+    ship(docs.sparkSession)
     return docs.select(
         docs[f"`{id_col}`"].cast("long").alias("doc_id"),
         F.coalesce(docs[f"`{text_col}`"].cast("string"), F.lit("")).alias("text"),
@@ -78,7 +82,8 @@ def powers(n: int, base: int) -> np.ndarray:
         take = min(done, n - done)
         out[done : done + take] = out[:take] * step
         done += take
-        step = step * step if done < n else step
+        with np.errstate(over="ignore"):
+            step = step * step
     return out
 
 
@@ -130,3 +135,20 @@ def shingles(words: Words, size: int) -> tuple[np.ndarray, np.ndarray]:
         at = words.bounds[i]
         out[at], whole[at] = mixed(value + counts[i].astype(np.uint64))[0], True
     return out[whole], owner[whole]
+
+
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Gives this package to the session's Python workers, once, as ``--py-files`` would."""
+    context = spark.sparkContext
+    if context.applicationId in _shipped:
+        return
+    package = Path(__file__).resolve().parent.parent
+    target = Path(tempfile.mkdtemp(prefix="tablecare-")) / f"{package.name}.zip"  # the driver serves it to executors
+    with zipfile.ZipFile(target, "w") as z:
+        for f in sorted(package.rglob("*.py")):
+            z.write(f, f.relative_to(package.parent))
+    context.addPyFile(str(target))
+    _shipped.add(context.applicationId)
