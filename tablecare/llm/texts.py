@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import tempfile
 import zipfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from pathlib import Path
 
 import numpy as np
@@ -66,6 +66,24 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
+class Memory(dict):
+    """Values found by ``make`` at first use; emptied between texts when it holds ``most``, which changes no result."""
+
+    def __init__(self, make: Callable, most: int):
+        super().__init__()
+        self.make, self.most = make, most
+
+    def __missing__(self, key):
+        value = self.make(key)
+        if len(key) <= 64:
+            self[key] = value
+        return value
+
+    def trim(self) -> None:
+        if len(self) > self.most:
+            self.clear()
+
+
 #: A random odd factor, its inverse modulo 2^64, and a random value for each byte.
 FACTOR = 0x5851F42D4C957F2D
 INVERSE = pow(FACTOR, -1, 1 << 64)
@@ -88,29 +106,34 @@ def powers(n: int, base: int) -> np.ndarray:
 
 
 class Words:
-    """Words ``[^\\x20\\x09-\\x0D]+`` of all texts of a column, A-Z lower-cased.
+    """Words ``[^\\x20\\x09-\\x0D]+`` of all texts of a column, or runs of bytes not ``apart``; A-Z lower-cased.
 
     ``hash`` has one 64-bit value a word, ``first`` and ``last`` its byte
     range, ``bounds`` the range of words of each text.
     """
 
-    def __init__(self, column: pa.Array):
+    def __init__(self, column: pa.Array, apart: np.ndarray = BLANK):
         data, ends = raw(column)
         self.data, self.ends = LOWER[data], ends
+        blank = apart[data]
         edge = np.ones(len(data) + 1, bool)  # a byte before which there is no word
-        edge[1:] = BLANK[data] if len(data) else True
+        edge[1:] = blank
         edge[ends] = True
-        solid = ~BLANK[data]
+        solid = ~blank
         self.first = np.flatnonzero(solid & edge[:-1])
         shut = np.ones(len(data) + 1, bool)
         shut[:-1] = ~solid
         shut[ends] = True
         self.last = np.flatnonzero(solid & shut[1:]) + 1
         self.bounds = np.searchsorted(self.first, ends)
-        up = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum(BYTE_VALUES[self.data] * powers(len(data), FACTOR), out=up[1:])
-        down = powers(len(data) + 1, INVERSE)
-        self.hash = mixed((up[self.last] - up[self.first]) * down[self.first] + (self.last - self.first).astype(np.uint64))
+        self.up = np.zeros(len(data) + 1, np.uint64)
+        np.cumsum(BYTE_VALUES[self.data] * powers(len(data), FACTOR), out=self.up[1:])
+        self.down = powers(len(data) + 1, INVERSE)
+        self.hash = self.spans(self.first, self.last)
+
+    def spans(self, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+        """Hashes of byte ranges; equal bytes have equal hashes wherever they are."""
+        return mixed((self.up[last] - self.up[first]) * self.down[first] + (last - first).astype(np.uint64))
 
 
 def shingles(words: Words, size: int) -> tuple[np.ndarray, np.ndarray]:

@@ -18,6 +18,7 @@ from __future__ import annotations
 import os
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -27,22 +28,24 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tablecare.llm.texts import id_and_text, slices
+from tablecare.llm.texts import Memory, id_and_text, slices
 
 FILE_SCHEMA = "part int, part_start long, doc_id long, n_tokens long, ids array<int>"
 
 #: Words whose ids a worker remembers; the memory is emptied when full, results don't change.
-REMEMBERED = 600_000
+REMEMBERED = 900_000
 
-#: A word that the tokenizer lower-cases and takes as one piece, and a mark that it takes as another.
-_PLAIN = re.compile(r"([A-Za-z]+)([.,]?)")
+#: Letters of which the pre-tokenizer makes one piece, with nothing to compose or split.
+_LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
 
 
 class Encoder:
     """The tokenizers library with a memory of whole words.
 
     The pre-tokenizer of the file drops white space and never joins over it,
-    so a text's ids are those of its words, one after the other.
+    so a text's ids are those of its words, one after the other.  Where its
+    parts are seen to act letter by letter, a word of plain letters goes to
+    the library's model directly, without a mark that may follow it.
     """
 
     def __init__(self, path: str):
@@ -50,44 +53,51 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[str, bytes] = {}
-        self.by_letters = self._takes_plain_words()
-
-    def _takes_plain_words(self) -> bool:
-        """Whether the model alone gives a plain word's ids, tried on words and marks."""
-        tried = ["The", "Reed.", "inding,", "Zq", "a", "I.", "xX,"]
-        return all(self._plain(_PLAIN.fullmatch(w)) == self._packed(self.tokenizer.encode(w, add_special_tokens=False).ids) for w in tried)
-
-    @staticmethod
-    def _packed(ids: list[int]) -> bytes:
-        return np.array(ids, "<u4").tobytes()
-
-    def _plain(self, m: re.Match) -> bytes:
-        model = self.tokenizer.model
-        return self._packed([t.id for part in m.groups() if part for t in model.tokenize(part.lower())])
-
-    def learn(self, words: set[str]) -> None:
-        new = [w for w in words if w not in self.known]
-        if len(self.known) + len(new) > REMEMBERED:
-            self.known.clear()
-            new = list(words)
-        rest = []
-        for w in new:
-            if self.by_letters and (m := _PLAIN.fullmatch(w)):
-                self.known[w] = self._plain(m)
-            else:
-                rest.append(w)
-        for w, e in zip(rest, self.tokenizer.encode_batch_fast(rest, add_special_tokens=False), strict=True):
-            self.known[w] = self._packed(e.ids)
+        self.model = self.tokenizer.model
+        self.letters = re.compile(f"[{_LETTERS}]+")
+        self.marks = {m: self._whole(m) for m in ".,"}
+        self.spelled = self._spelling()
+        tried = ["The", "Reed.", "inding,", "Zq", "été.", "ÑÄß", "I.", "xX,"]
+        self.plain = bool(self.spelled) and all(self._by_letters(w) == self._whole(w) for w in tried)
+        self.words = Memory(self._find, REMEMBERED)
+
+    def _spelling(self) -> dict[int, str]:
+        """What normaliser and pre-tokenizer make of each letter."""
+        made = {}
+        for c in filter(self.letters.fullmatch, map(chr, range(256))):
+            text = self.tokenizer.normalizer.normalize_str(c) if self.tokenizer.normalizer else c
+            pieces = self.tokenizer.pre_tokenizer.pre_tokenize_str(text) if self.tokenizer.pre_tokenizer else [(text, None)]
+            if len(pieces) != 1:
+                return {}
+            made[ord(c)] = pieces[0][0]
+        return made
+
+    def _whole(self, word: str) -> bytes:
+        return array("I", self.tokenizer.encode(word, add_special_tokens=False).ids).tobytes()
+
+    def _by_letters(self, word: str) -> bytes | None:
+        mark = self.marks.get(word[-1:], b"")
+        body = word[:-1] if mark else word
+        if not self.letters.fullmatch(body):
+            return None
+        return array("I", [t.id for t in self.model.tokenize(body.translate(self.spelled))]).tobytes() + mark
+
+    def _find(self, word: str) -> bytes:
+        if not word:
+            return b""
+        if self.plain:
+            if word[-1] in self.marks and len(word) > 1:
+                body = word[:-1].lower()
+                if self.letters.fullmatch(body):
+                    return self.words[body] + self.marks[word[-1]]
+            elif (found := self._by_letters(word)) is not None:
+                return found
+        return self._whole(word)
 
     def ids(self, text: str) -> bytes:
         """Ids of the text as little-endian 32-bit integers."""
-        words = text.replace("\n", " ").split(" ")
-        try:
-            return b"".join(map(self.known.__getitem__, words))
-        except KeyError:
-            self.learn(set(words))
-            return b"".join(map(self.known.__getitem__, words))
+        self.words.trim()
+        return b"".join(map(self.words.__getitem__, text.replace("\n", " ").split(" ")))
 
 
 @lru_cache(maxsize=2)
