@@ -62,6 +62,21 @@ class Merges:
         return joins
 
 
+    def merge_short(self, symbols: list[int]) -> list[int]:
+        """What ``merge`` leaves, by looking for the lowest rank each time: quicker for a few symbols."""
+        get, made, none = self.rank.get, self.made, 1 << 62
+        ranks = [get(a << 32 | b, none) for a, b in zip(symbols, symbols[1:], strict=False)]
+        while ranks and (least := min(ranks)) < none:
+            i = ranks.index(least)
+            symbols[i] = new = made[symbols[i] << 32 | symbols[i + 1]]
+            del symbols[i + 1], ranks[i]
+            if i < len(ranks):
+                ranks[i] = get(new << 32 | symbols[i + 1], none)
+            if i:
+                ranks[i - 1] = get(symbols[i - 1] << 32 | new, none)
+        return symbols
+
+
 def merges_of_json(path: str) -> tuple[dict, dict[str, int], Merges]:
     """The file's content, its vocabulary, and its merges in order of the file."""
     with open(path, encoding="utf-8") as f:
@@ -161,8 +176,12 @@ class PieceModel:
 
     def stretches(self, text: str) -> list[str]:
         """The normalised text cut where no piece reaches across."""
-        cuts = [0, *(i for i in range(1, len(text)) if text[i - 1 : i + 1] not in self.adjacent), len(text)]
-        return [text[a:b] for a, b in zip(cuts, cuts[1:], strict=False)] if text else []
+        found, start = [], 0
+        for i, pair in enumerate(map(str.__add__, text, text[1:]), 1):
+            if pair not in self.adjacent:
+                found.append(text[start:i])
+                start = i
+        return [*found, text[start:]] if text else []
 
     def symbols(self, stretch: str) -> list[int]:
         """Numbers of its characters; one that is no piece stands alone in its stretch, as -1."""

@@ -20,6 +20,7 @@ import hashlib
 import re
 import struct
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -28,11 +29,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from tablecare.llm.bpe import BLANK, BYTE, CONTROL, PieceModel
-from tablecare.llm.texts import id_and_text, slices
+from tablecare.llm.texts import Memory, id_and_text, slices
 
 #: Words, and stretches between safe cuts, that a worker remembers; emptied when full, results don't change.
 REMEMBERED = 500_000
 
+#: Symbols up to which merging looks through all pairs instead of keeping a heap.
+SHORT = 40
+
 codecs.register_error("each_byte", lambda e: ("�" * (e.end - e.start), e.end))
 
 
@@ -132,56 +136,42 @@ class Encoder:
         m = self.model
         #: Nothing reaches over the start of a blank run or over a line end, so words can be taken one by one.
         self.by_words = self.normaliser.plain and not any(BLANK == b and a != BLANK or "\n" in (a, b) for a, b in m.adjacent)
-        self.words: dict[str, bytes] = {}
-        self.parts: dict[str, bytes] = {}
+        self.words = Memory(self._word, REMEMBERED)
+        self.parts = Memory(self._part, REMEMBERED)
+        self.lengths = [len(p.encode()) - (2 * p.count(BLANK) if self.by_words else 0) for p in m.pieces]
         self.runs = re.compile(f"{BLANK}+[^{BLANK}\n]*|[^{BLANK}\n]+|\n")
 
     def _part(self, stretch: str) -> bytes:
         """(id, length) of each piece as 32-bit integers; a blank is as long as it is in the source, or in the normalised text."""
-        if (value := self.parts.get(stretch)) is not None:
-            return value
         m, symbols = self.model, self.model.symbols(stretch)
         if symbols[0] < 0:
             data = stretch.encode()
             pairs = [(m.byte_ids[b], 0) for b in data[:-1]] + [(m.byte_ids[data[-1]], len(data))] if m.byte_fallback else [(m.unk, len(data))]
         else:
-            m.merges.merge(symbols)
-            pairs = [(i, self._length(m.pieces[i])) for i in symbols if i >= 0]
-        value = np.array(pairs, "<i4").tobytes()
-        if len(stretch) <= 64:
-            if len(self.parts) >= REMEMBERED:
-                self.parts.clear()
-            self.parts[stretch] = value
-        return value
-
-    def _length(self, piece: str) -> int:
-        return len(piece.encode()) - (2 * piece.count(BLANK) if self.by_words else 0)
-
-    def _learn(self, words: set[str]) -> None:
-        """Words that stood between single blanks; a line end is kept at the start of its word."""
-        if len(self.words) >= REMEMBERED:
-            self.words.clear()
-        for w in words:
-            if w not in self.words:
-                line = w.startswith("\n")
-                whole = [*(["\n"] if line else []), *self.model.stretches(w[1:] if line else BLANK + w)]
-                self.words[w] = b"".join(map(self._part, whole))
+            if len(symbols) > SHORT:
+                m.merges.merge(symbols)
+            else:
+                m.merges.merge_short(symbols)
+            pairs = [(i, self.lengths[i]) for i in symbols if i >= 0]
+        return array("i", [x for pair in pairs for x in pair]).tobytes()
+
+    def _word(self, word: str) -> bytes:
+        """A word that stood between single blanks; a line end is kept at its start."""
+        whole = ["\n", *self.model.stretches(word[1:])] if word.startswith("\n") else self.model.stretches(BLANK + word)
+        return b"".join(map(self.parts.__getitem__, whole))
 
     def encode(self, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """ids, and the first byte and end of each piece in the source."""
         if not text:
             return _NONE, _NONE, _NONE
+        self.words.trim()
+        self.parts.trim()
         if not self.by_words or BLANK in text:
             return self._general(text)
         if "  " in text or "\n\n" in text or " \n" in text or text[0] == " ":
-            found = b"".join(map(self._part, (s for r in self.runs.findall(BLANK + text.replace(" ", BLANK)) for s in self.model.stretches(r))))
+            found = b"".join(map(self.parts.__getitem__, (s for r in self.runs.findall(BLANK + text.replace(" ", BLANK)) for s in self.model.stretches(r))))
         else:
-            words = text.replace("\n", " \n").split(" ")
-            try:
-                found = b"".join(map(self.words.__getitem__, words))
-            except KeyError:
-                self._learn(set(words))
-                found = b"".join(map(self.words.__getitem__, words))
+            found = b"".join(map(self.words.__getitem__, text.replace("\n", " \n").split(" ")))
         pairs = np.frombuffer(found, "<i4").reshape(-1, 2)
         ends = np.cumsum(pairs[:, 1]) - 1  # the blank put before the text has no byte there
         starts = np.empty_like(ends)
@@ -193,7 +183,7 @@ class Encoder:
         pairs: list[tuple[int, int]] = []
         merged = not self.model.byte_fallback
         for s in self.model.stretches(normal):
-            part = np.frombuffer(self._part(s), "<i4").reshape(-1, 2)
+            part = np.frombuffer(self.parts[s], "<i4").reshape(-1, 2)
             if self.by_words:
                 part = self._normalised_lengths(part, s)
             for i, n in part.tolist():

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from tablecare.llm.bpe import PieceModel, merges_of_json
-from tablecare.llm.texts import id_and_text, lengths, slices
+from tablecare.llm.texts import Memory, id_and_text, lengths, slices
 
 #: Words and pieces whose counts a worker remembers; emptied when full, results don't change.
 REMEMBERED = 800_000
@@ -46,8 +46,8 @@ class JsonCounter:
             raise ValueError("only added tokens that are matched as they stand")
         strings = sorted((a["content"] for a in added), key=len, reverse=True)
         self.special = re.compile("|".join(map(re.escape, strings))) if strings else None
-        self.words: dict[str, int] = {}
-        self.pieces: dict[str, int] = {}
+        self.words = Memory(lambda w: self._stretch(w) if w else 0, REMEMBERED)
+        self.pieces = Memory(self._piece, REMEMBERED)
         #: White space is dropped and nothing reaches over it, so words count one by one.
         self.by_words = self._pieces("a b\nc") == ["a", "b", "c"] and not any(re.search(r"[ \n]", s) for s in strings)
         tried = ["The", "Reed.", "inding,", "Zq", "I."]
@@ -59,13 +59,10 @@ class JsonCounter:
         return [p for p, _ in self.pre_tokenizer.pre_tokenize_str(text)] if self.pre_tokenizer is not None else [text]
 
     def _piece(self, piece: str) -> int:
-        if (n := self.pieces.get(piece)) is None:
-            if len(self.pieces) >= REMEMBERED:
-                self.pieces.clear()
-            get = self.vocab.get
-            symbols = [s for s in map(get, [*piece[:-1], piece[-1] + self.suffix]) if s is not None] if piece else []
-            n = self.pieces[piece] = len(symbols) - self.merges.merge(symbols)
-        return n
+        """Initial symbols less joins."""
+        get = self.vocab.get
+        symbols = [s for s in map(get, [*piece[:-1], piece[-1] + self.suffix]) if s is not None]
+        return len(symbols) - self.merges.merge(symbols)
 
     def _stretch(self, text: str) -> int:
         """Tokens of a text or word, special strings included."""
@@ -75,23 +72,16 @@ class JsonCounter:
             parts = self.special.split(text)
         else:
             if self.plain and (m := _PLAIN.fullmatch(text)):
-                return self._piece(m[1].lower()) + (self._piece(m[2]) if m[2] else 0)
+                return self.pieces[m[1].lower()] + (self.pieces[m[2]] if m[2] else 0)
             parts = [text]
-        return total + sum(self._piece(p) for part in parts if part for p in self._pieces(part))
+        return total + sum(self.pieces[p] for part in parts if part for p in self._pieces(part) if p)
 
     def count(self, text: str) -> int:
         if not self.by_words:
             return self._stretch(text)
-        words = text.replace("\n", " ").split(" ")
-        try:
-            return sum(map(self.words.__getitem__, words))
-        except KeyError:
-            if len(self.words) >= REMEMBERED:
-                self.words.clear()
-            for w in set(words):
-                if w not in self.words:
-                    self.words[w] = self._stretch(w) if w else 0
-            return sum(map(self.words.__getitem__, words))
+        self.words.trim()
+        self.pieces.trim()
+        return sum(map(self.words.__getitem__, text.replace("\n", " ").split(" ")))
 
 
 class PieceCounter:
@@ -103,17 +93,18 @@ class PieceCounter:
         with open(path, "rb") as f:
             self.model = PieceModel(f.read())
         self.normaliser = Normaliser(self.model)
-        self.known: dict[str, int] = {}
+        self.known = Memory(self._stretch, REMEMBERED)
+
+    def _stretch(self, stretch: str) -> int:
+        """Tokens between two safe cuts; for a character that is no piece, its bytes below zero."""
+        symbols = self.model.symbols(stretch)
+        return -len(stretch.encode()) if symbols[0] < 0 else len(symbols) - self.model.merges.merge(symbols)
 
     def count(self, text: str) -> int:
+        self.known.trim()
         total, unknown = 0, False
         for stretch in self.model.stretches(self.normaliser.text(text)):
-            n = self.known.get(stretch)
-            if n is None:
-                symbols = self.model.symbols(stretch)
-                n = -len(stretch.encode()) if symbols[0] < 0 else len(symbols) - self.model.merges.merge(symbols)
-                if len(self.known) < REMEMBERED:
-                    self.known[stretch] = n
+            n = self.known[stretch]
             if n > 0:
                 total, unknown = total + n, False
             elif self.model.byte_fallback:
