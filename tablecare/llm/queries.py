@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tablecare.llm import pieces, suffix_tree, token_counts, token_files, toxicity
+from tablecare.llm import line_chunks, pieces, suffix_tree, token_counts, token_files, toxicity
 from tablecare.sources.session import work_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -54,3 +55,9 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+
+
+@query("op3_line_chunks", line_chunks.SQL)
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = line_chunks.remove_repeats(table(spark, sf_dir, "documents"), counts=True)
+    return done.select("doc_id", "n_lines", "n_removed", F.md5(F.col("text").cast("binary")).alias("kept_md5"))
