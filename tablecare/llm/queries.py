@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablecare.llm import line_chunks, pieces, suffix_tree, token_counts, token_files, toxicity
+from tablecare.llm import containment, line_chunks, pieces, suffix_tree, token_counts, token_files, toxicity
 from tablecare.sources.session import work_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -61,3 +61,9 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = line_chunks.remove_repeats(table(spark, sf_dir, "documents"), counts=True)
     return done.select("doc_id", "n_lines", "n_removed", F.md5(F.col("text").cast("binary")).alias("kept_md5"))
+
+
+@query("op7_containment", containment.SQL)
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = containment.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "item_id", "n_shared", "n_item")
