@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablecare.llm import containment, line_chunks, pieces, suffix_tree, token_counts, token_files, toxicity
+from tablecare.llm import containment, line_chunks, pieces, similar_texts, suffix_tree, token_counts, token_files, top_products, toxicity
 from tablecare.sources.session import work_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -67,3 +67,26 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = containment.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.select("doc_id", "item_id", "n_shared", "n_item")
+
+
+_COMPONENTS = """
+with whole as (
+    select vec_id, [cast(floor(256 * cast(x as double)) as bigint) for x in embedding] as v from embeddings
+    where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
+), scored as (
+    select q.vec_id as query_id, c.vec_id, list_sum(list_transform(list_zip(q.v, c.v), lambda p: p[1] * p[2])) as score
+    from whole q join whole c on q.vec_id % 50 = 0 and q.vec_id <> c.vec_id
+)
+select * from (select query_id, cast(row_number() over (partition by query_id order by score desc, vec_id) as integer) as rank, vec_id, cast(score as bigint) as score from scored)
+where rank <= 5
+"""
+
+
+@query("op2_top_products", _COMPONENTS)
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return top_products.top_products(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
+@query("op9_similar_texts")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return similar_texts.similar_components(table(spark, sf_dir, "documents"))
