@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablecare.llm import containment, line_chunks, pieces, similar_texts, suffix_tree, token_counts, token_files, top_products, toxicity
+from tablecare.llm import containment, line_chunks, pieces, repeats, similar_texts, suffix_tree, token_counts, token_files, top_products, toxicity
 from tablecare.sources.session import work_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -90,3 +90,8 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op9_similar_texts")
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similar_texts.similar_components(table(spark, sf_dir, "documents"))
+
+
+@query("op8_repeats")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.removal_digests(table(spark, sf_dir, "documents"))

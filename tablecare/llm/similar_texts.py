@@ -1,7 +1,7 @@
 """Documents of nearly the same word shingles: grouped prefix join on Jaccard similarity.
 
 A text's shingles, as 64-bit hashes, are put in one order for the whole table:
-rare before frequent (by a table of ``BUCKETS`` frequency levels, counted over
+rare before frequent (by a table of frequency levels of fixed size, counted over
 all texts), then by hash.  Two sets that similar must share one of the first
 n - ceil(t n) + 1 shingles, the prefix.  Texts of equal sets are one node;
 nodes of equal prefix and size are one group, and only groups are matched, on
@@ -22,7 +22,6 @@ null component; an empty table gives an empty result.
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,17 +31,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tablecare.llm.components import components
+from tablecare.llm.frequency import frequency_levels, level_of
 from tablecare.llm.texts import Words, id_and_text, mixed, shingles, slices
 from tablecare.sources.session import cut_lineage
 
 SIZE, PERCENT = 3, 90
-#: Cells of the frequency table, a byte each: the bound of what is broadcast.
-BUCKET_BITS = 25
-BUCKETS = 1 << BUCKET_BITS
-#: Least number of texts for levels 1, 2 and 3.
+#: Least number of texts for frequency levels 1, 2 and 3.
 LEVELS = (2, 8, 64)
-#: Shingles that a task counts at a time.
-COUNTED = 4_000_000
 SKETCH = 8
 
 
@@ -64,63 +59,6 @@ def digest(own: np.ndarray) -> int:
     return int(mixed(mixed(own + np.uint64(11)).sum(dtype=np.uint64)[None] + np.uint64(len(own)))[0].astype(np.int64))
 
 
-def _partial_counts(size: int, ranges: int):
-    """Sorted 32-bit forms of shingles and in how many texts of the task they are, by range, compressed."""
-
-    def flush(held: list[np.ndarray]) -> pa.RecordBatch:
-        ids, n = np.unique(np.concatenate(held), return_counts=True)
-        cuts = np.searchsorted(ids, np.arange(ranges + 1, dtype=np.uint64) * np.uint64((1 << 32) // ranges))
-        rows = [(r, zlib.compress(np.diff(ids[a:b], prepend=ids[a : a + 1]).astype("<u4").tobytes(), 1), zlib.compress(n[a:b].astype("<u4").tobytes(), 1), int(ids[a])) for r, (a, b) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)) if b > a]
-        names, kinds = ["range", "steps", "times", "first"], (pa.int32(), pa.binary(), pa.binary(), pa.int64())
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, n = [], 0
-        for batch in batches:
-            for piece in slices(batch):
-                for own in sets(piece.column("text"), size):
-                    held.append(own >> np.uint64(32))
-                    n += len(own)
-                if n >= COUNTED:
-                    yield flush(held)
-                    held, n = [], 0
-        if n:
-            yield flush(held)
-
-    return run
-
-
-def _levels(ranges: int):
-    """The frequency table's cells of one range."""
-
-    def run(part: pa.Table) -> pa.Table:
-        ids, times = [], []
-        for row in part.to_pylist():
-            ids.append(np.cumsum(np.frombuffer(zlib.decompress(row["steps"]), "<u4"), dtype=np.int64) + row["first"])
-            times.append(np.frombuffer(zlib.decompress(row["times"]), "<u4"))
-        found, place = np.unique(np.concatenate(ids), return_inverse=True)
-        level = np.digitize(np.bincount(place, np.concatenate(times)), LEVELS).astype(np.uint8)
-        number = part.column("range")[0].as_py()
-        cells = np.zeros(BUCKETS // ranges, np.uint8)
-        np.maximum.at(cells, (found >> (32 - BUCKET_BITS)) - number * (BUCKETS // ranges), level)
-        return pa.table({"range": pa.array([number], pa.int32()), "cells": pa.array([zlib.compress(cells.tobytes(), 1)], pa.binary())})
-
-    return run
-
-
-def frequency_levels(rows: DataFrame, size: int) -> np.ndarray:
-    """How frequent the shingles of each cell are: 0 (in one text) to 3; ``BUCKETS`` bytes whatever the table."""
-    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranges = 1 << min(16, max(8, parts.bit_length() + 2))  # of the 32-bit forms, several for each reducer
-    partial = rows.mapInArrow(_partial_counts(size, ranges), "range int, steps binary, times binary, first long")
-    cells = partial.groupBy("range").applyInArrow(_levels(ranges), "range int, cells binary").toArrow()
-    out = np.zeros(BUCKETS, np.uint8)
-    for row in cells.to_pylist():
-        start = row["range"] * (BUCKETS // ranges)
-        out[start : start + BUCKETS // ranges] = np.frombuffer(zlib.decompress(row["cells"]), np.uint8)
-    return out
-
-
 def _prefixes(shared: Broadcast, size: int, percent: int):
     """A row for each text: its set's size and digest, its group, the shared shingles of its prefix and their places, a sketch."""
     kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int64()))
@@ -136,7 +74,7 @@ def _prefixes(shared: Broadcast, size: int, percent: int):
                     if not n:
                         rows.append((doc_id, 0, None, None, [], [], []))
                         continue
-                    level = levels[(own >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)]
+                    level = level_of(levels, own)
                     length = n - (percent * n + 99) // 100 + 1
                     order = np.argsort(level, kind="stable")[:length]
                     prefix = own[order]
@@ -187,7 +125,7 @@ class Join:
         self.size, self.percent = size, percent
         self.rows = id_and_text(docs, id_col, text_col)
         spark = docs.sparkSession
-        shared = spark.sparkContext.broadcast(frequency_levels(self.rows, size))
+        shared = spark.sparkContext.broadcast(frequency_levels(self.rows, lambda texts: sets(texts, size), LEVELS))
         run, schema = _prefixes(shared, size, percent)
         every = cut_lineage(self.rows.mapInArrow(run, schema))
         self.docs = every.select("doc_id", "n", "node")
