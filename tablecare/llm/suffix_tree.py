@@ -85,16 +85,11 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
 def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Blocks: each text's words and end as places in the block's dictionary, with the training counts of its words."""
     task, made = TaskContext.get().partitionId(), 0
-    for batch in _gathered(batches):
-        words = Words(batch.column("text"))
-        held = batch.column("held").to_numpy(zero_copy_only=False)
-        counts = np.diff(words.bounds)
-        bounds = words.bounds + np.arange(len(words.bounds))
-        tokens = np.full(bounds[-1], END)
-        tokens[np.arange(len(words.hash)) + np.repeat(np.arange(len(counts)), counts)] = words.hash
+    for parts in _gathered(batches):
+        ids, held, counts, tokens = (pa.concat_arrays(p) if k < 2 else np.concatenate(p) for k, p in enumerate(zip(*parts, strict=True)))
         known, places = np.unique(tokens, return_inverse=True)
-        trained = np.bincount(places[np.repeat(~held, counts + 1)], minlength=len(known))
-        yield _block(task << 32 | made, batch.column("doc_id"), batch.column("held"), bounds, places, known, trained)
+        trained = np.bincount(places[np.repeat(~held.to_numpy(zero_copy_only=False), counts)], minlength=len(known))
+        yield _block(task << 32 | made, ids, held, np.concatenate([[0], np.cumsum(counts)]), places, known, trained)
         made += 1
 
 
@@ -104,23 +99,22 @@ def _block(number: int, ids: pa.Array, held: pa.Array, bounds: np.ndarray, place
     return pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), one(ids), one(held), one(pa.array(bounds.astype(np.int64))), *data], ["block", "ids", "held", "bounds", "places", "words", "counts"])
 
 
-def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Batches of about ``BLOCK_BYTES`` of text each, also where Spark hands over smaller ones."""
-    held: list[pa.RecordBatch] = []
-    size = 0
+def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
+    """Ids, marks, token counts and tokens of texts, in parts that add up to about ``BLOCK_BYTES`` of text."""
+    parts, size = [], 0
     for batch in batches:
-        for piece in slices(batch, limit=BLOCK_BYTES):
-            held.append(piece)
-            size += piece.column("text").nbytes
+        for piece in slices(batch):
+            words = Words(piece.column("text"))
+            counts = np.diff(words.bounds)
+            tokens = np.full(len(words.hash) + len(counts), END)
+            tokens[np.arange(len(words.hash)) + np.repeat(np.arange(len(counts)), counts)] = words.hash
+            parts.append((piece.column("doc_id"), piece.column("held"), counts + 1, tokens))
+            size += len(words.data)
             if size >= BLOCK_BYTES:
-                yield _joined(held)
-                held, size = [], 0
-    if held:
-        yield _joined(held)
-
-
-def _joined(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
-    return pa.Table.from_batches(parts).combine_chunks().to_batches(max_chunksize=None)[0]
+                yield parts
+                parts, size = [], 0
+    if parts:
+        yield parts
 
 
 def _dictionary(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that a mapper holds as arrays at a time, a longer single text apart.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
 
 
 def id_and_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -92,8 +92,20 @@ BLANK = np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
 LOWER = np.where((np.arange(256) >= 65) & (np.arange(256) <= 90), np.arange(256) + 32, np.arange(256)).astype(np.uint8)
 
 
+_powers: dict[int, np.ndarray] = {}
+
+
 def powers(n: int, base: int) -> np.ndarray:
-    """1, base, base^2, ... modulo 2^64, by doubling."""
+    """1, base, base^2, ... modulo 2^64; those for usual slices are kept."""
+    usual = SLICE_BYTES + (1 << 17)
+    if n > usual:
+        return _doubled(n, base)
+    if base not in _powers:
+        _powers[base] = _doubled(usual, base)
+    return _powers[base][:n]
+
+
+def _doubled(n: int, base: int) -> np.ndarray:
     out = np.ones(max(n, 1), np.uint64)
     done, step = 1, np.uint64(base & (2**64 - 1))
     while done < n:
