@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tablecare.functions.hashing import short_hash
+from tablecare.functions.hashing import quoted, short_hash
 from tablecare.functions.text import pattern_sql, text_sql
 
 # Patterns, in the order in which they take precedence.
@@ -17,6 +17,18 @@ PATTERNS = {
     "ip_address": r"\b(?:\d{1,3}\.){3}\d{1,3}\b",
 }
 
+# Searches for an email that take time in proportion to the text.  Whether there
+# is one shows beside the '@' already; for its span the search starts at the head
+# of a run of name characters or where the last match ended.
+_EMAIL_TEST = r"[a-zA-Z0-9._%+-]@[a-zA-Z0-9.-]+\.[a-zA-Z]{2,}"
+_EMAIL_SPAN = r"(?:\G|(?<![a-zA-Z0-9._%+-]))[a-zA-Z0-9._%+-]++@[a-zA-Z0-9.-]+\.[a-zA-Z]{2,}"
+TESTS = PATTERNS | {"email": _EMAIL_TEST}
+SPANS = PATTERNS | {"email": _EMAIL_SPAN}
+
+# Order of redaction: longer and bounded digit forms before phone numbers, whose
+# pattern would take a part of them; a phone number takes all digits that follow.
+REDACTED = ["email", "credit_card", "ssn", "ip_address", "phone"]
+
 # Column names that mark personal data, by type.
 NAMES = {
     "email": ["email", "e_mail", "email_address", "mail"],
@@ -81,7 +93,7 @@ def remediation(pii_type: str) -> Column:
 def matches_sql(c: str, pii_type: str) -> str:
     """True when the text holds a match of the type anywhere."""
     need = _NEEDS.get(pii_type, "").format(c=c)
-    return f"({need}{c} RLIKE {pattern_sql(PATTERNS[pii_type])})"
+    return f"({need}{c} RLIKE {pattern_sql(TESTS[pii_type])})"
 
 
 def type_of_value_sql(c: str) -> str:
@@ -160,18 +172,30 @@ def birth_year(c: Column) -> Column:
     return F.year(c.try_cast("timestamp_ntz"))
 
 
-def redact(c: Column) -> Column:
-    """Text with every match replaced by a tag naming its type, in pattern order."""
-    out = c
-    for name, pattern in PATTERNS.items():
-        out = F.regexp_replace(out, pattern, f"[{name}]")
-    return F.when(c.rlike("[0-9]{4}") | c.contains("@") | c.rlike(r"\.[0-9]{1,3}\."), out).otherwise(c)
+def redaction_pattern(pii_type: str) -> str:
+    """What redaction replaces; the rest of a digit run goes with a phone number."""
+    return SPANS[pii_type] + (r"[0-9]*" if pii_type == "phone" else "")
+
+
+def redact(df: DataFrame, columns: list[str], types: dict[str, list[str]] | None = None) -> DataFrame:
+    """Table whose text columns have every match replaced; ``types`` limits what is replaced in a column."""
+    steps = df
+    for name in REDACTED:  # one step a projection: expressions stay small
+        new = {}
+        for c in columns:
+            if types is None or name in types.get(c, REDACTED):
+                need = _NEEDS[name].format(c=quoted(c)).removesuffix(" AND ")
+                pattern = pattern_sql(redaction_pattern(name))
+                new[c] = F.expr(f"CASE WHEN {need} THEN regexp_replace({quoted(c)}, {pattern}, '[{name}]') ELSE {quoted(c)} END")
+        steps = steps.select(*[new[c].alias(c) if c in new else F.col(quoted(c)) for c in steps.columns]) if new else steps
+    return steps
 
 
 def remedied(c: Column, pii_type: str, salt: str = "") -> Column:
     """Column after the advice for its type has been followed."""
     if pii_type in ("phone", "credit_card"):
-        return mask_last_four(c)
+        # masked digits match no pattern; an address among them would stay
+        return F.regexp_replace(mask_last_four(c), SPANS["email"], "[email]")
     if pii_type == "ip_address":
         return anonymize_ip(c.cast("string"))
     if pii_type == "date_of_birth":

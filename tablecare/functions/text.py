@@ -10,13 +10,21 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# One numeric literal as a lenient float parser reads it: digit groups may be
-# joined by single underscores, infinities and nan count, blanks are trimmed.
-_DIGITS = r"[0-9](?:_?[0-9])*"
+# One numeric literal as a lenient float parser reads it, once single underscores
+# between digits are gone: infinities and nan count, blanks are trimmed.  Plain
+# classes only: a repeated group makes the JVM recurse once a digit, and a few
+# thousand digits would end the session.
 NUMERIC_PATTERN = (
-    rf"^\s*[+-]?(?:(?:{_DIGITS}(?:\.(?:{_DIGITS})?)?|\.{_DIGITS})(?:[eE][+-]?{_DIGITS})?"
+    r"^\s*[+-]?(?:(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?"
     r"|[iI][nN][fF](?:[iI][nN][iI][tT][yY])?|[nN][aA][nN])\s*$"
 )
+_JOINED = r"(?<=[0-9])_(?=[0-9])"
+
+# Texts read as missing.
+NA_TOKENS = [
+    "", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN",
+    "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null",
+]
 
 # Forms of text dates, each with the ISO readings it is tried as.
 # A column is a date column only when one reading of one form fits every value.
@@ -60,10 +68,11 @@ def is_numeric_sql(c: str) -> str:
     a failing search walks the whole text, even with an anchored pattern.
     """
     trimmed = f"trim(BOTH ' \\t\\n\\u000b\\f\\r' FROM {c})"
+    plain = f"CASE WHEN contains({c}, '_') THEN regexp_replace({c}, {pattern_sql(_JOINED)}, '') ELSE {c} END"
     return (
         f"(instr('0123456789+-.iInN', left({trimmed}, 1)) > 0"
         f" AND right({trimmed}, 2) RLIKE {pattern_sql(r'(?:[0-9][.]?|[fFyYnN])$')}"
-        f" AND {c} RLIKE {pattern_sql(NUMERIC_PATTERN)})"
+        f" AND {plain} RLIKE {pattern_sql(NUMERIC_PATTERN)})"
     )
 
 

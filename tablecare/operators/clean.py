@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tablecare.functions.hashing import clean_value, key128_sql, quoted
-from tablecare.functions.text import numeric_text_to_double
+from tablecare.functions.text import NA_TOKENS, numeric_text_to_double
 from tablecare.operators.profile import profile_columns
 from tablecare.operators.quantile import exact_median, mode_rows
 from tablecare.operators.rules import NULL_CRITICAL, OUTLIER_SIGMAS
@@ -28,21 +29,33 @@ def fill_constant(df: DataFrame, values: dict) -> DataFrame:
     })
 
 
+def _finite(field) -> Column:
+    """The column's finite values as doubles, for statistics only."""
+    v = clean_value(field).cast("double")
+    return F.when(F.abs(v) < float("inf"), v)
+
+
+def _in_type(value: Column, field) -> Column:
+    """A statistic in the column's own type, rounded where that is whole."""
+    whole = isinstance(field.dataType, T.IntegralType)
+    return (F.round(value) if whole else value).cast(field.dataType)
+
+
 def fill_mean(df: DataFrame, columns: list[str], digits: int = 2) -> DataFrame:
-    """Nulls replaced by the column mean, as a double; all means in one scan."""
+    """Nulls replaced by the mean of the finite values; the column keeps its type; all means in one scan."""
     means = df.agg(F.struct(*[
-        F.round(F.avg(clean_value(df.schema[c]).cast("double")), digits).alias(c) for c in columns
+        F.round(F.avg(_finite(df.schema[c])), digits).alias(c) for c in columns
     ]).alias("m")).scalar()
     return _replaced(df, {
-        c: F.coalesce(clean_value(df.schema[c]).cast("double"), means[c]) for c in columns
+        c: F.coalesce(clean_value(df.schema[c]), _in_type(means[c], df.schema[c])) for c in columns
     })
 
 
 def fill_median(df: DataFrame, columns: list[str]) -> DataFrame:
-    """Nulls replaced by the exact column median, as a double."""
+    """Nulls replaced by the exact column median; the column keeps its type."""
     medians = {c: exact_median(df, c) for c in columns}
     return _replaced(df, {
-        c: F.coalesce(clean_value(df.schema[c]).cast("double"), F.lit(m).cast("double"))
+        c: F.coalesce(clean_value(df.schema[c]), _in_type(F.lit(m).cast("double"), df.schema[c]))
         for c, m in medians.items()
     })
 
@@ -140,46 +153,71 @@ def cast_rejects(df: DataFrame, columns: dict[str, str]) -> DataFrame:
     return rows.select(F.inline("r"))
 
 
+def cast_losses(df: DataFrame, columns: dict[str, str]) -> DataFrame:
+    """Per column: how many values a cast would lose or change, digits after a leading zero included.
+
+    Texts that stand for a missing value become null and count as no loss.
+    """
+    both = df.select(*[F.col(quoted(c)).alias(f"__{i}") for i, c in enumerate(columns)])
+    rows = both.agg(F.array(*[
+        F.struct(
+            F.lit(c).alias("column"),
+            F.count_if(
+                F.col(f"__{i}").isNotNull() & ~F.trim(F.col(f"__{i}").cast("string")).isin(NA_TOKENS)
+                & (_safe(f"__{i}", t).isNull() | F.substring(F.ltrim(F.col(f"__{i}").cast("string")), 1, 3).rlike("^[+-]?0[0-9]"))
+            ).alias("lost"),
+        )
+        for i, (c, t) in enumerate(columns.items())
+    ]).alias("r"))
+    return rows.select(F.inline("r"))
+
+
 # ranges
 
-def outlier_bounds(df: DataFrame, column: str, sigmas: float = OUTLIER_SIGMAS) -> Column:
-    """Mean plus and minus the given number of sample deviations, as a one-row subquery."""
+def outlier_bounds(df: DataFrame, columns: list[str], sigmas: float = OUTLIER_SIGMAS) -> dict[str, tuple[Column, Column]]:
+    """Per column: mean less and plus the given number of sample deviations of its finite values, in one scan.
+
+    Null where there are fewer than two finite values: then there are no bounds.
+    """
+    stats = df.agg(F.struct(*[
+        F.struct(F.avg(v).alias("mean"), (sigmas * F.stddev_samp(v)).alias("reach")).alias(f"c{i}")
+        for i, v in enumerate(_finite(df.schema[c]) for c in columns)
+    ]).alias("s")).scalar()
+    return {
+        c: (stats[f"c{i}"]["mean"] - stats[f"c{i}"]["reach"], stats[f"c{i}"]["mean"] + stats[f"c{i}"]["reach"])
+        for i, c in enumerate(columns)
+    }
+
+
+def _is_outlier(df: DataFrame, column: str, sigmas: float) -> Column:
+    """Whether the value is outside the bounds; a null or NaN is not, an infinity is where there are bounds."""
+    low, high = outlier_bounds(df, [column], sigmas)[column]
     v = clean_value(df.schema[column]).cast("double")
-    stats = df.agg(F.avg(v).alias("mean"), F.stddev_samp(v).alias("std"))
-    return stats.select(F.struct(
-        (F.col("mean") - sigmas * F.col("std")).alias("low"),
-        (F.col("mean") + sigmas * F.col("std")).alias("high"),
-    )).scalar()
+    return F.coalesce((v < low) | (v > high), F.lit(False))
 
 
 def flag_outliers(df: DataFrame, column: str, sigmas: float = OUTLIER_SIGMAS,
                   alias: str | None = None) -> DataFrame:
-    """Adds <column>_is_outlier; a null value is no outlier."""
-    bounds, v = outlier_bounds(df, column, sigmas), F.col(quoted(column))
-    outside = (v < bounds["low"]) | (v > bounds["high"])
-    return df.withColumn(alias or f"{column}_is_outlier", F.coalesce(outside, F.lit(False)))
+    """Adds <column>_is_outlier; a null or NaN is no outlier."""
+    return df.withColumn(alias or f"{column}_is_outlier", _is_outlier(df, column, sigmas))
 
 
 def cap_outliers(df: DataFrame, columns: list[str], sigmas: float = OUTLIER_SIGMAS) -> DataFrame:
-    """Values outside the bounds moved to the nearer bound, as doubles; all bounds in one scan."""
-    numbers = {c: clean_value(df.schema[c]).cast("double") for c in columns}
-    stats = df.agg(F.struct(*[
-        F.struct(F.avg(v).alias("mean"), (sigmas * F.stddev_samp(v)).alias("reach")).alias(f"c{i}")
-        for i, v in enumerate(numbers.values())
-    ]).alias("s")).scalar()
+    """Values outside the bounds moved to the nearer bound; columns keep their type, all bounds in one scan."""
     capped = {}
-    for i, (name, v) in enumerate(numbers.items()):
-        mean, reach = stats[f"c{i}"]["mean"], stats[f"c{i}"]["reach"]
-        # without a deviation there are no bounds, and greatest/least skip nulls
-        capped[name] = F.when(v.isNotNull(), F.greatest(F.least(v, mean + reach), mean - reach))
+    for c, (low, high) in outlier_bounds(df, columns, sigmas).items():
+        field, own = df.schema[c], F.col(quoted(c))
+        v = clean_value(field).cast("double")
+        # bounds of a whole-number column are the whole numbers inside them
+        whole = isinstance(field.dataType, T.IntegralType)
+        low, high = (F.ceil(low), F.floor(high)) if whole else (low, high)
+        capped[c] = F.when(v < low, low.cast(field.dataType)).when(v > high, high.cast(field.dataType)).otherwise(own)
     return _replaced(df, capped)
 
 
 def remove_outliers(df: DataFrame, column: str, sigmas: float = OUTLIER_SIGMAS) -> DataFrame:
-    """Rows whose value is inside the bounds or null."""
-    bounds, v = outlier_bounds(df, column, sigmas), F.col(quoted(column))
-    outside = (v < bounds["low"]) | (v > bounds["high"])
-    return df.filter(~F.coalesce(outside, F.lit(False)))
+    """Rows whose value is inside the bounds, null or NaN."""
+    return df.filter(~_is_outlier(df, column, sigmas))
 
 
 def clip_negative(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -233,11 +271,12 @@ def upsert(target: DataFrame, batch: DataFrame, keys: list[str],
 
     Running it again with the same batch changes nothing.  When the batch may
     repeat a key, `order_by` picks the last row; keys of the batch are otherwise
-    taken to be unique.  Null keys never match, as in SQL.
+    taken to be unique.  Null keys match null keys.  Columns keep their order.
     """
     latest = keep_last(batch, keys, order_by) if order_by else batch
-    kept = target.join(latest.select(*[quoted(k) for k in keys]), keys, "left_anti")
-    return kept.unionByName(latest)
+    new = latest.select(*[F.col(quoted(k)).alias(f"__k{i}") for i, k in enumerate(keys)])
+    same = [F.col(quoted(k)).eqNullSafe(F.col(f"__k{i}")) for i, k in enumerate(keys)]
+    return target.join(new, same, "left_anti").unionByName(latest)
 
 
 # report

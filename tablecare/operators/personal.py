@@ -47,7 +47,7 @@ def pii_matches(df: DataFrame, key: str, text: str) -> DataFrame:
     lists = ", ".join(
         f"struct('{kind}' AS kind, CASE WHEN {pii.matches_sql(c, kind)}"
         f" THEN regexp_extract_all({c}, {pattern_sql(pattern)}, 0) END AS found)"
-        for kind, pattern in pii.PATTERNS.items()
+        for kind, pattern in pii.SPANS.items()
     )
     return (
         df.selectExpr(f"{quoted(key)} AS id", f"inline(array({lists}))")

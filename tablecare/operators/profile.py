@@ -116,9 +116,11 @@ def _column_sql(position: int, field: T.StructField, measures: frozenset[str], f
     }
     if "stats" in measures and base in ("integer", "float"):
         number = f"CAST({value} AS double)"
+        # an infinity shows in the extremes; mean and deviation are those of the finite values
+        finite = f"CASE WHEN abs({number}) < double('Infinity') THEN {number} END" if base == "float" else number
         out |= {
             "min": f"CAST(min({value}) AS double)", "max": f"CAST(max({value}) AS double)",
-            "mean": f"round(avg({number}), 2)", "std": f"round(stddev_samp({number}), 2)",
+            "mean": f"round(avg({finite}), 2)", "std": f"round(stddev_samp({finite}), 2)",
         }
     if full and base == "string":
         if "types" in measures:

@@ -8,10 +8,11 @@ input_rows, output_rows, row_count), stage events (run_id, stage, status, ts,
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tablecare.operators.clean import keep_last
+from tablecare.functions.hashing import quoted
+from tablecare.operators.ordered import with_previous
 
 POINT_SCHEMA = "name string, value double, ts timestamp, labels map<string,string>"
 EVENT_SCHEMA = "event_type string, session_id string, ts timestamp, details map<string,string>"
@@ -23,7 +24,7 @@ STAGE_SCHEMA = (
     "run_id string, stage string, status string, ts timestamp, input_hash string, "
     "output_hash string, error string, metadata map<string,string>"
 )
-WATERMARK_SCHEMA = "source string, value string, updated_at timestamp"
+WATERMARK_SCHEMA = "source string, value string, tie string, updated_at timestamp"
 
 
 # metrics and events
@@ -111,28 +112,23 @@ def lineage_row_delta(nodes: DataFrame) -> DataFrame:
     )
 
 
-def lineage_edges(nodes: DataFrame) -> DataFrame:
-    """Edges between consecutive nodes of a session.
+def _with_predecessor(nodes: DataFrame) -> DataFrame:
+    """Nodes with the number and name of the node before in their session, gaps or not."""
+    named = nodes.withColumn("__node", F.struct("seq", "name"))
+    return with_previous(named, ["session_id"], ["seq"], "__node", "__before")
 
-    Sequence numbers are dense, so the predecessor is found by an equality join
-    on (session, seq) that spreads a large session over all tasks.
-    """
-    before = nodes.select(
-        F.col("session_id").alias("__s"), (F.col("seq") + 1).alias("__n"), F.col("name").alias("from_name")
-    )
-    return nodes.join(
-        before, (F.col("session_id") == F.col("__s")) & (F.col("seq") == F.col("__n"))
-    ).select(
-        "session_id",
-        (F.col("seq") - 1).alias("from_seq"),
-        F.col("seq").alias("to_seq"),
-        "from_name",
-        F.col("name").alias("to_name"),
+
+def lineage_edges(nodes: DataFrame) -> DataFrame:
+    """Edges between successive nodes of a session, in order of their numbers."""
+    return _with_predecessor(nodes).where("__before IS NOT NULL").select(
+        "session_id", F.col("__before.seq").alias("from_seq"), F.col("seq").alias("to_seq"),
+        F.col("__before.name").alias("from_name"), F.col("name").alias("to_name"),
     )
 
 
 def lineage_lines(nodes: DataFrame) -> DataFrame:
     """Lines of a Mermaid diagram per session as rows, to be read in line_no order."""
+    # fixed values: the diagram format's line shapes
     node_id = F.concat(F.lit("N"), F.col("seq").cast("string"))
     known = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("?"))
     shape = (
@@ -143,12 +139,10 @@ def lineage_lines(nodes: DataFrame) -> DataFrame:
         .when(F.col("type") == "sink",
               F.format_string('    %s[("%s\\n%s rows")]', node_id, F.col("name"), known("row_count")))
     )
-    link = F.when(
-        F.col("seq") > 0,
-        F.format_string("    N%s --> N%s", (F.col("seq") - 1).cast("string"), F.col("seq").cast("string")),
-    )
-    head = F.when(F.col("seq") == 0, F.lit("graph LR"))
-    lines = nodes.select("session_id", "seq", F.posexplode(F.array(head, shape, link)).alias("part", "line"))
+    first = F.col("__before").isNull()
+    link = F.when(~first, F.format_string("    N%s --> N%s", F.col("__before.seq").cast("string"), F.col("seq").cast("string")))
+    head = F.when(first, F.lit("graph LR"))
+    lines = _with_predecessor(nodes).select("session_id", "seq", F.posexplode(F.array(head, shape, link)).alias("part", "line"))
     return lines.filter(F.col("line").isNotNull()).select(
         "session_id", (F.col("seq") * 3 + F.col("part")).cast("bigint").alias("line_no"), "line"
     )
@@ -206,24 +200,41 @@ def watermark_by_source(df: DataFrame, source: str, column: str) -> DataFrame:
 
 
 def latest_watermarks(entries: DataFrame) -> DataFrame:
-    """Last written value per source."""
-    return keep_last(entries, ["source"], ["updated_at", "value"])
+    """Highest value per source, so a mark never moves back.
+
+    Values that are all numbers compare as numbers, all times as times, others
+    as text; the tie key, if any, as a number or text likewise.
+    """
+    def rank(c: str) -> list[Column]:
+        number, time = F.col(c).try_cast("double"), F.col(c).try_cast("timestamp")
+        same = lambda v: F.when(F.min(v.isNotNull()).over(of), v)
+        return [same(number), same(time), F.col(c)]
+
+    of = Window.partitionBy("source")
+    ranked = entries.select("source", "value", "tie", "updated_at", F.struct(*rank("value"), *rank("tie"), "updated_at").alias("__r"))
+    return ranked.groupBy("source").agg(F.max_by(F.struct("value", "tie", "updated_at"), "__r").alias("m")).select("source", "m.*")
+
+
+def above_mark(df: DataFrame, column: str, mark, tie: str | None = None, tie_mark=None) -> Column:
+    """Whether a row is strictly above a mark, compared in the column's own type."""
+    own = F.col(quoted(column))
+    value = F.lit(mark).cast(df.schema[column].dataType)
+    above = own > value
+    if tie is not None:
+        key = F.col(quoted(tie))
+        later = key.isNotNull() if tie_mark is None else key > F.lit(tie_mark).cast(df.schema[tie].dataType)
+        above = above | ((own == value) & later)
+    return above
 
 
 def incremental_since(df: DataFrame, column: str, mark, tie: str | None = None, tie_mark=None) -> DataFrame:
-    """Rows strictly above a mark, compared in the column's own type.
+    """Rows strictly above a mark.
 
     With a tie key, rows at the mark count when their key is above `tie_mark`,
     so rows sharing the boundary time are neither lost nor repeated.  No mark
     means everything.
     """
-    if mark is None or mark == "":
-        return df
-    value = F.lit(mark).cast(df.schema[column].dataType)
-    above = F.col(column) > value
-    if tie is not None:
-        above = above | ((F.col(column) == value) & (F.col(tie) > F.lit(tie_mark).cast(df.schema[tie].dataType)))
-    return df.filter(above)
+    return df if mark is None or mark == "" else df.filter(above_mark(df, column, mark, tie, tie_mark))
 
 
 # windowed quality metrics

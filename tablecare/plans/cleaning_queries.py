@@ -43,8 +43,8 @@ def derived_column(spark, folder) -> DataFrame:
 
 @query("null_fill_mean", f"""
 WITH {DIRTY_SQL}
-SELECT o_orderkey, coalesce(CAST(mostly_null AS DOUBLE),
-       (SELECT round(avg(mostly_null), 2) FROM dirty_orders)) AS mostly_null
+SELECT o_orderkey, coalesce(mostly_null,
+       (SELECT CAST(round(round(avg(mostly_null), 2)) AS BIGINT) FROM dirty_orders)) AS mostly_null
 FROM dirty_orders
 """)
 def null_fill_mean(spark, folder) -> DataFrame:
@@ -53,8 +53,8 @@ def null_fill_mean(spark, folder) -> DataFrame:
 
 @query("null_fill_median", f"""
 WITH {DIRTY_SQL}
-SELECT o_orderkey, coalesce(CAST(mostly_null AS DOUBLE),
-       (SELECT quantile_cont(mostly_null, 0.5) FROM dirty_orders)) AS mostly_null
+SELECT o_orderkey, coalesce(mostly_null,
+       (SELECT CAST(round(quantile_cont(mostly_null, 0.5)) AS BIGINT) FROM dirty_orders)) AS mostly_null
 FROM dirty_orders
 """)
 def null_fill_median(spark, folder) -> DataFrame:
@@ -122,20 +122,26 @@ def ffill_events(spark, folder) -> DataFrame:
 
 # columns
 
-_KEPT = "o_orderkey, some_null, few_null, amount, code, constant_col, o_orderdate"
+_DATE_SQL = "strftime(o_orderdate, '%Y-%m-%d %H:%M:%S') AS o_orderdate"
+_KEPT = f"o_orderkey, some_null, few_null, amount, code, constant_col, {_DATE_SQL}"
 
 
-@query("drop_sparse_columns", f"WITH {DIRTY_SQL} SELECT {_KEPT.replace(', o_orderdate', '')} FROM dirty_orders")
+def _dated(df: DataFrame) -> DataFrame:
+    """The order time as text, alike in both engines."""
+    return df.withColumn("o_orderdate", F.date_format("o_orderdate", "yyyy-MM-dd HH:mm:ss"))
+
+
+@query("drop_sparse_columns", f"WITH {DIRTY_SQL} SELECT {_KEPT} FROM dirty_orders")
 def drop_sparse_columns(spark, folder) -> DataFrame:
-    return clean.drop_sparse_columns(dirty_orders(spark, folder).drop("o_orderdate"))
+    return _dated(clean.drop_sparse_columns(dirty_orders(spark, folder)))
 
 
 @query("drop_constant_columns", f"""
 WITH {DIRTY_SQL}
-SELECT o_orderkey, CAST(mostly_null AS DOUBLE) AS mostly_null, some_null, few_null, amount, code FROM dirty_orders
+SELECT o_orderkey, CAST(mostly_null AS DOUBLE) AS mostly_null, some_null, few_null, amount, code, {_DATE_SQL} FROM dirty_orders
 """)
 def drop_constant_columns(spark, folder) -> DataFrame:
-    kept = clean.drop_constant_columns(dirty_orders(spark, folder).drop("o_orderdate"))
+    kept = _dated(clean.drop_constant_columns(dirty_orders(spark, folder)))
     return kept.withColumn("mostly_null", F.col("mostly_null").cast("double"))
 
 
@@ -143,11 +149,11 @@ def drop_constant_columns(spark, folder) -> DataFrame:
 
 @query("dedup_exact", f"""
 WITH {DIRTY_SQL}
-SELECT DISTINCT o_orderkey, CAST(mostly_null AS DOUBLE) AS mostly_null, some_null, few_null, amount, code, constant_col
+SELECT DISTINCT o_orderkey, CAST(mostly_null AS DOUBLE) AS mostly_null, some_null, few_null, amount, code, constant_col, {_DATE_SQL}
 FROM dirty_orders
 """)
 def dedup_exact(spark, folder) -> DataFrame:
-    kept = clean.dedup_exact(dirty_orders(spark, folder).drop("o_orderdate"))
+    kept = _dated(clean.dedup_exact(dirty_orders(spark, folder)))
     return kept.withColumn("mostly_null", F.col("mostly_null").cast("double"))
 
 
@@ -233,6 +239,40 @@ def clip_negative(spark, folder) -> DataFrame:
     return clean.clip_negative(dirty_orders(spark, folder).select("o_orderkey", "amount"), ["amount"])
 
 
+_RAGGED_SQL = """
+ragged AS (
+  SELECT event_id, CASE WHEN event_id % 97 = 0 THEN 'nan'::DOUBLE WHEN event_id % 89 = 0 THEN 'inf'::DOUBLE
+                        WHEN event_id % 83 = 0 THEN '-inf'::DOUBLE ELSE value END AS value FROM events),
+r AS (SELECT avg(value) - 5 * stddev_samp(value) AS low, avg(value) + 5 * stddev_samp(value) AS high FROM ragged WHERE isfinite(value))
+"""
+
+
+def _ragged(spark, folder) -> DataFrame:
+    """Event values with NaN and infinities among them."""
+    return table(spark, folder, "events").selectExpr(
+        "event_id", "CASE WHEN event_id % 97 = 0 THEN double('NaN') WHEN event_id % 89 = 0 THEN double('Infinity')"
+        " WHEN event_id % 83 = 0 THEN double('-Infinity') ELSE value END AS value",
+    )
+
+
+@query("outlier_remove_ragged", f"""
+WITH {_RAGGED_SQL}
+SELECT event_id, isnan(value) AS missing FROM ragged, r WHERE isnan(value) OR (value >= low AND value <= high)
+""")
+def outlier_remove_ragged(spark, folder) -> DataFrame:
+    """Infinities go, NaN rows stay, and neither moves the bounds."""
+    return clean.remove_outliers(_ragged(spark, folder), "value").select("event_id", F.isnan("value").alias("missing"))
+
+
+@query("outlier_cap_ragged", f"""
+WITH {_RAGGED_SQL}
+SELECT event_id, CASE WHEN NOT isnan(value) THEN round(greatest(least(value, high), low), 4) END AS value FROM ragged, r
+""")
+def outlier_cap_ragged(spark, folder) -> DataFrame:
+    capped = clean.cap_outliers(_ragged(spark, folder), ["value"])
+    return capped.select("event_id", F.when(~F.isnan("value"), F.round("value", 4)).alias("value"))
+
+
 # validation
 
 @query("assert_constraints", f"""
@@ -268,6 +308,18 @@ def upsert_orders(spark, folder) -> DataFrame:
     return clean.upsert(target, batch, ["order_key"])
 
 
+@query("upsert_null_keys", """
+SELECT CASE WHEN o_orderkey % 50 <> 0 THEN o_orderkey END AS k, max(o_totalprice) AS total FROM orders GROUP BY 1
+""")
+def upsert_null_keys(spark, folder) -> DataFrame:
+    """The same batch twice: the row without a key is there once."""
+    batch = table(spark, folder, "orders").selectExpr("CASE WHEN o_orderkey % 50 <> 0 THEN o_orderkey END AS k", "o_totalprice AS total")
+    target = batch.limit(0)
+    for _ in range(2):
+        target = clean.upsert(target, batch, ["k"], ["total"])
+    return target
+
+
 @query("sink_row_counts", f"""
 WITH counts AS ({" UNION ALL ".join(f"SELECT '{t}' AS table_name, count(*) AS row_count FROM {t}" for t in TABLES)})
 SELECT * FROM counts UNION ALL SELECT '_total_', CAST(sum(row_count) AS BIGINT) FROM counts
@@ -321,6 +373,56 @@ def heal_report(spark, folder) -> DataFrame:
     return heal(dirty_orders(spark, folder)).report()
 
 
+@query("heal_rows_sparse_dups", """
+SELECT user_id, event_type, count(*) AS n FROM (
+  SELECT DISTINCT user_id, event_type, CASE WHEN event_id % 10 = 0 THEN event_id END AS seldom FROM events)
+GROUP BY user_id, event_type
+""")
+def heal_rows_sparse_dups(spark, folder) -> DataFrame:
+    """Rows that differ only in a column repair drops are no repeats of each other."""
+    events = table(spark, folder, "events").selectExpr(
+        "user_id", "event_type", "CASE WHEN event_id % 10 = 0 THEN event_id END AS seldom"
+    )
+    healed = heal(events).df
+    assert "seldom" not in healed.columns
+    return healed.groupBy("user_id", "event_type").agg(F.count("*").alias("n"))
+
+
+@query("heal_pii_mixed", """
+SELECT event_id, CASE WHEN event_id % 7 = 0 THEN 'mail [email] or [phone]' WHEN event_id % 3 = 0 THEN 'card [credit_card] paid'
+                      ELSE 'call [phone]' END AS note FROM events
+""")
+def heal_pii_mixed(spark, folder) -> DataFrame:
+    """Texts found personal by their values lose every match of every type, and nothing else."""
+    events = table(spark, folder, "events").selectExpr(
+        "event_id",
+        "CASE WHEN event_id % 7 = 0 THEN 'mail jane.doe@example.com or 555-123-4567' WHEN event_id % 3 = 0 THEN 'card 4111111111111111 paid'"
+        " ELSE 'call 555-123-4567' END AS note",
+    )
+    return heal(events).df
+
+
+@query("heal_cast_rejects", """
+SELECT event_id, CASE WHEN event_id % 5 < 2 THEN 'AB-' || event_id % 9 ELSE lpad(CAST(event_id % 1000 AS VARCHAR), 4, '0') END AS code FROM events
+""")
+def heal_cast_rejects(spark, folder) -> DataFrame:
+    """Codes that a cast would lose or change stay text."""
+    events = table(spark, folder, "events").selectExpr(
+        "event_id", "CASE WHEN event_id % 5 < 2 THEN concat('AB-', event_id % 9) ELSE lpad(CAST(event_id % 1000 AS string), 4, '0') END AS code"
+    )
+    return heal(events, exclude=("high_cardinality",)).df
+
+
+@query("heal_steps", f"""
+WITH {_HEALED_SQL}
+SELECT 0 AS iteration, (SELECT count(*) FROM dirty_orders) AS row_count, CAST((SELECT greatest(0, 100 - sum(points)) FROM findings) AS INTEGER) AS quality_score
+UNION ALL SELECT 2, (SELECT count(*) FROM healed), CAST((SELECT greatest(0, 100 - coalesce(sum(points), 0)) FROM healed_findings) AS INTEGER)
+""")
+def heal_steps(spark, folder) -> DataFrame:
+    """Rows and score before the first and after the last pass."""
+    return heal(dirty_orders(spark, folder)).steps.where("iteration <> 1").select("iteration", "row_count", "quality_score")
+
+
 @query("heal_scores", f"""
 WITH {_HEALED_SQL}
 SELECT (SELECT greatest(0, 100 - CAST(coalesce(sum(points), 0) AS BIGINT)) FROM findings) AS score_before,
@@ -332,10 +434,10 @@ def heal_scores(spark, folder) -> DataFrame:
 
 @query("heal_rows", f"""
 WITH {_HEALED_SQL}
-SELECT o_orderkey, some_null, few_null, amount, code FROM healed
+SELECT o_orderkey, some_null, few_null, amount, code, {_DATE_SQL} FROM healed
 """)
 def heal_rows(spark, folder) -> DataFrame:
-    return heal(dirty_orders(spark, folder)).df.drop("o_orderdate")
+    return _dated(heal(dirty_orders(spark, folder)).df)
 
 
 _FIX_SQL = """

@@ -8,16 +8,22 @@ from datetime import datetime
 from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
+from tablecare.functions.hashing import quoted
+from tablecare.functions.pii import redact
 from tablecare.operators import clean
 from tablecare.operators.personal import remedy_columns
 from tablecare.operators.profile import ALL_MEASURES, profile_columns
 from tablecare.operators.rules import check, report
 from tablecare.sources.session import cut_lineage, local_copy
 
+#: How the profile says that a column's name, not its values, told the type.
+BY_NAME = "column_name_match"
+
 # Fixed value: passes after which repair stops.
 MAX_PASSES = 2
 
 HISTORY_SCHEMA = "iteration int, rule string, column string, issue string, fix string"
+STEP_SCHEMA = "iteration int, row_count bigint, findings bigint, quality_score int"
 
 
 @dataclass(frozen=True)
@@ -37,6 +43,10 @@ class HealResult:
     after: DataFrame
     passes: int
     remedied: tuple[str, ...]
+    #: Per pass, from 0 (the table as it came): rows, findings and score.
+    steps: DataFrame
+    #: Fixable findings left when the passes were used up.
+    unfixed: int
 
     def report(self) -> DataFrame:
         """Findings and points per rule before and after."""
@@ -75,7 +85,7 @@ def plan(findings: list[Row], profile: list[Row], done: set[tuple[str, str]]) ->
     A column that is dropped gets no other fix.
     """
     semantic = {r["column"]: r["semantic_type"] for r in profile}
-    kinds = {r["column"]: r["pii_type"] for r in profile}
+    kinds = {r["column"]: (r["pii_type"], r["pii_method"]) for r in profile}
     open_findings = [f for f in findings if (f["rule"], f["column"]) not in done]
 
     def fix(f: Row, action: str, detail: str = "") -> Fix:
@@ -97,7 +107,8 @@ def plan(findings: list[Row], profile: list[Row], done: set[tuple[str, str]]) ->
         if rule == "duplicate_threshold":
             fixes.append(fix(f, "dedup_exact"))
         elif rule == "pii_detected":
-            fixes.append(fix(f, "remedy", kinds[column]))
+            kind, method = kinds[column]
+            fixes.append(fix(f, "remedy", kind) if method == BY_NAME else fix(f, "redact"))
         elif rule == "type_consistency":
             fixes.append(fix(f, "safe_cast", "double"))
         elif rule == "negative_values":
@@ -113,22 +124,30 @@ def _columns(fixes: list[Fix], action: str) -> list[str]:
     return list(dict.fromkeys(f.column for f in fixes if f.action == action))
 
 
-def apply(df: DataFrame, fixes: list[Fix], salt: str = "") -> DataFrame:
-    """Table after the fixes: first what needs no statistics, then what does.
+def apply(df: DataFrame, fixes: list[Fix], salt: str = "") -> tuple[DataFrame, set[str]]:
+    """Table after the fixes, and the columns whose cast was left out.
 
-    Statistics are taken from the table as the first half left it, which is
-    written out so that they, and later passes, read it instead of redoing it.
+    Repeated rows go first, judged on all columns as they came, so that rows
+    differing in a column dropped or masked here stay apart.  A column found
+    personal by its values has every match of every type replaced in the text;
+    one found by its name is treated whole.  A column is cast only if no value
+    is lost or changed by that.  Statistics are taken from the table as this
+    half left it, which is written out for them and for later passes.
     """
-    out = df.drop(*_columns(fixes, "drop_column"))
-    if _columns(fixes, "dedup_exact"):
-        out = clean.dedup_exact(out)
+    out = clean.dedup_exact(df) if _columns(fixes, "dedup_exact") else df
+    out = out.drop(*_columns(fixes, "drop_column"))
     personal = {f.column: f.detail for f in fixes if f.action == "remedy"}
     if personal:
         out = remedy_columns(out, personal, salt)
-    casts = {f.column: f.detail for f in fixes if f.action == "safe_cast" and f.column not in personal}
-    if casts:
-        out = clean.safe_cast(out, casts)
-    numeric = lambda cs: [c for c in cs if c not in personal]
+    texts = [c for c in _columns(fixes, "redact") if c not in personal]
+    if texts:
+        out = redact(out.select(*[F.col(quoted(c)).cast("string").alias(c) if c in texts else F.col(quoted(c)) for c in out.columns]), texts)
+    treated = {*personal, *texts}
+    casts = {f.column: f.detail for f in fixes if f.action == "safe_cast" and f.column not in treated}
+    uncast = {r["column"] for r in clean.cast_losses(out, casts).collect() if r["lost"]} if casts else set()
+    if casts.keys() - uncast:
+        out = clean.safe_cast(out, {c: t for c, t in casts.items() if c not in uncast})
+    numeric = lambda cs: [c for c in cs if c not in treated]
     if negative := numeric(_columns(fixes, "clip_negative")):
         out = clean.clip_negative(out, negative)
     out = cut_lineage(out)
@@ -144,20 +163,36 @@ def apply(df: DataFrame, fixes: list[Fix], salt: str = "") -> DataFrame:
         out = clean.fill_mode(out, [c for c in modes if c in out.columns])
     if flags := _columns(fixes, "flag_nulls"):
         out = clean.flag_nulls(out, flags)
-    return out
+    return out, uncast
+
+
+def _wanted(fixes: list[Fix], exclude: tuple[str, ...]) -> list[Fix]:
+    return [f for f in fixes if not {f.rule, f.column, f.action} & set(exclude)]
+
+
+def preview(df: DataFrame, *, as_of: datetime | str | None = None, exclude: tuple[str, ...] = ()) -> DataFrame:
+    """The fixes that a first pass would make, as rows (rule, column, issue, fix); nothing is changed."""
+    small = local_copy(profile_columns(df, ALL_MEASURES))
+    fixes = _wanted(plan(check(small, as_of=as_of).collect(), small.collect(), set()), exclude)
+    rows = [(f.rule, f.column, f.issue, f.action) for f in fixes]
+    return df.sparkSession.createDataFrame(rows, "rule string, column string, issue string, fix string")
 
 
 def heal(df: DataFrame, *, as_of: datetime | str | None = None, max_passes: int = MAX_PASSES,
-         salt: str = "", profile: DataFrame | None = None) -> HealResult:
+         salt: str = "", profile: DataFrame | None = None, exclude: tuple[str, ...] = ()) -> HealResult:
     """Repairs a table until nothing fixable is found or the passes are used up.
 
-    A `profile` of the table as it is saves the first profiling.  Only profiles and findings, which the schema bounds, come to the driver;
-    rows stay in tables.  Personal data once treated is not reported again.
+    A `profile` of the table as it is saves the first profiling.  `exclude`
+    names rules, columns or fixes to leave out.  Only profiles and findings,
+    which the schema bounds, come to the driver; rows stay in tables.  Rows go
+    only as repeats of the table as it came.  A column treated whole for its
+    name is not reported again for that name.
     """
     spark = df.sparkSession
     done: set[tuple[str, str]] = set()
     remedied: tuple[str, ...] = ()
     history: list[tuple] = []
+    steps: list[tuple] = []
     before = None
     passes = 0
     while True:
@@ -168,14 +203,20 @@ def heal(df: DataFrame, *, as_of: datetime | str | None = None, max_passes: int
         current = local_copy(check(small, as_of=as_of))
         found = current.collect()
         before = before if before is not None else current
-        fixes = plan(found, profile_rows, done) if passes < max_passes else []
-        if not fixes:
+        rows = profile_rows[0]["row_count"] if profile_rows else 0
+        steps.append((passes, rows, len(found), report(current).first()["quality_score"]))
+        if passes:  # rows made equal by a fix are no repeats
+            done |= {(f["rule"], f["column"]) for f in found if f["rule"] == "duplicate_threshold"}
+        fixes = _wanted(plan(found, profile_rows, done), exclude)
+        if not fixes or passes >= max_passes:
             break
         passes += 1
-        df = apply(df, fixes, salt)
+        df, uncast = apply(df, fixes, salt)
         done |= {(f.rule, f.column) for f in fixes}
         remedied += tuple(f.column for f in fixes if f.action == "remedy")
-        history += [(passes, f.rule, f.column, f.issue, f.action) for f in fixes]
+        action = lambda f: "keep_text" if f.action == "safe_cast" and f.column in uncast else f.action
+        history += [(passes, f.rule, f.column, f.issue, action(f)) for f in fixes]
     return HealResult(
-        df, spark.createDataFrame(history, HISTORY_SCHEMA), before, current, passes, remedied
+        df, spark.createDataFrame(history, HISTORY_SCHEMA), before, current, passes, remedied,
+        spark.createDataFrame(steps, STEP_SCHEMA), len(fixes),
     )

@@ -12,6 +12,8 @@ from tablecare.plans.catalog import query
 from tablecare.plans.relations import (
     NODES_SQL, STAGES_SQL, lifecycle, lineage_nodes, points, spread_table, stage_events, table,
 )
+from tablecare.sources.session import work_path
+from tablecare.sources.store import RunStore
 
 _TIME = "yyyy-MM-dd HH:mm:ss.SSSSSS"
 _TIME_SQL = "'%Y-%m-%d %H:%M:%S.%f'"
@@ -129,6 +131,17 @@ def lineage_edges(spark, folder) -> DataFrame:
     return runmeta.lineage_edges(lineage_nodes(spark, folder))
 
 
+@query("lineage_edges_gaps", f"""
+WITH {NODES_SQL}, e AS (
+  SELECT session_id, lag(seq) OVER w AS from_seq, seq AS to_seq, lag(name) OVER w AS from_name, name AS to_name
+  FROM nodes WHERE seq % 3 <> 1 WINDOW w AS (PARTITION BY session_id ORDER BY seq))
+SELECT * FROM e WHERE from_seq IS NOT NULL
+""")
+def lineage_edges_gaps(spark, folder) -> DataFrame:
+    """Edges lead over numbers that are missing."""
+    return runmeta.lineage_edges(lineage_nodes(spark, folder).where("seq % 3 <> 1"))
+
+
 @query("lineage_predecessors", f"""
 SELECT event_id, lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS previous_type FROM events
 """)
@@ -198,15 +211,16 @@ def unprocessed_inputs(spark, folder) -> DataFrame:
 
 
 @query("row_fingerprint", """
-SELECT o_orderkey, substring(sha256(concat_ws('|', o_orderkey, o_custkey, o_orderstatus, o_orderpriority)), 1, 16)
-       AS fingerprint
+SELECT o_orderkey, substring(sha256(concat_ws('|', o_orderkey, o_custkey, o_orderstatus, CAST(o_totalprice AS DECIMAL(18, 2)),
+       strftime(o_orderdate, '%Y-%m-%d %H:%M:%S'), o_orderpriority)), 1, 16) AS fingerprint
 FROM orders
 """)
 def row_fingerprint_query(spark, folder) -> DataFrame:
-    columns = ["o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority"]
-    return table(spark, folder, "orders").select(
-        "o_orderkey", row_fingerprint(columns, separator="|").alias("fingerprint")
+    orders = table(spark, folder, "orders")
+    plain = orders.withColumn("o_totalprice", F.col("o_totalprice").cast("decimal(18,2)")).withColumn(
+        "o_orderdate", F.date_format("o_orderdate", "yyyy-MM-dd HH:mm:ss")
     )
+    return plain.select("o_orderkey", row_fingerprint(orders.columns, separator="|").alias("fingerprint"))
 
 
 # watermarks
@@ -230,6 +244,19 @@ def incremental_since(spark, folder) -> DataFrame:
     return runmeta.incremental_since(events, "ts", mark).select("event_id", "event_type")
 
 
+@query("incremental_twice", "SELECT event_id, event_type FROM events")
+def incremental_twice(spark, folder) -> DataFrame:
+    """Two reads with a stored mark, half the events arriving between them: together every event once."""
+    store, parts = RunStore(spark, work_path(spark, "metadata")), []
+    events = table(spark, folder, "events")
+    first = events.where(F.col("ts") < events.agg(F.median(F.unix_micros(F.col("ts").cast("timestamp"))).alias("m")).select(F.timestamp_micros(F.col("m").cast("long"))).scalar())
+    for seen in (first, events):
+        fresh, mark = store.read_since(seen, "events", "ts", tie="event_id")
+        parts.append(fresh)
+        store.set_watermark("events", mark)
+    return parts[0].unionByName(parts[1]).select("event_id", "event_type")
+
+
 # JSON text
 
 @query("json_field_props", """

@@ -166,20 +166,29 @@ def pii_row_type(spark, folder) -> DataFrame:
 
 
 def _redact_sql(c: str) -> str:
-    for name, pattern in _PATTERNS.items():
+    for name in pii.REDACTED:
+        pattern = _PATTERNS[name] + ("[0-9]*" if name == "phone" else "")
         c = f"regexp_replace({c}, '{pattern}', '[{name}]', 'g')"
     return c
 
 
-@query("pii_redact_docs", f"""
-SELECT doc_id, sha256({_redact_sql('text')}) AS redacted_sha, redacted <> text AS changed
-FROM (SELECT *, {_redact_sql('text')} AS redacted FROM documents)
-""")
-def pii_redact_docs(spark, folder) -> DataFrame:
-    redacted = spread_table(spark, folder, "documents").select("doc_id", "text", pii.redact(F.col("text")).alias("r"))
-    return redacted.select(
-        "doc_id", F.sha2("r", 256).alias("redacted_sha"), (F.col("r") != F.col("text")).alias("changed")
-    )
+def _redacted(name: str, key: list[str], text: str) -> None:
+    """Registers the redaction of a whole table's text column."""
+    keys = ", ".join(key)
+    sql = f"""
+SELECT {keys}, sha256(redacted) AS redacted_sha, redacted <> {text} AS changed
+FROM (SELECT *, {_redact_sql(text)} AS redacted FROM {name})
+"""
+
+    @query({"documents": "pii_redact_docs"}.get(name, f"pii_redact_{name}"), sql)
+    def redacted(spark, folder) -> DataFrame:
+        rows = spread_table(spark, folder, name).select(*key, text, F.col(text).alias("r"))
+        return pii.redact(rows, ["r"]).select(*key, F.sha2("r", 256).alias("redacted_sha"), (F.col("r") != F.col(text)).alias("changed"))
+
+
+_redacted("documents", ["doc_id"], "text")
+_redacted("pages", ["page_id"], "html")
+_redacted("conversations", ["conv_id", "turn"], "text")
 
 
 @query("pii_anonymize_ip", r"""

@@ -8,6 +8,7 @@ from dataclasses import dataclass
 from datetime import datetime
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from tablecare.functions.hashing import table_fingerprint
 from tablecare.operators.profile import profile_columns
@@ -18,6 +19,10 @@ from tablecare.sources.store import RunStore
 from tablecare.sources.tables import read_table, write_table
 
 
+class RowLossError(Exception):
+    """A repair would lose more rows than allowed."""
+
+
 @dataclass
 class RunResult:
     run_id: str
@@ -30,13 +35,16 @@ class RunResult:
 
 def run(df: DataFrame, target: str, store: RunStore, *, as_of: datetime | str | None = None,
         previous: DataFrame | None = None, name: str = "source", run_id: str | None = None,
-        input_hash: str | None = None) -> RunResult:
+        input_hash: str | None = None, max_loss: float = 0.5, exclude: tuple[str, ...] = ()) -> RunResult:
     """Profiles, checks, repairs and writes a table, recording each stage.
 
     An input already written by an earlier run is not processed again.  Inputs
     are told apart by `input_hash`; give one (a table version, say) to save the
     scan that fingerprints all values.  A stage that fails is recorded as failed
-    and its error raised.
+    and its error raised; so does the repair if it leaves out more than
+    `max_loss` of the rows, before anything is written.  Profiles and findings
+    are kept in the store; without `previous` drift is judged against the last
+    profile of the same name.
     """
     spark = df.sparkSession
     run_id = run_id or uuid.uuid4().hex[:8]
@@ -67,19 +75,26 @@ def run(df: DataFrame, target: str, store: RunStore, *, as_of: datetime | str |
 
     def do_profile():
         profile = local_copy(profile_columns(df))
+        store.keep("profiles", profile, run_id, name)
         return profile, {"rows": profile.first()["row_count"]}
 
     def do_check():
-        return local_copy(check(result.profile, as_of=as_of, previous=previous)), {}
+        found = local_copy(check(result.profile, as_of=as_of, previous=last))
+        store.keep("findings", found, run_id, name)
+        return found, {}
 
     def do_heal():
-        healed = heal(df, as_of=as_of, profile=result.profile)
-        return healed, {"iterations": healed.passes}
+        healed = heal(df, as_of=as_of, profile=result.profile, exclude=exclude)
+        before, after = (healed.steps.orderBy(order).first()["row_count"] for order in ("iteration", F.desc("iteration")))
+        if before and 1 - after / before > max_loss:
+            raise RowLossError(f"repair would leave {after} of {before} rows; max_loss is {max_loss}")
+        return healed, {"iterations": healed.passes, "unfixed": healed.unfixed}
 
     def do_write():
         write_table(result.healed.df, target)
         return read_table(spark, target).count(), {}
 
+    last = previous if previous is not None else store.last_kept("profiles", name)
     result.profile = stage("profile", do_profile)
     result.findings = stage("check", do_check)
     result.report = report(result.findings)

@@ -16,23 +16,34 @@ def _events(spark, folder) -> DataFrame:
     return jobs.file_stream(spark, folder, schema, glob="events.parquet")
 
 
-@query("stream_incremental", "SELECT event_id, user_id, event_type, value FROM events")
+_TS = "'%Y-%m-%d %H:%M:%S.%f'"
+
+
+@query("stream_incremental", f"SELECT event_id, strftime(ts, {_TS}) AS ts, user_id, event_type, value, props FROM events")
 def stream_incremental(spark, folder) -> DataFrame:
     """Two runs of the incremental copy: the second finds nothing new."""
     target, checkpoint = work_path(spark, "stream"), work_path(spark, "offsets")
     for _ in range(2):
         jobs.append_new(_events(spark, folder), target, checkpoint)
-    return spark.read.parquet(target).select("event_id", "user_id", "event_type", "value")
+    return spark.read.parquet(target).withColumn("ts", F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS"))
+
 
+def _in_files(spark, folder) -> DataFrame:
+    """All events twice, in files whose times run backwards, one file a batch."""
+    path = work_path(spark, "arriving")
+    events = table(spark, folder, "events")
+    for part in (2, 0, 1):
+        late = events.where((F.col("event_id") % 3 == part) | (F.col("event_id") % 3 == (part + 1) % 3))
+        late.orderBy(F.desc("ts")).coalesce(1).write.mode("append").parquet(path)
+    return jobs.file_stream(spark, path, events.schema, files_per_batch=1)
 
-@query("stream_dedup", "SELECT event_id, user_id, event_type FROM events")
+
+@query("stream_dedup", "SELECT event_id, user_id, event_type, value FROM events")
 def stream_dedup(spark, folder) -> DataFrame:
-    """Every event delivered twice comes out once."""
-    twice = _events(spark, folder).withColumn("copy", F.explode(F.array(F.lit(0), F.lit(1))))
+    """Every event delivered twice, over several batches and out of order, comes out once."""
     target = work_path(spark, "stream")
-    once = jobs.drop_repeats(twice, ["event_id"], "ts", "1 hour")
-    jobs.append_new(once.select("event_id", "user_id", "event_type"), target, work_path(spark, "offsets"))
-    return spark.read.parquet(target)
+    jobs.drop_repeats(_in_files(spark, folder), ["event_id"], target, work_path(spark, "offsets"))
+    return spark.read.parquet(target).select("event_id", "user_id", "event_type", "value")
 
 
 @query("stream_quality_batches", """
@@ -53,15 +64,11 @@ def stream_quality_batches(spark, folder) -> DataFrame:
 SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S') AS window_start, count(*) AS events_total,
        count(*) FILTER (WHERE event_type = 'error') AS errors_total
 FROM events GROUP BY date_trunc('hour', ts)
-HAVING date_trunc('hour', ts) + INTERVAL 1 HOUR <= (SELECT max(ts) FROM events) - INTERVAL 10 MINUTE
 """)
 def stream_hourly_errors(spark, folder) -> DataFrame:
-    """Windows that closed; the open ones wait for later events."""
+    """All windows, the last one too."""
     target = work_path(spark, "stream")
-    windows = jobs.windowed_errors(
-        _events(spark, folder), "ts", "1 hour", "10 minutes", [], F.col("event_type") == "error"
-    )
-    jobs.append_new(windows, target, work_path(spark, "offsets"))
-    return spark.read.parquet(target).withColumn(
-        "window_start", F.date_format("window_start", "yyyy-MM-dd HH:mm:ss")
+    jobs.windowed_errors(
+        _events(spark, folder), "ts", "1 hour", "10 minutes", [], F.col("event_type") == "error", target, work_path(spark, "offsets")
     )
+    return jobs.latest_windows(spark, target, []).withColumn("window_start", F.date_format("window_start", "yyyy-MM-dd HH:mm:ss"))

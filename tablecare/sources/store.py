@@ -3,13 +3,20 @@
 from __future__ import annotations
 
 from datetime import datetime, timezone
+from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tablecare.functions.hashing import quoted
 from tablecare.operators import runmeta
-from tablecare.sources.tables import read_or_empty
+from tablecare.sources.tables import read_or_empty, read_or_none
+
+# Names under which lineage shows among metrics and events.
+ROW_DELTA = "transform_row_delta"
+SOURCE_READ = "data_source_read"
+SINK_WRITE = "data_sink_write"
 
 _SCHEMAS = {
     "points": runmeta.POINT_SCHEMA,
@@ -37,6 +44,13 @@ def _texts(values: dict | None) -> dict[str, str]:
     return {str(k): str(v) for k, v in (values or {}).items()}
 
 
+class Mark(NamedTuple):
+    """A watermark: a value and, among rows of that value, a tie key."""
+
+    value: str | None
+    tie: str | None = None
+
+
 class RunStore:
     """Writes and reads metrics, events, lineage, stage checkpoints and watermarks.
 
@@ -61,6 +75,22 @@ class RunStore:
         frame = self.spark.createDataFrame(pa.table(columns, names=[f for f, _ in fields]))
         frame.coalesce(1).write.mode("append").parquet(f"{self.root}/{name}")
 
+    # profiles and findings
+
+    def keep(self, kind: str, rows: DataFrame, run_id: str, name: str) -> None:
+        """Stores a run's profile or findings under its id and the name of its input."""
+        marked = rows.withColumns({"run_id": F.lit(run_id), "source": F.lit(name), "kept_at": F.lit(_now())})
+        marked.coalesce(1).write.mode("append").parquet(f"{self.root}/{kind}")
+
+    def last_kept(self, kind: str, name: str) -> DataFrame | None:
+        """The rows of the last run of an input, or None."""
+        rows = read_or_none(self.spark, f"{self.root}/{kind}")
+        if rows is None:
+            return None
+        own = rows.where(F.col("source") == name)
+        last = own.agg(F.max_by("run_id", "kept_at")).first()[0]
+        return None if last is None else own.where(F.col("run_id") == last).drop("run_id", "source", "kept_at")
+
     # metrics and events
 
     def record(self, name: str, value: float, labels: dict | None = None, ts: datetime | None = None) -> None:
@@ -82,7 +112,8 @@ class RunStore:
         Transformations also leave their row difference as a metric, sources and
         sinks an event.
         """
-        start = self.table("lineage").filter(F.col("session_id") == session_id).count()
+        last = self.table("lineage").filter(F.col("session_id") == session_id).agg(F.max("seq")).first()[0]
+        start = 0 if last is None else last + 1
         now = _now()
         rows, points, events = [], [], []
         for i, n in enumerate(nodes):
@@ -90,11 +121,11 @@ class RunStore:
                          n.get("output_rows"), n.get("row_count"), now, _texts(n.get("details"))))
             if n["type"] == "transformation":
                 delta = float(n["output_rows"] - n["input_rows"])
-                points.append(("transform_row_delta", delta, now, {"transform": n["name"]}))
+                points.append((ROW_DELTA, delta, now, {"transform": n["name"]}))
             elif n["type"] == "source":
-                events.append(("data_source_read", session_id, now, {"source": n["name"]}))
+                events.append((SOURCE_READ, session_id, now, {"source": n["name"]}))
             else:
-                events.append(("data_sink_write", session_id, now,
+                events.append((SINK_WRITE, session_id, now,
                                {"sink": n["name"], "rows": str(n.get("row_count"))}))
         for name, new in (("lineage", rows), ("points", points), ("events", events)):
             if new:
@@ -134,28 +165,35 @@ class RunStore:
 
     def get_watermark(self, source: str) -> str:
         """Stored value, or '' for an unknown source."""
+        return self._mark(source)[0] or ""
+
+    def _mark(self, source: str) -> tuple[str | None, str | None]:
         row = self.watermarks().filter(F.col("source") == source).first()
-        return row["value"] if row else ""
+        return (row["value"], row["tie"]) if row else (None, None)
 
-    def set_watermark(self, source: str, value: str, ts: datetime | None = None) -> None:
-        self.append("watermarks", [(source, value, ts or _now())])
+    def set_watermark(self, source: str, value: str | Mark, ts: datetime | None = None) -> None:
+        """Stores a mark; one below the stored mark changes nothing."""
+        value, tie = value if isinstance(value, Mark) else (value, None)
+        if value is not None:
+            self.append("watermarks", [(source, value, tie, ts or _now())])
 
     def watermarks(self) -> DataFrame:
         return runmeta.latest_watermarks(self.table("watermarks"))
 
-    def read_since(self, df: DataFrame, source: str, column: str, tie: str | None = None) -> tuple[DataFrame, str]:
+    def read_since(self, df: DataFrame, source: str, column: str, tie: str | None = None) -> tuple[DataFrame, Mark]:
         """Rows above the stored mark, and the mark to store once they are processed.
 
-        With a tie key the mark is 'value|key', so rows sharing the boundary
-        value are told apart.  The mark never moves back.
+        The rows end at that mark, so what arrives meanwhile waits for the next
+        read.  With a tie key, rows sharing the boundary value are told apart;
+        rows without a tie key come before all others of their value.
         """
-        mark = self.get_watermark(source)
-        value, _, key = mark.partition("|")
-        fresh = runmeta.incremental_since(df, column, value, tie, key) if mark else df
-        top = F.struct(column, *([tie] if tie else []))
-        row = fresh.agg(F.max(top).alias("m")).select(*[
-            F.col(f"m.{c}").cast("string").alias(c) for c in [column] + ([tie] if tie else [])
-        ]).first()
+        value, key = self._mark(source)
+        fresh = runmeta.incremental_since(df, column, value, tie, key) if value is not None else df
+        names = [column, *([tie] if tie else [])]
+        top = fresh.agg(F.max(F.struct(*[F.col(quoted(c)).alias(f"c{i}") for i, c in enumerate(names)])).alias("m"))
+        row = top.select(*[F.col(f"m.c{i}").cast("string") for i in range(len(names))]).first()
         if row[0] is None:
-            return fresh, mark
-        return fresh, "|".join(row)
+            return fresh.where(F.lit(False)), Mark(value, key)
+        mark = Mark(row[0], row[1] if tie else None)
+        later = runmeta.above_mark(fresh, column, mark.value, tie, mark.tie)
+        return fresh.where(F.col(quoted(column)).isNotNull() & ~F.coalesce(later, F.lit(False))), mark

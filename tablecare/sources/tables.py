@@ -10,14 +10,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tablecare.functions.hashing import quoted
+from tablecare.functions.text import NA_TOKENS
 from tablecare.operators.clean import keep_last, upsert
 
-# CSV fields read as null.
-NA_TOKENS = [
-    "", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN",
-    "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null",
-]
-
 _INTEGER = r"^\s*[+-]?[0-9]+\s*$"
 _FLOAT = r"^\s*[+-]?(?:[0-9]+(?:\.[0-9]*)?|\.[0-9]+)(?:[eE][+-]?[0-9]+)?\s*$|^\s*[+-]?(?:inf|Inf|INF|infinity|Infinity)\s*$"
 _BOOLEAN = r"^(?:True|TRUE|true|False|FALSE|false)$"
@@ -103,17 +98,61 @@ def spread_out(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
+def _missing(error: AnalysisException) -> bool:
+    """Whether nothing has been written yet; any other fault is the caller's to see."""
+    return error.getCondition() == "PATH_NOT_FOUND"
+
+
 def read_or_empty(spark: SparkSession, path: str, schema: str, fmt: str = "parquet") -> DataFrame:
-    """Table at a path, or no rows where nothing has been written yet."""
+    """Table at a path, or no rows where nothing has been written yet.
+
+    JSON lines that don't fit the schema are left out here; ``json_rejects`` has them.
+    """
     reader = spark.read.schema(schema)
     if fmt == "json":
         reader = reader.option("mode", "DROPMALFORMED")
     try:
         return reader.format(fmt).load(path)
-    except AnalysisException:
+    except AnalysisException as error:
+        if not _missing(error):
+            raise
         return spark.createDataFrame([], schema)
 
 
+def read_or_none(spark: SparkSession, path: str) -> DataFrame | None:
+    """Parquet table at a path, or None where nothing has been written yet."""
+    try:
+        return spark.read.parquet(path)
+    except AnalysisException as error:
+        if not _missing(error):
+            raise
+        return None
+
+
+def json_rejects(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """Lines of JSON files that don't fit the schema, as ``line`` with their file."""
+    lines = spark.read.text(path).select(F.element_at(F.split(F.input_file_name(), "/"), -1).alias("file_name"), F.col("value").alias("line"))
+    read = F.from_json("line", f"{schema}, _rejected string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_rejected"})
+    return lines.withColumn("r", read).where((F.trim("line") != "") & (F.col("r").isNull() | F.col("r._rejected").isNotNull())).drop("r")
+
+
+def csv_rejects(spark: SparkSession, path: str, *, separator: str = ",", multi_line: bool = False) -> DataFrame:
+    """Lines of CSV files with more or fewer fields than the header, as ``line`` with their file.
+
+    ``read_csv`` keeps such rows, without the fields beyond the header and with
+    nulls for missing ones.
+    """
+    names = _raw_csv(spark, path, separator, multi_line).columns
+    schema = ", ".join(f"{quoted(c)} string" for c in names) + ", `_rejected` string"
+    read = spark.read.schema(schema).csv(
+        path, header=True, sep=separator, quote='"', escape='"', multiLine=multi_line, mode="PERMISSIVE", columnNameOfCorruptRecord="_rejected",
+    )
+    named = read.withColumn("file_name", F.element_at(F.split(F.input_file_name(), "/"), -1))
+    # all columns stay in use: a pruned scan wouldn't count the fields
+    whole = F.to_json(F.struct(*[F.col(quoted(c)) for c in names]))
+    return named.where(F.col("_rejected").isNotNull() & (F.length(whole) > 0)).select("file_name", F.col("_rejected").alias("line"))
+
+
 def read_checkpoint_json(spark: SparkSession, path: str) -> DataFrame:
     """Stage rows from JSON files that map a stage name to its state.
 
@@ -138,7 +177,9 @@ def read_watermark_json(spark: SparkSession, path: str) -> DataFrame:
 def _whole_texts(spark: SparkSession, path: str) -> DataFrame:
     try:
         texts = spark.read.text(path, wholetext=True)
-    except AnalysisException:
+    except AnalysisException as error:
+        if not _missing(error):
+            raise
         return spark.createDataFrame([], "file_name string, value string")
     return texts.select(F.element_at(F.split(F.input_file_name(), "/"), -1).alias("file_name"), "value")
 

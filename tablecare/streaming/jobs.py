@@ -12,14 +12,17 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tablecare.functions.hashing import quoted
+from tablecare.operators.clean import keep_last
 from tablecare.operators.profile import ALL_MEASURES, profile_columns
 from tablecare.operators.rules import check
 from tablecare.operators.runmeta import windowed_error_rate
+from tablecare.sources.tables import read_or_empty
 
 
 def file_stream(spark: SparkSession, folder: str, schema: T.StructType, fmt: str = "parquet",
-                glob: str | None = None, files_per_batch: int | None = None) -> DataFrame:
-    """Files of a folder as a stream."""
+                glob: str | None = None, files_per_batch: int | None = 1000) -> DataFrame:
+    """Files of a folder as a stream; a batch takes a bounded number of files, the rest follows in further ones."""
     reader = spark.readStream.schema(schema).format(fmt)
     if glob:
         reader = reader.option("pathGlobFilter", glob)
@@ -37,12 +40,29 @@ def append_new(stream: DataFrame, target: str, checkpoint: str) -> None:
     query.awaitTermination()
 
 
-def drop_repeats(stream: DataFrame, keys: list[str], ts: str, lateness: str) -> DataFrame:
-    """First row of each key; a repeat is recognised within the lateness bound."""
-    timed = stream
-    if isinstance(stream.schema[ts].dataType, T.TimestampNTZType):
-        timed = stream.withColumn(ts, F.col(ts).cast("timestamp"))
-    return timed.withWatermark(ts, lateness).dropDuplicatesWithinWatermark(keys)
+def drop_repeats(stream: DataFrame, keys: list[str], target: str, checkpoint: str) -> None:
+    """Appends the first row of each key to a parquet table, however late it comes.
+
+    What a batch brings is compared with the keys already written, so no state
+    grows with the stream and no unique row is lost for being late.  A batch
+    replayed after a failure overwrites its own rows.
+    """
+    spark = stream.sparkSession
+    kinds = ", ".join(f"{quoted(f.name)} {f.dataType.simpleString()}" for f in stream.schema.fields)
+
+    def add(batch: DataFrame, batch_id: int) -> None:
+        written = read_or_empty(spark, target, f"{kinds}, batch_id bigint").where(F.col("batch_id") != batch_id)
+        old = written.select(*[F.col(quoted(k)).alias(f"__k{i}") for i, k in enumerate(keys)])
+        same = [F.col(quoted(k)).eqNullSafe(F.col(f"__k{i}")) for i, k in enumerate(keys)]
+        new = batch.dropDuplicates(keys).join(old, same, "left_anti")
+        new.write.mode("overwrite").parquet(f"{target}/batch_id={batch_id}")
+
+    _run(stream.writeStream.foreachBatch(add), checkpoint)
+
+
+def _run(writer, checkpoint: str) -> None:
+    """Processes all that is there and stops."""
+    writer.option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
 
 
 def quality_batches(stream: DataFrame, target: str, checkpoint: str,
@@ -60,15 +80,26 @@ def quality_batches(stream: DataFrame, target: str, checkpoint: str,
         finally:
             batch.unpersist()
 
-    query = (
-        stream.writeStream.foreachBatch(judge)
-        .option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    )
-    query.awaitTermination()
+    _run(stream.writeStream.foreachBatch(judge), checkpoint)
 
 
 def windowed_errors(stream: DataFrame, ts: str, window: str, lateness: str, keys: list[str],
-                    is_error: Column) -> DataFrame:
-    """Errors per tumbling window of event time; windows close after the lateness bound."""
+                    is_error: Column, target: str, checkpoint: str) -> None:
+    """Errors per tumbling window of event time, as versions of each window by batch.
+
+    A window is written whenever a batch changes it, the last one too, so none
+    waits for later events; state is dropped once a window is beyond the
+    lateness bound.  ``latest_windows`` reads the current version of each.
+    """
     timed = stream.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, lateness)
-    return windowed_error_rate(timed, ts, window, keys, is_error)
+    counts = windowed_error_rate(timed, ts, window, keys, is_error)
+
+    def keep(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{target}/batch_id={batch_id}")
+
+    _run(counts.writeStream.outputMode("update").foreachBatch(keep), checkpoint)
+
+
+def latest_windows(spark: SparkSession, target: str, keys: list[str]) -> DataFrame:
+    """The last written version of each window."""
+    return keep_last(spark.read.parquet(target), ["window_start", *keys], ["batch_id"]).drop("batch_id")

@@ -22,7 +22,7 @@ def holes(spark):
 
 def test_fills(holes):
     assert values(clean.fill_mean(holes, ["x"]), "x") == [1.0, 3.0, 3.0, 3.0, 5.0]
-    assert values(clean.fill_median(holes, ["n"]), "n") == [1.0, 2.0, 3.0, 4.0, 10.0]
+    assert values(clean.fill_median(holes, ["n"]), "n") == [1, 2, 3, 4, 10]
     # a and b are equally frequent: the smaller wins
     assert values(clean.fill_mode(holes, ["s"]), "s") == ["a", "a", "a", "b", "b"]
     assert values(clean.fill_constant(holes, {"n": 0, "s": "?"}), "n") == [0, 1, 2, 4, 10]
@@ -229,3 +229,39 @@ def test_reconcile(spark):
     row = dryrun.reconcile(df, df.filter("id < 4")).first()
     assert tuple(row) == (10, 4, -6, 0.4, False)
     assert dryrun.reconcile(df, df.filter("id < 0")).first()["empty_output"] is True
+
+
+def test_statistics_take_the_type_of_their_column(spark):
+    df = spark.createDataFrame([(9007199254740993, 1), (None, 2), (9007199254740995, 4)], "n bigint, k int")
+    for fill in (clean.fill_mean, clean.fill_median):
+        filled = fill(df, ["n"])
+        assert dict(filled.dtypes)["n"] == "bigint"
+        assert {9007199254740993, 9007199254740995} <= {r["n"] for r in filled.collect()}
+
+
+def test_infinities_and_nan_do_not_move_bounds(spark):
+    nan, inf = float("nan"), float("inf")
+    df = spark.createDataFrame([(float(i),) for i in range(100)] + [(inf,), (-inf,), (nan,), (None,)], "v double")
+    kept = [r["v"] for r in clean.remove_outliers(df, "v").collect()]
+    assert len(kept) == 102 and inf not in kept and None in kept
+    capped = [r["v"] for r in clean.cap_outliers(df, ["v"]).collect() if r["v"] is not None and r["v"] == r["v"]]
+    assert len(capped) == 102 and all(abs(v) < 400 for v in capped)
+
+
+def test_upsert_of_null_keys(spark):
+    batch = spark.createDataFrame([(None, 1), (2, 2)], "k int, v int")
+    once = clean.upsert(batch.limit(0), batch, ["k"])
+    assert sorted((r["k"] or 0, r["v"]) for r in clean.upsert(once, batch, ["k"]).collect()) == [(0, 1), (2, 2)]
+
+
+def test_codes_lose_nothing(spark):
+    df = spark.createDataFrame([("007", "1"), ("12", "n/a"), ("x", "2.5")], "a string, b string")
+    lost = {r["column"]: r["lost"] for r in clean.cast_losses(df, {"a": "double", "b": "double"}).collect()}
+    assert lost == {"a": 2, "b": 0}
+
+
+def test_long_digit_runs_are_numbers(spark):
+    df = spark.createDataFrame([("7" * 50_000,), ("1_000",), ("1__0",), ("_1",)], "v string")
+    from tablecare.functions.text import is_numeric_text
+
+    assert [r[0] for r in df.select(is_numeric_text("v")).collect()] == [True, True, False, False]

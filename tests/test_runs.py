@@ -206,6 +206,41 @@ def test_incremental_reads_share_no_row_and_miss_none(spark, tmp_path):
     assert seen == [[1, 2, 3], [4, 10], []]
 
 
+def test_a_mark_holds_any_text_and_never_moves_back(spark, tmp_path):
+    store = RunStore(spark, str(tmp_path))
+    df = spark.createDataFrame([("a|1", 1), ("a|2", None), ("a|2", 2)], "v string, k int")
+    fresh, mark = store.read_since(df, "s", "v", tie="k")
+    assert fresh.count() == 3 and tuple(mark) == ("a|2", "2")
+    store.set_watermark("s", mark)
+    assert store.read_since(df, "s", "v", tie="k")[0].isEmpty()
+    store.set_watermark("n", "10")
+    store.set_watermark("n", "9")
+    assert store.get_watermark("n") == "10" and store.get_watermark("s") == "a|2"
+
+
+def test_rows_that_arrive_during_a_read_wait(spark, tmp_path):
+    source = str(tmp_path / "in")
+    spark.createDataFrame([(1,), (2,)], "v int").write.parquet(source)
+    store = RunStore(spark, str(tmp_path / "meta"))
+    fresh, mark = store.read_since(spark.read.parquet(source), "s", "v")
+    assert mark.value == "2" and sorted(r["v"] for r in fresh.collect()) == [1, 2]
+    assert fresh.where("v > 2").isEmpty()
+
+
+def test_edges_lead_over_missing_numbers(spark):
+    nodes = spark.createDataFrame([("s", 0, "a"), ("s", 2, "b"), ("s", 7, "c"), ("t", 4, "x")], "session_id string, seq int, name string")
+    edges = [(r["from_seq"], r["to_seq"]) for r in runmeta.lineage_edges(nodes).orderBy("to_seq").collect()]
+    assert edges == [(0, 2), (2, 7)]
+
+
+def test_bad_lines_are_found(spark, tmp_path):
+    (tmp_path / "t.csv").write_text("a,b\n1,2\n3,4,5\n6,7\n")
+    assert [r["line"] for r in tables.csv_rejects(spark, str(tmp_path / "t.csv")).collect()] == ["3,4,5"]
+    (tmp_path / "t.json").write_text('{"a": 1}\n{oops\n{"a": 2}\n')
+    assert [r["line"] for r in tables.json_rejects(spark, str(tmp_path / "t.json"), "a int").collect()] == ["{oops"]
+    assert tables.read_or_empty(spark, str(tmp_path / "t.json"), "a int", "json").count() == 2
+
+
 def test_unprocessed(spark):
     inputs = spark.createDataFrame([("a",), ("b",), ("c",)], "h string")
     ledger = spark.createDataFrame([("a", "completed"), ("a", "completed"), ("b", "failed")], "h string, status string")
@@ -350,13 +385,12 @@ def test_streams_pick_up_where_they_left(spark, tmp_path):
 def test_stream_drops_repeats_across_batches(spark, tmp_path):
     source, target, offsets = (str(tmp_path / x) for x in ("in", "out", "offsets"))
     schema = "id int, ts timestamp_ntz"
-    for ids in ([1, 2, 2], [2, 3]):
+    for ids in ([5, 2, 2], [2, 3], [1, 4, 5]):  # late ones too
         rows = [(i, dt.datetime(2024, 1, 1, 0, i)) for i in ids]
         df = spark.createDataFrame(rows, schema)
         df.coalesce(1).write.mode("append").parquet(source)
-        once = jobs.drop_repeats(jobs.file_stream(spark, source, df.schema), ["id"], "ts", "1 hour")
-        jobs.append_new(once, target, offsets)
-    assert sorted(r["id"] for r in spark.read.parquet(target).collect()) == [1, 2, 3]
+        jobs.drop_repeats(jobs.file_stream(spark, source, df.schema, files_per_batch=1), ["id"], target, offsets)
+    assert sorted(r["id"] for r in spark.read.parquet(target).collect()) == [1, 2, 3, 4, 5]
 
 
 def test_stream_findings_per_batch(spark, tmp_path):
