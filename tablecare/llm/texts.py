@@ -158,7 +158,7 @@ def shingles(words: Words, size: int) -> tuple[np.ndarray, np.ndarray]:
     if not n:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
     out = np.zeros(n, np.uint64)
-    for k in range(size):
+    for k in range(min(size, n)):
         out[: n - k] = mixed(out[: n - k] * np.uint64(3) + h[k:])
     owner = np.repeat(np.arange(len(counts)), counts)
     whole = np.arange(n) + size <= words.bounds[owner + 1]
