@@ -120,6 +120,20 @@ def ffill_events(spark, folder) -> DataFrame:
     return filled.select("event_id", "user_id", "value")
 
 
+@query("ffill_hot_key", """
+WITH e AS (SELECT event_id, CASE WHEN event_id % 3 < 2 THEN -1 ELSE user_id END AS user_id, strftime(ts, '%Y-%m') AS month,
+                  CASE WHEN event_id % 4 = 0 THEN value END AS value FROM events)
+SELECT event_id, last_value(value IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY month, event_id) AS value FROM e
+""")
+def ffill_hot_key(spark, folder) -> DataFrame:
+    """Two thirds of the events under one user, thousands of them at one order value, which is text."""
+    events = table(spark, folder, "events").selectExpr(
+        "event_id", "CASE WHEN event_id % 3 < 2 THEN -1 ELSE user_id END AS user_id", "date_format(ts, 'yyyy-MM') AS month",
+        "CASE WHEN event_id % 4 = 0 THEN value END AS value",
+    )
+    return ordered.forward_fill(events, ["user_id"], ["month", "event_id"], ["value"], chunks=8).select("event_id", "value")
+
+
 # columns
 
 _DATE_SQL = "strftime(o_orderdate, '%Y-%m-%d %H:%M:%S') AS o_orderdate"

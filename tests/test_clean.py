@@ -189,14 +189,29 @@ def test_chunked_windows_match_whole_key_windows(sequence, chunks):
 
 def test_chunks_bound_a_hot_key(sequence):
     for chunks in (16, 200):
-        chunked, _ = ordered._chunked(sequence, ["t", "id"], chunks)
+        chunked, _ = ordered._chunked(sequence, ["key"], ["t", "id"], chunks)
         largest = chunked.groupBy("key", "__chunk").count().agg(F.max("count")).first()[0]
         assert largest < 2 * sequence.count() / chunks
 
 
+def test_equal_order_values_are_cut_by_the_tie_key(sequence):
+    same = sequence.withColumn("t", F.lit("noon"))
+    chunked, _ = ordered._chunked(same, ["key"], ["t", "id"], 16)
+    largest = chunked.groupBy("key", "__chunk").count().agg(F.max("count")).first()[0]
+    assert largest < 2 * sequence.count() / 16
+    whole, cut = ({r["id"]: r["v"] for r in ordered.forward_fill(same, ["key"], ["t", "id"], ["v"], c).collect()} for c in (1, 16))
+    assert whole == cut
+
+
+def test_only_keys_at_the_edge_of_a_chunk_are_summarised(spark):
+    many = spark.range(2000).selectExpr("id % 1000 AS key", "id AS t")
+    chunked, _ = ordered._chunked(many, ["key"], ["t"], 4)
+    assert ordered._spanning(chunked, ["key"]).select("key").distinct().count() <= 8
+
+
 def test_chunks_follow_the_row_count(sequence, monkeypatch):
     monkeypatch.setattr(ordered, "ROWS_PER_CHUNK", 100)
-    assert ordered._chunked(sequence, ["t", "id"], None)[1] == 30
+    assert ordered._chunked(sequence, ["key"], ["t", "id"], None)[1] == 30
 
 
 # trial runs
