@@ -136,7 +136,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     ship(docs.sparkSession)
     marks = labels.select(labels[f"`{id_col}`"].cast("long").alias("doc_id"), labels[f"`{label_col}`"].cast("int").alias("toxic"))
     marks = marks.where(F.col("toxic").isNotNull() & (fold(F.col("doc_id")) != 1))
-    rows = id_and_text(docs, id_col, text_col).where(fold(F.col("doc_id")) != 1).join(marks, "doc_id")
+    rows = id_and_text(docs, id_col, text_col).where(fold(F.col("doc_id")) != 1).join(marks.hint("merge"), "doc_id")  # alike at every size
     known = cut_lineage(rows.mapInArrow(_packed, "doc_id long, toxic int, buckets binary"))
     total, bad = known.agg(F.count("*"), F.sum("toxic")).first()
     bad = bad or 0
