@@ -37,7 +37,7 @@ FACTORS, ROUNDS, RATE = 6, 250, 0.08
 #: Pull of weights and factors towards zero, in rows.
 RIDGE, RIDGE_PAIRS = 0.05, 20.0
 #: Part of the terms that each round of fitting sees, so that one of several telling terms is enough.
-KEPT = 0.6
+KEPT = 0.7
 THRESHOLD = 0.7
 PREFIX = 5
 #: Odd factor that gives a bucket of its own to a term that a text has more than once.
