@@ -72,9 +72,9 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
 _COMPONENTS = """
 with whole as (
     select vec_id, [cast(floor(256 * cast(x as double)) as bigint) for x in embedding] as v from embeddings
-    where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
+    where embedding is not null and len([x for x in embedding if x is null or not isfinite(x)]) = 0
 ), scored as (
-    select q.vec_id as query_id, c.vec_id, list_sum(list_transform(list_zip(q.v, c.v), lambda p: p[1] * p[2])) as score
+    select q.vec_id as query_id, c.vec_id, list_sum([p[1] * p[2] for p in list_zip(q.v, c.v)]) as score
     from whole q join whole c on q.vec_id % 50 = 0 and q.vec_id <> c.vec_id
 )
 select * from (select query_id, cast(row_number() over (partition by query_id order by score desc, vec_id) as integer) as rank, vec_id, cast(score as bigint) as score from scored)
