@@ -22,6 +22,7 @@ from tablecare.functions.hashing import (
 from tablecare.functions.text import (
     date_formats_sql, date_like_sql, is_numeric_sql, iso_wall_time_sql, text_sql,
 )
+from tablecare.sources.session import cut_lineage
 
 ALL_MEASURES = frozenset({"stats", "types", "distinct", "duplicates", "pii", "freshness"})
 
@@ -276,6 +277,7 @@ def profile_columns(
     scan_all_types: bool = False,
     pii_exempt: list[str] | tuple[str, ...] = (),
     scan_budget: int = SCAN_BUDGET,
+    materialize: bool = False,
 ) -> DataFrame:
     """One row per column: counts, statistics and the evidence the rules need.
 
@@ -284,9 +286,12 @@ def profile_columns(
     are far from unique.  `scan_all_types` searches numbers and dates for
     personal data too.  `pii_exempt` names columns already made safe.
     `scan_budget` sets how many columns share a scan; raise it for row-oriented
-    files, which every scan reads whole.
+    files, which every scan reads whole.  `materialize` writes the input to the
+    shared folder first: for derived inputs, which each scan would work out again.
     Measures left out come back null.
     """
+    if materialize:
+        df = cut_lineage(df)
     measures = frozenset(measures)
     full = mode == "full"
     if mode not in ("full", "sample"):

@@ -195,6 +195,8 @@ def heal(df: DataFrame, *, as_of: datetime | str | None = None, max_passes: int
     steps: list[tuple] = []
     before = None
     passes = 0
+    if profile is None:
+        df = cut_lineage(df)  # read by several scans and by the first pass
     while True:
         if passes or profile is None:
             # the rules ask only whether all values are equal, or all different

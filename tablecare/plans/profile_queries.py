@@ -58,7 +58,7 @@ SELECT "column", dtype, semantic_type, row_count, null_count, unique_count, mean
 FROM profile
 """)
 def profile_lineitem(spark, folder) -> DataFrame:
-    found = profile.profile_columns(spread_table(spark, folder, "lineitem"))
+    found = profile.profile_columns(spread_table(spark, folder, "lineitem"), materialize=True)
     return found.select("column", "dtype", "semantic_type", "row_count", "null_count", "unique_count",
                         "mean", "std", "duplicate_rows")
 

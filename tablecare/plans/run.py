@@ -14,7 +14,7 @@ from tablecare.functions.hashing import table_fingerprint
 from tablecare.operators.profile import profile_columns
 from tablecare.operators.rules import check, report
 from tablecare.plans.heal import HealResult, heal
-from tablecare.sources.session import local_copy
+from tablecare.sources.session import cut_lineage, local_copy
 from tablecare.sources.store import RunStore
 from tablecare.sources.tables import read_table, write_table
 
@@ -74,6 +74,8 @@ def run(df: DataFrame, target: str, store: RunStore, *, as_of: datetime | str |
         return value
 
     def do_profile():
+        nonlocal df
+        df = cut_lineage(df)  # the source is read once more, however many scans follow
         profile = local_copy(profile_columns(df))
         store.keep("profiles", profile, run_id, name)
         return profile, {"rows": profile.first()["row_count"]}
