@@ -35,9 +35,10 @@ def _lines(text: Column) -> Column:
 
 
 def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """The rows as one struct column beside their key (id, hash of text)."""
+    """The other columns as one struct beside the key (id, hash of text) and the text, which so travels once."""
     text = F.coalesce(docs[f"`{text_col}`"], F.lit(""))
-    return docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row"), docs[f"`{id_col}`"].alias("k_id"), F.xxhash64(text).alias("k_tie"), text.alias("k_text"))
+    others = [docs[f"`{c}`"] for c in docs.columns if c != text_col]
+    return docs.select(F.struct(F.lit(0).alias("_"), *others).alias("row"), docs[f"`{id_col}`"].alias("k_id"), F.xxhash64(text).alias("k_tie"), text.alias("k_text"))
 
 
 def line_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
