@@ -32,7 +32,7 @@ from tablecare.llm.bpe import BLANK, BYTE, CONTROL, PieceModel
 from tablecare.llm.texts import Memory, id_and_text, slices
 
 #: Words, and stretches between safe cuts, that a worker remembers; emptied when full, results don't change.
-REMEMBERED = 500_000
+REMEMBERED = 300_000
 
 #: Symbols up to which merging looks through all pairs instead of keeping a heap.
 SHORT = 40

@@ -39,6 +39,7 @@ def slices(batch: pa.RecordBatch, column: str = "text", limit: int = SLICE_BYTES
         stop = max(start + 1, int(np.searchsorted(ends, before + limit, side="right")))
         yield batch.slice(start, stop - start)
         start, before = stop, int(ends[stop - 1])
+    pa.default_memory_pool().release_unused()  # several workers share an executor's memory
 
 
 def lengths(column: pa.Array) -> np.ndarray:
