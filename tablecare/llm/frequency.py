@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from tablecare.llm.texts import slices
 
 #: Cells, a byte each: the bound of what is collected and broadcast.
-BUCKET_BITS = 25
+BUCKET_BITS = 24
 BUCKETS = 1 << BUCKET_BITS
 #: Values that a task counts at a time.
 COUNTED = 4_000_000

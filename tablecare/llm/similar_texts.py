@@ -36,9 +36,11 @@ from tablecare.llm.texts import Words, id_and_text, mixed, shingles, slices
 from tablecare.sources.session import cut_lineage
 
 SIZE, PERCENT = 3, 90
-#: Least number of texts for frequency levels 1, 2 and 3.
-LEVELS = (2, 8, 64)
+#: Least numbers of texts for the frequency levels from 1 on; level 0 is certain to be in one text only.
+LEVELS = (2, 4, 8, 16, 32, 64, 128, 256, 512, 1024, 4096, 16384)
 SKETCH = 8
+#: Last shingles of a prefix, by which a pair of groups that meets at several is taken at one: families share these.
+TRAILING = 6
 
 
 def sets(texts: pa.Array, size: int) -> Iterator[np.ndarray]:
@@ -60,9 +62,9 @@ def digest(own: np.ndarray) -> int:
 
 
 def _prefixes(shared: Broadcast, size: int, percent: int):
-    """A row for each text: its set's size and digest, its group, the shared shingles of its prefix and their places, a sketch."""
-    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int64()))
-    names = ["doc_id", "n", "node", "grp", "shingles", "places", "sketch"]
+    """A row for each text: its set's size and digest, how many shingles other texts may have, its group, those of its prefix and their places among them, a sketch."""
+    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int64()))
+    names = ["doc_id", "n", "known", "node", "grp", "shingles", "places", "sketch"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         levels = shared.value
@@ -72,18 +74,19 @@ def _prefixes(shared: Broadcast, size: int, percent: int):
                 for doc_id, own in zip(piece.column("doc_id").to_pylist(), sets(piece.column("text"), size), strict=True):
                     n = len(own)
                     if not n:
-                        rows.append((doc_id, 0, None, None, [], [], []))
+                        rows.append((doc_id, 0, 0, None, None, [], [], []))
                         continue
                     level = level_of(levels, own)
                     length = n - (percent * n + 99) // 100 + 1
                     order = np.argsort(level, kind="stable")[:length]
                     prefix = own[order]
                     group = int(mixed(mixed(prefix + np.arange(length, dtype=np.uint64)).sum(dtype=np.uint64)[None] + np.uint64(n))[0].astype(np.int64))
-                    known = np.flatnonzero(level[order])
-                    rows.append((doc_id, n, digest(own), group, prefix[known].view(np.int64), known.astype(np.int32), _sketch(own)))
+                    alone = int((level == 0).sum())
+                    known = np.arange(min(alone, length), length)
+                    rows.append((doc_id, n, n - alone, digest(own), group, prefix[known].view(np.int64), (known - alone).astype(np.int32), _sketch(own)))
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
 
-    return run, "doc_id long, n long, node long, grp long, shingles array<long>, places array<int>, sketch array<long>"
+    return run, "doc_id long, n long, known long, node long, grp long, shingles array<long>, places array<int>, sketch array<long>"
 
 
 def _sketch(own: np.ndarray) -> np.ndarray:
@@ -118,6 +121,9 @@ def _similar(percent: int):
     return run
 
 
+_SPOT = ("n", "place", "known", "even", "odd", "first", "trailing")
+
+
 class Join:
     """The steps of one join; tables that are used again are written to the shared folder."""
 
@@ -139,17 +145,27 @@ class Join:
         """Shingles that two sets must share, as a fraction."""
         return f"{self.percent} * ({a} + {b}) / {100.0 + self.percent}"
 
-    def _placed(self) -> str:
-        """Whether what follows a shared shingle, and it, can be enough."""
-        return f"1 + least(n - place, n2 - place2) - 1 >= {self._needed('n', 'n2')} - 1e-6 - least(place, place2)"
-
-    def matched(self) -> tuple[DataFrame, DataFrame]:
-        """Shared prefix shingles of groups, and the first group of each."""
-        groups = self.nodes.dropDuplicates(["grp"]).select("grp", "n", F.explode(F.arrays_zip("shingles", "places")).alias("s"))
-        tokens = groups.select(F.col("s.shingles").alias("shingle"), F.col("s.places").alias("place"), "grp", "n")
-        several = tokens.groupBy("shingle").agg(F.count("*").alias("times"), F.min(F.struct("n", "grp", "place")).alias("hub")).where("times > 1")
-        found = tokens.join(several.select("shingle", "hub"), "shingle")
-        return cut_lineage(found.select("shingle", "place", "grp", "n", F.col("hub.grp").alias("hub"), F.col("hub.n").alias("n2"), F.col("hub.place").alias("place2")))
+    def _may_match(self) -> str:
+        """Whether sizes, shingles that others may have, place of a shared one, and sketches allow the similarity.
+
+        A group of one node has its sketch; for others the sketch says nothing.
+        """
+        most = "least(known - place, known2 - place2) + least(place, place2)"
+        apart = "bit_count(even ^ even2) + bit_count(odd ^ odd2)"
+        needed = self._needed("n", "n2")
+        return f"{self._fits('n', 'n2')} and {most} >= {needed} - 1e-6 and coalesce(n + n2 - ({apart}) >= 2 * ({needed}) - 1e-6, true)"
+
+    def matched(self) -> DataFrame:
+        """Shared prefix shingles of groups, each with the first group that has it."""
+        parts = F.first(F.struct("n", "known", "shingles", "places", "sketch")).alias("g")
+        groups = self.nodes.groupBy("grp").agg(F.count("*").alias("members"), parts)
+        half = lambda k: F.when(F.col("members") == 1, F.expr(" ^ ".join(f"g.sketch[{i}]" for i in range(k, SKETCH, 2))))
+        first = F.greatest(F.array_size("g.shingles") - TRAILING, F.lit(0))
+        placed = F.explode(F.arrays_zip("g.shingles", "g.places")).alias("s")
+        tokens = groups.select("grp", "g.n", "g.known", half(0).alias("even"), half(1).alias("odd"), first.alias("first"), F.slice("g.shingles", first + 1, TRAILING).alias("trailing"), placed)
+        tokens = tokens.select(F.col("s.shingles").alias("shingle"), F.col("s.places").alias("place"), "grp", "n", "known", "even", "odd", "first", "trailing")
+        several = tokens.groupBy("shingle").agg(F.count("*").alias("times"), F.min(F.struct("n", "grp", "place", "known", "even", "odd")).alias("hub")).where("times > 1")
+        return cut_lineage(tokens.join(several.select("shingle", "hub"), "shingle"))
 
     def verified(self, pairs: DataFrame) -> DataFrame:
         """Pairs of nodes (a < b) that are similar."""
@@ -174,7 +190,9 @@ class Join:
         texts = self.rows.join(wanted.select("doc_id"), "doc_id", "left_semi")
         self.sets = cut_lineage(texts.mapInArrow(_whole_sets(self.size), "node long, own binary").join(wanted.select("node"), "node", "left_semi").dropDuplicates(["node"]))
 
-        pairs = matched.where("grp <> hub").where(self._fits("n", "n2")).where(self._placed()).select("grp", "hub").distinct()
+        hub = {"hub": "hub.grp", "n2": "hub.n", "place2": "hub.place", "known2": "hub.known", "even2": "hub.even", "odd2": "hub.odd"}
+        pairs = matched.select("grp", *_SPOT, *[F.col(v).alias(k) for k, v in hub.items()])
+        pairs = pairs.where("grp <> hub").where(self._may_match()).select("grp", "hub").distinct()
         with_heads = pairs.join(heads.select("grp", "head"), "grp").join(heads.select(F.col("grp").alias("hub"), F.col("head").alias("hub_head")), "hub")
         to_hub = with_heads.select("grp", F.col("hub_head").alias("a")).union(with_heads.select(F.col("hub").alias("grp"), F.col("head").alias("a")))
         inside = crowded.select("grp", F.col("head").alias("a"))
@@ -183,11 +201,14 @@ class Join:
 
         placed = self.nodes.select("grp", "node", "n").join(known, "node", "left").withColumn("c", F.coalesce("component", "node"))
         # groups as their components see them: a component of a group is met once for each shingle
-        spots = matched.select("shingle", "place", "grp", "n").join(placed.select("grp", "c").distinct(), "grp")
+        spots = matched.select("shingle", "grp", *_SPOT).join(placed.select("grp", "c").distinct(), "grp")
         open_ = spots.groupBy("shingle").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low <> high").select("shingle")
         left = spots.join(open_, "shingle", "left_semi")
-        other = left.select("shingle", F.col("place").alias("place2"), F.col("grp").alias("grp2"), F.col("n").alias("n2"), F.col("c").alias("c2"))
-        across = left.join(other, "shingle").where("grp < grp2 and c <> c2").where(self._fits("n", "n2")).where(self._placed())
+        other = left.select("shingle", *[F.col(x).alias(f"{x}2") for x in ("grp", "c", *_SPOT)])
+        # a pair that shares a later one of both trailing shingles is met there
+        rest = lambda k: f"slice(trailing{k}, greatest(place{k} + 2 - first{k}, 1), {TRAILING})"
+        once = f"not arrays_overlap({rest('')}, {rest('2')})"
+        across = left.join(other, "shingle").where("grp < grp2 and c <> c2").where(self._may_match()).where(once)
         across = across.select("grp", "c", "grp2", "c2").distinct()
         of = placed.select("grp", "c", "node")
         second = across.join(of, ["grp", "c"]).withColumnRenamed("node", "a").join(of.select(F.col("grp").alias("grp2"), F.col("c").alias("c2"), F.col("node").alias("b")), ["grp2", "c2"])
