@@ -44,8 +44,9 @@ from tablecare.sources.session import cut_lineage
 LENGTH, GRAM = 200, 32
 BEFORE = LENGTH - GRAM
 HALF = GRAM + BEFORE // 2
-#: Classes that a task holds at a time, and hashes that an anchor is chosen among.
-MEMBERS = 1000
+#: Classes of a group that a task holds at a time (about 0.7 kB each), and tasks that a larger group is dealt out to.
+MEMBERS, SALTS = 100_000, 64
+#: Hashes that an anchor is chosen among.
 WINDOW = LENGTH - GRAM + 1
 #: Places that fit beside a hash in 64 bits; longer texts are gone through in pieces.
 PLACE_BITS = 23
@@ -71,7 +72,8 @@ class Bytes:
             stop = min(n, start + step + LENGTH - 1)
             found.append(self._anchors(start, stop))
         at = np.unique(np.concatenate([np.zeros(0, np.int64), *found]))
-        return at, self.hashes(at, at + GRAM), np.searchsorted(self.ends, at, side="right") - 1
+        # an anchor's hash is the least of many: spread anew, or all would share a corner of the frequency table
+        return at, mixed(self.hashes(at, at + GRAM) + np.uint64(5)), np.searchsorted(self.ends, at, side="right") - 1
 
     def _anchors(self, start: int, stop: int) -> np.ndarray:
         grams = np.arange(start, stop - GRAM + 1)
@@ -95,7 +97,9 @@ def _grams(texts: pa.Array) -> Iterator[np.ndarray]:
         yield Bytes(texts).anchors()[1]
 
 
-ANCHORS = "doc_id long, one long, two long, at int, gram long, class long, before int, after int, right long, left long"
+ANCHORS = "doc_id long, text_hash long, at int, gram long, class long, before short, after short, right int, left int"
+#: Bytes before and from the anchor on that matter in a group that agrees to the right, and to the left.
+PARTS = ((LENGTH - HALF, LENGTH), (BEFORE, HALF - 1))
 
 
 def _anchor_rows(shared: Broadcast):
@@ -117,24 +121,28 @@ def _anchor_rows(shared: Broadcast):
                 right = np.where(last - at >= HALF, texts.hashes(at, np.minimum(at + HALF, last)), own)
                 left = np.where(at - first >= LENGTH - HALF, texts.hashes(np.maximum(at - (LENGTH - HALF), first), at + GRAM), own + np.uint64(1))
                 rows = pa.array(owner)
-                kept = [piece.column(c).take(rows) for c in ("doc_id", "one", "two")]
-                numbers = [(at - texts.ends[owner]).astype(np.int32), gram.view(np.int64), surroundings.view(np.int64), (at - first).astype(np.int32), (last - at).astype(np.int32), right.view(np.int64), left.view(np.int64)]
+                kept = [piece.column(c).take(rows) for c in ("doc_id", "text_hash")]
+                short = lambda x: (x >> np.uint64(32)).astype(np.uint32).view(np.int32)  # noqa: E731  a mix-up costs time only
+                numbers = [(at - texts.ends[owner]).astype(np.int32), gram.view(np.int64), surroundings.view(np.int64), (at - first).astype(np.int16), (last - at).astype(np.int16), short(right), short(left)]
                 yield pa.RecordBatch.from_arrays([*kept, *map(pa.array, numbers)], names)
 
     return run
 
 
+FOUND = "group long, members long, gram long, class long, n long, left binary, right binary"
+
+
 def _surroundings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A row for each group that a class is in, with the bytes around the anchor."""
-    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary())
+    """A row for each group that a class is in, with the bytes around the anchor that matter there."""
+    kinds, names = (*[pa.int64()] * 5, pa.binary(), pa.binary()), [c.split()[0] for c in FOUND.split(", ")]
     for batch in batches:
         for i in range(batch.num_rows):
-            text = batch.column("text")[i].as_py().encode()
-            rows = [
-                (x["group"], x["gram"], x["class"], x["n"], text[max(x["at"] - BEFORE, 0) : x["at"]], text[x["at"] : x["at"] + LENGTH])
-                for x in batch.column("wanted")[i].as_py()
-            ]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["group", "gram", "class", "n", "left", "right"])
+            text, rows = batch.column("text")[i].as_py().encode(), []
+            for x in batch.column("wanted")[i].as_py():
+                before, after = PARTS[x["side"]]
+                at = x["at"]
+                rows.append((x["group"], x["members"], x["gram"], x["class"], x["n"], text[max(at - before, 0) : at], text[at : at + after]))
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
 
 
 def common(x: bytes, y: bytes) -> int:
@@ -186,9 +194,15 @@ def maximal_repeats(members: list[tuple[bytes, bytes]], least: int = LENGTH) ->
                     yield left, depth, run
 
 
-def _covered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """How far around the anchor classes that occur once are covered by repeats; rows come in order of group."""
-    group, members, kept = None, {}, []
+MET = "gram long, class long, n long, before int, after int, group long, offset int, window binary"
+
+
+def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """How far around the anchor classes that occur once are covered by repeats; of large groups, windows to be counted.
+
+    Rows come in order of group; a large group isn't gathered, its rows may be anywhere.
+    """
+    group, members, rows = None, {}, []
 
     def close() -> None:
         alone = {k for k, (n, *_) in members.items() if n == 1}
@@ -201,73 +215,70 @@ def _covered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 if names[i] in alone:
                     reach = best.setdefault(names[i], [0, 0])
                     reach[0], reach[1] = max(reach[0], left), max(reach[1], right)
-        kept.extend((*k, *reach) for k, reach in best.items())
+        rows.extend((*k, 1, *reach, None, None, None) for k, reach in best.items())
 
     for batch in batches:
-        for row in zip(*(batch.column(c).to_pylist() for c in ("group", "gram", "class", "n", "left", "right")), strict=True):
-            if row[0] != group:
+        for own, size, gram, kind, n, left, right in zip(*(batch.column(c).to_pylist() for c in ("group", "members", "gram", "class", "n", "left", "right")), strict=True):
+            if size > MEMBERS:
+                whole = left + right
+                for s in range(len(whole) - LENGTH + 1):
+                    rows.append((gram, kind, n, None, None, own, len(left) - s, hashlib.blake2b(whole[s : s + LENGTH], digest_size=16).digest()))
+                if len(rows) > 50_000:
+                    yield _met_rows(rows)
+                    rows = []
+                continue
+            if own != group:
                 close()
-                group, members = row[0], {}
-            members[row[1], row[2]] = row[3:]
-        if kept:
-            yield _reach_rows(kept)
-            kept = []
+                group, members = own, {}
+            members[gram, kind] = n, left, right
+        if rows:
+            yield _met_rows(rows)
+            rows = []
     close()
-    if kept:
-        yield _reach_rows(kept)
+    if rows:
+        yield _met_rows(rows)
 
 
-REACH = "gram long, class long, before int, after int"
-
-
-def _reach_rows(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32())
-    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["gram", "class", "before", "after"])
-
-
-def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The windows around the anchors of large groups, as hashes with their places."""
-    for batch in batches:
-        lefts, rights = batch.column("left").to_pylist(), batch.column("right").to_pylist()
-        for i, (left, right) in enumerate(zip(lefts, rights, strict=True)):
-            whole = left + right
-            digests = [hashlib.blake2b(whole[s : s + LENGTH], digest_size=16).digest() for s in range(len(whole) - LENGTH + 1)]
-            n = len(digests)
-            same = [pa.array([batch.column(c)[i].as_py()] * n, pa.int64()) for c in ("gram", "class", "n")]
-            yield pa.RecordBatch.from_arrays([*same, pa.array(np.arange(len(left), len(left) - n, -1, dtype=np.int32)), pa.array(digests, pa.binary())], ["gram", "class", "n", "offset", "window"])
+def _met_rows(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.binary())
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], [c.split()[0] for c in MET.split(", ")])
 
 
 def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """doc_id, two hashes that tell the text, and the text."""
+    """doc_id, a hash that tells texts of one id apart, and the text."""
     ship(docs.sparkSession)
     text = F.coalesce(docs[f"`{text_col}`"], F.lit(""))
-    return docs.select(docs[f"`{id_col}`"].cast("long").alias("doc_id"), F.xxhash64(text).alias("one"), F.xxhash64(F.lit(1), text).alias("two"), text.alias("text"))
+    return docs.select(docs[f"`{id_col}`"].cast("long").alias("doc_id"), F.xxhash64(text).alias("text_hash"), text.alias("text"))
+
+
+_SAME = "l.doc_id <=> r.doc_id and l.text_hash = r.text_hash"
 
 
 def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(one, two) of each text with repeated strings, and spans (first byte, end) that cover them all."""
+    """doc_id and text_hash of each text with repeated strings, and spans (first byte, end) that cover them all."""
     rows = _keyed(docs, id_col, text_col).where(F.octet_length("text") >= LENGTH)
     shared = docs.sparkSession.sparkContext.broadcast(frequency_levels(rows, _grams, (2,)))
     anchors = cut_lineage(rows.mapInArrow(_anchor_rows(shared), ANCHORS))
-    first = F.min(F.struct("doc_id", "one", "two", "at"))
+    first = F.min(F.struct("doc_id", "text_hash", "at"))
     classes = cut_lineage(anchors.groupBy("gram", "class", "before", "after", "right", "left").agg(F.count("*").alias("n"), first.alias("first")))
-    group = F.explode(F.array(F.xxhash64(F.lit(0), "gram", "right"), F.xxhash64(F.lit(1), "gram", "left")))
-    dealt = classes.select("gram", "class", "n", "first", group.alias("group"))
+    side = lambda k, part: F.struct(F.lit(k).alias("side"), F.xxhash64(F.lit(k), "gram", part).alias("group"))
+    dealt = classes.select("gram", "class", "n", "first", F.explode(F.array(side(0, "right"), side(1, "left"))).alias("d")).select("*", "d.*").drop("d")
     sizes = dealt.groupBy("group").agg(F.count("*").alias("members"), F.count_if(F.col("n") == 1).alias("alone")).where("members > 1 and alone > 0")
-    wanted = dealt.join(sizes, "group").select("first.*", F.struct("group", "gram", "class", "n", "first.at", "members").alias("x"))
-    listed = wanted.groupBy("doc_id", "one", "two").agg(F.collect_list("x").alias("wanted"))
-    texts = rows.alias("r").join(listed.alias("w"), F.expr("r.doc_id <=> w.doc_id and r.one = w.one and r.two = w.two")).select("r.text", "w.wanted")
-    found = cut_lineage(texts.mapInArrow(_surroundings, "group long, gram long, class long, n long, left binary, right binary").join(sizes.select("group", "members"), "group"))
-    small = found.where(F.col("members") <= MEMBERS).drop("members").repartition("group").sortWithinPartitions("group")
-    windows = found.where(F.col("members") > MEMBERS).dropDuplicates(["gram", "class"]).select("gram", "class", "n", "left", "right")
-    windows = windows.mapInArrow(_windows, "gram long, class long, n long, offset int, window binary")
-    again = windows.groupBy("gram", "offset", "window").agg(F.count("*").alias("members")).where("members > 1").select("gram", "offset", "window")
-    by_window = windows.where("n = 1").join(again, ["gram", "offset", "window"]).groupBy("gram", "class").agg(F.max("offset").alias("before"), F.max(LENGTH - F.col("offset")).alias("after"))
-    reached = small.mapInArrow(_covered, REACH).union(by_window.select("gram", "class", "before", F.col("after").cast("int")))
+    wanted = dealt.join(sizes.drop("alone"), "group").select("first.doc_id", "first.text_hash", F.struct("group", "members", "side", "gram", "class", "n", "first.at").alias("x"))
+    listed = wanted.groupBy("doc_id", "text_hash").agg(F.collect_list("x").alias("wanted"))
+    texts = rows.alias("l").join(listed.alias("r"), F.expr(_SAME)).select("l.text", "r.wanted")
+    found = texts.mapInArrow(_surroundings, FOUND)
+    salt = F.when(F.col("members") > MEMBERS, F.pmod("class", F.lit(SALTS))).otherwise(0)
+    met = cut_lineage(found.withColumn("salt", salt).repartition("group", "salt").sortWithinPartitions("group").mapInArrow(_met, MET))
+    windows = met.where("window is not null")
+    again = windows.groupBy("group", "offset", "window").agg(F.count("*").alias("times")).where("times > 1").select("group", "offset", "window")
+    by_window = windows.where("n = 1").join(again, ["group", "offset", "window"]).select("gram", "class", F.col("offset").alias("before"), (LENGTH - F.col("offset")).alias("after"))
+    reached = met.where("window is null").select("gram", "class", "before", "after").union(by_window)
     reached = reached.groupBy("gram", "class").agg(F.max("before").alias("before"), F.max("after").alias("after"))
     reached = reached.union(classes.where("n > 1").select("gram", "class", "before", "after"))
-    spans = anchors.select("one", "two", "at", "gram", "class").join(reached, ["gram", "class"])
-    return spans.select("one", "two", F.struct((F.col("at") - F.col("before")).alias("first"), (F.col("at") + F.col("after")).alias("end")).alias("span")).groupBy("one", "two").agg(F.collect_set("span").alias("spans"))
+    spans = anchors.select("doc_id", "text_hash", "at", "gram", "class").join(reached, ["gram", "class"])
+    span = F.struct((F.col("at") - F.col("before")).alias("first"), (F.col("at") + F.col("after")).alias("end"))
+    return spans.select("doc_id", "text_hash", span.alias("span")).groupBy("doc_id", "text_hash").agg(F.collect_set("span").alias("spans"))
 
 
 def _kept(text: bytes, spans: list[dict] | None) -> tuple[bytes, int]:
@@ -295,5 +306,6 @@ def removal_digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                 rows.append((doc_id, len(data), len(data) - len(left), runs, hashlib.sha256(left).hexdigest()))
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
-    joined = _keyed(docs, id_col, text_col).join(repeated_spans(docs, id_col, text_col), ["one", "two"], "left").select("doc_id", "text", "spans")
+    spans = repeated_spans(docs, id_col, text_col)
+    joined = _keyed(docs, id_col, text_col).alias("l").join(spans.alias("r"), F.expr(_SAME), "left").select("l.doc_id", "l.text", "r.spans")
     return joined.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
