@@ -178,7 +178,10 @@ class Best:
                 break
             t, own = np.clip(need[fit], -1, 1), query[f] / length
             spread = np.sqrt((1 - t * t) * max(1 - own * own, 0)) + 1e-6
-            fit = fit[np.abs(vectors[fit, f] / np.maximum(lengths[fit], 1e-300) - own * t) <= spread]
+            # cosines of t or more: the interval holds the axis itself where the query is closer to it than t
+            low, high = np.where(own < -t, -1, own * t) - spread, np.where(own > t, 1, own * t) + spread
+            x = vectors[fit, f] / np.maximum(lengths[fit], 1e-300)
+            fit = fit[(x >= low) & (x <= high)]
         return fit
 
 

@@ -44,6 +44,23 @@ def test_top_products(spark, spread, monkeypatch):
     assert top_products.top_products(df.limit(0), F.col("vec_id") % 5 == 0).isEmpty()
 
 
+@pytest.mark.parametrize("strength", [3.0, 30.0, 1000.0])
+def test_one_dominating_coordinate(strength, monkeypatch):
+    monkeypatch.setattr(top_products, "BUCKET", 8)
+    random_ = np.random.default_rng(11)
+    whole = np.floor(256 * random_.normal(size=(400, 6)))
+    whole[np.arange(400), random_.integers(0, 6, 400)] *= strength * random_.choice([-1, 1], 400)
+    whole = np.vstack([whole, [[25600, 0, 0, 0, 0, 0], [25856, 0, 0, 0, 0, 0], [25344, 12544, 0, 0, 0, 0]]])
+    lengths = np.sqrt((whole * whole).sum(1))
+    order = np.argsort(-lengths, kind="stable")
+    pack = lambda v, i: top_products.Packed({"dim": 6, "ids": i.astype("<i8").tobytes(), "lengths": np.sqrt((v * v).sum(1)).tobytes(), "vectors": v.tobytes()})
+    best_ = top_products.Best(pack(whole, np.arange(len(whole))), 5, np.full(len(whole), -np.inf))
+    best_.scan(pack(whole[order], order))
+    scores = (whole @ whole.T).astype(np.int64)
+    want = {(q, c, scores[q, c]) for q in range(len(whole)) for c in sorted((c for c in range(len(whole)) if c != q), key=lambda c: (-scores[q, c], c))[:5]}
+    assert set(zip(best_.q.tolist(), best_.ids.tolist(), best_.scores.tolist())) == want
+
+
 def test_products_are_exact():
     a = np.array([[2.0**40, 1.0]])
     assert top_products.products(a, np.array([[2.0**20, 3.0]]))[0, 0] == 2**60 + 3
