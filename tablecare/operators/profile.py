@@ -36,6 +36,8 @@ TEXT_WEIGHT = 5
 
 # Distinct estimates at or above this share of the non-null count are counted exactly.
 _NEAR_UNIQUE = 0.9
+# Distinct estimates up to this too: values that share a register count as one.
+_FEW = 16
 
 def base_semantic_type(data_type: T.DataType) -> str:
     """Semantic type a storage type implies; text still needs its values judged."""
@@ -233,10 +235,10 @@ def distinct_counts(df: DataFrame, columns: list[str] | None = None, rows: bool
 
 
 def _approximate_counts(df: DataFrame) -> tuple[DataFrame, list[str]]:
-    """Estimated distinct counts, and the columns whose estimate is near-unique.
+    """Estimated distinct counts, and the columns whose estimate is small or near-unique.
 
-    The rules compare counts with equality, so near-unique columns are left to
-    an exact count; the estimate decides only where it is far from the row count.
+    The rules compare counts with 1 and with the row count, so columns near
+    either are left to an exact count; the estimate decides only far from both.
     """
     fields = [(i, f) for i, f in enumerate(df.schema.fields) if not is_nested(f.dataType)]
     row = df.selectExpr(*[
@@ -246,7 +248,7 @@ def _approximate_counts(df: DataFrame) -> tuple[DataFrame, list[str]]:
     exact, estimates = [], []
     for i, f in fields:
         estimate = row[f"c{i}"]
-        if estimate["n"] >= _NEAR_UNIQUE * estimate["non_null"]:
+        if estimate["n"] <= _FEW or estimate["n"] >= _NEAR_UNIQUE * estimate["non_null"]:
             exact.append(f.name)
         else:
             estimates.append((i, int(estimate["n"])))
@@ -283,7 +285,7 @@ def profile_columns(
 
     mode "full" judges text by all its values; "sample" by the leading values
     in `order_by`, which it requires.  `approx` estimates distinct counts that
-    are far from unique.  `scan_all_types` searches numbers and dates for
+    are neither small nor near unique.  `scan_all_types` searches numbers and dates for
     personal data too.  `pii_exempt` names columns already made safe.
     `scan_budget` sets how many columns share a scan; raise it for row-oriented
     files, which every scan reads whole.  `materialize` writes the input to the

@@ -8,6 +8,7 @@ from tablecare.operators import profile
 from tablecare.operators.profile import (
     distinct_counts, duplicate_rows, head_rows, head_values, profile_columns, profile_table,
 )
+from tablecare.plans.heal import heal
 from tablecare.sources.tables import read_csv
 
 
@@ -161,6 +162,17 @@ def test_approximate_mode_counts_near_unique_columns_exactly(spark):
     assert found["k"]["duplicate_rows"] == 0
 
 
+def test_approximate_mode_tells_two_values_of_one_register_apart(spark):
+    """At this precision the leading 12 bits of a value's hash name its register."""
+    same = spark.range(400).groupBy(F.expr("shiftrightunsigned(xxhash64(id), 52)").alias("register")).agg(F.collect_list("id").alias("ids"))
+    x, y = same.where("size(ids) > 1").orderBy("register").first()["ids"][:2]
+    df = spark.range(1000).selectExpr("id", f"CASE WHEN id % 2 = 0 THEN {x}L ELSE {y}L END AS flag")
+    assert df.agg(F.approx_count_distinct("flag", 0.02)).first()[0] == 1
+    assert by_column(profile_columns(df, {"distinct"}, approx=True))["flag"]["unique_count"] == 2
+    healed = heal(df)
+    assert healed.df.columns == ["id", "flag"] and healed.df.select("flag").distinct().count() == 2
+
+
 def test_many_columns_and_odd_names(spark):
     names = [f"c {i}.`x`" if i % 2 else f"it's-{i}" for i in range(60)]
     df = spark.range(3).select(*[F.col("id").cast("string" if i % 3 else "bigint").alias(n) for i, n in enumerate(names)])
