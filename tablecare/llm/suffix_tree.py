@@ -1,19 +1,21 @@
 """Language-model scores by a probabilistic suffix tree over words.
 
-The alphabet is the words that make up at least ``SYMBOL_SHARE`` of the
-training tokens, the end of a text, and one class for all rarer words.  A
-context (a run of up to ``DEPTH`` words) is a state of the tree if it makes up
-at least ``CONTEXT_SHARE`` of the training tokens and what follows it diverges
-from what follows the context without its oldest word: occurrences times
-Kullback-Leibler divergence of at least ``DIVERGENCE`` nats.  The shares bound
-the tree's size whatever the corpus: at most 1 / share symbols or contexts a
-depth, 1 / ``NEXT_SHARE`` stored continuations.  All counts are over all
-training texts.
+The alphabet is all words and the end of a text.  A context is a run of up to
+``DEPTH`` words that occurs at least ``CONTEXT_LEAST`` times in the training
+texts; it is a state of the tree if what follows it diverges from what follows
+the context without its oldest word: occurrences times Kullback-Leibler
+divergence of at least ``DIVERGENCE`` nats.  Continuations seen at least
+``NEXT_LEAST`` times are stored.  The least counts are the same at every size,
+so the tree grows with the corpus.  All counts are over all training texts.
 
 A state gives P(w | s) = (c(s, w) + l * P(w | shorter state)) / (c(s) + SMOOTH)
 for stored continuations' counts c(s, w), with l what the others leave; the
-root is the add-0.1 distribution over all words, also the rare ones.  A
-token's probability is that of the longest state that ends before it.
+root is the add-0.1 distribution over all words.  A token's probability is that
+of the longest state that ends before it.
+
+States and continuations are tables keyed by 64-bit hashes.  Blocks ask for
+their own keys, sifted by a bitmap of at most 2^``SIEVE_BITS`` bits, and are
+joined with them; what the bitmap lets through in error finds no partner.
 
 The vocabulary isn't bounded, so it stays distributed: texts are packed into
 blocks with a dictionary each, and every block is joined with the counts of its
@@ -29,6 +31,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -36,19 +39,22 @@ from pyspark import Broadcast, TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tablecare.llm.texts import Words, id_and_text, slices
+from tablecare.llm.texts import Words, id_and_text, mixed, slices
 from tablecare.sources.session import cut_lineage, work_path
 
 #: Text in a block; its dictionary and packed words are held by one task.
 BLOCK_BYTES = 8 << 20
-SYMBOL_SHARE = 2e-5
-CONTEXT_SHARE = 1e-4
-NEXT_SHARE = 5e-6
+#: Least counts of a context and of a stored continuation.
+CONTEXT_LEAST, NEXT_LEAST = 16, 4
 DEPTH = 3
 DIVERGENCE = 8.0
 SMOOTH = 5.0
 #: The hash that stands for the end of a text.
 END = np.uint64(0x517CC1B727220A95)
+#: Words of this share of the tokens are sent to all tasks with their counts, others are joined; no result depends on it.
+FREQUENT_SHARE = 2e-5
+#: Greatest size of a sieve, and the ranges of hashes in which it is made.
+SIEVE_BITS, RANGE_BITS = 27, 8
 
 BLOCKS = "block long, ids array<long>, held array<boolean>, bounds array<long>, places binary, words binary, counts binary"
 SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
@@ -66,20 +72,101 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     per_block = blocks.select("block", "words", "counts").mapInArrow(_dictionary, "word long, block long, n long")
     counts = cut_lineage(per_block.groupBy("word").agg(F.sum("n").alias("c")).where("c > 0"))
     total, distinct = (x or 0 for x in counts.agg(F.sum("c"), F.count("*")).first())
-    symbols = counts.where(F.col("c") >= max(1.0, SYMBOL_SHARE * total)).orderBy("word").toArrow()
-    tree = Tree.of_symbols(symbols, total, distinct)
-    for _ in range(DEPTH):
-        shared = spark.sparkContext.broadcast(tree)
-        found = blocks.select("held", "bounds", "places", "words").mapInArrow(_continuations(shared), "key long, n long")
-        sums = found.groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") >= max(1.0, NEXT_SHARE * total))
-        if not tree.deepen(sums.orderBy("key").toArrow()):
+    often = counts.where(F.col("c") >= max(1.0, FREQUENT_SHARE * total))  # 1 / FREQUENT_SHARE rows at most
+    frequent = often.toArrow().sort_by("word")
+    model = _model(blocks, counts, total, distinct)
+    shared = spark.sparkContext.broadcast(tuple(frequent.column(c).to_numpy().astype(np.int64) for c in ("word", "c")))
+
+    rare = per_block.join(F.broadcast(often.select("word")), "word", "left_anti").join(counts, "word").where("c <> n")
+    needed = rare.select("block", F.lit(False).alias("model"), F.col("word").alias("key"), F.col("c").cast("double").alias("value"))
+    if model is not None:
+        asked = blocks.select("block", "bounds", "places", "words").mapInArrow(_asked(_sieve(model)), "block long, key long")
+        needed = needed.unionByName(asked.join(model, "key").select("block", F.lit(True).alias("model"), "key", "value"))
+    found = blocks.groupBy("block").cogroup(needed.groupBy("block")).applyInArrow(_scores(shared, total, distinct), SCORES)
+    return found.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score")
+
+
+def _model(blocks: DataFrame, counts: DataFrame, total: int, distinct: int) -> DataFrame | None:
+    """key and value: of a state what it leaves to the shorter one, of a state's stored continuation its probability."""
+    shorter = counts.select(F.lit(0).cast("long").alias("short"), F.col("word").alias("next"), ((F.col("c") + 0.1) / (total + 0.1 * (distinct + 1))).alias("before"))
+    empty = F.lit(0).cast("long")
+    contexts = counts.where(F.col("c") >= CONTEXT_LEAST).select(empty.alias("ctx"), empty.alias("short"), F.col("word").alias("next"), F.col("c").alias("n"))
+    parts = []
+    for depth in range(1, DEPTH + 1):
+        # as END ends a text, it is in no context
+        contexts = cut_lineage(contexts.where(F.col("next") != int(END.astype(np.int64))).mapInArrow(_longer, "ctx long, short long, c long"))
+        if contexts.isEmpty():
             break
-    shared = spark.sparkContext.broadcast(tree)
+        pairs = blocks.where(F.exists("held", lambda h: ~h)).select("held", "bounds", "places", "words").mapInArrow(_continuations(_sieve(contexts.select(F.col("ctx").alias("key"))), depth), "ctx long, next long, n long")
+        pairs = pairs.groupBy("ctx", "next").agg(F.sum("n").alias("n")).where(F.col("n") >= NEXT_LEAST)
+        # a stored continuation is stored without the oldest word too
+        followed = cut_lineage(pairs.join(contexts, "ctx").join(shorter, ["short", "next"]))
+        share = F.col("n") / F.col("c")
+        sums = followed.groupBy("ctx").agg(F.first("c").alias("sum"), F.sum("n").alias("kept"), F.sum("before").alias("b"), F.sum(share * F.log(share / F.col("before"))).alias("gain"))
+        left = 1 - F.col("kept") / F.col("sum")
+        rest = F.when(left > 1e-9, left * F.log(left / F.greatest(1 - F.col("b"), F.lit(1e-9)))).otherwise(0.0)
+        states = cut_lineage(sums.where(F.col("sum") * (F.col("gain") + rest) >= DIVERGENCE).select("ctx", ((F.col("sum") - F.col("kept") + SMOOTH) / (F.col("sum") + SMOOTH)).alias("leaves")))
+        after = F.when(F.col("leaves").isNull(), F.col("before")).otherwise(F.col("n") / (F.col("c") + SMOOTH) + F.col("leaves") * F.col("before"))
+        stored = cut_lineage(followed.join(states, "ctx", "left").select("ctx", "short", "next", "n", after.alias("value"), F.col("leaves").isNotNull().alias("state")))
+        parts += [states.select(F.col("ctx").alias("key"), F.col("leaves").alias("value")), stored.where("state").select("ctx", "next", "value").mapInArrow(_keyed, "key long, value double")]
+        shorter = stored.select(F.col("ctx").alias("short"), "next", F.col("value").alias("before"))
+        contexts = stored.where(F.col("n") >= CONTEXT_LEAST).select("ctx", "short", "next", "n")
+    return cut_lineage(reduce(DataFrame.unionByName, parts)) if parts else None
+
+
+def _extended(context: np.ndarray, word: np.ndarray) -> np.ndarray:
+    """Hashes of contexts with one more word at their end; the empty context is 0."""
+    return mixed(context * np.uint64(3) + word)
+
+
+def _hashes(column: pa.Array) -> np.ndarray:
+    return column.to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
+
+
+def _longer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Contexts made longer by what follows them, and the same without the oldest word."""
+    for batch in batches:
+        ctx, short, word = (_hashes(batch.column(c)) for c in ("ctx", "short", "next"))
+        # a single word's shorter context is the empty one, as is that of the empty one
+        shorter = np.where(ctx == 0, np.uint64(0), _extended(short, word))
+        yield pa.RecordBatch.from_arrays([pa.array(_extended(ctx, word).view(np.int64)), pa.array(shorter.view(np.int64)), batch.column("n")], ["ctx", "short", "c"])
 
-    frequent = F.broadcast(counts.where(F.col("c") >= max(1.0, SYMBOL_SHARE * total)).select("word"))  # 1 / SYMBOL_SHARE rows at most
-    rare = per_block.join(frequent, "word", "left_anti").join(counts, "word").where("c <> n").select("block", "word", "c")
-    found = blocks.groupBy("block").cogroup(rare.groupBy("block")).applyInArrow(_scores(shared), SCORES)
-    return found.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score")
+
+def _keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Stored continuations by one key: the complement of the longer context's, which a state may have."""
+    for batch in batches:
+        key = ~_extended(_hashes(batch.column("ctx")), _hashes(batch.column("next")))
+        yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), batch.column("value")], ["key", "value"])
+
+
+@dataclass
+class Sieve:
+    """A bitmap of hashes: those not in it are certainly not in the table."""
+
+    bits: int
+    packed: Broadcast
+
+    def holds(self, hashes: np.ndarray) -> np.ndarray:
+        at = (hashes >> np.uint64(64 - self.bits)).astype(np.int64)
+        return (self.packed.value[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 == 1
+
+
+def _sieve(keys: DataFrame) -> Sieve:
+    bits = min(SIEVE_BITS, max(16, (16 * keys.count()).bit_length()))
+    size = 1 << (bits - RANGE_BITS)
+
+    def run(part: pa.Table) -> pa.Table:
+        cells = np.zeros(size, np.uint8)
+        hashes = _hashes(part.column("key"))
+        cells[(hashes >> np.uint64(64 - bits)).astype(np.int64) & (size - 1)] = 1
+        return pa.table({"range": pa.array([part.column("range")[0].as_py()], pa.int64()), "cells": pa.array([np.packbits(cells).tobytes()], pa.binary())})
+
+    ranged = keys.select(F.shiftrightunsigned("key", 64 - RANGE_BITS).alias("range"), "key")
+    out = np.zeros(1 << (bits - 3), np.uint8)
+    for row in ranged.groupBy("range").applyInArrow(run, "range long, cells binary").toArrow().to_pylist():
+        start = row["range"] * (size >> 3)
+        out[start : start + (size >> 3)] = np.frombuffer(row["cells"], np.uint8)
+    return Sieve(bits, keys.sparkSession.sparkContext.broadcast(out))
 
 
 def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -127,13 +214,17 @@ def _dictionary(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 @dataclass
 class Tree:
-    """States and stored continuations by depth; symbol numbers follow the hashes' order, the last is the rare class."""
+    """The same tree in one process, for small alphabets: tests hold the tables against it.
+
+    States and stored continuations by depth; symbol numbers follow the hashes'
+    order, the last stands for all words left out.
+    """
 
     words: np.ndarray
     counts: np.ndarray
     total: int
     distinct: int
-    context_least: float
+    context_least: int
     #: By depth: keys (shorter context, word) of the contexts followed, their counts, whether each is a state.
     keys: list[np.ndarray] = field(default_factory=list)
     sums: list[np.ndarray] = field(default_factory=list)
@@ -147,7 +238,7 @@ class Tree:
         words = found.column("word").to_numpy().astype(np.int64).view(np.uint64)
         counts = found.column("c").to_numpy().astype(np.int64)
         order = np.argsort(words)
-        tree = cls(words[order], counts[order], total, distinct, max(1.0, CONTEXT_SHARE * total))
+        tree = cls(words[order], counts[order], total, distinct, CONTEXT_LEAST)
         fit = np.flatnonzero((tree.counts >= tree.context_least) & (tree.words != END))
         tree.keys.append(fit.astype(np.int64))
         tree.sums.append(tree.counts[fit])
@@ -224,20 +315,6 @@ class Tree:
         out[known] = (own + left[s] * shorter[known]) / (sums[s] + SMOOTH)
         return out
 
-    def symbols(self, words: np.ndarray) -> np.ndarray:
-        at = _place(self.words, words)
-        return np.where(at >= 0, at, self.base - 1)
-
-    def contexts(self, symbols: np.ndarray, first: np.ndarray, depths: int) -> Iterator[np.ndarray]:
-        """By depth: the context of that many words before each token, -1 where there is none; ``first`` marks texts' first tokens."""
-        ending = _place(self.keys[0], symbols)
-        for depth in range(depths):
-            before = np.full(len(symbols), -1, np.int64)
-            before[1:] = np.where(first[1:], -1, ending[:-1])
-            yield before
-            if depth + 1 < depths:
-                ending = np.where(before >= 0, _place(self.keys[depth + 1], before * self.base + symbols), -1)
-
 
 def _place(ordered: np.ndarray, values: np.ndarray) -> np.ndarray:
     """Where each value is among the ordered ones, -1 where it isn't."""
@@ -247,40 +324,64 @@ def _place(ordered: np.ndarray, values: np.ndarray) -> np.ndarray:
     return np.where(ordered[at] == values, at, -1)
 
 
-def _tokens(row: dict, tree: Tree) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Bounds of the texts, places of their tokens, symbols, and marks at first tokens."""
+def _tokens(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Bounds of the texts, places of their tokens in the dictionary, tokens, and how many of its text are before each."""
     bounds, places = np.array(row["bounds"], np.int64), np.frombuffer(row["places"], "<u4")
-    symbols = tree.symbols(np.frombuffer(row["words"], "<u8"))[places]
-    first = np.zeros(len(places), bool)
-    first[bounds[:-1]] = True
-    return bounds, places, symbols, first
+    tokens = np.frombuffer(row["words"], "<u8").astype(np.uint64)[places]
+    return bounds, places, tokens, np.arange(len(places)) - np.repeat(bounds[:-1], np.diff(bounds))
+
+
+def _contexts(tokens: np.ndarray, before: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """By depth: places of the tokens with so many words before them, and the hashes of those words."""
+    context = np.zeros(len(tokens), np.uint64)
+    for depth in range(1, DEPTH + 1):
+        context[1:] = _extended(context[:-1], tokens[:-1])
+        at = np.flatnonzero(before >= depth)
+        yield at, context[at]
+
+
+def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+    for batch in batches:
+        for k in range(batch.num_rows):
+            yield batch.slice(k, 1).to_pylist()[0]
+
+
+def _continuations(sieve: Sieve, depth: int):
+    """Counts of what follows the contexts of a depth, by block."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for row in _rows(batches):
+            bounds, _, tokens, before = _tokens(row)
+            for _, (at, context) in zip(range(depth), _contexts(tokens, before), strict=False):
+                pass
+            used = sieve.holds(context) & np.repeat(~np.array(row["held"], bool), np.diff(bounds))[at]
+            context, after = context[used], tokens[at[used]]
+            _, index, n = np.unique(_extended(context, after), return_index=True, return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(context[index].view(np.int64)), pa.array(after[index].view(np.int64)), pa.array(n.astype(np.int64))], ["ctx", "next", "n"])
+
+    return run
 
 
-def _continuations(shared: Broadcast):
-    """Counts of what follows the deepest contexts, summed by task."""
+def _asked(sieve: Sieve):
+    """Keys of the states and stored continuations that a block may need."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tree: Tree = shared.value
-        keys, sums = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        for batch in batches:
-            for k in range(batch.num_rows):
-                row = batch.slice(k, 1).to_pylist()[0]
-                bounds, _, symbols, first = _tokens(row, tree)
-                for context in tree.contexts(symbols, first, len(tree.keys)):
-                    pass
-                used = (context >= 0) & np.repeat(~np.array(row["held"], bool), np.diff(bounds))
-                found, n = np.unique(context[used] * tree.base + symbols[used], return_counts=True)
-                keys, place = np.unique(np.concatenate([keys, found]), return_inverse=True)
-                sums = np.bincount(place, np.concatenate([sums, n]), minlength=len(keys)).astype(np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(sums)], ["key", "n"])
+        for row in _rows(batches):
+            _, _, tokens, before = _tokens(row)
+            keys = []
+            for at, context in _contexts(tokens, before):
+                fit = sieve.holds(context)
+                after = ~_extended(context[fit], tokens[at[fit]])
+                keys += [np.unique(context[fit]), np.unique(after[sieve.holds(after)])]
+            keys = np.concatenate(keys)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), row["block"], np.int64)), pa.array(keys.view(np.int64))], ["block", "key"])
 
     return run
 
 
-def _scores(shared: Broadcast):
-    def run(block: pa.Table, rare: pa.Table) -> pa.Table:
-        tree: Tree = shared.value
-        parts = [_scored(block.slice(k, 1).to_pylist()[0], rare, tree) for k in range(block.num_rows)]
+def _scores(shared: Broadcast, total: int, distinct: int):
+    def run(block: pa.Table, needed: pa.Table) -> pa.Table:
+        parts = [_scored(block.slice(k, 1).to_pylist()[0], needed, shared.value, total, distinct) for k in range(block.num_rows)]
         names = [c.split()[0] for c in SCORES.split(", ")]
         kinds = (pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64())
         columns = [pa.chunked_array([pa.array(p[k], t) for p in parts], t) for k, t in enumerate(kinds)]
@@ -289,19 +390,24 @@ def _scores(shared: Broadcast):
     return run
 
 
-def _scored(row: dict, rare: pa.Table, tree: Tree) -> tuple:
-    bounds, places, symbols, first = _tokens(row, tree)
-    words, counts = np.frombuffer(row["words"], "<u8"), np.frombuffer(row["counts"], "<i8").copy()
-    at = _place(words, rare.column("word").to_numpy().astype(np.int64).view(np.uint64))
-    counts[at] = rare.column("c").to_numpy()
-    own = tree.symbols(words)
-    common = own < tree.base - 1
-    counts[common] = tree.counts[own[common]]
-    base = ((counts + 0.1) / (tree.total + 0.1 * (tree.distinct + 1)))[places]
-    root = tree.root()
-    probability = root[symbols]
-    for depth, context in enumerate(tree.contexts(symbols, first, len(tree.states))):
-        probability = tree.refined(depth, context, symbols, probability)
-    probability = probability * base / root[symbols]  # a rare word's part of its class
+def _scored(row: dict, needed: pa.Table, frequent: tuple[np.ndarray, np.ndarray], total: int, distinct: int) -> tuple:
+    bounds, places, tokens, before = _tokens(row)
+    words, counts = np.frombuffer(row["words"], "<i8"), np.frombuffer(row["counts"], "<i8").copy()
+    keys, values = needed.column("key").to_numpy().astype(np.int64), needed.column("value").to_numpy()
+    model = needed.column("model").to_numpy().astype(bool)
+    at = _place(words.view(np.uint64), keys[~model].view(np.uint64))
+    counts[at] = values[~model]
+    own = _place(frequent[0], words)
+    counts[own >= 0] = frequent[1][own[own >= 0]]
+    base = ((counts + 0.1) / (total + 0.1 * (distinct + 1)))[places]
+    order = np.argsort(keys[model].view(np.uint64))
+    keys, values = keys[model].view(np.uint64)[order], values[model][order]
+    probability = base.copy()
+    for at, context in _contexts(tokens, before):
+        state = _place(keys, context)
+        at, context, state = (x[state >= 0] for x in (at, context, state))
+        stored = _place(keys, ~_extended(context, tokens[at]))
+        left = values[state] * probability[at] if len(at) else probability[at]
+        probability[at] = np.where(stored >= 0, values[stored], left) if len(at) else left
     sums = lambda x: np.add.reduceat(x, bounds[:-1])
     return row["ids"], row["held"], np.diff(bounds), sums((counts > 0)[places].astype(np.int64)), sums(np.log10(base)), sums(np.log10(probability))

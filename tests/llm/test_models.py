@@ -132,3 +132,49 @@ def test_every_state_gives_a_distribution():
             state = tree.lookup(np.tile(spelled[-length:], (base, 1)))
             p = tree.refined(length - 1, state, every, p)
         assert math.isclose(p.sum(), 1.0, rel_tol=1e-9)
+
+
+def tree_scores(rows, held):
+    """Scores of the texts by the tree in memory, all words being symbols, counted here."""
+    hashes = {w: k + 1 for k, w in enumerate(sorted({w for _, t in rows for w in words_of(t) if w}))}
+    hashes[None] = int(suffix_tree.END)
+    texts = [([hashes[w] for w in words_of(t)], held(i)) for i, t in rows]
+    counts = Counter(w for t, out in texts if not out for w in t)
+    total, distinct = sum(counts.values()), len(counts)
+    table_ = pa.table({"word": pa.array(np.array(list(counts), np.uint64).view(np.int64)), "c": pa.array(list(counts.values()))})
+    tree = suffix_tree.Tree.of_symbols(table_, total, distinct)
+    number = {w: k for k, w in enumerate(tree.words.tolist())}
+    texts = [([number.get(w, tree.base - 1) for w in t], out, [(counts[w] + 0.1) / (total + 0.1 * (distinct + 1)) for w in t]) for t, out in texts]
+    place = lambda t, i, d: int(tree.lookup(np.array([t[i - d : i]]))[0])
+    for depth in range(1, suffix_tree.DEPTH + 1):
+        runs = Counter((tuple(t[i - depth : i]), t[i]) for t, out, _ in texts if not out for i in range(depth, len(t)))
+        found = sorted((place([*c], depth, depth) * tree.base + w, n) for (c, w), n in runs.items() if n >= suffix_tree.NEXT_LEAST and place([*c], depth, depth) >= 0)
+        if not tree.deepen(pa.table({"key": pa.array([k for k, _ in found], pa.int64()), "n": pa.array([n for _, n in found], pa.int64())})):
+            break
+    out = []
+    for t, _, base in texts:
+        sum_ = 0.0
+        for i, w in enumerate(t):
+            p = np.array([base[i]])
+            for d in range(1, min(i, len(tree.states)) + 1):
+                p = tree.refined(d - 1, np.array([place(t, i, d)]), np.array([w]), p)
+            sum_ += math.log10(p[0])
+        out.append(sum_)
+    return out, tree
+
+
+def test_tables_give_the_scores_of_the_tree_in_memory(frame):
+    rows = sentences(250, seed=3)
+    want, tree = tree_scores(rows, lambda i: zlib.crc32(str(i).encode()) % 10 == 0)
+    assert all(s.any() for s in tree.states[:2]) and len(tree.states) > 1
+    got = {r["doc_id"]: r["score"] for r in suffix_tree.score(frame(rows)).collect()}
+    assert all(math.isclose(got[i], w, rel_tol=1e-9) for (i, _), w in zip(rows, want))
+
+
+def test_the_tree_does_not_shrink_beside_a_larger_corpus(frame):
+    """A context of few occurrences counts alike however many other tokens there are."""
+    held = next(i for i in range(100) if zlib.crc32(str(i).encode()) % 10 == 0)
+    few = [(1000 + k, f"x{k} quaint zebra y{k}") for k in range(60)] + [(held, "quaint zebra")]
+    other = [(5000 + k, " ".join(str((7 * k + j * j) % 4999) for j in range(4000))) for k in range(300)]
+    gain = {r["doc_id"]: r["score"] - r["base_score"] for r in suffix_tree.score(frame(few + other)).collect()}
+    assert gain[held] > 3
