@@ -30,14 +30,16 @@ from tablecare.llm.texts import Words, id_and_text, ship, slices
 from tablecare.sources.session import cut_lineage
 
 BUCKETS = 1 << 20
-#: Buckets that the machine knows at most, and log-likelihood ratio that a bucket needs.
-CHOSEN, RATIO = 512, 12.0
+#: Log-likelihood ratio that a bucket needs, the same test of significance at every size.
+RATIO = 12.0
 SAMPLE = 60_000
 FACTORS, ROUNDS, RATE = 6, 250, 0.08
 #: Pull of weights and factors towards zero, in rows.
 RIDGE, RIDGE_PAIRS = 0.05, 20.0
 #: Part of the terms that each round of fitting sees, so that one of several telling terms is enough.
 KEPT = 0.7
+#: Terms of texts that a round of fitting holds at a time; no result depends on it but by rounding.
+PLACES = 500_000
 THRESHOLD = 0.7
 PREFIX = 5
 #: Odd factor that gives a bucket of its own to a term that a text has more than once.
@@ -81,24 +83,29 @@ class Machine:
 
     @classmethod
     def fitted(cls, chosen: np.ndarray, places: np.ndarray, bounds: np.ndarray, toxic: np.ndarray, seed: int = 7) -> Machine:
-        """Log-loss descent over all given rows, with steps scaled by running moments."""
-        n, owner = len(toxic), np.repeat(np.arange(len(toxic)), np.diff(bounds))
+        """Log-loss descent over all given rows, some at a time in memory, with steps scaled by running moments."""
+        n = len(toxic)
         share = (toxic.sum() + 0.5) / (n + 1)
         values = [np.array([np.log(share / (1 - share))]), np.zeros(len(chosen)), np.random.default_rng(seed).normal(0, 0.05, (len(chosen), FACTORS))]
         if not len(places) or not 0 < toxic.sum() < n:
             return cls(chosen, values[0][0], values[1], values[2] * 0)
         first, second = [v * 0 for v in values], [v * 0 for v in values]
-        random, all_places, all_owner = np.random.default_rng(seed), places, owner
+        random = np.random.default_rng(seed)
+        cuts = np.unique([*np.searchsorted(bounds, np.arange(0, bounds[-1], PLACES)), n])
         for step in range(1, ROUNDS + 1):
-            kept = random.random(len(all_places)) < KEPT
-            places, owner = all_places[kept], all_owner[kept]
-            raw, sums = _raw(values[0][0], values[1], values[2], places, owner, n)
-            miss = _sigmoid(raw) - toxic
-            each = miss[owner]
-            weights = np.bincount(places, each, len(chosen)) + RIDGE * values[1]
-            pull = each[:, None] * (sums[owner] - values[2][places])
-            factors = np.column_stack([np.bincount(places, pull[:, k], len(chosen)) for k in range(FACTORS)]) + RIDGE_PAIRS * values[2]
-            for v, m, s, g in zip(values, first, second, (np.array([miss.sum()]), weights, factors), strict=True):
+            missed, weights, factors = 0.0, RIDGE * values[1], RIDGE_PAIRS * values[2]
+            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+                own, owner = places[bounds[a] : bounds[b]], np.repeat(np.arange(b - a), np.diff(bounds[a : b + 1]))
+                kept = random.random(len(own)) < KEPT
+                own, owner = own[kept], owner[kept]
+                raw, sums = _raw(values[0][0], values[1], values[2], own, owner, b - a)
+                miss = _sigmoid(raw) - toxic[a:b]
+                missed += miss.sum()
+                each = np.bincount(own, miss[owner], len(chosen))
+                weights += each
+                for k in range(FACTORS):
+                    factors[:, k] += np.bincount(own, (miss * sums[:, k])[owner], len(chosen)) - each * values[2][:, k]
+            for v, m, s, g in zip(values, first, second, (np.array([missed]), weights, factors), strict=True):
                 m += 0.1 * (g - m)
                 s += 0.001 * (g * g - s)
                 v -= RATE * (m / (1 - 0.9**step)) / (np.sqrt(s / (1 - 0.999**step)) + 1e-8)
@@ -107,10 +114,9 @@ class Machine:
 
 def _raw(bias: float, weights: np.ndarray, factors: np.ndarray, places: np.ndarray, owner: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
     """Bias, weights and half of (square of sums less sum of squares) of the factors; the sums by text."""
-    own = factors[places]
-    sums = np.column_stack([np.bincount(owner, own[:, k], n) for k in range(factors.shape[1])])
-    squares = np.bincount(owner, (own * own).sum(1), n)
-    return bias + np.bincount(owner, weights[places], n) + 0.5 * ((sums * sums).sum(1) - squares), sums
+    sums = np.column_stack([np.bincount(owner, f[places], n) for f in np.ascontiguousarray(factors.T)])
+    own = weights - 0.5 * (factors * factors).sum(1)
+    return bias + np.bincount(owner, own[places], n) + 0.5 * (sums * sums).sum(1), sums
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -144,8 +150,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     if 0 < bad < total:
         counts = known.select("toxic", "buckets").mapInArrow(_counted, "bucket int, toxic long, others long").groupBy("bucket")
         ratio = _ratio(F.col("a"), F.col("b"), float(bad), float(total - bad))
-        best = counts.agg(F.sum("toxic").alias("a"), F.sum("others").alias("b")).select("bucket", ratio.alias("ratio")).where(F.col("ratio") >= RATIO)
-        chosen = np.sort(best.orderBy(F.desc("ratio"), "bucket").limit(CHOSEN).toArrow().column("bucket").to_numpy().astype(np.int64))
+        best = counts.agg(F.sum("toxic").alias("a"), F.sum("others").alias("b")).where(ratio >= RATIO)  # BUCKETS rows at most
+        chosen = np.sort(best.select("bucket").toArrow().column("bucket").to_numpy().astype(np.int64))
     part = min(1.0, sample / max(total, 1))
     picked = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int(part * (1 << 30))) if part < 1 else known
     found = picked.select("toxic", "buckets").mapInArrow(_chosen(chosen), "toxic int, places array<int>").toArrow()
@@ -153,7 +159,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     for x in found.column("places").chunks:
         places.append(x.flatten().to_numpy(zero_copy_only=False))
         sizes.append(x.value_lengths().to_numpy(zero_copy_only=False))
-    flat = np.concatenate([np.zeros(0, np.int64), *places]).astype(np.int64)
+    flat = np.concatenate([np.zeros(0, np.int32), *places])
     bounds = np.concatenate([[0], np.cumsum(np.concatenate([np.zeros(0, np.int64), *sizes]))]).astype(np.int64)
     toxic = found.column("toxic").to_numpy().astype(float)
     return Machine.fitted(chosen, flat, bounds, (toxic > 0).astype(float))

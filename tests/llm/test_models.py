@@ -49,6 +49,19 @@ def test_toxicity(spark, frame, odd):
     assert kept.columns == docs.columns and kept.count() == sum(not r["predicted"] for r in found)
 
 
+def test_every_telling_term_is_chosen(spark, frame):
+    """More insults than a fixed number of terms would hold, in texts made as those learned from."""
+    r = random.Random(4)
+    insult = lambda k: f"{k:03d}q"
+    rows = [(i, prose(3000 + i, 30) + "".join(" " + insult(k) for k in r.sample(range(900), 12)) * (i % 2)) for i in range(3600)]
+    labels = spark.createDataFrame([(i, i % 2) for i, _ in rows], "doc_id bigint, toxic int")
+    machine = toxicity.fit(frame(rows), labels)
+    buckets = {int(toxicity.terms(pa.array([insult(k)]))[0][0]) for k in range(900)}
+    assert len(buckets) > 800 and len(buckets & set(machine.chosen.tolist())) > 0.95 * len(buckets)
+    scores = machine.score(pa.array([" ".join([prose(9000 + k, 30), *(insult((k + j) % 900) for j in range(12))]) for k in range(900)]))
+    assert (scores >= toxicity.THRESHOLD).mean() > 0.95
+
+
 def test_toxicity_without_labels(spark, frame):
     docs = frame([(1, "a"), (2, None)])
     none = spark.createDataFrame([], "doc_id bigint, toxic int")
