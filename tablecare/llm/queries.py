@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablecare.llm import containment, line_chunks, pieces, repeats, similar_texts, suffix_tree, token_counts, token_files, top_products, toxicity
+from tablecare.llm import collision_search, containment, line_chunks, pieces, repeats, similar_texts, suffix_tree, token_counts, token_files, top_products, toxicity, whitening
 from tablecare.sources.session import work_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -95,3 +95,14 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op8_repeats")
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.removal_digests(table(spark, sf_dir, "documents"))
+
+
+@query("op11_whitening")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = whitening.whiten(table(spark, sf_dir, "embeddings"), 4)
+    return found.withColumn("deviation", F.col("deviation").try_cast("long"))
+
+
+@query("op13_collisions")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collision_search.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, 10)
