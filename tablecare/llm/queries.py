@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablecare.llm import collision_search, containment, line_chunks, pieces, repeats, similar_texts, suffix_tree, token_counts, token_files, top_products, toxicity, whitening
+from tablecare.llm import alignment, collision_search, containment, line_chunks, pieces, repeats, similar_texts, suffix_tree, token_counts, token_files, top_products, toxicity, whitening
 from tablecare.sources.session import work_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -103,6 +103,11 @@ def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("deviation", F.col("deviation").try_cast("long"))
 
 
+@query("op12_alignment")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 @query("op13_collisions")
 def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collision_search.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, 10)
