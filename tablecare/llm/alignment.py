@@ -1,10 +1,7 @@
 """Alignment of two tokenizers' tokens by the bytes they cover, with counts over the corpus.
 
 Texts are shuffled whole, so that equal ones meet and each distinct text is
-encoded once, with its number of documents.  A text is cut where neither
-tokenizer joins over: before a single blank that a word follows.  Such
-parts are mostly words and recur, so a worker remembers how each is encoded and
-aligned.  Both tokenizers end a token at every cut, so groups don't cross it.
+encoded and aligned once, with its number of documents.
 
 Distinct texts are packed into blocks: a block has a dictionary of its linked
 id pairs and refers to it by place.  Pair counts are added up from the
@@ -23,16 +20,17 @@ empty table gives no rows.
 from __future__ import annotations
 
 import hashlib
-import re
+import os
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 import sentencepiece
 import tokenizers
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tablecare.llm.texts import id_and_text, slices
@@ -40,10 +38,8 @@ from tablecare.sources.session import cut_lineage
 
 #: Text of a block; its dictionary of pairs and the references to it are held by one task.
 BLOCK_BYTES = 8 << 20
-#: Parts that a worker remembers; the memory is emptied when full, no result changes.
-REMEMBERED = 200_000
-#: Longer parts aren't remembered.
-LONGEST = 64
+#: Links from which a group's pairs are counted by distinct ids.
+WIDE = 4096
 
 BLOCKS = "block long, keys binary, numbers binary, digests binary, pair_ends binary, places binary, times binary, pairs binary, documents binary"
 MEASURES = ["n_a", "n_b", "n_groups", "n_links"]
@@ -51,9 +47,6 @@ RESULT = "doc_id long, n_a long, n_b long, n_groups long, n_links long, n_best l
 #: Bytes of a text's key.
 KEY = 32
 
-#: Before a blank with no blank before and no white space after it.
-CUT = re.compile(r"(?<=[^ ])(?= \S)")
-
 
 def byte_letters() -> dict[str, int]:
     """The letter that byte-level vocabularies write for each byte: itself where it prints, else the next unused from 256 on."""
@@ -63,76 +56,98 @@ def byte_letters() -> dict[str, int]:
 
 
 class Aligner:
-    """Both tokenizers, and what they make of parts of texts."""
+    """Both tokenizers, and the bytes and decimal numbers of their ids."""
 
     def __init__(self, json_path: str, model_path: str):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark's tasks are the parallel part
         self.a = tokenizers.Tokenizer.from_file(json_path)
         self.a.encode_special_tokens = True
-        letters = byte_letters()
-        self.a_bytes = {}
-        for entry, i in self.a.get_vocab(with_added_tokens=True).items():
-            plain = all(c in letters for c in entry)
-            self.a_bytes[i] = bytes(letters[c] for c in entry) if plain else entry.encode()
+        letters, vocabulary = byte_letters(), self.a.get_vocab(with_added_tokens=True)
+        self.a_bytes = [b""] * (max(vocabulary.values()) + 1)
+        for entry, i in vocabulary.items():
+            self.a_bytes[i] = bytes(letters[c] for c in entry) if all(c in letters for c in entry) else entry.encode()
         self.b = sentencepiece.SentencePieceProcessor(model_file=model_path)
         self.b_bytes = [self._piece(i) for i in range(self.b.get_piece_size())]
-        self.known: dict[str, tuple | None] = {}
-        self.parted = self._parts_apart()
+        self.sizes = [np.array([len(x) for x in t], np.int64) for t in (self.a_bytes, self.b_bytes)]
+        # a decimal id and what follows it: further ids of its group, or the group's other half or end
+        self.written = [np.array([f"{i}{mark}" for i in range(len(t)) for mark in f",{end}"], object) for t, end in ((self.a_bytes, "|"), (self.b_bytes, ";"))]
 
     def _piece(self, i: int) -> bytes:
         piece = self.b.id_to_piece(i)
         return bytes([int(piece[3:5], 16)]) if self.b.is_byte(i) else piece.replace("▁", " ").encode()
 
-    def _parts_apart(self) -> bool:
-        """Whether no entry joins over a cut: none but white space has a blank after another character, and a trial text agrees."""
-        entries = [*self.b_bytes, *(e for e in self.a_bytes.values() if e.decode(errors="replace").strip())]
-        joined = [e for e in entries if b" " in e.lstrip(b" ")]
-        trial = " A few words, 12 of them.\nTwo  more \t lines\xa0 é漢 \xa0 <s>\n \n end\x1c x"
-        parts = [self.encode(p) for p in CUT.split(trial)]
-        return not joined and self.encode(trial) == tuple([i for p in parts for i in p[k]] for k in range(2))
-
-    def encode(self, spaced: str) -> tuple[list[int], list[int]]:
-        """Ids of both; the second puts the leading blank before the text itself."""
-        return self.a.encode(spaced, add_special_tokens=False).ids, self.b.encode(spaced[1:])
-
-    def align(self, spaced: str) -> tuple | None:
-        """Numbers of A's and B's ids, groups and links, the groups as text, and linked pairs a << 32 | b; None if bytes differ."""
-        a, b = self.encode(spaced)
-        a_bytes, b_bytes = [self.a_bytes[i] for i in a], [self.b_bytes[i] for i in b]
-        data = spaced.encode()
-        if b"".join(a_bytes) != data or b"".join(b_bytes) != data:
-            return None
-        a_ends, b_ends = np.cumsum([len(x) for x in a_bytes]), np.cumsum([len(x) for x in b_bytes])
-        ends = np.intersect1d(a_ends, b_ends)
-        a_cuts, b_cuts = (np.searchsorted(e, ends, side="right").tolist() for e in (a_ends, b_ends))
-        groups, pairs, i, j, links = [], [], 0, 0, 0
-        for p, q in zip(a_cuts, b_cuts, strict=True):
-            groups.append(f"{','.join(map(str, a[i:p]))}|{','.join(map(str, b[j:q]))}")
-            pairs.append(np.add.outer(np.array(a[i:p], np.int64) << 32, np.array(b[j:q], np.int64)).ravel())
-            links += (p - i) * (q - j)
-            i, j = p, q
-        return len(a), len(b), len(groups), links, ";".join(groups), np.concatenate(pairs)
-
-    def text(self, text: str) -> list[tuple] | None:
-        """The aligned parts of a text, one after the other."""
-        spaced = " " + text
-        if self.parted:
-            found = [self._part(p) for p in CUT.split(spaced)]
-            if None not in found:
-                return found
-        whole = self.align(spaced)  # parts that differ may still make up the text
-        return None if whole is None else [whole]
-
-    def _part(self, part: str) -> tuple | None:
-        if part in self.known:
-            return self.known[part]
-        found = self.align(part)
-        if len(part) <= LONGEST:
-            self.known[part] = found
-        return found
-
-    def trim(self) -> None:
-        if len(self.known) > REMEMBERED:
-            self.known.clear()
+    def encode(self, texts: list[str]) -> tuple[list[list[int]], list[list[int]]]:
+        """Ids of both for each text; the first reads a blank before it, the second puts one there itself."""
+        a = [e.ids for e in self.a.encode_batch_fast([" " + t for t in texts], add_special_tokens=False)]
+        return a, self.b.encode(texts, num_threads=1)
+
+    def align(self, texts: list[str]) -> tuple[np.ndarray, Aligned | None]:
+        """Which texts have tokens, and the alignment of those."""
+        a, b = self.encode(texts)
+        whole = [(" " + t).encode() for t in texts]
+        same = [t != "" and x == b"".join([self.a_bytes[i] for i in p]) == b"".join([self.b_bytes[i] for i in q]) for t, x, p, q in zip(texts, whole, a, b, strict=True)]
+        kept = np.flatnonzero(same)
+        return kept, Aligned(self, [a[k] for k in kept], [b[k] for k in kept]) if len(kept) else None
+
+
+class Aligned:
+    """Tokens of several texts of equal bytes in both tokenizers, cut into groups where both end one."""
+
+    def __init__(self, by: Aligner, a: list[list[int]], b: list[list[int]]):
+        self.by = by
+        self.ids = [np.fromiter(chain.from_iterable(side), np.int64, sum(map(len, side))) for side in (a, b)]
+        self.bounds = [np.concatenate([[0], np.cumsum([len(t) for t in side])]) for side in (a, b)]
+        ends = [np.cumsum(size[i]) for size, i in zip(by.sizes, self.ids, strict=True)]
+        both = np.zeros(int(ends[0][-1]) + 1, bool)
+        both[ends[0]] = True
+        cuts = ends[1][both[ends[1]]]
+        self.group = [np.searchsorted(cuts, e) for e in ends]
+        self.members = [np.bincount(g, minlength=len(cuts)) for g in self.group]
+        self.first = [np.cumsum(m) - m for m in self.members]
+        self.text_of_group = np.searchsorted(self.bounds[0][1:], self.first[0], side="right")
+
+    def numbers(self) -> np.ndarray:
+        """A row a text: ids of A, ids of B, groups, links."""
+        texts = len(self.bounds[0]) - 1
+        groups = np.bincount(self.text_of_group, minlength=texts)
+        links = np.zeros(texts, np.int64)
+        np.add.at(links, self.text_of_group, self.members[0] * self.members[1])
+        return np.stack([np.diff(self.bounds[0]), np.diff(self.bounds[1]), groups, links], axis=1)
+
+    def digests(self) -> list[bytes]:
+        """SHA-256 of each text's groups, written out."""
+        (a, b), (ga, gb) = self.ids, self.group
+        at_a, at_b = np.arange(len(a)) + self.first[1][ga], np.arange(len(b)) + (self.first[0] + self.members[0])[gb]
+        words = np.empty(len(a) + len(b), object)
+        words[at_a] = self.by.written[0][2 * a + self._last(0)]
+        words[at_b] = self.by.written[1][2 * b + self._last(1)]
+        bounds = (self.bounds[0] + self.bounds[1]).tolist()
+        return [hashlib.sha256("".join(words[s:e])[:-1].encode()).digest() for s, e in zip(bounds[:-1], bounds[1:], strict=True)]
+
+    def _last(self, side: int) -> np.ndarray:
+        """1 for the last token of a group."""
+        group = self.group[side]
+        return np.concatenate([group[1:] != group[:-1], [True]]).astype(np.int64)
+
+    def links(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Text, pair a << 32 | b and times of the distinct pairs of each text, in order."""
+        sizes = self.members[0] * self.members[1]
+        wide = np.flatnonzero(sizes > WIDE)
+        (a, b), (ga, _) = self.ids, self.group
+        reps = np.where(sizes[ga] > WIDE, 0, self.members[1][ga])
+        other = np.repeat(self.first[1][ga] - (np.cumsum(reps) - reps), reps) + np.arange(reps.sum())
+        texts, pairs = [np.repeat(self.text_of_group[ga], reps)], [np.repeat(a, reps) << 32 | b[other]]
+        times = [np.ones(len(other), np.int64)]
+        for g in wide:
+            (x, m), (y, n) = (np.unique(i[f[g] : f[g] + c[g]], return_counts=True) for i, f, c in zip(self.ids, self.first, self.members, strict=True))
+            pairs.append((x[:, None] << 32 | y).ravel())
+            times.append((m[:, None] * n).ravel())
+            texts.append(np.full(len(x) * len(y), self.text_of_group[g]))
+        texts, pairs, times = (np.concatenate(p) for p in (texts, pairs, times))
+        order = np.lexsort([pairs, texts])
+        texts, pairs, times = texts[order], pairs[order], times[order]
+        new = np.flatnonzero(np.concatenate([[True], (texts[1:] != texts[:-1]) | (pairs[1:] != pairs[:-1])]))
+        return texts[new], pairs[new], np.add.reduceat(times, new)
 
 
 @lru_cache(maxsize=1)
@@ -148,19 +163,15 @@ def _pack(json_path: str, model_path: str):
         one, task, made, held, size = aligner(json_path, model_path), TaskContext.get().partitionId(), 0, [], 0
         for batch in batches:
             for piece in slices(batch):
-                for key, text, n in zip(piece.column("key"), piece.column("text"), piece.column("n").to_pylist(), strict=True):
-                    spoken = text.as_py()
-                    parts = one.text(spoken)
-                    if parts is not None:
-                        digest = hashlib.sha256(";".join([p[4] for p in parts]).encode()).digest()
-                        totals = [sum(p[k] for p in parts) for k in range(4)]
-                        pairs, times = np.unique(np.concatenate([p[5] for p in parts]), return_counts=True)
-                        held.append((key.as_py(), totals, digest, pairs, times, n))
-                        size += len(spoken)
-                        one.trim()
-                    if size >= BLOCK_BYTES:
-                        yield _block(task << 32 | made, held)
-                        made, held, size = made + 1, [], 0
+                kept, found = one.align(piece.column("text").to_pylist())
+                if found is None:
+                    continue
+                at = pa.array(kept)
+                held.append((piece.column("key").take(at).to_pylist(), piece.column("n").take(at).to_numpy(), found.numbers(), found.digests(), *found.links()))
+                size += piece.column("text").nbytes
+                if size >= BLOCK_BYTES:
+                    yield _block(task << 32 | made, held)
+                    made, held, size = made + 1, [], 0
         if held:
             yield _block(task << 32 | made, held)
 
@@ -168,14 +179,14 @@ def _pack(json_path: str, model_path: str):
 
 
 def _block(number: int, held: list[tuple]) -> pa.RecordBatch:
-    keys, totals, digests, pairs, times, documents = zip(*held, strict=True)
-    counts = np.array([len(p) for p in pairs])
+    keys, documents, numbers, digests, texts, pairs, times = zip(*held, strict=True)
+    counts = np.concatenate([np.bincount(t, minlength=len(k)) for t, k in zip(texts, keys, strict=True)])
     known, places = np.unique(np.concatenate(pairs), return_inverse=True)
     weights = np.zeros(len(known), np.int64)
-    np.add.at(weights, places, np.repeat(np.array(documents, np.int64), counts))
+    np.add.at(weights, places, np.repeat(np.concatenate(documents), counts))
     data = [
-        b"".join(keys), np.array(totals, "<i8").tobytes(), b"".join(digests), np.cumsum(counts).astype("<i8").tobytes(),
-        places.astype("<u4").tobytes(), np.concatenate(times).astype("<u4").tobytes(), known.astype("<i8").tobytes(), weights.astype("<i8").tobytes(),
+        b"".join(k for p in keys for k in p), np.concatenate(numbers).astype("<i8").tobytes(), b"".join(d for p in digests for d in p), np.cumsum(counts).astype("<i8").tobytes(),
+        places.astype("<u4").tobytes(), np.concatenate(times).astype("<i8").tobytes(), known.astype("<i8").tobytes(), weights.astype("<i8").tobytes(),
     ]
     return pa.RecordBatch.from_arrays([pa.array([number]), *(pa.array([d], pa.binary()) for d in data)], [c.split()[0] for c in BLOCKS.split(", ")])
 
@@ -198,7 +209,7 @@ def _measures(block: pa.Table, counts: pa.Table) -> pa.Table:
         raise ValueError("a block's pairs and their counts differ")
     count, best = counts.column("count").to_numpy()[order], counts.column("best").to_numpy(zero_copy_only=False)[order]
     ends = np.frombuffer(row["pair_ends"], "<i8")
-    places, times = np.frombuffer(row["places"], "<u4"), np.frombuffer(row["times"], "<u4").astype(np.int64)
+    places, times = np.frombuffer(row["places"], "<u4"), np.frombuffer(row["times"], "<i8")
     starts = np.concatenate([[0], ends[:-1]])
     sums = np.add.reduceat(times * count[places], starts)
     bests = np.add.reduceat(times * best[places], starts)

@@ -92,14 +92,10 @@ def test_blocks_and_memory_change_nothing(frame, libraries, monkeypatch):
     assert found(frame(rows)) == expected(rows, libraries)
 
 
-def test_parts_are_encoded_as_wholes(libraries):
-    one = alignment.aligner(JSON, MODEL)
-    assert one.parted
-    for text in [*BLANKS, prose(4, 200)]:
-        if len(alignment.CUT.split(" " + text)) > 1:
-            whole, parts = one.align(" " + text), one.text(text)
-            assert (whole is None) == (parts is None)
-            assert whole is None or whole[4] == ";".join(p[4] for p in parts)
+def test_wide_groups_count_by_distinct_ids(frame, libraries, monkeypatch):
+    monkeypatch.setattr(alignment, "WIDE", 2)
+    rows = [(k, prose(k, 40) + " \u0e44\u0e17\u0e22 12345") for k in range(20)]
+    assert found(frame(rows)) == expected(rows, libraries)
 
 
 def test_empty_table(frame):
