@@ -43,7 +43,7 @@ from tablecare.sources.session import cut_lineage
 #: Directions, half-width of a window at radius 1, collisions asked for.
 PROJECTIONS, WIDTH, THRESHOLD = 96, 1.3, 70
 #: The radius grows by this factor, from this share of the distance known at the start.
-GROWTH, START = 1.2, 0.5
+GROWTH, START = 1.25, 0.8
 #: Vectors of an index block, and of a query block.
 BLOCK, QUERIES = 8192, 256
 #: Parts in which block numbers are paired.
@@ -152,47 +152,65 @@ class Block:
         self.values = np.frombuffer(row["values"], "<f4").reshape(PROJECTIONS, -1)
         self.places = np.frombuffer(row["places"], "<u2").reshape(PROJECTIONS, -1)
 
-    def search(self, query: np.ndarray, at: np.ndarray, k: int, bound: float) -> tuple[np.ndarray, np.ndarray]:
-        """Ids and distances of the k nearest rows found that may be within ``bound``."""
-        n, at = len(self.vectors), at / self.scale
-        counts = np.zeros(n, np.int64)
-        low = high = np.array([np.searchsorted(v, a) for v, a in zip(self.values, at, strict=True)])
-        verified = np.zeros(n, bool)
-        ids, scores, nearest = np.zeros(0, np.int64), np.zeros(0), math.inf
-        radius = START * bound if math.isfinite(bound) else self._first_radius(at, k)
-        while True:
-            reach = WIDTH * radius / self.scale * (1 + 1e-5) + 1e-6 * np.abs(at)  # the arrays hold single precision
-            left = np.array([np.searchsorted(v, a - r) for v, a, r in zip(self.values, at, reach, strict=True)])
-            right = np.array([np.searchsorted(v, a + r, side="right") for v, a, r in zip(self.values, at, reach, strict=True)])
-            left, right = np.minimum(left, low), np.maximum(right, high)
-            new = [p for row, a, b, c, d in zip(self.places, left, low, high, right, strict=True) for p in (row[a:b], row[c:d])]
-            counts += np.bincount(np.concatenate(new), minlength=n)
-            low, high = left, right
-            whole = bool((low == 0).all() and (high == n).all())
-            fresh = np.flatnonzero(~verified & ((counts >= THRESHOLD) | whole))
-            if len(fresh):
-                verified[fresh] = True
-                distance = np.sqrt(((self.vectors[fresh].astype(np.float64) - query) ** 2).sum(axis=1))
-                sizes = self.first[fresh + 1] - self.first[fresh]
-                places = np.repeat(self.first[fresh] - np.concatenate([[0], np.cumsum(sizes)[:-1]]), sizes) + np.arange(sizes.sum())
-                ids, scores = np.concatenate([ids, self.ids[places]]), np.concatenate([scores, np.repeat(distance, sizes)])
-                best = np.lexsort([ids, scores])[:k]
-                ids, scores = ids[best], scores[best]
-                if len(ids) == k:
-                    nearest = float(scores[-1])
-            limit = min(bound, nearest)
-            if whole or radius >= limit:
-                return ids, scores
-            radius = min(radius * GROWTH, limit)
-
-    def _first_radius(self, at: np.ndarray, k: int) -> float:
-        """Half the width in which the middle direction has k values to each side, above zero."""
-        gaps = []
-        for v, a in zip(self.values, at, strict=True):
-            i = int(np.searchsorted(v, a))
-            gaps.append(max(abs(float(v[min(i + k, len(v) - 1)]) - a), abs(a - float(v[max(i - k, 0)]))))
-        found = float(np.median(gaps)) * self.scale
-        return found if found > 0 else 1e-6 * self.scale
+    def search(self, queries: np.ndarray, at: np.ndarray, k: int, bounds: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+        """For each query, ids and distances of the k nearest rows found that may be within its bound."""
+        n, at = len(self.vectors), (at / self.scale).T
+        counts, verified = np.zeros((len(queries), n), np.int16), np.zeros((len(queries), n), bool)
+        low = self._places(at, "left")
+        high = low.copy()
+        best = [(np.zeros(0, np.int64), np.zeros(0))] * len(queries)
+        radius = np.where(np.isfinite(bounds), START * bounds, self._first_radius(at, k))
+        limits, active = bounds.copy(), np.arange(len(queries))
+        while len(active):
+            values = at[:, active]
+            reach = WIDTH * radius[active] / self.scale * (1 + 1e-5) + 1e-6 * np.abs(values)  # the arrays hold single precision
+            left = np.minimum(self._places(values - reach, "left"), low[:, active])
+            right = np.maximum(self._places(values + reach, "right"), high[:, active])
+            for i, q in enumerate(active):
+                edges = zip(self.places, left[:, i], low[:, q], high[:, q], right[:, i], strict=True)
+                new = [p for row, a, b, c, d in edges for p in (row[a:b], row[c:d])]
+                counts[q] += np.bincount(np.concatenate(new), minlength=n).astype(np.int16)
+            low[:, active], high[:, active] = left, right
+            whole = ((left == 0) & (right == n)).all(axis=0)
+            for q, every in zip(active, whole, strict=True):
+                fresh = np.flatnonzero(~verified[q] & ((counts[q] >= THRESHOLD) | every))
+                if len(fresh):
+                    verified[q, fresh] = True
+                    best[q] = self._nearer(queries[q], fresh, best[q], k)
+                    if len(best[q][0]) == k:
+                        limits[q] = min(limits[q], best[q][1][-1])
+            active = active[~whole & (radius[active] < limits[active])]
+            radius[active] = np.minimum(radius[active] * GROWTH, limits[active])
+        return best
+
+    def _places(self, values: np.ndarray, side: str) -> np.ndarray:
+        """Where each direction's sorted array would take its values."""
+        return np.stack([np.searchsorted(v, x.astype(np.float32), side=side) for v, x in zip(self.values, values, strict=True)])
+
+    def _nearer(self, query: np.ndarray, fresh: np.ndarray, best: tuple, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """The k best of those so far and of the rows of some more vectors."""
+        distance = np.sqrt(((self.vectors[fresh].astype(np.float64) - query) ** 2).sum(axis=1))
+        sizes = self.first[fresh + 1] - self.first[fresh]
+        rows = np.repeat(self.first[fresh] - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())
+        ids, scores = np.concatenate([best[0], self.ids[rows]]), np.concatenate([best[1], np.repeat(distance, sizes)])
+        order = np.lexsort([ids, scores])[:k]
+        return ids[order], scores[order]
+
+    def _first_radius(self, at: np.ndarray, k: int) -> np.ndarray:
+        """For each query the distance in which the middle direction has k values to either side, above zero."""
+        n, gaps = len(self.vectors), []
+        for v, a, i in zip(self.values, at, self._places(at, "left"), strict=True):
+            gaps.append(np.maximum(np.abs(v[np.minimum(i + k, n - 1)] - a), np.abs(a - v[np.maximum(i - k, 0)])))
+        return np.maximum(np.median(gaps, axis=0), 1e-6) * self.scale
+
+    def bounds(self, queries: np.ndarray, k: int) -> np.ndarray:
+        """No less than the k-th smallest distance of each query's candidates; infinite where the block has fewer."""
+        if len(self.vectors) < k:
+            return np.full(len(queries), math.inf)
+        unit = max(float(np.abs(self.vectors).max()), float(np.abs(queries).max()))
+        x, q = self.vectors / unit, queries / unit
+        near = np.argpartition((x * x).sum(axis=1) - 2 * (q @ x.T), k - 1, axis=1)[:, :k]
+        return np.sqrt(((x[near] - q[:, None, :]) ** 2).sum(axis=2)).max(axis=1) * unit * (1 + 1e-9)
 
 
 def build_index(entries: DataFrame, kind: str = "<f8") -> DataFrame:
@@ -215,7 +233,7 @@ def _rows(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[dict]
 
 
 def _search(k: int, seed: bool):
-    """Each query of a block against an index block: what it found, or with ``seed`` the k-th distance."""
+    """Each query of a block against an index block: what it found, or with ``seed`` a bound of its k-th distance."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["dim", "kind", "scale", "ids", "id_ends", "vectors", "values", "places", "q_block", "q_numbers", "q_vectors", "bounds"]
@@ -223,12 +241,10 @@ def _search(k: int, seed: bool):
             block = Block(row)
             queries = np.frombuffer(row["q_vectors"], row["kind"]).reshape(-1, row["dim"]).astype(np.float64)
             numbers, at = np.frombuffer(row["q_numbers"], "<i8"), queries @ directions(row["dim"]).T
-            bounds = np.frombuffer(row["bounds"], "<f8") if row["bounds"] else np.full(len(queries), math.inf)
-            found = [block.search(q, a, k, float(b)) for q, a, b in zip(queries, at, bounds, strict=True)]
             if seed:
-                ends = [s[-1] if len(s) == k else math.inf for _, s in found]
-                yield pa.RecordBatch.from_arrays([pa.array([row["q_block"]]), pa.array([np.array(ends, "<f8").tobytes()], pa.binary())], ["block", "bounds"])
+                yield pa.RecordBatch.from_arrays([pa.array([row["q_block"]]), pa.array([block.bounds(queries, k).astype("<f8").tobytes()], pa.binary())], ["block", "bounds"])
             else:
+                found = block.search(queries, at, k, np.frombuffer(row["bounds"], "<f8"))
                 sizes = [len(i) for i, _ in found]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(np.repeat(numbers, sizes)), pa.array(np.concatenate([i for i, _ in found])), pa.array(np.concatenate([s for _, s in found]))], ["number", "vec_id", "score"]
