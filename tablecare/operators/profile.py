@@ -99,9 +99,21 @@ def _judged_sql(field: T.StructField, scan_all_types: bool) -> str | None:
     return None
 
 
-def _column_sql(position: int, field: T.StructField, measures: frozenset[str], full: bool,
-                exempt: set[str], scan_all_types: bool) -> str:
-    """Aggregates over one column as a struct in the shape all columns share."""
+def finite_sql(field: T.StructField) -> str:
+    """A numeric column's finite values as doubles: an infinity shows in the extremes only."""
+    number = f"CAST({clean_sql(field)} AS double)"
+    if base_semantic_type(field.dataType) == "float":
+        return f"CASE WHEN abs({number}) < double('Infinity') THEN {number} END"
+    return number
+
+
+def struct_sql(parts: dict[str, str]) -> str:
+    return "struct(" + ", ".join(f"{sql} AS {name}" for name, sql in parts.items()) + ")"
+
+
+def column_aggregates(position: int, field: T.StructField, measures: frozenset[str], full: bool,
+                      exempt: set[str], scan_all_types: bool) -> dict[str, str]:
+    """Aggregates over one column by name, the same names for all columns."""
     value, base = clean_sql(field), base_semantic_type(field.dataType)
     out = {
         "position": str(position),
@@ -118,9 +130,7 @@ def _column_sql(position: int, field: T.StructField, measures: frozenset[str], f
         "latest": "CAST(null AS timestamp_ntz)",
     }
     if "stats" in measures and base in ("integer", "float"):
-        number = f"CAST({value} AS double)"
-        # an infinity shows in the extremes; mean and deviation are those of the finite values
-        finite = f"CASE WHEN abs({number}) < double('Infinity') THEN {number} END" if base == "float" else number
+        finite = finite_sql(field)
         out |= {
             "min": f"CAST(min({value}) AS double)", "max": f"CAST(max({value}) AS double)",
             "mean": f"round(avg({finite}), 2)", "std": f"round(stddev_samp({finite}), 2)",
@@ -143,7 +153,7 @@ def _column_sql(position: int, field: T.StructField, measures: frozenset[str], f
         elif full and _judged_sql(field, scan_all_types):
             hits = ", ".join(f"count_if(__pii{position} = '{name}')" for name in pii.PATTERNS)
             out["pii_hits"] = f"array({hits})"
-    return "struct(" + ", ".join(f"{sql} AS {name}" for name, sql in out.items()) + ")"
+    return out
 
 
 def _scan_groups(schema: T.StructType, budget: int) -> list[list[tuple[int, T.StructField]]]:
@@ -159,6 +169,22 @@ def _scan_groups(schema: T.StructType, budget: int) -> list[list[tuple[int, T.St
     return groups
 
 
+def scan_inputs(group: list[tuple[int, T.StructField]], measures: frozenset[str], full: bool,
+                exempt: set[str], scan_all_types: bool) -> list[str]:
+    """The columns of a scan, and what is worked out once per value for their aggregates."""
+    needed = [quoted(f.name) for _, f in group]
+    for position, field in group if full else ():
+        judged = _judged_sql(field, scan_all_types)
+        if "pii" in measures and judged and field.name not in exempt and not pii.name_type(field.name):
+            needed.append(f"{pii.type_of_value_sql(judged)} AS __pii{position}")
+        if base_semantic_type(field.dataType) == "string":
+            if "types" in measures:
+                needed.append(f"{date_formats_sql(quoted(field.name))} AS __dates{position}")
+            if "freshness" in measures:
+                needed.append(f"{date_like_sql(quoted(field.name))} AS __date{position}")
+    return needed
+
+
 def _scan(df: DataFrame, measures: frozenset[str], full: bool, exempt: set[str],
           scan_all_types: bool, scan_budget: int) -> DataFrame:
     """Evidence rows, one per column, from aggregations that shuffle one row per task.
@@ -169,17 +195,8 @@ def _scan(df: DataFrame, measures: frozenset[str], full: bool, exempt: set[str],
     """
     parts = []
     for group in _scan_groups(df.schema, scan_budget):
-        needed = [quoted(f.name) for _, f in group]
-        for position, field in group if full else ():
-            judged = _judged_sql(field, scan_all_types)
-            if "pii" in measures and judged and field.name not in exempt and not pii.name_type(field.name):
-                needed.append(f"{pii.type_of_value_sql(judged)} AS __pii{position}")
-            if base_semantic_type(field.dataType) == "string":
-                if "types" in measures:
-                    needed.append(f"{date_formats_sql(quoted(field.name))} AS __dates{position}")
-                if "freshness" in measures:
-                    needed.append(f"{date_like_sql(quoted(field.name))} AS __date{position}")
-        structs = [_column_sql(i, f, measures, full, exempt, scan_all_types) for i, f in group]
+        needed = scan_inputs(group, measures, full, exempt, scan_all_types)
+        structs = [struct_sql(column_aggregates(i, f, measures, full, exempt, scan_all_types)) for i, f in group]
         one_row = df.selectExpr(*needed).selectExpr(f"array({', '.join(structs)}) AS columns")
         parts.append(one_row.selectExpr("inline(columns)"))
     return reduce(DataFrame.unionAll, parts)
@@ -269,6 +286,34 @@ def _row_groups(df: DataFrame) -> DataFrame:
     )
 
 
+def described(judged: DataFrame, measures: frozenset[str]) -> DataFrame:
+    """The profile of columns, without distinct counts, from the evidence of their scan."""
+    if "types" not in measures:
+        semantic = "base_type"
+    else:
+        semantic = (
+            "CASE WHEN base_type = 'string' AND (date_trials = 0 OR coalesce(date_fits, 0) <> 0)"
+            " THEN 'datetime_string' ELSE base_type END"
+        )
+    # most frequent type wins; a tie goes to the earlier pattern
+    ranked = ", ".join(
+        f"struct(get(pii_hits, {i}) AS hits, {-i} AS rank, '{name}' AS kind)"
+        for i, name in enumerate(pii.PATTERNS)
+    )
+    best = f"array_max(array({ranked}))"
+    value_pii = f"coalesce(first_pii, CASE WHEN {best}.hits > 0 THEN {best}.kind END)"
+    return judged.selectExpr(
+        "position", "column", "dtype", f"{semantic} AS semantic_type", "row_count",
+        "row_count - non_null AS null_count",
+        "round(try_divide((row_count - non_null) * 100.0D, row_count), 2) AS null_percent",
+        "min", "max", "mean", "std", "text_values", "numeric_values",
+        f"coalesce(name_pii, {value_pii}) AS pii_type",
+        "CASE WHEN name_pii IS NOT NULL THEN 'column_name_match'"
+        f" WHEN {value_pii} IS NOT NULL THEN 'value_pattern_match' END AS pii_method",
+        "latest",
+    )
+
+
 def profile_columns(
     df: DataFrame,
     measures: frozenset[str] | set[str] = ALL_MEASURES,
@@ -317,30 +362,7 @@ def profile_columns(
             "coalesce(s_trials, 0L) AS date_trials", "s_fits AS date_fits", "s_pii AS first_pii",
             "s_latest AS latest",
         )
-    if "types" not in measures:
-        semantic = "base_type"
-    else:
-        semantic = (
-            "CASE WHEN base_type = 'string' AND (date_trials = 0 OR coalesce(date_fits, 0) <> 0)"
-            " THEN 'datetime_string' ELSE base_type END"
-        )
-    # most frequent type wins; a tie goes to the earlier pattern
-    ranked = ", ".join(
-        f"struct(get(pii_hits, {i}) AS hits, {-i} AS rank, '{name}' AS kind)"
-        for i, name in enumerate(pii.PATTERNS)
-    )
-    best = f"array_max(array({ranked}))"
-    value_pii = f"coalesce(first_pii, CASE WHEN {best}.hits > 0 THEN {best}.kind END)"
-    out = judged.selectExpr(
-        "position", "column", "dtype", f"{semantic} AS semantic_type", "row_count",
-        "row_count - non_null AS null_count",
-        "round(try_divide((row_count - non_null) * 100.0D, row_count), 2) AS null_percent",
-        "min", "max", "mean", "std", "text_values", "numeric_values",
-        f"coalesce(name_pii, {value_pii}) AS pii_type",
-        "CASE WHEN name_pii IS NOT NULL THEN 'column_name_match'"
-        f" WHEN {value_pii} IS NOT NULL THEN 'value_pattern_match' END AS pii_method",
-        "latest",
-    )
+    out = described(judged, measures)
 
     rows = "duplicates" in measures
     if not rows and "distinct" not in measures:

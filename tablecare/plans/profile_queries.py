@@ -6,12 +6,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tablecare.operators import drift, profile, rules
+from tablecare.operators import drift, partial, profile, rules
 from tablecare.plans.catalog import query
 from tablecare.plans.relations import (
     DIRTY_COLUMNS, DIRTY_FINDINGS_SQL, DIRTY_SQL, LATER_SQL, dirty_orders, duplicates_sql,
     faulty_orders, orders_as_delivered_later, profile_sql, spread_table, table,
 )
+from tablecare.sources.session import work_path
 
 FINDING = ["rule", "column", "severity", "points"]
 AS_OF = "2026-01-01 00:00:00"
@@ -72,6 +73,49 @@ def profile_numeric(spark, folder) -> DataFrame:
     return profile.profile_columns(numbers, {"stats"}).select("column", "min", "max", "mean", "std")
 
 
+_EVENTS = [
+    ("event_id", "bigint", "integer"), ("ts", "timestamp_ntz", "datetime"), ("user_id", "bigint", "integer"),
+    ("event_type", "string", "string"), ("value", "double", "float"), ("props", "string", "string"),
+]
+
+
+def _events_by_day(spark, folder) -> partial.PartProfiles:
+    """States of the days' events, stored in two runs: the second finds later days and more rows of the last day before."""
+    path, store = work_path(spark, "events-by-day"), partial.PartProfiles(spark, work_path(spark, "states"))
+    events = spread_table(spark, folder, "events").withColumn("day", F.to_date("ts"))
+    later = F.col("event_id") > events.agg(F.avg("event_id")).scalar()
+    for part in (~later, later):
+        events.where(part).write.mode("append").partitionBy("day").parquet(path)
+        store.add(path, "day")
+    return store
+
+
+@query("profile_by_parts", f"""
+WITH profile AS ({profile_sql('events', _EVENTS)})
+SELECT position, "column", dtype, semantic_type, row_count, null_count, null_percent, min, max, mean, std FROM profile
+""")
+def profile_by_parts(spark, folder) -> DataFrame:
+    return _events_by_day(spark, folder).profile().select(
+        "position", "column", "dtype", "semantic_type", "row_count", "null_count", "null_percent", "min", "max", "mean", "std"
+    )
+
+
+@query("profile_parts_rows", "SELECT strftime(ts, '%Y-%m-%d') AS part, count(*) AS row_count FROM events GROUP BY 1")
+def profile_parts_rows(spark, folder) -> DataFrame:
+    return _events_by_day(spark, folder).parts()
+
+
+@query("profile_parts_distinct", f"""
+WITH profile AS ({profile_sql('events', _EVENTS)})
+SELECT "column", unique_count AS exact, true AS within FROM profile
+""")
+def profile_parts_distinct(spark, folder) -> DataFrame:
+    """Exact distinct counts, and whether the merged sketches are within five standard errors of them."""
+    exact = profile.distinct_counts(spread_table(spark, folder, "events"), rows=False).withColumnRenamed("unique_count", "exact")
+    within = F.abs(F.col("unique_count") - F.col("exact")) <= 5 * partial.SKETCH_ERROR * F.col("exact")
+    return _events_by_day(spark, folder).profile().join(exact, "position").select("column", "exact", within.alias("within"))
+
+
 @query("duplicate_rows", f"WITH {DIRTY_SQL} SELECT {duplicates_sql('dirty_orders')} AS duplicate_rows")
 def duplicate_rows(spark, folder) -> DataFrame:
     return profile.duplicate_rows(dirty_orders(spark, folder))
