@@ -9,7 +9,7 @@ from pyspark.sql import types as T
 from tablecare.functions.hashing import clean_value, key128_sql, quoted
 from tablecare.functions.text import NA_TOKENS, numeric_text_to_double
 from tablecare.operators.profile import profile_columns
-from tablecare.operators.quantile import exact_median, mode_rows
+from tablecare.operators.quantile import exact_medians, mode_rows
 from tablecare.operators.rules import NULL_CRITICAL, OUTLIER_SIGMAS
 
 
@@ -52,11 +52,10 @@ def fill_mean(df: DataFrame, columns: list[str], digits: int = 2) -> DataFrame:
 
 
 def fill_median(df: DataFrame, columns: list[str]) -> DataFrame:
-    """Nulls replaced by the exact column median; the column keeps its type."""
-    medians = {c: exact_median(df, c) for c in columns}
+    """Nulls replaced by the exact column median; the column keeps its type; all medians from the same scans."""
     return _replaced(df, {
         c: F.coalesce(clean_value(df.schema[c]), _in_type(F.lit(m).cast("double"), df.schema[c]))
-        for c, m in medians.items()
+        for c, m in exact_medians(df, columns).items()
     })
 
 

@@ -3,94 +3,205 @@
 from __future__ import annotations
 
 import math
+from dataclasses import dataclass
+from decimal import Decimal
+from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tablecare.functions.hashing import clean_value, quoted
+from tablecare.sources.session import cut_lineage
 
-BUCKETS = 2048
-# Few enough distinct values to bring to the driver as (value, count) pairs.
+# Cuts of a range in a round; a round narrows it to about four of them.
+BUCKETS = 250
+# Few enough rows of a range to bring their distinct values to the driver as (value, count) pairs.
 SMALL = 20_000
+# Rounds after which a rank is looked for by ordering its range.
+ROUNDS = 6
+# Ranks of a sketch are off by at most this share of the rows; a range that turns out wrong is left again.
+ACCURACY = 10_000
 
 
-def _rank_values(values: DataFrame, n: int, low, high, ranks: list[int]) -> dict[int, float]:
-    """Values of the given 0-based ranks, by narrowing a histogram around each.
+@dataclass
+class _Rank:
+    """A 0-based rank of a column: it lies in [least, most] for certain, in [low, high] by the sketch."""
 
-    Every round counts rows per bucket of the current range (at most BUCKETS
-    rows come back) and continues inside the bucket that holds the rank, until
-    the bucket holds one value or few rows.
-    """
-    answers: dict[int, float] = {}
-    for rank in ranks:
-        lo, hi, below, inside = low, high, 0, n
-        while lo != hi and inside > SMALL:
-            if math.isinf(lo) or math.isinf(hi):
-                # an infinite end has no width: step over it, or stop on it
-                end = values.filter(F.col("v").between(F.lit(lo), F.lit(hi))).agg(
-                    F.count_if(F.col("v") == F.lit(lo)).alias("low"),
-                    F.count_if(F.col("v") == F.lit(hi)).alias("high"),
-                    F.min(F.when(F.col("v") > F.lit(lo), F.col("v"))).alias("next"),
-                    F.max(F.when(F.col("v") < F.lit(hi), F.col("v"))).alias("last"),
-                ).first()
-                if rank < below + end["low"]:
-                    hi = lo
-                elif rank >= below + inside - end["high"]:
-                    lo = hi
-                else:
-                    below += end["low"]
-                    inside -= end["low"] + end["high"]
-                    lo, hi = end["next"], end["last"]
-                continue
-            width = (float(hi) - float(lo)) / BUCKETS
-            if width == 0 or math.isinf(width):
-                break
-            bucket = F.least(
-                F.floor((F.col("v").cast("double") - F.lit(float(lo))) / F.lit(width)), F.lit(BUCKETS - 1)
-            )
-            rows = (
-                values.filter(F.col("v").between(F.lit(lo), F.lit(hi)))
-                .groupBy(bucket.alias("b"))
-                .agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"))
-                .orderBy("b").collect()
-            )
-            if len(rows) == 1:  # the range is too narrow for a double to divide
-                break
-            for row in rows:
-                if rank < below + row["n"]:
-                    lo, hi, inside = row["lo"], row["hi"], row["n"]
-                    break
-                below += row["n"]
-        if lo == hi:
-            answers[rank] = lo
-            continue
-        counted = (
-            values.filter(F.col("v").between(F.lit(lo), F.lit(hi)))
-            .groupBy("v").agg(F.count(F.lit(1)).alias("n")).orderBy("v").toLocalIterator()
-        )
-        for row in counted:
-            below += row["n"]
-            if rank < below:
-                answers[rank] = row["v"]
+    column: str
+    rank: int
+    least: object
+    most: object
+    low: object
+    high: object
+    below: int = 0
+    inside: int = 0
+    rounds: int = 0
+    state: str = "open"
+    value: object = None
+
+    def range(self) -> tuple:
+        return self.column, self.low, self.high
+
+    def narrow(self, found) -> None:
+        """Takes in what lies below and inside the range, and where the sketch cuts it."""
+        below, inside, cuts = found["below"], found["inside"], found["cuts"]
+        self.rounds += 1
+        if self.rank < below:
+            self.most = self._within(self.low)
+        elif self.rank >= below + inside:
+            self.least = self._within(self.high)
+        else:
+            self.least, self.most, self.below, self.inside = found["first"], found["last"], below, inside
+        self.low, self.high = self.least, self.most
+        if self.rank < below or self.rank >= below + inside or self.rounds > ROUNDS:
+            # a sketch that leads astray this often has more rows than doubles to tell them apart
+            self.state = "dense" if self.rounds > ROUNDS else "open"
+        elif self.least == self.most:
+            self.state, self.value = "found", self.least
+        elif inside <= SMALL:
+            self.state = "few"
+        else:
+            place = (self.rank - below) / inside * BUCKETS
+            first, last = math.floor(place) - 2, math.ceil(place) + 2
+            self.low = self._within(cuts[first]) if first > 0 else self.least
+            self.high = self._within(cuts[last]) if last < BUCKETS else self.most
+
+    def _within(self, cut):
+        """The cut, or the nearer end where rounding took it out of the range."""
+        return max(self.least, min(cut, self.most))
+
+
+def _values(df: DataFrame, column: str) -> Column:
+    return clean_value(df.schema[column])
+
+
+def _bounded(df: DataFrame, rank: _Rank) -> Column:
+    """Whether a row's value is in the range."""
+    kind = df.schema[rank.column].dataType
+    return _values(df, rank.column).between(F.lit(rank.low).cast(kind), F.lit(rank.high).cast(kind))
+
+
+def _starts(df: DataFrame, shares: dict[str, list[float]]) -> tuple[dict[str, int], list[_Rank]]:
+    """How many values each column has, and its ranks with ranges from one sketch a column."""
+    slack, wanted = 2 / ACCURACY, []
+    for i, (c, qs) in enumerate(shares.items()):
+        v = _values(df, c)
+        ends = [e for q in qs for e in (max(0.0, q - slack), min(1.0, q + slack))]
+        sketch = F.percentile_approx(v, F.array(*map(F.lit, ends)), ACCURACY)
+        wanted.append(F.struct(F.count(v).alias("n"), F.min(v).alias("low"), F.max(v).alias("high"), sketch.alias("ends")).alias(f"c{i}"))
+    row, counts, ranks = df.agg(*wanted).first(), {}, []
+    for i, (c, qs) in enumerate(shares.items()):
+        found = row[f"c{i}"]
+        counts[c] = n = found["n"]
+        for k, q in enumerate(qs if n else ()):
+            low, high = found["ends"][2 * k : 2 * k + 2]
+            low, high = (found["low"] if q <= slack else low), (found["high"] if q >= 1 - slack else high)
+            for place in sorted({math.floor((n - 1) * q), math.ceil((n - 1) * q)}):
+                one = _Rank(c, place, found["low"], found["high"], low, high)
+                if n <= SMALL:
+                    one.low, one.high, one.inside, one.state = one.least, one.most, n, "few"
+                ranks.append(one)
+    return counts, ranks
+
+
+def _narrowed(df: DataFrame, ranks: list[_Rank]) -> None:
+    """One scan counts the rows below and inside every open range and cuts it by a sketch."""
+    ranges = {r.range(): r for r in ranks}
+    wanted = []
+    for i, r in enumerate(ranges.values()):
+        v, kind = _values(df, r.column), df.schema[r.column].dataType
+        inside = F.when(_bounded(df, r), v)
+        cuts = F.percentile_approx(inside, F.array(*[F.lit(k / BUCKETS) for k in range(BUCKETS + 1)]), ACCURACY)
+        wanted.append(F.struct(
+            F.count_if(v < F.lit(r.low).cast(kind)).alias("below"), F.count(inside).alias("inside"),
+            F.min(inside).alias("first"), F.max(inside).alias("last"), cuts.alias("cuts"),
+        ).alias(f"r{i}"))
+    row = df.agg(*wanted).first()
+    found = {key: row[f"r{i}"] for i, key in enumerate(ranges)}
+    for r in ranks:
+        r.narrow(found[r.range()])
+
+
+def _counted(df: DataFrame, ranks: list[_Rank]) -> None:
+    """One job counts the values of all ranges of few rows; the ranks are read off."""
+    ranges = {r.range(): r for r in ranks}
+    parts = []
+    for i, r in enumerate(ranges.values()):
+        v, kind = _values(df, r.column), df.schema[r.column].dataType
+        text = (F.col("v").cast("double") if isinstance(kind, T.FloatType) else F.col("v")).cast("string")
+        parts.append(df.where(_bounded(df, r)).groupBy(v.alias("v")).agg(F.count(F.lit(1)).alias("n")).select(F.lit(i).alias("i"), text.alias("v"), "n"))
+    found: dict[int, list] = {}
+    keys = list(ranges)
+    for row in reduce(DataFrame.unionAll, parts).collect():
+        kind = df.schema[keys[row["i"]][0]].dataType
+        read = int if isinstance(kind, T.IntegralType) else Decimal if isinstance(kind, T.DecimalType) else float
+        found.setdefault(row["i"], []).append((read(row["v"]), row["n"]))
+    for r in ranks:
+        before = r.below
+        for value, n in sorted(found[keys.index(r.range())]):
+            before += n
+            if r.rank < before:
+                r.value = value
                 break
-    return answers
+
+
+def _ordered(df: DataFrame, rank: _Rank) -> None:
+    """A rank among many values that a double can't tell apart: their counts in order, and in the part that holds it a running sum."""
+    v = _values(df, rank.column)
+    counts = df.where(_bounded(df, rank)).groupBy(v.alias("v")).agg(F.count(F.lit(1)).alias("n"))
+    parted = cut_lineage(counts.orderBy("v").withColumn("part", F.spark_partition_id()))
+    low = F.lit(rank.low).cast(df.schema[rank.column].dataType)
+    before = df.agg(F.count_if(v < low).alias("n")).first()["n"]
+    for part in parted.groupBy("part").agg(F.sum("n").alias("n")).orderBy("part").collect():  # a row for each part
+        if rank.rank < before + part["n"]:
+            break
+        before += part["n"]
+    running = F.sum("n").over(Window.partitionBy("part").orderBy("v"))
+    own = parted.where(F.col("part") == part["part"]).withColumn("up_to", running + before)
+    rank.value = own.where((F.col("up_to") > rank.rank) & (F.col("up_to") - F.col("n") <= rank.rank)).first()["v"]
+
+
+def exact_quantiles(df: DataFrame, shares: dict[str, list[float]]) -> dict[str, list[float | None]]:
+    """Linearly interpolated quantiles of numeric columns, nulls and NaN left out; None for a column without values.
+
+    All columns are narrowed together, one scan a round: sketches give ranges of
+    values that hold the ranks, counts confirm them, and the few rows that are
+    left are counted by value.  Two to four scans do for any number of rows.
+    """
+    for c in shares:
+        if not isinstance(df.schema[c].dataType, T.NumericType):
+            raise TypeError(f"not a numeric column: {c}")
+    if not shares:
+        return {}
+    df = df.select(*[F.col(quoted(c)) for c in shares])
+    counts, ranks = _starts(df, shares)
+    while still := [r for r in ranks if r.state == "open"]:
+        _narrowed(df, still)
+    if few := [r for r in ranks if r.state == "few"]:
+        _counted(df, few)
+    for r in ranks:
+        if r.state == "dense":
+            _ordered(df, r)
+    found = {(r.column, r.rank): float(r.value) for r in ranks}
+    out: dict[str, list[float | None]] = {}
+    for c, qs in shares.items():
+        places = [(counts[c] - 1) * q for q in qs]
+        out[c] = [_between(found[c, math.floor(p)], found[c, math.ceil(p)], p - math.floor(p)) for p in places] if counts[c] else [None] * len(qs)
+    return out
+
+
+def _between(first: float, last: float, share: float) -> float:
+    return first if first == last else first + (last - first) * share
 
 
 def exact_quantile(df: DataFrame, column: str, q: float) -> float | None:
     """Linearly interpolated quantile of a numeric column, nulls and NaN left out."""
-    field = df.schema[column]
-    if not isinstance(field.dataType, T.NumericType):
-        raise TypeError(f"not a numeric column: {column}")
-    values = df.select(clean_value(field).alias("v")).filter(F.col("v").isNotNull())
-    row = values.agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi")).first()
-    if row["n"] == 0:
-        return None
-    place = (row["n"] - 1) * q
-    ranks = sorted({math.floor(place), math.ceil(place)})
-    found = _rank_values(values, row["n"], row["lo"], row["hi"], ranks)
-    first, last = float(found[ranks[0]]), float(found[ranks[-1]])
-    return first + (last - first) * (place - ranks[0])
+    return exact_quantiles(df, {column: [q]})[column][0]
+
+
+def exact_medians(df: DataFrame, columns: list[str]) -> dict[str, float | None]:
+    return {c: found[0] for c, found in exact_quantiles(df, {c: [0.5] for c in columns}).items()}
 
 
 def exact_median(df: DataFrame, column: str) -> float | None:

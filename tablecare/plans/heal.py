@@ -155,10 +155,8 @@ def apply(df: DataFrame, fixes: list[Fix], salt: str = "") -> tuple[DataFrame, s
         out = clean.cap_outliers(out, capped)
     if means := numeric(_columns(fixes, "fill_mean")):
         out = clean.fill_mean(out, means)
-    for column in numeric(_columns(fixes, "fill_median")):
-        median = clean.exact_median(out, column)
-        if median is not None:
-            out = clean.fill_constant(out, {column: int(median // 1)})
+    if medians := clean.exact_medians(out, numeric(_columns(fixes, "fill_median"))):
+        out = clean.fill_constant(out, {c: int(m // 1) for c, m in medians.items() if m is not None})
     if modes := _columns(fixes, "fill_mode"):
         out = clean.fill_mode(out, [c for c in modes if c in out.columns])
     if flags := _columns(fixes, "flag_nulls"):

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tablecare.operators import drift, partial, profile, rules
+from tablecare.operators import drift, partial, profile, quantile, rules
 from tablecare.plans.catalog import query
 from tablecare.plans.relations import (
     DIRTY_COLUMNS, DIRTY_FINDINGS_SQL, DIRTY_SQL, LATER_SQL, dirty_orders, duplicates_sql,
@@ -64,6 +64,21 @@ def profile_lineitem(spark, folder) -> DataFrame:
                         "mean", "std", "duplicate_rows")
 
 
+_NUMBERS = [c for c, _, kind in _LINEITEM if kind in ("integer", "float")]
+_SHARES = [0.0, 0.01, 0.25, 0.5, 0.75, 0.99, 1.0]
+
+
+@query("quantiles_lineitem", " UNION ALL ".join(
+    f"SELECT '{c}' AS \"column\", {q}::DOUBLE AS share, round(quantile_cont(CAST({c} AS DOUBLE), {q}), 6) AS value FROM lineitem"
+    for c in _NUMBERS for q in _SHARES
+))
+def quantiles_lineitem(spark, folder) -> DataFrame:
+    """Exact quantiles of all numeric columns, narrowed together."""
+    found = quantile.exact_quantiles(spread_table(spark, folder, "lineitem"), {c: _SHARES for c in _NUMBERS})
+    rows = [(c, q, round(v, 6)) for c, values in found.items() for q, v in zip(_SHARES, values, strict=True)]
+    return spark.createDataFrame(rows, "column string, share double, value double")
+
+
 @query("profile_numeric", f"""
 WITH profile AS ({profile_sql('lineitem', [c for c in _LINEITEM if c[2] == 'float'])})
 SELECT "column", min, max, mean, std FROM profile
