@@ -152,23 +152,30 @@ def cast_rejects(df: DataFrame, columns: dict[str, str]) -> DataFrame:
     return rows.select(F.inline("r"))
 
 
+#: Whole and decimal numbers without spare signs or zeros; a double holds fifteen digits of them.
+_SPARE = r"^-?(0|[1-9][0-9]*)([.][0-9]*[1-9])?$"
+_DIGITS = 15
+
+
 def cast_losses(df: DataFrame, columns: dict[str, str]) -> DataFrame:
-    """Per column: how many values a cast would lose or change, digits after a leading zero included.
+    """Per column: how many values a cast would lose or change.
 
-    Texts that stand for a missing value become null and count as no loss.
+    A value is kept if its text can be told from the new value: it is Spark's
+    own text of that value, or, for doubles, a number of up to fifteen digits
+    without spare signs, zeros or blanks.  One of both must fit all values of a
+    column, so that different texts stay different values.  Texts that stand
+    for a missing value become null and count as no loss.
     """
-    both = df.select(*[F.col(quoted(c)).alias(f"__{i}") for i, c in enumerate(columns)])
-    rows = both.agg(F.array(*[
-        F.struct(
-            F.lit(c).alias("column"),
-            F.count_if(
-                F.col(f"__{i}").isNotNull() & ~F.trim(F.col(f"__{i}").cast("string")).isin(NA_TOKENS)
-                & (_safe(f"__{i}", t).isNull() | F.substring(F.ltrim(F.col(f"__{i}").cast("string")), 1, 3).rlike("^[+-]?0[0-9]"))
-            ).alias("lost"),
-        )
-        for i, (c, t) in enumerate(columns.items())
-    ]).alias("r"))
-    return rows.select(F.inline("r"))
+    both = df.select(*[F.col(quoted(c)).cast("string").alias(f"__{i}") for i, c in enumerate(columns)])
+    counts = []
+    for i, (c, t) in enumerate(columns.items()):
+        text, new = F.col(f"__{i}"), _safe(f"__{i}", t)
+        value = text.isNotNull() & ~F.trim(text).isin(NA_TOKENS)
+        own = F.count_if(value & (new.isNull() | (new.cast("string") != text)))
+        spare = text.rlike(_SPARE) & (text != "-0") & (F.length(F.regexp_replace(text, "[^0-9]", "")) <= _DIGITS)
+        lost = F.least(own, F.count_if(value & ~spare)) if t == "double" else own
+        counts.append(F.struct(F.lit(c).alias("column"), lost.alias("lost")))
+    return both.agg(F.array(*counts).alias("r")).select(F.inline("r"))
 
 
 # ranges

@@ -417,12 +417,21 @@ def heal_pii_mixed(spark, folder) -> DataFrame:
 
 
 @query("heal_cast_rejects", """
-SELECT event_id, CASE WHEN event_id % 5 < 2 THEN 'AB-' || event_id % 9 ELSE lpad(CAST(event_id % 1000 AS VARCHAR), 4, '0') END AS code FROM events
+SELECT event_id, CASE WHEN event_id % 5 < 2 THEN 'AB-' || event_id % 9 ELSE lpad(CAST(event_id % 1000 AS VARCHAR), 4, '0') END AS code,
+       CASE event_id % 4 WHEN 0 THEN '1.1' WHEN 1 THEN '1.10' WHEN 2 THEN '2.3' ELSE '2.30' END AS version,
+       (event_id % 9 + 1) || 'e400' AS exponent,
+       CASE WHEN event_id % 2 = 0 THEN ' 12 ' ELSE '12' END AS padded, CASE WHEN event_id % 3 = 0 THEN '1_000' ELSE '1000' END AS joined,
+       CASE WHEN event_id % 6 = 0 THEN '+5' ELSE '5' END AS signed, CAST(event_id % 11 AS DOUBLE) / 4 AS kept
+FROM events
 """)
 def heal_cast_rejects(spark, folder) -> DataFrame:
-    """Codes that a cast would lose or change stay text."""
+    """Texts that a cast would lose, change or make equal stay text; numbers that come back from it are cast."""
     events = table(spark, folder, "events").selectExpr(
-        "event_id", "CASE WHEN event_id % 5 < 2 THEN concat('AB-', event_id % 9) ELSE lpad(CAST(event_id % 1000 AS string), 4, '0') END AS code"
+        "event_id", "CASE WHEN event_id % 5 < 2 THEN concat('AB-', event_id % 9) ELSE lpad(CAST(event_id % 1000 AS string), 4, '0') END AS code",
+        "element_at(array('1.1', '1.10', '2.3', '2.30'), CAST(event_id % 4 AS int) + 1) AS version",
+        "concat(event_id % 9 + 1, 'e400') AS exponent",
+        "if(event_id % 2 = 0, ' 12 ', '12') AS padded", "if(event_id % 3 = 0, '1_000', '1000') AS joined",
+        "if(event_id % 6 = 0, '+5', '5') AS signed", "CAST(CAST(event_id % 11 AS double) / 4 AS string) AS kept",
     )
     return heal(events, exclude=("high_cardinality",)).df
 

@@ -275,6 +275,24 @@ def test_codes_lose_nothing(spark):
     assert lost == {"a": 2, "b": 0}
 
 
+@pytest.mark.parametrize("texts, lost", [
+    (["1.1", "1.10", "2.3"], 1), (["9007199254740993"], 1), (["12345678901234567890"], 1), (["1e400"], 1), ([" 12 ", "12"], 1), (["1_000"], 1),
+    (["+5", "5"], 1), (["-0", "0"], 1), (["1.0", "1"], 1), (["1e3"], 1), (["12", "1.5", "-3", "0", "0.25", "n/a", "", None], 0), (["12.0", "1.5", "1.0E10"], 0),
+    (["123456789012345"], 0), (["Infinity", "2.0"], 0),
+])
+def test_what_a_cast_changes_is_lost(spark, texts, lost):
+    df = spark.createDataFrame([(t,) for t in texts], "v string")
+    assert clean.cast_losses(df, {"v": "double"}).first()["lost"] == lost
+
+
+def test_versions_keep_their_values(spark):
+    from tablecare.plans.heal import heal
+
+    df = spark.createDataFrame([(i, ["1.1", "1.10", "2.3", "2.30"][i % 4]) for i in range(200)], "id int, version string")
+    counts = {r["version"]: r["count"] for r in heal(df).df.groupBy("version").count().collect()}
+    assert counts == {v: 50 for v in ("1.1", "1.10", "2.3", "2.30")}
+
+
 def test_long_digit_runs_are_numbers(spark):
     df = spark.createDataFrame([("7" * 50_000,), ("1_000",), ("1__0",), ("_1",)], "v string")
     from tablecare.functions.text import is_numeric_text
