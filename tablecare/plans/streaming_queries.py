@@ -28,22 +28,27 @@ def stream_incremental(spark, folder) -> DataFrame:
     return spark.read.parquet(target).withColumn("ts", F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS"))
 
 
-def _in_files(spark, folder) -> DataFrame:
-    """All events twice, in files whose times run backwards, one file a batch."""
+#: Files of a part, written by as many tasks and taken as a batch.
+_FILES = 4
+
+
+def _in_files(spark, folder, copies: int = 2) -> DataFrame:
+    """All events, each in so many of three parts whose times run backwards; a part is a batch of several files."""
     path = work_path(spark, "arriving")
     events = table(spark, folder, "events")
     for part in (2, 0, 1):
-        late = events.where((F.col("event_id") % 3 == part) | (F.col("event_id") % 3 == (part + 1) % 3))
-        late.orderBy(F.desc("ts")).coalesce(1).write.mode("append").parquet(path)
-    return jobs.file_stream(spark, path, events.schema, files_per_batch=1)
+        late = events.where(F.pmod(F.col("event_id") - part, F.lit(3)) < copies)
+        late.repartitionByRange(_FILES, F.desc("ts")).write.mode("append").parquet(path)
+    return jobs.file_stream(spark, path, events.schema, files_per_batch=_FILES)
 
 
-@query("stream_dedup", "SELECT event_id, user_id, event_type, value FROM events")
+@query("stream_dedup", f"SELECT event_id, strftime(ts, {_TS}) AS ts, user_id, event_type, value, props FROM events")
 def stream_dedup(spark, folder) -> DataFrame:
     """Every event delivered twice, over several batches and out of order, comes out once."""
     target = work_path(spark, "stream")
     jobs.drop_repeats(_in_files(spark, folder), ["event_id"], target, work_path(spark, "offsets"))
-    return spark.read.parquet(target).select("event_id", "user_id", "event_type", "value")
+    found = spark.read.parquet(target).drop("batch_id")
+    return found.withColumn("ts", F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS"))
 
 
 @query("stream_quality_batches", """
@@ -69,6 +74,22 @@ def stream_hourly_errors(spark, folder) -> DataFrame:
     """All windows, the last one too."""
     target = work_path(spark, "stream")
     jobs.windowed_errors(
-        _events(spark, folder), "ts", "1 hour", "10 minutes", [], F.col("event_type") == "error", target, work_path(spark, "offsets")
+        _in_files(spark, folder, 1), "ts", "1 hour", "10 minutes", [], F.col("event_type") == "error", target, work_path(spark, "offsets")
     )
     return jobs.latest_windows(spark, target, []).withColumn("window_start", F.date_format("window_start", "yyyy-MM-dd HH:mm:ss"))
+
+
+@query("stream_window_quality", """
+SELECT strftime(date_trunc('day', ts), '%Y-%m-%d') AS day, event_type, count(*) AS events_total, count(*) FILTER (WHERE value < 20) AS errors_total,
+       round(100.0 * count(*) FILTER (WHERE event_id % 7 = 0) / count(*), 2) AS props_null_percent,
+       round(100.0 * count(*) FILTER (WHERE user_id % 5 = 0) / count(*), 2) AS user_id_null_percent
+FROM events GROUP BY 1, 2
+""")
+def stream_window_quality(spark, folder) -> DataFrame:
+    """Errors and nulls per day and type from parts that come out of order, added up in between."""
+    target, checkpoint = work_path(spark, "stream"), work_path(spark, "offsets")
+    holed = _in_files(spark, folder, 1).withColumn("props", F.when(F.col("event_id") % 7 != 0, F.col("props"))).withColumn("user_id", F.when(F.col("user_id") % 5 != 0, F.col("user_id")))
+    jobs.windowed_errors(holed, "ts", "1 day", "10 minutes", ["event_type"], F.col("value") < 20, target, checkpoint, ["props", "user_id"])
+    jobs.compact_windows(spark, target)
+    found = jobs.latest_windows(spark, target, ["event_type"], ["props", "user_id"])
+    return found.withColumn("day", F.date_format("window_start", "yyyy-MM-dd")).drop("window_start")
