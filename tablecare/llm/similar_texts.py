@@ -64,7 +64,7 @@ def digest(own: np.ndarray) -> int:
 def _prefixes(shared: Broadcast, size: int, percent: int):
     """A row for each text: its set's size and digest, how many shingles other texts may have, its group, those of its prefix and their places among them, a sketch."""
     kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int64()))
-    names = ["doc_id", "n", "known", "node", "grp", "shingles", "places", "sketch"]
+    names = ["doc_id", "n", "known", "node", "grp", "shingles", "places", "sketch", "tie"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         levels = shared.value
@@ -84,9 +84,9 @@ def _prefixes(shared: Broadcast, size: int, percent: int):
                     alone = int((level == 0).sum())
                     known = np.arange(min(alone, length), length)
                     rows.append((doc_id, n, n - alone, digest(own), group, prefix[known].view(np.int64), (known - alone).astype(np.int32), _sketch(own)))
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
+                yield pa.RecordBatch.from_arrays([*(pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)), piece.column("tie")], names)
 
-    return run, "doc_id long, n long, known long, node long, grp long, shingles array<long>, places array<int>, sketch array<long>"
+    return run, "doc_id long, n long, known long, node long, grp long, shingles array<long>, places array<int>, sketch array<long>, tie long"
 
 
 def _sketch(own: np.ndarray) -> np.ndarray:
@@ -133,8 +133,8 @@ class Join:
         spark = docs.sparkSession
         shared = spark.sparkContext.broadcast(frequency_levels(self.rows, lambda texts: sets(texts, size), LEVELS))
         run, schema = _prefixes(shared, size, percent)
-        every = cut_lineage(self.rows.mapInArrow(run, schema))
-        self.docs = every.select("doc_id", "n", "node")
+        every = cut_lineage(self.rows.withColumn("tie", F.xxhash64("text")).mapInArrow(run, schema))
+        self.docs = every.select("doc_id", "n", "node", "tie")
         self.nodes = cut_lineage(every.where("n > 0 and doc_id is not null").dropDuplicates(["node"]))
 
     def _fits(self, a: str, b: str) -> str:
@@ -218,10 +218,14 @@ class Join:
         within = torn.join(torn.select("grp", F.col("c").alias("c2"), F.col("node").alias("b")), "grp").where("c < c2").select(F.col("node").alias("a"), "b")
         return first.union(self.verified(second.select("a", "b").union(within)))
 
+    def classes(self) -> DataFrame:
+        """doc_id, n, tie (hash of the text) and component c of every row that can link."""
+        found = cut_lineage(components(self.links()))
+        return self.docs.where("n > 0 and doc_id is not null").join(found, "node", "left").select("doc_id", "n", "tie", F.coalesce("component", "node").alias("c"))
+
     def result(self) -> DataFrame:
         """doc_id, n_shingles and component_id of every row."""
-        found = cut_lineage(components(self.links()))
-        linked = self.docs.where("n > 0 and doc_id is not null").join(found, "node", "left").withColumn("c", F.coalesce("component", "node"))
+        linked = self.classes()
         least = linked.groupBy("c").agg(F.min("doc_id").alias("component_id"))
         apart = self.docs.where("n = 0 or doc_id is null").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
         return linked.join(least, "c").select("doc_id", F.col("n").alias("n_shingles"), "component_id").union(apart)
@@ -233,8 +237,19 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 80) -> DataFrame:
-    """The rows, all columns, whose id is the smallest of their component, or null."""
-    found = similar_components(docs, id_col, text_col, size, percent).where("doc_id <> component_id").select(F.col("doc_id").alias("k_id")).distinct()
-    kept = docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row"), docs[f"`{id_col}`"].cast("long").alias("d_id"))
-    kept = kept.join(found, F.col("d_id") == F.col("k_id"), "left_anti")
+    """One row, all columns, of each component: that of the smallest id, among its texts that of the smallest hash.
+
+    Rows are told apart by id and text, so a text stays although another one of
+    its id goes; of rows equal in both, one stays.  Rows that link with nothing,
+    without words or id, all stay.
+    """
+    linked = cut_lineage(Join(docs, id_col, text_col, size, percent).classes())
+    first = linked.groupBy("c").agg(F.min(F.struct("doc_id", "tie")).alias("first"))
+    rows = linked.groupBy("doc_id", "tie").agg(F.first("c").alias("c"), F.count("*").alias("times")).join(first, "c")
+    fate = F.when(F.struct("doc_id", "tie") != F.col("first"), "goes").when(F.col("times") > 1, "repeated")
+    marked = rows.select(F.col("doc_id").alias("k_id"), F.col("tie").alias("k_tie"), fate.alias("fate")).where("fate is not null")
+    text = F.coalesce(docs[f"`{text_col}`"].cast("string"), F.lit(""))
+    whole = docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row"), docs[f"`{id_col}`"].cast("long").alias("d_id"), F.xxhash64(text).alias("d_tie"))
+    judged = whole.join(marked, (F.col("d_id") == F.col("k_id")) & (F.col("d_tie") == F.col("k_tie")), "left").select("row", "d_id", "d_tie", "fate")
+    kept = judged.where("fate is null").union(judged.where("fate = 'repeated'").dropDuplicates(["d_id", "d_tie"]))
     return kept.select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns])

@@ -122,6 +122,16 @@ def test_one_of_each_group_stays(frame, odd):
     assert sorted((r["doc_id"] for r in kept.collect()), key=str) == sorted((i for i, _, _ in want), key=str)
 
 
+def test_one_row_stays_of_equal_ids_and_texts(frame):
+    t, u = prose(60, 80), prose(61, 80)
+    near = u + " more"
+    kept = lambda rows: sorted((r["doc_id"], r["text"]) for r in similar_texts.keep_one(frame(rows)).collect())
+    assert kept([(1, t), (5, t), (5, u), (7, near), (9, t), (9, t)]) == [(1, t), (5, u)]
+    assert kept([(3, t)] * 3) == [(3, t)]
+    assert len(kept([(3, t), (3, t + " x")])) == 1
+    assert kept([(2, ""), (2, ""), (4, t)]) == [(2, ""), (2, ""), (4, t)]
+
+
 # repeats
 
 def removed(rows, least):
