@@ -13,6 +13,8 @@ from tablecare.plans.relations import (
     findings_sql, profile_sql, table,
 )
 from tablecare.sources import tables as sources
+from tablecare.sources.bucketed import BucketedTable
+from tablecare.sources.session import work_path
 
 
 @query("revenue_by_region", """
@@ -322,6 +324,43 @@ def upsert_orders(spark, folder) -> DataFrame:
     return clean.upsert(target, batch, ["order_key"])
 
 
+def _versions(spark, folder) -> BucketedTable:
+    """Orders in buckets, then a batch of new totals and keys, then some orders deleted."""
+    store = BucketedTable(spark, work_path(spark, "bucketed"), ["order_key"], buckets=32)
+    orders = table(spark, folder, "orders")
+    store.upsert(orders.selectExpr("o_orderkey AS order_key", "o_totalprice AS total", "o_orderstatus AS status"))
+    batch = orders.where("o_custkey % 50 = 1").selectExpr("if(o_orderkey % 3 = 0, -o_orderkey, o_orderkey) AS order_key", "if(o_orderkey % 3 = 1, o_totalprice, o_totalprice + 1) AS total", "o_orderstatus AS status")
+    store.upsert(batch)
+    store.delete(orders.where("o_custkey % 50 = 2").selectExpr("o_orderkey AS order_key"))
+    return store
+
+
+_VERSIONS_SQL = """
+old AS (SELECT o_orderkey AS order_key, o_totalprice AS total, o_orderstatus AS status FROM orders),
+batch AS (SELECT CASE WHEN o_orderkey % 3 = 0 THEN -o_orderkey ELSE o_orderkey END AS order_key,
+                 CASE WHEN o_orderkey % 3 = 1 THEN o_totalprice ELSE o_totalprice + 1 END AS total, o_orderstatus AS status FROM orders WHERE o_custkey % 50 = 1),
+new AS (SELECT * FROM (SELECT * FROM old WHERE order_key NOT IN (SELECT order_key FROM batch) UNION ALL SELECT * FROM batch)
+        WHERE order_key NOT IN (SELECT o_orderkey FROM orders WHERE o_custkey % 50 = 2))
+"""
+
+
+@query("upsert_buckets", f"WITH {_VERSIONS_SQL} SELECT * FROM new")
+def upsert_buckets(spark, folder) -> DataFrame:
+    return _versions(spark, folder).read()
+
+
+@query("table_diff", f"""
+WITH {_VERSIONS_SQL}
+SELECT coalesce(n.order_key, o.order_key) AS order_key, CASE WHEN o.order_key IS NULL THEN 'added' WHEN n.order_key IS NULL THEN 'removed' ELSE 'changed' END AS change
+FROM old o FULL JOIN new n ON o.order_key = n.order_key
+WHERE o.order_key IS NULL OR n.order_key IS NULL OR o.total IS DISTINCT FROM n.total OR o.status IS DISTINCT FROM n.status
+""")
+def table_diff(spark, folder) -> DataFrame:
+    """Keys added, removed and changed from the first to the last version."""
+    store = _versions(spark, folder)
+    return store.changes(1, store.version())
+
+
 @query("upsert_null_keys", """
 SELECT CASE WHEN o_orderkey % 50 <> 0 THEN o_orderkey END AS k, max(o_totalprice) AS total FROM orders GROUP BY 1
 """)
