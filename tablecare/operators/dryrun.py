@@ -13,8 +13,6 @@ from pyspark.sql import functions as F
 
 from tablecare.functions.hashing import table_fingerprint
 
-# Fixed value: seconds a trial run may take.
-TIME_LIMIT_SECONDS = 30
 SAMPLE_ROWS = 5
 
 
@@ -32,13 +30,13 @@ class DryRun:
 
 
 def dry_run(df: DataFrame, transform: Callable[[DataFrame], DataFrame],
-            time_limit_s: float = TIME_LIMIT_SECONDS) -> DryRun:
+            time_limit_s: float | None = None) -> DryRun:
     """Runs a transform over the table without writing, and reconciles rows.
 
     All output columns are computed (they feed a fingerprint), so a failing
     expression shows.  Counts come from query results rather than accumulators,
-    which a re-run task could add to twice.  Past the time limit the run's Spark
-    jobs are cancelled.
+    which a re-run task could add to twice.  Past the time limit, if one is
+    given, the run's Spark jobs are cancelled.
     """
     result = DryRun()
     context = df.sparkSession.sparkContext
@@ -49,11 +47,12 @@ def dry_run(df: DataFrame, transform: Callable[[DataFrame], DataFrame],
         overtime.set()
         context.cancelJobsWithTag(tag)
 
-    timer = threading.Timer(time_limit_s, cancel)
+    timer = threading.Timer(threading.TIMEOUT_MAX if time_limit_s is None else time_limit_s, cancel)
     timer.daemon = True
     start = time.monotonic()
     context.addJobTag(tag)
-    timer.start()
+    if time_limit_s is not None:
+        timer.start()
     try:
         result.input_rows = df.count()
         output = df.transform(transform)

@@ -381,6 +381,11 @@ def sink_row_counts(spark, folder) -> DataFrame:
     return sources.sink_row_counts({t: table(spark, folder, t) for t in TABLES})
 
 
+@query("sink_sample", "SELECT * FROM nation ORDER BY n_nationkey LIMIT 5")
+def sink_sample(spark, folder) -> DataFrame:
+    return sources.sink_sample(table(spark, folder, "nation").orderBy("n_nationkey"))
+
+
 @query("dry_run_reconcile", """
 SELECT (SELECT count(*) FROM orders) AS input_rows, count(*) AS output_rows,
        count(*) - (SELECT count(*) FROM orders) AS row_delta,

@@ -104,7 +104,9 @@ WHERE kind IS NOT NULL HAVING count(*) > 0
 
 
 @query("pii_columns_sampled", f"""
-{" UNION ALL ".join([_sample_sql("documents", "text", "doc_id"), _sample_sql("documents", "lang", "doc_id"),
+WITH {CONTACTS_SQL}, unnamed AS (SELECT c_custkey, email AS a, phone AS b, last_login_from AS c, address AS d FROM contacts)
+{" UNION ALL ".join([*(_sample_sql("unnamed", c, "c_custkey") for c in "abcd"),
+                     _sample_sql("documents", "text", "doc_id"), _sample_sql("documents", "lang", "doc_id"),
                      _sample_sql("documents", "source", "doc_id"), _sample_sql("pages", "url", "page_id"),
                      _sample_sql("pages", "html", "page_id")])}
 """)
@@ -114,7 +116,9 @@ def pii_columns_sampled(spark, folder) -> DataFrame:
         .select(F.lit(name).alias("table_name"), "column", "type")
         for name, key in (("documents", "doc_id"), ("pages", "page_id"))
     ]
-    return parts[0].unionAll(parts[1])
+    unnamed = contacts(spark, folder).selectExpr("c_custkey", "email AS a", "phone AS b", "last_login_from AS c", "address AS d")
+    sampled = personal.detect_pii(unnamed, mode="sample", order_by=["c_custkey"]).select(F.lit("unnamed").alias("table_name"), "column", "type")
+    return parts[0].unionAll(parts[1]).unionAll(sampled)
 
 
 @query("pii_by_name", f"""
@@ -137,6 +141,10 @@ FROM documents WHERE regexp_matches(text, '{pattern}')
 UNION ALL
 SELECT 'pages', page_id, len(regexp_extract_all(html, '{pattern}')), regexp_extract(html, '{pattern}')
 FROM pages WHERE regexp_matches(html, '{pattern}')
+UNION ALL
+SELECT 'customer', c_custkey, len(regexp_extract_all(note, '{pattern}')), regexp_extract(note, '{pattern}')
+FROM (SELECT c_custkey, c_name || ' ' || (c_custkey % 899 + 100) || '-' || (c_custkey % 90 + 10) || '-' || (c_custkey % 9000 + 1000) AS note FROM customer)
+WHERE regexp_matches(note, '{pattern}')
 """)
     def run(spark, folder) -> DataFrame:
         def found(df: DataFrame, label: str, key: str, text: str) -> DataFrame:
@@ -146,9 +154,12 @@ FROM pages WHERE regexp_matches(html, '{pattern}')
                 f"regexp_extract({text}, {pattern_sql(pattern)}, 0) AS first_match",
             )
 
+        noted = table(spark, folder, "customer").selectExpr(
+            "c_custkey", "concat(c_name, ' ', c_custkey % 899 + 100, '-', c_custkey % 90 + 10, '-', c_custkey % 9000 + 1000) AS note"
+        )
         return found(table(spark, folder, "documents"), "documents", "doc_id", "text").unionAll(
             found(table(spark, folder, "pages"), "pages", "page_id", "html")
-        )
+        ).unionAll(found(noted, "customer", "c_custkey", "note"))
 
 
 for _name, _kind in {
