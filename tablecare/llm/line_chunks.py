@@ -1,39 +1,45 @@
-"""Repeated multi-line chunks, cut where the content says so, removed from all texts but the first.
+"""Repeated multi-line chunks, removed from all texts but the first.
 
-A line's number comes from its MD5; a rolling hash over the numbers of two
-successive lines ends a chunk where it is divisible by ``DIVISOR``.  Boundaries
-depend on two lines only, so text put in or taken out before a passage shifts
-them no further than that.  Chunks of two lines or more whose digest occurs
-more than once are compared byte by byte, line against line, and removed from
-all places but the first, in order of doc_id, a hash of the text, and place.
+A rolling hash runs over the lines of a text, two at a time, and bounds a chunk
+by what two lines say and nothing else, so text put in or taken out elsewhere
+shifts no boundary.  Chunks have two lines and overlap by one: chunks cut only
+where such a hash meets a divisor have passages of two to four lines nowhere
+whole, and longer ones without their ends.  A passage of several lines that
+stands anywhere else is covered from its first line to its last, whatever lies
+around it.  Lines of chunks that occur more than once go, after a comparison of
+their bytes, from all places but the first, in order of doc_id, a hash of the
+text, and place.  The first place of any line always stays.
 
-DataFrame operations only.  Lines travel as digests; texts move once to compare
-candidate lines and once to be rebuilt.
+DataFrame operations only.  Chunks travel as hashes; texts move once to compare
+candidate chunks and once to be rebuilt.
 
 Defined cases: a null text is empty, and an empty text one empty line; rows
 equal in doc_id and text are one document (neither is removed for the other);
-null doc_ids come first; chunks of one line are kept, however often they occur;
-lines of equal MD5 and different bytes would be kept; a table without rows
-gives none.  Other columns pass through, whatever their names.
+null doc_ids come first; a line alone is kept, however often it occurs, and so
+are chunks of blank lines only; chunks of equal hashes and different bytes
+would be kept; a table without rows gives none.  Other columns pass through,
+whatever their names.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tablecare.sources.session import cut_lineage
 
-#: A chunk has about this many lines.
-DIVISOR = 3
-#: Multiplier and modulus of the rolling hash.
-TURN, MODULUS = 31, 1_000_003
+#: Characters of a blank line.
+BLANK = " \t\r"
 
 
 def _lines(text: Column) -> Column:
     return F.split(F.coalesce(text, F.lit("")), "\n", -1)
 
 
+def _blank(line: Column) -> Column:
+    return F.translate(line, BLANK, "") == ""
+
+
 def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """The other columns as one struct beside the key (id, hash of text) and the text, which so travels once."""
     text = F.coalesce(docs[f"`{text_col}`"], F.lit(""))
@@ -41,93 +47,75 @@ def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.struct(F.lit(0).alias("_"), *others).alias("row"), docs[f"`{id_col}`"].alias("k_id"), F.xxhash64(text).alias("k_tie"), text.alias("k_text"))
 
 
-def line_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """k_id, k_tie, place, digest, size and chunk of every line; repeated rows once."""
-    keyed = _keyed(docs, id_col, text_col)
-    lines = keyed.select("k_id", "k_tie", F.posexplode(_lines(F.col("k_text"))).alias("place", "line"))
-    lines = lines.select("k_id", "k_tie", "place", F.md5(F.col("line").cast("binary")).alias("digest"), F.octet_length("line").alias("size")).dropDuplicates(["k_id", "k_tie", "place"])
-    number = F.conv(F.substring("digest", 1, 8), 16, 10).cast("long")
-    order = Window.partitionBy("k_id", "k_tie").orderBy("place")
-    rolled = (F.coalesce(F.lag(number % MODULUS).over(order), F.lit(0)) * TURN + number) % MODULUS
-    ended = lines.withColumn("ends", (rolled % DIVISOR == 0).cast("int"))
-    before = order.rowsBetween(Window.unboundedPreceding, -1)
-    return ended.withColumn("chunk", F.coalesce(F.sum("ends").over(before), F.lit(0))).drop("ends")
-
-
-def repeated_chunks(docs: DataFrame, lines: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """k_id, k_tie and chunk of every repeated chunk other than the first of its kind."""
-    start = F.first_value("place").over(Window.partitionBy("k_id", "k_tie", "chunk").orderBy("place"))
-    chunks = (
-        lines.withColumn("within", F.col("place") - start)
-        .groupBy("k_id", "k_tie", "chunk")
-        .agg(
-            F.sum(F.xxhash64("digest", "within").cast("decimal(20,0)")).alias("one"),  # no overflow: 20 digits hold any hash
-            F.sum(F.xxhash64("within", "digest").cast("decimal(20,0)")).alias("two"),
-            F.count("*").alias("n"), F.sum("size").alias("bytes"),
-        )
-        .where("n >= 2")
-    )
-    kind = ["one", "two", "n", "bytes"]
-    at = F.struct("k_id", "k_tie", "chunk")
-    kinds = chunks.groupBy(*kind).agg(F.count("*").alias("times"), F.min(at).alias("kept")).where("times >= 2").drop("times")
-    repeats = cut_lineage(chunks.join(kinds, kind).select("k_id", "k_tie", "chunk", (at != F.col("kept")).alias("later")))
-    unequal = _unequal(docs, _aligned(lines, repeats), id_col, text_col)
-    mixed = lines.join(unequal, "digest", "left_semi").select("k_id", "k_tie", "chunk")
-    return repeats.where("later").alias("l").join(mixed.alias("r"), F.expr("l.k_id <=> r.k_id and l.k_tie = r.k_tie and l.chunk = r.chunk"), "left_anti").drop("later")
-
-
-def _aligned(lines: DataFrame, chunks: DataFrame) -> DataFrame:
-    """k_id, k_tie and, for texts with a line in one of the chunks, which of its lines are."""
-    found = chunks.select(F.col("k_id").alias("r_id"), F.col("k_tie").alias("r_tie"), F.col("chunk").alias("r_chunk"), F.lit(True).alias("hit"))
-    marked = lines.join(found, F.expr("k_id <=> r_id and k_tie = r_tie and chunk = r_chunk"), "left").select("k_id", "k_tie", "place", F.coalesce("hit", F.lit(False)).alias("hit"))
-    flags = marked.groupBy("k_id", "k_tie").agg(F.bool_or("hit").alias("any"), F.array_sort(F.collect_list(F.struct("place", "hit"))).alias("flags"))
-    return flags.where("any").select("k_id", "k_tie", F.col("flags.hit").alias("flags"))
-
-
-def _unequal(docs: DataFrame, flags: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Digests that lines of different bytes share, among the flagged lines."""
-    keyed = _keyed(docs, id_col, text_col).drop("row").alias("d").join(flags.alias("p"), F.expr("d.k_id <=> p.k_id and d.k_tie = p.k_tie"))
-    each = keyed.select(F.explode(F.arrays_zip(_lines(F.col("k_text")).alias("line"), F.col("flags").alias("hit"))).alias("x")).where("x.hit").select("x.line")
-    distinct = each.select(F.md5(F.col("line").cast("binary")).alias("digest"), "line").distinct()
-    return distinct.groupBy("digest").count().where("count > 1").select("digest")
+def chunk_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """k_id, k_tie, place (from 0) and the two hashes of every chunk that isn't blank."""
+    lines = _keyed(docs, id_col, text_col).select("k_id", "k_tie", _lines(F.col("k_text")).alias("lines"))
+    both = F.arrays_zip(F.col("lines").alias("a"), F.slice("lines", 2, F.greatest(F.size("lines") - 1, F.lit(0))).alias("b"))
+    each = lines.select("k_id", "k_tie", F.posexplode(both).alias("place", "x")).where(F.col("x.b").isNotNull() & ~(_blank(F.col("x.a")) & _blank(F.col("x.b"))))
+    return each.select("k_id", "k_tie", "place", F.xxhash64("x.a", "x.b").alias("one"), F.xxhash64("x.b", "x.a").alias("two"))
+
+
+def repeated_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """k_id, k_tie and place of every repeated chunk other than the first of its kind."""
+    chunks, kind = chunk_table(docs, id_col, text_col), ["one", "two"]
+    spot = F.xxhash64("k_id", "k_tie", "place")
+    kinds = chunks.groupBy(*kind).agg(F.min(spot).alias("low"), F.max(spot).alias("high")).where("low < high").select(*kind)
+    found = cut_lineage(chunks.join(kinds, kind, "left_semi"))
+    at = F.struct("k_id", "k_tie", "place")
+    first = found.groupBy(*kind).agg(F.min(at).alias("kept"))
+    unequal = _unequal(docs, found, id_col, text_col)
+    return found.join(first, kind).where(at != F.col("kept")).join(unequal, kind, "left_anti").select("k_id", "k_tie", "place")
+
+
+def _unequal(docs: DataFrame, chunks: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """Hashes that chunks of different bytes share."""
+    places = chunks.groupBy("k_id", "k_tie").agg(F.collect_set(F.struct("place", "one", "two")).alias("chunks"))
+    texts = _keyed(docs, id_col, text_col).select("k_id", "k_tie", "k_text").alias("d").join(places.alias("p"), F.expr("d.k_id <=> p.k_id and d.k_tie = p.k_tie"))
+    each = texts.select(_lines(F.col("k_text")).alias("lines"), "chunks").select("lines", F.explode("chunks").alias("c"))
+    whole = each.select("c.one", "c.two", F.concat_ws("\n", F.get("lines", F.col("c.place")), F.get("lines", F.col("c.place") + 1)).alias("bytes"))
+    return whole.distinct().groupBy("one", "two").count().where("count > 1").select("one", "two")
+
+
+def _flags(chunks: DataFrame) -> DataFrame:
+    """k_id, k_tie and, from line 0 to the last chunk, whether a chunk to be removed begins there."""
+    places = chunks.groupBy("k_id", "k_tie").agg(F.array_sort(F.collect_set("place")).alias("places"))
+    gaps = F.arrays_zip(F.col("places").alias("here"), F.concat(F.array(F.lit(-1)), F.col("places")).alias("before"))
+    flags = F.transform(F.filter(gaps, lambda g: g["here"].isNotNull()), lambda g: F.array_append(F.array_repeat(F.lit(False), g["here"] - g["before"] - 1), F.lit(True)))
+    return places.select("k_id", "k_tie", F.flatten(flags).alias("flags"))
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", counts: bool = False) -> DataFrame:
     """All rows and columns with repeated chunks taken out of the text; with ``counts`` also n_lines and n_removed."""
-    lines = cut_lineage(line_table(docs, id_col, text_col))
-    flags = _aligned(lines, repeated_chunks(docs, lines, id_col, text_col))
+    flags = _flags(repeated_chunks(docs, id_col, text_col))
     both = _keyed(docs, id_col, text_col).alias("d").join(flags.alias("m"), F.expr("d.k_id <=> m.k_id and d.k_tie = m.k_tie"), "left")
-    kept = F.filter(F.arrays_zip(_lines(F.col("k_text")).alias("line"), F.col("flags").alias("hit")), lambda s: ~s["hit"])
-    text = F.when(F.col("flags").isNull(), F.col("k_text")).otherwise(F.array_join(F.transform(kept, lambda s: s["line"]), "\n"))
+    marked = F.arrays_zip(_lines(F.col("k_text")).alias("line"), F.col("flags").alias("begins"), F.concat(F.array(F.lit(False)), F.col("flags")).alias("ends"))
+    kept = F.transform(F.filter(marked, lambda s: ~(F.coalesce(s["begins"], F.lit(False)) | F.coalesce(s["ends"], F.lit(False)))), lambda s: s["line"])
+    both = both.select("row", "k_text", F.when(F.col("flags").isNotNull(), kept).alias("k_kept"))
+    text = F.coalesce(F.array_join("k_kept", "\n"), F.col("k_text"))
     columns = [text.alias(c) if c == text_col else F.col(f"row.`{c}`").alias(c) for c in docs.columns]
     if counts:
-        removed = F.when(F.col("flags").isNotNull(), F.array_size(F.filter("flags", lambda f: f))).otherwise(0)
-        columns += [F.array_size(_lines(F.col("k_text"))).cast("long").alias("n_lines"), removed.cast("long").alias("n_removed")]
+        n_lines = F.array_size(_lines(F.col("k_text")))
+        columns += [n_lines.cast("long").alias("n_lines"), F.coalesce(n_lines - F.array_size("k_kept"), F.lit(0)).cast("long").alias("n_removed")]
     return both.select(*columns)
 
 
 #: The same rows in SQL, for documents with one row an id.
-SQL = f"""
+SQL = """
 with lines as (
     select doc_id, i, string_split(coalesce(text, ''), chr(10))[i] as line
     from documents, unnest(range(1, len(string_split(coalesce(text, ''), chr(10))) + 1)) as u(i)
-), numbered as (
-    select *, cast('0x' || substr(md5(line), 1, 8) as bigint) as number from lines
-), rolled as (
-    select *, (coalesce(lag(number % {MODULUS}) over (partition by doc_id order by i), 0) * {TURN} + number) % {MODULUS} as roll from numbered
-), cut as (
-    select *, coalesce(sum(case when roll % {DIVISOR} = 0 then 1 else 0 end)
-        over (partition by doc_id order by i rows between unbounded preceding and 1 preceding), 0) as chunk
-    from rolled
+), paired as (
+    select *, lead(line) over (partition by doc_id order by i) as following from lines
 ), chunks as (
-    select doc_id, chunk, string_agg(line, chr(10) order by i) as content from cut group by doc_id, chunk having count(*) >= 2
+    select * from paired where following is not null
+        and translate(line || following, ' ' || chr(9) || chr(13), '') <> ''
 ), later as (
-    select doc_id, chunk from (select *, row_number() over (partition by content order by doc_id, chunk) as nth from chunks) where nth > 1
-), done as (
-    select c.doc_id, count(*) as n_lines, count(l.doc_id) as n_removed,
-        coalesce(string_agg(c.line, chr(10) order by c.i) filter (where l.doc_id is null), '') as kept
-    from cut c left join later l on c.doc_id = l.doc_id and c.chunk = l.chunk
-    group by c.doc_id
+    select doc_id, i from (select *, row_number() over (partition by line, following order by doc_id, i) as nth from chunks) where nth > 1
+), gone as (
+    select doc_id, i from later union select doc_id, i + 1 from later
 )
-select doc_id, n_lines, n_removed, md5(kept) as kept_md5 from done
+select l.doc_id, count(*) as n_lines, count(g.doc_id) as n_removed,
+    md5(coalesce(string_agg(l.line, chr(10) order by l.i) filter (where g.doc_id is null), '')) as kept_md5
+from lines l left join gone g on l.doc_id = g.doc_id and l.i = g.i
+group by l.doc_id
 """

@@ -177,39 +177,52 @@ def test_maximal_repeats():
 # line chunks
 
 def chunks_removed(rows):
-    import hashlib as h
-
-    number = lambda line: int(h.md5(line.encode()).hexdigest()[:8], 16)
-    seen, out = set(), []
-    tie = {}
+    seen, kept = set(), {}
+    blank = lambda line: not line.strip(" \t\r")
     for doc_id, text in sorted(set(rows), key=lambda r: (r[0] is not None, r[0] or 0)):
-        lines, chunk, kept = (text or "").split("\n"), [], []
-        for i, line in enumerate(lines):
-            chunk.append(line)
-            rolled = ((number(lines[i - 1]) % line_chunks.MODULUS if i else 0) * line_chunks.TURN + number(line)) % line_chunks.MODULUS
-            if rolled % line_chunks.DIVISOR == 0 or i == len(lines) - 1:
-                if len(chunk) < 2 or tuple(chunk) not in seen:
-                    kept += chunk
-                if len(chunk) >= 2:
-                    seen.add(tuple(chunk))
-                chunk = []
-        tie[doc_id, text] = "\n".join(kept)
-    for doc_id, text in rows:
-        out.append((doc_id, tie[doc_id, text]))
-    return sorted(out, key=str)
+        lines, gone = (text or "").split("\n"), set()
+        for i, chunk in enumerate(zip(lines, lines[1:])):
+            if blank(chunk[0]) and blank(chunk[1]):
+                continue
+            if chunk in seen:
+                gone |= {i, i + 1}
+            seen.add(chunk)
+        kept[doc_id, text] = "\n".join(line for i, line in enumerate(lines) if i not in gone)
+    return sorted(((i, kept[i, t]) for i, t in rows), key=str)
 
 
 def test_line_chunks(frame, odd):
     block = "\n".join(prose(600 + k, 6) for k in range(12))
     rows = odd + [(100 + k, f"{prose(700 + k, 5)}\n{block}\n{prose(800 + k, 5)}\n" * (1 + k % 2)) for k in range(12)] + [(300, "\n".join(["same"] * 5000)), (301, "\n".join(str(k) for k in range(5000)))]
+    rows += [(400 + k, f"{prose(900 + k, 4)}\n\n\n \t\n{prose(950 + k, 4)}\n\n\n") for k in range(3)]  # blank lines stay
     done = line_chunks.remove_repeats(frame(rows), counts=True)
     assert done.columns == [*frame(rows).columns, "n_lines", "n_removed"]
     got = done.collect()
     assert sorted(((r["doc_id"], r["text"]) for r in got), key=str) == chunks_removed(rows)
     assert all(r["n_lines"] >= r["n_removed"] >= 0 for r in got) and sum(r["n_removed"] for r in got) > 50
+    assert {r["n_removed"] for r in got if 400 <= (r["doc_id"] or 0) < 403} == {0}
     assert line_chunks.remove_repeats(frame([])).isEmpty()
 
 
+@pytest.mark.parametrize("size", [2, 3, 4, 6, 10, 20])
+def test_line_passages_go_whole(frame, size):
+    """Passages of every length, each in two texts with other lines around it, leave the second one to the last line."""
+    passage = lambda k: [prose(5000 + 100 * k + i, 12) for i in range(size)]
+    own = lambda k: prose(90_000 + k, 12)
+    rows = [(2 * k + side, "\n".join([own(10 * k + 2 * side), *passage(k), own(10 * k + 2 * side + 1)])) for k in range(20) for side in (0, 1)]
+    got = {r["doc_id"]: r["text"] for r in line_chunks.remove_repeats(frame(rows)).collect()}
+    for k in range(20):
+        assert got[2 * k] == rows[2 * k][1] and got[2 * k + 1] == f"{own(10 * k + 2)}\n{own(10 * k + 3)}"
+
+
+def test_chunks_of_equal_hashes_and_other_bytes_stay(frame):
+    from pyspark.sql import functions as F
+
+    rows = [(1, "a\nb"), (2, "c\nd"), (3, "e\nf"), (4, "e\nf")]
+    chunks = line_chunks.chunk_table(frame(rows)).withColumns({"one": F.when(F.col("k_id") < 3, 0).otherwise(1), "two": F.lit(0)})
+    assert [tuple(r) for r in line_chunks._unequal(frame(rows), chunks, "doc_id", "text").collect()] == [(0, 0)]
+
+
 # containment
 
 def test_leaks(spark, frame, odd):
