@@ -386,6 +386,22 @@ def sink_sample(spark, folder) -> DataFrame:
     return sources.sink_sample(table(spark, folder, "nation").orderBy("n_nationkey"))
 
 
+@query("landing_files", """
+SELECT CAST(event_id AS VARCHAR) AS event_id, event_type, CASE WHEN event_id % 3 < 2 THEN 'first' ELSE 'second' END AS run_id FROM events
+""")
+def landing_files(spark, folder) -> DataFrame:
+    """Events that arrive as files in two parts, landed by three runs: each row once, from the run that found its file."""
+    from tablecare.sources.landing import Landing
+    from tablecare.sources.session import work_path
+
+    events = table(spark, folder, "events").select("event_id", "event_type")
+    source, landing = work_path(spark, "arrivals"), Landing(spark, work_path(spark, "landing"))
+    for run_id, part in (("first", "event_id % 3 < 2"), ("second", "event_id % 3 = 2"), ("third", "false")):
+        events.where(part).write.mode("append").option("header", True).csv(source)
+        landing.land(source, run_id)
+    return landing.rows().select("event_id", "event_type", "run_id")
+
+
 @query("dry_run_reconcile", """
 SELECT (SELECT count(*) FROM orders) AS input_rows, count(*) AS output_rows,
        count(*) - (SELECT count(*) FROM orders) AS row_delta,
@@ -524,6 +540,32 @@ def heal_history(spark, folder) -> DataFrame:
     return heal(dirty_orders(spark, folder)).history.select("iteration", "rule", "column", "fix")
 
 
+@query("heal_changes", f"""
+WITH {_HEALED_SQL}
+SELECT 1 AS iteration, o_orderkey, 'mostly_null' AS "column", CAST(mostly_null AS VARCHAR) AS old, 'drop_column' AS fix, 0 AS copies
+FROM unique_rows WHERE mostly_null IS NOT NULL
+UNION ALL SELECT 1, o_orderkey, 'constant_col', constant_col, 'drop_column', 0 FROM unique_rows
+UNION ALL SELECT 1, o_orderkey, 'some_null', NULL, 'fill_mode', 0 FROM unique_rows WHERE some_null IS NULL
+UNION ALL SELECT 1, o_orderkey, 'few_null', NULL, 'fill_mode', 0 FROM unique_rows WHERE few_null IS NULL
+UNION ALL SELECT 1, o_orderkey, 'amount', CAST(amount AS VARCHAR), 'clip_negative', 0 FROM unique_rows WHERE amount < 0
+UNION ALL SELECT 1, o_orderkey, 'code', code, 'safe_cast', 0 FROM unique_rows
+UNION ALL SELECT 1, o_orderkey, '_all_', NULL, 'dedup_exact', count(*) - 1 FROM dirty_orders GROUP BY o_orderkey HAVING count(*) > 1
+UNION ALL SELECT 2, o_orderkey, 'code', NULL, 'fill_mean', 0 FROM once WHERE code IS NULL
+""")
+def heal_changes(spark, folder) -> DataFrame:
+    """Every cell that repair changed, with its value before, and every repeat it removed."""
+    found = heal(dirty_orders(spark, folder), log_keys=["o_orderkey"]).changes()
+    return found.select("iteration", "key.o_orderkey", "column", "old", "fix", "copies")
+
+
+@query("heal_undo", f"""
+WITH {DIRTY_SQL} SELECT o_orderkey, mostly_null, some_null, few_null, amount, code, constant_col, {_DATE_SQL} FROM dirty_orders
+""")
+def heal_undo(spark, folder) -> DataFrame:
+    """The table as it came, from the repaired one and the log of its changes."""
+    return _dated(heal(dirty_orders(spark, folder), log_keys=["o_orderkey"]).undo())
+
+
 @query("quality_run", f"""
 WITH {_HEALED_SQL}
 SELECT 0 AS seq, 'source' AS type, 0 AS input_rows, 0 AS output_rows, count(*) AS row_count FROM dirty_orders

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tablecare.functions.hashing import quoted
 from tablecare.functions.pii import redact
-from tablecare.operators import clean
+from tablecare.operators import changes, clean
 from tablecare.operators.personal import remedy_columns
 from tablecare.operators.profile import ALL_MEASURES, profile_columns
 from tablecare.operators.rules import check, report
@@ -47,6 +47,28 @@ class HealResult:
     steps: DataFrame
     #: Fixable findings left when the passes were used up.
     unfixed: int
+    #: What each pass changed, if keys for a log were given.
+    logs: tuple[changes.PassLog, ...] = ()
+    log_keys: tuple[str, ...] = ()
+
+    def changes(self) -> DataFrame:
+        """iteration, key, column, old, new, fix and copies of everything the passes changed."""
+        if not self.log_keys:
+            raise ValueError("heal(..., log_keys=[...]) keeps a log of changes")
+        if self.logs:
+            return changes.cells(list(self.logs))
+        key = F.struct(*[F.col(quoted(k)) for k in self.log_keys]).alias("key")
+        nothing = [F.lit(None).cast("string").alias(c) for c in ("column", "old", "new", "fix")]
+        return self.df.select(F.lit(0).alias("iteration"), key, *nothing, F.lit(0).cast("bigint").alias("copies")).limit(0)
+
+    def undo(self) -> DataFrame:
+        """The table as it came, from the repaired one and the log."""
+        if not self.log_keys:
+            raise ValueError("heal(..., log_keys=[...]) keeps a log of changes")
+        df = self.df
+        for log in reversed(self.logs):
+            df = changes.undo_pass(df, list(self.log_keys), log)
+        return df
 
     def report(self) -> DataFrame:
         """Findings and points per rule before and after."""
@@ -177,16 +199,20 @@ def preview(df: DataFrame, *, as_of: datetime | str | None = None, exclude: tupl
 
 
 def heal(df: DataFrame, *, as_of: datetime | str | None = None, max_passes: int = MAX_PASSES,
-         salt: str = "", profile: DataFrame | None = None, exclude: tuple[str, ...] = ()) -> HealResult:
+         salt: str = "", profile: DataFrame | None = None, exclude: tuple[str, ...] = (),
+         log_keys: tuple[str, ...] | list[str] = ()) -> HealResult:
     """Repairs a table until nothing fixable is found or the passes are used up.
 
     A `profile` of the table as it is saves the first profiling.  `exclude`
     names rules, columns or fixes to leave out.  Only profiles and findings,
     which the schema bounds, come to the driver; rows stay in tables.  Rows go
     only as repeats of the table as it came.  A column treated whole for its
-    name is not reported again for that name.
+    name is not reported again for that name.  With `log_keys`, columns that
+    tell rows apart and are left as they are, every pass writes what it changed.
     """
     spark = df.sparkSession
+    logs: list[changes.PassLog] = []
+    exclude = (*exclude, *log_keys)
     done: set[tuple[str, str]] = set()
     remedied: tuple[str, ...] = ()
     history: list[tuple] = []
@@ -195,6 +221,7 @@ def heal(df: DataFrame, *, as_of: datetime | str | None = None, max_passes: int
     passes = 0
     if profile is None:
         df = cut_lineage(df)  # read by several scans and by the first pass
+    repeated = bool(log_keys) and changes.repeated_keys(df, list(log_keys))
     while True:
         if passes or profile is None:
             # the rules ask only whether all values are equal, or all different
@@ -212,12 +239,20 @@ def heal(df: DataFrame, *, as_of: datetime | str | None = None, max_passes: int
         if not fixes or passes >= max_passes:
             break
         passes += 1
+        came = df
         df, uncast = apply(df, fixes, salt)
+        if log_keys:
+            df = cut_lineage(df)
+            made: dict[str, list[str]] = {}
+            for f in fixes:
+                if f.column in came.columns and not (f.action == "safe_cast" and f.column in uncast):
+                    made.setdefault(f.column, []).append(f.action)
+            logs.append(changes.log_pass(came, df, list(log_keys), made, repeated))
         done |= {(f.rule, f.column) for f in fixes}
         remedied += tuple(f.column for f in fixes if f.action == "remedy")
         action = lambda f: "keep_text" if f.action == "safe_cast" and f.column in uncast else f.action
         history += [(passes, f.rule, f.column, f.issue, action(f)) for f in fixes]
     return HealResult(
         df, spark.createDataFrame(history, HISTORY_SCHEMA), before, current, passes, remedied,
-        spark.createDataFrame(steps, STEP_SCHEMA), len(fixes),
+        spark.createDataFrame(steps, STEP_SCHEMA), len(fixes), tuple(logs), tuple(log_keys),
     )

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import time
 import uuid
+from collections.abc import Callable
 from dataclasses import dataclass
 from datetime import datetime
 
@@ -11,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tablecare.functions.hashing import table_fingerprint
+from tablecare.operators.dryrun import DryRun, dry_run
 from tablecare.operators.profile import profile_columns
 from tablecare.operators.rules import check, report
 from tablecare.plans.heal import HealResult, heal
@@ -23,6 +25,10 @@ class RowLossError(Exception):
     """A repair would lose more rows than allowed."""
 
 
+class SimulationError(Exception):
+    """A trial run of the transform failed or left no rows."""
+
+
 @dataclass
 class RunResult:
     run_id: str
@@ -30,12 +36,14 @@ class RunResult:
     findings: DataFrame | None = None
     report: DataFrame | None = None
     healed: HealResult | None = None
+    simulated: DryRun | None = None
     skipped: bool = False
 
 
 def run(df: DataFrame, target: str, store: RunStore, *, as_of: datetime | str | None = None,
         previous: DataFrame | None = None, name: str = "source", run_id: str | None = None,
-        input_hash: str | None = None, max_loss: float = 0.5, exclude: tuple[str, ...] = ()) -> RunResult:
+        input_hash: str | None = None, max_loss: float = 0.5, exclude: tuple[str, ...] = (),
+        transform: Callable[[DataFrame], DataFrame] | None = None, trial_limit_s: float | None = None) -> RunResult:
     """Profiles, checks, repairs and writes a table, recording each stage.
 
     An input already written by an earlier run is not processed again.  Inputs
@@ -44,7 +52,10 @@ def run(df: DataFrame, target: str, store: RunStore, *, as_of: datetime | str |
     and its error raised; so does the repair if it leaves out more than
     `max_loss` of the rows, before anything is written.  Profiles and findings
     are kept in the store; without `previous` drift is judged against the last
-    profile of the same name.
+    profile of the same name.  A `transform` is tried on the input before the
+    repair, which records rows in and out and fails the run if it raises, takes
+    longer than `trial_limit_s` or leaves no rows; then it is applied to the
+    repaired table, and its result is what is written.
     """
     spark = df.sparkSession
     run_id = run_id or uuid.uuid4().hex[:8]
@@ -85,6 +96,14 @@ def run(df: DataFrame, target: str, store: RunStore, *, as_of: datetime | str |
         store.keep("findings", found, run_id, name)
         return found, {}
 
+    def do_simulate():
+        trial = dry_run(df, transform, trial_limit_s)
+        if not trial.success:
+            raise SimulationError("; ".join(trial.errors))
+        if trial.input_rows and not trial.output_rows:
+            raise SimulationError(f"the transform leaves none of {trial.input_rows} rows")
+        return trial, {"input_rows": trial.input_rows, "output_rows": trial.output_rows, "row_delta": trial.output_rows - trial.input_rows}
+
     def do_heal():
         healed = heal(df, as_of=as_of, profile=result.profile, exclude=exclude)
         before, after = (healed.steps.orderBy(order).first()["row_count"] for order in ("iteration", F.desc("iteration")))
@@ -93,7 +112,8 @@ def run(df: DataFrame, target: str, store: RunStore, *, as_of: datetime | str |
         return healed, {"iterations": healed.passes, "unfixed": healed.unfixed}
 
     def do_write():
-        write_table(result.healed.df, target)
+        repaired = result.healed.df
+        write_table(repaired.transform(transform) if transform else repaired, target)
         return read_table(spark, target).count(), {}
 
     last = previous if previous is not None else store.last_kept("profiles", name)
@@ -102,7 +122,10 @@ def run(df: DataFrame, target: str, store: RunStore, *, as_of: datetime | str |
     result.report = report(result.findings)
     score = result.report.first()
     rows = result.profile.first()["row_count"]
+    if transform:
+        result.simulated = stage("simulate", do_simulate)
     result.healed = stage("heal", do_heal)
+    repaired_rows = result.healed.steps.orderBy(F.desc("iteration")).first()["row_count"]
     written = stage("write", do_write)
     store.record_all({
         **timings, "input_rows": rows, "quality_score": score["quality_score"],
@@ -110,7 +133,8 @@ def run(df: DataFrame, target: str, store: RunStore, *, as_of: datetime | str |
     }, {"session_id": run_id})
     store.record_nodes(run_id, [
         {"type": "source", "name": name, "row_count": rows},
-        {"type": "transformation", "name": "heal", "input_rows": rows, "output_rows": written},
+        {"type": "transformation", "name": "heal", "input_rows": rows, "output_rows": repaired_rows},
+        *([{"type": "transformation", "name": "transform", "input_rows": repaired_rows, "output_rows": written}] if transform else []),
         {"type": "sink", "name": target, "row_count": written},
     ])
     store.record_event("run_completed", run_id, {"rows": written})

@@ -19,14 +19,15 @@ _BOOLEAN = r"^(?:True|TRUE|true|False|FALSE|false)$"
 _DATE = r"^\d{4}-\d{2}-\d{2}$"
 
 
-def _raw_csv(spark: SparkSession, path: str, separator: str, multi_line: bool) -> DataFrame:
+def _raw_csv(spark: SparkSession, path: str | list[str], separator: str, multi_line: bool, source: bool = False) -> DataFrame:
+    """Fields as text, missing-value tokens as null; with `source` also the path of the file as `_file`."""
     raw = spark.read.csv(
         path, header=True, inferSchema=False, sep=separator, quote='"', escape='"',
         multiLine=multi_line, ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False,
     )
     return raw.select(*[
         F.when(~F.col(quoted(c)).isin(NA_TOKENS), F.col(quoted(c))).alias(c) for c in raw.columns
-    ])
+    ], *([F.col("_metadata.file_path").alias("_file")] if source else []))
 
 
 def _typed(c: Column, kind: str) -> Column:
