@@ -6,8 +6,8 @@ all texts), then by hash.  Two sets that similar must share one of the first
 n - ceil(t n) + 1 shingles, the prefix.  Texts of equal sets are one node;
 nodes of equal prefix and size are one group, and only groups are matched, on
 prefix shingles that more than one text has, by size and place.  Matched groups
-are expanded to nodes, sifted by parity sketches (a lower bound on the
-difference) and verified on the whole sets.
+are sifted by parity sketches (a lower bound on the difference of any of their
+members), expanded to nodes, sifted again and verified on the whole sets.
 
 Large families don't make all their pairs: first every group of a shared
 shingle is verified against one of them, the links found are closed to
@@ -121,7 +121,9 @@ def _similar(percent: int):
     return run
 
 
-_SPOT = ("n", "place", "known", "even", "odd", "first", "trailing")
+#: Words of a group's sketches: bits that all its members have, then bits that any of them has.
+_BITS = [f"{kind}{k}" for kind in ("all", "any") for k in range(SKETCH)]
+_SPOT = ("n", "place", "known", *_BITS, "first", "trailing")
 
 
 class Join:
@@ -148,23 +150,23 @@ class Join:
     def _may_match(self) -> str:
         """Whether sizes, shingles that others may have, place of a shared one, and sketches allow the similarity.
 
-        A group of one node has its sketch; for others the sketch says nothing.
+        Two groups differ at least where all members of one have a bit that no member of the other has.
         """
         most = "least(known - place, known2 - place2) + least(place, place2)"
-        apart = "bit_count(even ^ even2) + bit_count(odd ^ odd2)"
+        apart = " + ".join(f"bit_count((all{k} & ~any{k}2) | (all{k}2 & ~any{k}))" for k in range(SKETCH))
         needed = self._needed("n", "n2")
-        return f"{self._fits('n', 'n2')} and {most} >= {needed} - 1e-6 and coalesce(n + n2 - ({apart}) >= 2 * ({needed}) - 1e-6, true)"
+        return f"{self._fits('n', 'n2')} and {most} >= {needed} - 1e-6 and n + n2 - ({apart}) >= 2 * ({needed}) - 1e-6"
 
     def matched(self) -> DataFrame:
         """Shared prefix shingles of groups, each with the first group that has it."""
-        parts = F.first(F.struct("n", "known", "shingles", "places", "sketch")).alias("g")
-        groups = self.nodes.groupBy("grp").agg(F.count("*").alias("members"), parts)
-        half = lambda k: F.when(F.col("members") == 1, F.expr(" ^ ".join(f"g.sketch[{i}]" for i in range(k, SKETCH, 2))))
+        parts = F.first(F.struct("n", "known", "shingles", "places")).alias("g")
+        bits = [made(F.col("sketch")[k]).alias(f"{kind}{k}") for kind, made in (("all", F.bit_and), ("any", F.bit_or)) for k in range(SKETCH)]
+        groups = self.nodes.groupBy("grp").agg(parts, *bits)
         first = F.greatest(F.array_size("g.shingles") - TRAILING, F.lit(0))
         placed = F.explode(F.arrays_zip("g.shingles", "g.places")).alias("s")
-        tokens = groups.select("grp", "g.n", "g.known", half(0).alias("even"), half(1).alias("odd"), first.alias("first"), F.slice("g.shingles", first + 1, TRAILING).alias("trailing"), placed)
-        tokens = tokens.select(F.col("s.shingles").alias("shingle"), F.col("s.places").alias("place"), "grp", "n", "known", "even", "odd", "first", "trailing")
-        several = tokens.groupBy("shingle").agg(F.count("*").alias("times"), F.min(F.struct("n", "grp", "place", "known", "even", "odd")).alias("hub")).where("times > 1")
+        tokens = groups.select("grp", "g.n", "g.known", *_BITS, first.alias("first"), F.slice("g.shingles", first + 1, TRAILING).alias("trailing"), placed)
+        tokens = tokens.select(F.col("s.shingles").alias("shingle"), F.col("s.places").alias("place"), "grp", "n", "known", *_BITS, "first", "trailing")
+        several = tokens.groupBy("shingle").agg(F.count("*").alias("times"), F.min(F.struct("n", "grp", "place", "known", *_BITS)).alias("hub")).where("times > 1")
         return cut_lineage(tokens.join(several.select("shingle", "hub"), "shingle"))
 
     def verified(self, pairs: DataFrame) -> DataFrame:
@@ -190,7 +192,7 @@ class Join:
         texts = self.rows.join(wanted.select("doc_id"), "doc_id", "left_semi")
         self.sets = cut_lineage(texts.mapInArrow(_whole_sets(self.size), "node long, own binary").join(wanted.select("node"), "node", "left_semi").dropDuplicates(["node"]))
 
-        hub = {"hub": "hub.grp", "n2": "hub.n", "place2": "hub.place", "known2": "hub.known", "even2": "hub.even", "odd2": "hub.odd"}
+        hub = {"hub": "hub.grp", **{f"{c}2": f"hub.{c}" for c in ("n", "place", "known", *_BITS)}}
         pairs = matched.select("grp", *_SPOT, *[F.col(v).alias(k) for k, v in hub.items()])
         pairs = pairs.where("grp <> hub").where(self._may_match()).select("grp", "hub").distinct()
         with_heads = pairs.join(heads.select("grp", "head"), "grp").join(heads.select(F.col("grp").alias("hub"), F.col("head").alias("hub_head")), "hub")
