@@ -16,6 +16,8 @@ of the longest state that ends before it.
 States and continuations are tables keyed by 64-bit hashes.  Blocks ask for
 their own keys, sifted by a bitmap of at most 2^``SIEVE_BITS`` bits, and are
 joined with them; what the bitmap lets through in error finds no partner.
+Keys travel packed, a list for each block and range of hashes; ranges are as
+many as the tokens ask for, and values come back in the order of the keys.
 
 The vocabulary isn't bounded, so it stays distributed: texts are packed into
 blocks with a dictionary each, and every block is joined with the counts of its
@@ -43,7 +45,7 @@ from tablecare.llm.texts import Words, id_and_text, mixed, slices
 from tablecare.sources.session import cut_lineage, work_path
 
 #: Text in a block; its dictionary and packed words are held by one task.
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 16 << 20
 #: Least counts of a context and of a stored continuation.
 CONTEXT_LEAST, NEXT_LEAST = 16, 4
 DEPTH = 3
@@ -55,6 +57,8 @@ END = np.uint64(0x517CC1B727220A95)
 FREQUENT_SHARE = 2e-5
 #: Greatest size of a sieve, and the ranges of hashes in which it is made.
 SIEVE_BITS, RANGE_BITS = 27, 8
+#: Training tokens to a range of hashes, whose keys are merged by one task; greatest number of ranges as a power of two.
+RANGE_TOKENS, MOST_RANGES = 1 << 21, 20
 
 BLOCKS = "block long, ids array<long>, held array<boolean>, bounds array<long>, places binary, words binary, counts binary"
 SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
@@ -74,19 +78,24 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     total, distinct = (x or 0 for x in counts.agg(F.sum("c"), F.count("*")).first())
     often = counts.where(F.col("c") >= max(1.0, FREQUENT_SHARE * total))  # 1 / FREQUENT_SHARE rows at most
     frequent = often.toArrow().sort_by("word")
-    model = _model(blocks, counts, total, distinct)
+    bits = min(MOST_RANGES, max(4, (total // RANGE_TOKENS).bit_length()))
+    model = _model(blocks, counts, total, distinct, bits)
     shared = spark.sparkContext.broadcast(tuple(frequent.column(c).to_numpy().astype(np.int64) for c in ("word", "c")))
 
     rare = per_block.join(F.broadcast(often.select("word")), "word", "left_anti").join(counts, "word").where("c <> n")
-    needed = rare.select("block", F.lit(False).alias("model"), F.col("word").alias("key"), F.col("c").cast("double").alias("value"))
+    needed = rare.select("block", F.lit(None).cast("long").alias("range"), "word", "c", F.lit(None).cast("binary").alias("packed"))
+    sieve = None
     if model is not None:
-        asked = blocks.select("block", "bounds", "places", "words").mapInArrow(_asked(_sieve(model)), "block long, key long")
-        needed = needed.unionByName(asked.join(model, "key").select("block", F.lit(True).alias("model"), "key", "value"))
-    found = blocks.groupBy("block").cogroup(needed.groupBy("block")).applyInArrow(_scores(shared, total, distinct), SCORES)
+        sieve = _sieve(model)
+        asked = blocks.select("block", "bounds", "places", "words").mapInArrow(_asked(sieve, bits), "range long, block long, packed binary")
+        held = model.withColumn("range", F.shiftrightunsigned("key", 64 - bits))
+        answers = asked.groupBy("range").cogroup(held.groupBy("range")).applyInArrow(_answered, "range long, block long, packed binary")
+        needed = needed.unionByName(answers, allowMissingColumns=True)
+    found = blocks.groupBy("block").cogroup(needed.groupBy("block")).applyInArrow(_scores(shared, sieve, total, distinct), SCORES)
     return found.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score")
 
 
-def _model(blocks: DataFrame, counts: DataFrame, total: int, distinct: int) -> DataFrame | None:
+def _model(blocks: DataFrame, counts: DataFrame, total: int, distinct: int, bits: int) -> DataFrame | None:
     """key and value: of a state what it leaves to the shorter one, of a state's stored continuation its probability."""
     shorter = counts.select(F.lit(0).cast("long").alias("short"), F.col("word").alias("next"), ((F.col("c") + 0.1) / (total + 0.1 * (distinct + 1))).alias("before"))
     empty = F.lit(0).cast("long")
@@ -97,8 +106,10 @@ def _model(blocks: DataFrame, counts: DataFrame, total: int, distinct: int) -> D
         contexts = cut_lineage(contexts.where(F.col("next") != int(END.astype(np.int64))).mapInArrow(_longer, "ctx long, short long, c long"))
         if contexts.isEmpty():
             break
-        pairs = blocks.where(F.exists("held", lambda h: ~h)).select("held", "bounds", "places", "words").mapInArrow(_continuations(_sieve(contexts.select(F.col("ctx").alias("key"))), depth), "ctx long, next long, n long")
-        pairs = pairs.groupBy("ctx", "next").agg(F.sum("n").alias("n")).where(F.col("n") >= NEXT_LEAST)
+        sieve = _sieve(contexts.select(F.col("ctx").alias("key")))
+        trained = blocks.where(F.exists("held", lambda h: ~h)).select("held", "bounds", "places", "words")
+        packed = trained.mapInArrow(_continuations(sieve, depth, bits), "range long, ctx binary, next binary, n binary")
+        pairs = packed.groupBy("range").applyInArrow(_merged, "ctx long, next long, n long")
         # a stored continuation is stored without the oldest word too
         followed = cut_lineage(pairs.join(contexts, "ctx").join(shorter, ["short", "next"]))
         share = F.col("n") / F.col("c")
@@ -346,8 +357,8 @@ def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
             yield batch.slice(k, 1).to_pylist()[0]
 
 
-def _continuations(sieve: Sieve, depth: int):
-    """Counts of what follows the contexts of a depth, by block."""
+def _continuations(sieve: Sieve, depth: int, bits: int):
+    """Counts of what follows the contexts of a depth, by block, packed by ranges of the longer contexts' hashes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in _rows(batches):
@@ -356,32 +367,76 @@ def _continuations(sieve: Sieve, depth: int):
                 pass
             used = sieve.holds(context) & np.repeat(~np.array(row["held"], bool), np.diff(bounds))[at]
             context, after = context[used], tokens[at[used]]
-            _, index, n = np.unique(_extended(context, after), return_index=True, return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(context[index].view(np.int64)), pa.array(after[index].view(np.int64)), pa.array(n.astype(np.int64))], ["ctx", "next", "n"])
+            longer, index, n = np.unique(_extended(context, after), return_index=True, return_counts=True)
+            ranges, cuts = _cut(longer, bits)
+            # equal contexts side by side, which compresses
+            index, n = (x[np.lexsort([context[index], longer >> np.uint64(64 - bits)])] for x in (index, n))
+            columns = (context[index], after[index], n.astype("<u4"))
+            yield pa.RecordBatch.from_arrays([pa.array(ranges), *(_lists(x, cuts) for x in columns)], ["range", "ctx", "next", "n"])
 
     return run
 
 
-def _asked(sieve: Sieve):
-    """Keys of the states and stored continuations that a block may need."""
+def _cut(ordered: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Ranges of hashes, by their first bits, that ordered ones lie in, and where each begins, with the end."""
+    ranges, starts = np.unique(ordered >> np.uint64(64 - bits), return_index=True)
+    return ranges.astype(np.int64), np.append(starts, len(ordered))
+
+
+def _lists(values: np.ndarray, cuts: np.ndarray) -> pa.Array:
+    """The bytes of each part of the values."""
+    return pa.array([values[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)], pa.binary())
+
+
+def _unpacked(column: pa.ChunkedArray, kind: str) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), kind)
+
+
+def _merged(part: pa.Table) -> pa.Table:
+    """The continuations of a range that occur often enough, all blocks together."""
+    context, after, n = (_unpacked(part.column(c), k) for c, k in (("ctx", "<u8"), ("next", "<u8"), ("n", "<u4")))
+    _, index, place = np.unique(_extended(context, after), return_index=True, return_inverse=True)
+    sums = np.bincount(place, n, len(index)).astype(np.int64)
+    kept = sums >= NEXT_LEAST
+    index = index[kept]
+    return pa.table({"ctx": pa.array(context[index].view(np.int64)), "next": pa.array(after[index].view(np.int64)), "n": pa.array(sums[kept])})
+
+
+def _needed(sieve: Sieve, tokens: np.ndarray, before: np.ndarray) -> np.ndarray:
+    """Keys, in order, of the states and stored continuations that a block may need."""
+    keys = [np.zeros(0, np.uint64)]
+    for at, context in _contexts(tokens, before):
+        fit = sieve.holds(context)
+        after = ~_extended(context[fit], tokens[at[fit]])
+        keys += [np.unique(context[fit]), np.unique(after[sieve.holds(after)])]
+    return np.unique(np.concatenate(keys))
+
+
+def _asked(sieve: Sieve, bits: int):
+    """The keys that each block needs, packed by ranges of hashes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in _rows(batches):
             _, _, tokens, before = _tokens(row)
-            keys = []
-            for at, context in _contexts(tokens, before):
-                fit = sieve.holds(context)
-                after = ~_extended(context[fit], tokens[at[fit]])
-                keys += [np.unique(context[fit]), np.unique(after[sieve.holds(after)])]
-            keys = np.concatenate(keys)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), row["block"], np.int64)), pa.array(keys.view(np.int64))], ["block", "key"])
+            keys = _needed(sieve, tokens, before)
+            ranges, cuts = _cut(keys, bits)
+            yield pa.RecordBatch.from_arrays([pa.array(ranges), pa.array(np.full(len(ranges), row["block"], np.int64)), _lists(keys, cuts)], ["range", "block", "packed"])
 
     return run
 
 
-def _scores(shared: Broadcast, total: int, distinct: int):
+def _answered(asked: pa.Table, model: pa.Table) -> pa.Table:
+    """The values of each list of keys in its order, not a number where the model has none."""
+    known = _hashes(model.column("key"))
+    order = np.argsort(known)
+    known, values = known[order], np.append(model.column("value").to_numpy()[order], np.nan)
+    found = [values[_place(known, np.frombuffer(keys, "<u8"))].tobytes() for keys in asked.column("packed").to_pylist()]
+    return pa.table({"range": asked.column("range").cast(pa.int64()), "block": asked.column("block").cast(pa.int64()), "packed": pa.array(found, pa.binary())})
+
+
+def _scores(shared: Broadcast, sieve: Sieve | None, total: int, distinct: int):
     def run(block: pa.Table, needed: pa.Table) -> pa.Table:
-        parts = [_scored(block.slice(k, 1).to_pylist()[0], needed, shared.value, total, distinct) for k in range(block.num_rows)]
+        parts = [_scored(block.slice(k, 1).to_pylist()[0], needed, shared.value, sieve, total, distinct) for k in range(block.num_rows)]
         names = [c.split()[0] for c in SCORES.split(", ")]
         kinds = (pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64())
         columns = [pa.chunked_array([pa.array(p[k], t) for p in parts], t) for k, t in enumerate(kinds)]
@@ -390,18 +445,17 @@ def _scores(shared: Broadcast, total: int, distinct: int):
     return run
 
 
-def _scored(row: dict, needed: pa.Table, frequent: tuple[np.ndarray, np.ndarray], total: int, distinct: int) -> tuple:
+def _scored(row: dict, needed: pa.Table, frequent: tuple[np.ndarray, np.ndarray], sieve: Sieve | None, total: int, distinct: int) -> tuple:
     bounds, places, tokens, before = _tokens(row)
     words, counts = np.frombuffer(row["words"], "<i8"), np.frombuffer(row["counts"], "<i8").copy()
-    keys, values = needed.column("key").to_numpy().astype(np.int64), needed.column("value").to_numpy()
-    model = needed.column("model").to_numpy().astype(bool)
-    at = _place(words.view(np.uint64), keys[~model].view(np.uint64))
-    counts[at] = values[~model]
+    rare = needed.filter(needed.column("range").is_null())
+    counts[_place(words.view(np.uint64), _hashes(rare.column("word")))] = rare.column("c").to_numpy()
     own = _place(frequent[0], words)
     counts[own >= 0] = frequent[1][own[own >= 0]]
     base = ((counts + 0.1) / (total + 0.1 * (distinct + 1)))[places]
-    order = np.argsort(keys[model].view(np.uint64))
-    keys, values = keys[model].view(np.uint64)[order], values[model][order]
+    keys = _needed(sieve, tokens, before) if sieve else np.zeros(0, np.uint64)
+    values = _unpacked(needed.filter(needed.column("range").is_valid()).sort_by("range").column("packed"), "<f8")
+    keys, values = keys[~np.isnan(values)], values[~np.isnan(values)]
     probability = base.copy()
     for at, context in _contexts(tokens, before):
         state = _place(keys, context)
