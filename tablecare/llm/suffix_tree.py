@@ -18,6 +18,7 @@ their own keys, sifted by a bitmap of at most 2^``SIEVE_BITS`` bits, and are
 joined with them; what the bitmap lets through in error finds no partner.
 Keys travel packed, a list for each block and range of hashes; ranges are as
 many as the tokens ask for, and values come back in the order of the keys.
+Tables of a depth are removed once the depth after it is written.
 
 The vocabulary isn't bounded, so it stays distributed: texts are packed into
 blocks with a dictionary each, and every block is joined with the counts of its
@@ -38,7 +39,7 @@ from functools import reduce
 import numpy as np
 import pyarrow as pa
 from pyspark import Broadcast, TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tablecare.llm.texts import Words, id_and_text, mixed, slices
@@ -95,34 +96,66 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     return found.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score")
 
 
+class _Work:
+    """Tables in the shared folder that are removed when used up."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, {}
+
+    def write(self, name: str, df: DataFrame) -> DataFrame:
+        self.paths[name] = path = work_path(self.spark, name)
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def drop(self, *names: str) -> None:
+        """Removes tables; shuffles of queries that are done go with the garbage of the driver."""
+        jvm, conf = self.spark.sparkContext._jvm, self.spark.sparkContext._jsc.hadoopConfiguration()
+        for name in names:
+            if name in self.paths:
+                path = jvm.org.apache.hadoop.fs.Path(self.paths.pop(name))
+                path.getFileSystem(conf).delete(path, True)
+        jvm.System.gc()
+
+
 def _model(blocks: DataFrame, counts: DataFrame, total: int, distinct: int, bits: int) -> DataFrame | None:
     """key and value: of a state what it leaves to the shorter one, of a state's stored continuation its probability."""
+    work = _Work(blocks.sparkSession)
     shorter = counts.select(F.lit(0).cast("long").alias("short"), F.col("word").alias("next"), ((F.col("c") + 0.1) / (total + 0.1 * (distinct + 1))).alias("before"))
     empty = F.lit(0).cast("long")
     contexts = counts.where(F.col("c") >= CONTEXT_LEAST).select(empty.alias("ctx"), empty.alias("short"), F.col("word").alias("next"), F.col("c").alias("n"))
     parts = []
     for depth in range(1, DEPTH + 1):
         # as END ends a text, it is in no context
-        contexts = cut_lineage(contexts.where(F.col("next") != int(END.astype(np.int64))).mapInArrow(_longer, "ctx long, short long, c long"))
+        contexts = work.write(f"contexts{depth}", contexts.where(F.col("next") != int(END.astype(np.int64))).mapInArrow(_longer, "ctx long, short long, c long"))
         if contexts.isEmpty():
             break
-        sieve = _sieve(contexts.select(F.col("ctx").alias("key")))
-        trained = blocks.where(F.exists("held", lambda h: ~h)).select("held", "bounds", "places", "words")
-        packed = trained.mapInArrow(_continuations(sieve, depth, bits), "range long, ctx binary, next binary, n binary")
-        pairs = packed.groupBy("range").applyInArrow(_merged, "ctx long, next long, n long")
-        # a stored continuation is stored without the oldest word too
-        followed = cut_lineage(pairs.join(contexts, "ctx").join(shorter, ["short", "next"]))
-        share = F.col("n") / F.col("c")
-        sums = followed.groupBy("ctx").agg(F.first("c").alias("sum"), F.sum("n").alias("kept"), F.sum("before").alias("b"), F.sum(share * F.log(share / F.col("before"))).alias("gain"))
-        left = 1 - F.col("kept") / F.col("sum")
-        rest = F.when(left > 1e-9, left * F.log(left / F.greatest(1 - F.col("b"), F.lit(1e-9)))).otherwise(0.0)
-        states = cut_lineage(sums.where(F.col("sum") * (F.col("gain") + rest) >= DIVERGENCE).select("ctx", ((F.col("sum") - F.col("kept") + SMOOTH) / (F.col("sum") + SMOOTH)).alias("leaves")))
-        after = F.when(F.col("leaves").isNull(), F.col("before")).otherwise(F.col("n") / (F.col("c") + SMOOTH) + F.col("leaves") * F.col("before"))
-        stored = cut_lineage(followed.join(states, "ctx", "left").select("ctx", "short", "next", "n", after.alias("value"), F.col("leaves").isNotNull().alias("state")))
-        parts += [states.select(F.col("ctx").alias("key"), F.col("leaves").alias("value")), stored.where("state").select("ctx", "next", "value").mapInArrow(_keyed, "key long, value double")]
+        part, stored = _deeper(work, blocks, contexts, shorter, depth, bits)
+        parts.append(part)
+        work.drop(f"contexts{depth}", f"followed{depth}", f"states{depth}", f"stored{depth - 1}")
         shorter = stored.select(F.col("ctx").alias("short"), "next", F.col("value").alias("before"))
         contexts = stored.where(F.col("n") >= CONTEXT_LEAST).select("ctx", "short", "next", "n")
-    return cut_lineage(reduce(DataFrame.unionByName, parts)) if parts else None
+    work.drop(f"contexts{len(parts) + 1}", f"stored{len(parts)}")
+    return reduce(DataFrame.unionByName, parts) if parts else None
+
+
+def _deeper(work: _Work, blocks: DataFrame, contexts: DataFrame, shorter: DataFrame, depth: int, bits: int) -> tuple[DataFrame, DataFrame]:
+    """The model's part of a depth, and the stored continuations of its contexts."""
+    sieve = _sieve(contexts.select(F.col("ctx").alias("key")))
+    trained = blocks.where(F.exists("held", lambda h: ~h)).select("held", "bounds", "places", "words")
+    packed = trained.mapInArrow(_continuations(sieve, depth, bits), "range long, ctx binary, next binary, n binary")
+    pairs = packed.groupBy("range").applyInArrow(_merged, "ctx long, next long, n long")
+    # a stored continuation is stored without the oldest word too
+    followed = work.write(f"followed{depth}", pairs.join(contexts, "ctx").join(shorter, ["short", "next"]))
+    share = F.col("n") / F.col("c")
+    sums = followed.groupBy("ctx").agg(F.first("c").alias("sum"), F.sum("n").alias("kept"), F.sum("before").alias("b"), F.sum(share * F.log(share / F.col("before"))).alias("gain"))
+    left = 1 - F.col("kept") / F.col("sum")
+    rest = F.when(left > 1e-9, left * F.log(left / F.greatest(1 - F.col("b"), F.lit(1e-9)))).otherwise(0.0)
+    leaves = (F.col("sum") - F.col("kept") + SMOOTH) / (F.col("sum") + SMOOTH)
+    states = work.write(f"states{depth}", sums.where(F.col("sum") * (F.col("gain") + rest) >= DIVERGENCE).select("ctx", leaves.alias("leaves")))
+    after = F.when(F.col("leaves").isNull(), F.col("before")).otherwise(F.col("n") / (F.col("c") + SMOOTH) + F.col("leaves") * F.col("before"))
+    stored = work.write(f"stored{depth}", followed.join(states, "ctx", "left").select("ctx", "short", "next", "n", after.alias("value"), F.col("leaves").isNotNull().alias("state")))
+    keyed = stored.where("state").select("ctx", "next", "value").mapInArrow(_keyed, "key long, value double")
+    return work.write(f"model{depth}", states.select(F.col("ctx").alias("key"), F.col("leaves").alias("value")).unionByName(keyed)), stored
 
 
 def _extended(context: np.ndarray, word: np.ndarray) -> np.ndarray:
@@ -369,9 +402,10 @@ def _continuations(sieve: Sieve, depth: int, bits: int):
             context, after = context[used], tokens[at[used]]
             longer, index, n = np.unique(_extended(context, after), return_index=True, return_counts=True)
             ranges, cuts = _cut(longer, bits)
-            # equal contexts side by side, which compresses
-            index, n = (x[np.lexsort([context[index], longer >> np.uint64(64 - bits)])] for x in (index, n))
-            columns = (context[index], after[index], n.astype("<u4"))
+            # equal contexts side by side in their range, which compresses
+            spread = np.uint64(64 - bits)
+            order = np.argsort((longer >> spread << spread) | (context[index] >> np.uint64(bits)))
+            columns = (context[index[order]], after[index[order]], n[order].astype("<u4"))
             yield pa.RecordBatch.from_arrays([pa.array(ranges), *(_lists(x, cuts) for x in columns)], ["range", "ctx", "next", "n"])
 
     return run
@@ -379,8 +413,39 @@ def _continuations(sieve: Sieve, depth: int, bits: int):
 
 def _cut(ordered: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
     """Ranges of hashes, by their first bits, that ordered ones lie in, and where each begins, with the end."""
-    ranges, starts = np.unique(ordered >> np.uint64(64 - bits), return_index=True)
-    return ranges.astype(np.int64), np.append(starts, len(ordered))
+    ranges = ordered >> np.uint64(64 - bits)
+    starts = np.flatnonzero(_new(ranges))
+    return ranges[starts].astype(np.int64), np.append(starts, len(ordered))
+
+
+def _new(ordered: np.ndarray) -> np.ndarray:
+    """Whether each of the ordered values is the first of its kind."""
+    first = np.ones(len(ordered), bool)
+    first[1:] = ordered[1:] != ordered[:-1]
+    return first
+
+
+def _distinct(values: np.ndarray) -> np.ndarray:
+    ordered = np.sort(values)
+    return ordered[_new(ordered)]
+
+
+def _spaced(keys: np.ndarray, cuts: np.ndarray) -> pa.Array:
+    """Each part of the ordered keys as its first key and the steps to the next ones, in as many bytes as the largest asks for."""
+    out = []
+    for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+        steps = np.diff(keys[a:b]).astype("<u8")
+        width = (int(steps.max(initial=0)).bit_length() + 7) // 8
+        out.append(keys[a : a + 1].astype("<u8").tobytes() + bytes([width]) + steps.view(np.uint8).reshape(-1, 8)[:, :width].tobytes())
+    return pa.array(out, pa.binary())
+
+
+def _joined(packed: bytes) -> np.ndarray:
+    """Keys from their steps."""
+    width = packed[8]
+    steps = np.zeros(((len(packed) - 9) // width if width else 0, 8), np.uint8)
+    steps[:, :width] = np.frombuffer(packed, np.uint8, offset=9).reshape(len(steps), width)
+    return np.cumsum(np.concatenate([np.frombuffer(packed, "<u8", 1), steps.view("<u8")[:, 0]]), dtype=np.uint64)
 
 
 def _lists(values: np.ndarray, cuts: np.ndarray) -> pa.Array:
@@ -408,8 +473,8 @@ def _needed(sieve: Sieve, tokens: np.ndarray, before: np.ndarray) -> np.ndarray:
     for at, context in _contexts(tokens, before):
         fit = sieve.holds(context)
         after = ~_extended(context[fit], tokens[at[fit]])
-        keys += [np.unique(context[fit]), np.unique(after[sieve.holds(after)])]
-    return np.unique(np.concatenate(keys))
+        keys += [_distinct(context[fit]), _distinct(after[sieve.holds(after)])]
+    return _distinct(np.concatenate(keys))
 
 
 def _asked(sieve: Sieve, bits: int):
@@ -420,7 +485,7 @@ def _asked(sieve: Sieve, bits: int):
             _, _, tokens, before = _tokens(row)
             keys = _needed(sieve, tokens, before)
             ranges, cuts = _cut(keys, bits)
-            yield pa.RecordBatch.from_arrays([pa.array(ranges), pa.array(np.full(len(ranges), row["block"], np.int64)), _lists(keys, cuts)], ["range", "block", "packed"])
+            yield pa.RecordBatch.from_arrays([pa.array(ranges), pa.array(np.full(len(ranges), row["block"], np.int64)), _spaced(keys, cuts)], ["range", "block", "packed"])
 
     return run
 
@@ -430,7 +495,7 @@ def _answered(asked: pa.Table, model: pa.Table) -> pa.Table:
     known = _hashes(model.column("key"))
     order = np.argsort(known)
     known, values = known[order], np.append(model.column("value").to_numpy()[order], np.nan)
-    found = [values[_place(known, np.frombuffer(keys, "<u8"))].tobytes() for keys in asked.column("packed").to_pylist()]
+    found = [values[_place(known, _joined(keys))].tobytes() for keys in asked.column("packed").to_pylist()]
     return pa.table({"range": asked.column("range").cast(pa.int64()), "block": asked.column("block").cast(pa.int64()), "packed": pa.array(found, pa.binary())})
 
 

@@ -191,3 +191,21 @@ def test_the_tree_does_not_shrink_beside_a_larger_corpus(frame):
     other = [(5000 + k, " ".join(str((7 * k + j * j) % 4999) for j in range(4000))) for k in range(300)]
     gain = {r["doc_id"]: r["score"] - r["base_score"] for r in suffix_tree.score(frame(few + other)).collect()}
     assert gain[held] > 3
+
+
+def test_keys_come_back_from_their_steps():
+    random = np.random.default_rng(3)
+    keys = np.unique(np.concatenate([random.integers(0, 2**64, 5000, dtype=np.uint64), np.array([0, 1, 2**64 - 1], np.uint64)]))
+    for bits in (4, 12, 20):
+        ranges, cuts = suffix_tree._cut(keys, bits)
+        packed = suffix_tree._spaced(keys, cuts).to_pylist()
+        assert np.array_equal(np.concatenate([suffix_tree._joined(p) for p in packed]), keys)
+        assert all((suffix_tree._joined(p) >> np.uint64(64 - bits) == r).all() for r, p in zip(ranges.astype(np.uint64), packed, strict=True))
+    assert suffix_tree._joined(suffix_tree._spaced(np.array([7], np.uint64), np.array([0, 1])).to_pylist()[0]).tolist() == [7]
+
+
+def test_continuations_of_a_range_add_up_over_blocks():
+    ctx, after = np.array([5, 5, 9], "<u8"), np.array([1, 2, 1], "<u8")
+    rows = [(0, ctx.tobytes(), after.tobytes(), np.array([3, 1, 2], "<u4").tobytes()), (0, ctx[:2].tobytes(), after[:2].tobytes(), np.array([1, 2], "<u4").tobytes())]
+    part = pa.table({name: pa.array([r[k] for r in rows]) for k, name in enumerate(("range", "ctx", "next", "n"))})
+    assert suffix_tree._merged(part).to_pylist() == [{"ctx": 5, "next": 1, "n": 4}]
