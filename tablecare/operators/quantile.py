@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import math
+from bisect import bisect_left, bisect_right
 from dataclasses import dataclass
-from decimal import Decimal
 from functools import reduce
+from itertools import accumulate
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -41,31 +42,29 @@ class _Rank:
     value: object = None
 
     def range(self) -> tuple:
-        return self.column, self.low, self.high
+        return self.low, self.high
 
-    def narrow(self, found) -> None:
-        """Takes in what lies below and inside the range, and where the sketch cuts it."""
-        below, inside, cuts = found["below"], found["inside"], found["cuts"]
+    def narrow(self, classes: list) -> None:
+        """Takes in the class of values that holds the rank, of all classes in order."""
         self.rounds += 1
-        if self.rank < below:
-            self.most = self._within(self.low)
-        elif self.rank >= below + inside:
-            self.least = self._within(self.high)
-        else:
-            self.least, self.most, self.below, self.inside = found["first"], found["last"], below, inside
-        self.low, self.high = self.least, self.most
-        if self.rank < below or self.rank >= below + inside or self.rounds > ROUNDS:
-            # a sketch that leads astray this often has more rows than doubles to tell them apart
-            self.state = "dense" if self.rounds > ROUNDS else "open"
-        elif self.least == self.most:
+        ends = list(accumulate(n for n, _, _ in classes))
+        at = bisect_right(ends, self.rank)
+        self.inside, self.least, self.most = classes[at]
+        self.below, self.low, self.high = ends[at] - self.inside, self.least, self.most
+        if self.least == self.most:
             self.state, self.value = "found", self.least
-        elif inside <= SMALL:
+        elif self.inside <= SMALL:
             self.state = "few"
-        else:
-            place = (self.rank - below) / inside * BUCKETS
-            first, last = math.floor(place) - 2, math.ceil(place) + 2
-            self.low = self._within(cuts[first]) if first > 0 else self.least
-            self.high = self._within(cuts[last]) if last < BUCKETS else self.most
+        elif self.rounds > ROUNDS:
+            # a sketch that leads astray this often has more rows than doubles to tell them apart
+            self.state = "dense"
+
+    def cut(self, cuts: list) -> None:
+        """Goes on with the part of the range that holds the rank by a sketch of it."""
+        place = (self.rank - self.below) / self.inside * BUCKETS
+        first, last = math.floor(place) - 2, math.ceil(place) + 2
+        self.low = self._within(cuts[first]) if first > 0 else self.least
+        self.high = self._within(cuts[last]) if last < BUCKETS else self.most
 
     def _within(self, cut):
         """The cut, or the nearer end where rounding took it out of the range."""
@@ -76,10 +75,40 @@ def _values(df: DataFrame, column: str) -> Column:
     return clean_value(df.schema[column])
 
 
-def _bounded(df: DataFrame, rank: _Rank) -> Column:
+def _bounded(df: DataFrame, column: str, low, high) -> Column:
     """Whether a row's value is in the range."""
-    kind = df.schema[rank.column].dataType
-    return _values(df, rank.column).between(F.lit(rank.low).cast(kind), F.lit(rank.high).cast(kind))
+    kind = df.schema[column].dataType
+    return _values(df, column).between(F.lit(low).cast(kind), F.lit(high).cast(kind))
+
+
+def _by_column(ranks: list[_Rank]) -> dict[str, list[_Rank]]:
+    out: dict[str, list[_Rank]] = {}
+    for r in ranks:
+        out.setdefault(r.column, []).append(r)
+    return out
+
+
+def _collected(results: dict[str, DataFrame]) -> dict[str, list[Row]]:
+    """Rows of small results of several columns, each in its own types, from one job that reads every column apart."""
+    parts = []
+    for c, found in results.items():
+        kinds = {k: other.schema.simpleString() for k, other in enumerate(results.values()) if other is not found}
+        own = F.struct(*found.columns)
+        parts.append(found.select(F.lit(c).alias("c"), *[(F.lit(None).cast(kinds[k]) if k in kinds else own).alias(f"r{k}") for k in range(len(results))]))
+    out: dict[str, list[Row]] = {c: [] for c in results}
+    place = {c: k + 1 for k, c in enumerate(results)}
+    for row in reduce(DataFrame.unionAll, parts).collect():
+        out[row["c"]].append(row[place[row["c"]]])
+    return out
+
+
+def _class(value: Column, points: list[Column], first: int = 0) -> Column:
+    """Where a value lies among ordered points: 2k + 1 at the k-th of them, 2k between the one before and it; found by halving."""
+    if not points:
+        return F.lit(2 * first)
+    k = len(points) // 2
+    below, above = _class(value, points[:k], first), _class(value, points[k + 1 :], first + k + 1)
+    return F.when(value < points[k], below).when(value == points[k], F.lit(2 * (first + k) + 1)).otherwise(above)
 
 
 def _starts(df: DataFrame, shares: dict[str, list[float]]) -> tuple[dict[str, int], list[_Rank]]:
@@ -106,40 +135,41 @@ def _starts(df: DataFrame, shares: dict[str, list[float]]) -> tuple[dict[str, in
 
 
 def _narrowed(df: DataFrame, ranks: list[_Rank]) -> None:
-    """One scan counts the rows below and inside every open range and cuts it by a sketch."""
-    ranges = {r.range(): r for r in ranks}
-    wanted = []
-    for i, r in enumerate(ranges.values()):
-        v, kind = _values(df, r.column), df.schema[r.column].dataType
-        inside = F.when(_bounded(df, r), v)
-        cuts = F.percentile_approx(inside, F.array(*[F.lit(k / BUCKETS) for k in range(BUCKETS + 1)]), ACCURACY)
-        wanted.append(F.struct(
-            F.count_if(v < F.lit(r.low).cast(kind)).alias("below"), F.count(inside).alias("inside"),
-            F.min(inside).alias("first"), F.max(inside).alias("last"), cuts.alias("cuts"),
-        ).alias(f"r{i}"))
-    row = df.agg(*wanted).first()
-    found = {key: row[f"r{i}"] for i, key in enumerate(ranges)}
+    """The ends of a column's ranges part its values into classes, which one scan counts; ranges still large are cut by a sketch of their rows."""
+    counted = {}
+    for c, own in _by_column(ranks).items():
+        kind = df.schema[c].dataType
+        points = [F.lit(p).cast(kind) for p in sorted({p for r in own for p in r.range()})]
+        values = df.select(_values(df, c).alias("v")).where("v is not null")
+        counted[c] = values.groupBy(_class(F.col("v"), points).alias("class")).agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("first"), F.max("v").alias("last"))
+    classes = {c: [(r["n"], r["first"], r["last"]) for r in sorted(rows, key=lambda r: r["class"])] for c, rows in _collected(counted).items()}
+    for r in ranks:
+        r.narrow(classes[r.column])
+    cut, ranges = {}, {}
+    for c, own in _by_column([r for r in ranks if r.state == "open"]).items():
+        ranges[c] = list({r.range(): None for r in own})
+        inside = [_bounded(df, c, *key) for key in ranges[c]]
+        shares = F.array(*[F.lit(k / BUCKETS) for k in range(BUCKETS + 1)])
+        sketches = [F.percentile_approx(F.when(i, _values(df, c)), shares, ACCURACY) for i in inside]
+        cut[c] = df.where(reduce(Column.__or__, inside)).agg(F.array(*sketches).alias("cuts"))
+    if not cut:
+        return
+    found = _collected(cut)
     for r in ranks:
-        r.narrow(found[r.range()])
+        if r.state == "open":
+            r.cut(found[r.column][0]["cuts"][ranges[r.column].index(r.range())])
 
 
 def _counted(df: DataFrame, ranks: list[_Rank]) -> None:
-    """One job counts the values of all ranges of few rows; the ranks are read off."""
-    ranges = {r.range(): r for r in ranks}
-    parts = []
-    for i, r in enumerate(ranges.values()):
-        v, kind = _values(df, r.column), df.schema[r.column].dataType
-        text = (F.col("v").cast("double") if isinstance(kind, T.FloatType) else F.col("v")).cast("string")
-        parts.append(df.where(_bounded(df, r)).groupBy(v.alias("v")).agg(F.count(F.lit(1)).alias("n")).select(F.lit(i).alias("i"), text.alias("v"), "n"))
-    found: dict[int, list] = {}
-    keys = list(ranges)
-    for row in reduce(DataFrame.unionAll, parts).collect():
-        kind = df.schema[keys[row["i"]][0]].dataType
-        read = int if isinstance(kind, T.IntegralType) else Decimal if isinstance(kind, T.DecimalType) else float
-        found.setdefault(row["i"], []).append((read(row["v"]), row["n"]))
+    """One job counts the values of all ranges of few rows, each column read once; the ranks are read off."""
+    counts = {}
+    for c, own in _by_column(ranks).items():
+        inside = reduce(Column.__or__, [_bounded(df, c, *key) for key in {r.range(): None for r in own}])
+        counts[c] = df.where(inside).groupBy(_values(df, c).alias("v")).agg(F.count(F.lit(1)).alias("n"))
+    found = {c: sorted((row["v"], row["n"]) for row in rows) for c, rows in _collected(counts).items()}
     for r in ranks:
-        before = r.below
-        for value, n in sorted(found[keys.index(r.range())]):
+        before, counted = r.below, found[r.column]
+        for value, n in counted[bisect_left(counted, r.low, key=lambda x: x[0]) :]:
             before += n
             if r.rank < before:
                 r.value = value
@@ -149,7 +179,7 @@ def _counted(df: DataFrame, ranks: list[_Rank]) -> None:
 def _ordered(df: DataFrame, rank: _Rank) -> None:
     """A rank among many values that a double can't tell apart: their counts in order, and in the part that holds it a running sum."""
     v = _values(df, rank.column)
-    counts = df.where(_bounded(df, rank)).groupBy(v.alias("v")).agg(F.count(F.lit(1)).alias("n"))
+    counts = df.where(_bounded(df, rank.column, rank.low, rank.high)).groupBy(v.alias("v")).agg(F.count(F.lit(1)).alias("n"))
     parted = cut_lineage(counts.orderBy("v").withColumn("part", F.spark_partition_id()))
     low = F.lit(rank.low).cast(df.schema[rank.column].dataType)
     before = df.agg(F.count_if(v < low).alias("n")).first()["n"]
@@ -165,9 +195,10 @@ def _ordered(df: DataFrame, rank: _Rank) -> None:
 def exact_quantiles(df: DataFrame, shares: dict[str, list[float]]) -> dict[str, list[float | None]]:
     """Linearly interpolated quantiles of numeric columns, nulls and NaN left out; None for a column without values.
 
-    All columns are narrowed together, one scan a round: sketches give ranges of
-    values that hold the ranks, counts confirm them, and the few rows that are
-    left are counted by value.  Two to four scans do for any number of rows.
+    All columns are narrowed together: sketches give ranges of values that hold
+    the ranks, counts of the classes between their ends confirm them, and the few
+    rows that are left are counted by value.  Each round reads a column once, and
+    again where ranges are still large; three to five scans do for any number of rows.
     """
     for c in shares:
         if not isinstance(df.schema[c].dataType, T.NumericType):

@@ -63,3 +63,14 @@ def test_no_columns_and_wrong_kinds(spark):
     assert quantile.exact_quantiles(spark.range(3), {}) == {}
     with pytest.raises(TypeError):
         quantile.exact_quantiles(spark.createDataFrame([("x",)], "v string"), {"v": [0.5]})
+
+
+def test_ranges_confirmed_without_sketches(spark, monkeypatch):
+    """Ranges of a column part its values into classes: a row is met once, however many ranges there are."""
+    sketches, real = [], quantile.F.percentile_approx
+    monkeypatch.setattr(quantile.F, "percentile_approx", lambda *args: (sketches.append(args), real(*args))[1])
+    data = [(i * 7919) % 30_011 // 3 for i in range(30_011)]
+    df = spark.createDataFrame([(v,) for v in data], "v bigint")
+    shares = [k / 60 for k in range(61)]
+    assert quantile.exact_quantiles(df, {"v": shares})["v"] == pytest.approx([expected(data, q) for q in shares])
+    assert len(sketches) == 1
