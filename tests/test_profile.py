@@ -201,3 +201,23 @@ def test_profile_of_a_hot_value_leaves_no_large_group(spark):
     plan = distinct_counts(df)._jdf.queryExecution().executedPlan().toString()
     exchange = plan.index("Exchange hashpartitioning(position")
     assert "HashAggregate" in plan[:exchange] and "HashAggregate" in plan[exchange:]
+
+
+def test_text_columns_are_scanned_apart(spark):
+    """The evidence of two text columns is more code than the JVM compiles."""
+    schema = spark.createDataFrame([], "a string, b string, c int, d string, e double, f int").schema
+    groups = profile._scan_groups(schema, profile.SCAN_BUDGET)
+    texts = [[f.name for _, f in g if f.dataType.simpleString() == "string"] for g in groups]
+    assert [f.name for g in groups for _, f in g] == schema.names
+    assert all(len(t) <= 1 for t in texts) and sum(map(len, texts)) == 3
+
+
+def test_distinct_keys_of_few_columns_share_a_task(spark):
+    """Whole rows and every few columns are counted apart, with the same counts."""
+    df = spark.range(2000).selectExpr("id % 1500 AS a", *[f"IF(id % {k} = 1, null, id % {k}) AS c{k}" for k in range(2, 10)], "CAST(null AS string) AS n")
+    counts = distinct_counts(df)
+    expands = counts._jdf.queryExecution().optimizedPlan().toString().count("Expand")
+    assert expands == -(-len(df.columns) // profile.DISTINCT_COLUMNS) + 1
+    rows = [tuple(r) for r in df.collect()]
+    expected = {i: len({r[i] for r in rows if r[i] is not None}) for i in range(len(df.columns) - 1)}
+    assert {r["position"]: r["unique_count"] for r in counts.collect()} == expected | {-1: len(set(rows))}
