@@ -166,7 +166,8 @@ def apply(df: DataFrame, fixes: list[Fix], salt: str = "") -> tuple[DataFrame, s
         out = redact(out.select(*[F.col(quoted(c)).cast("string").alias(c) if c in texts else F.col(quoted(c)) for c in out.columns]), texts)
     treated = {*personal, *texts}
     casts = {f.column: f.detail for f in fixes if f.action == "safe_cast" and f.column not in treated}
-    uncast = {r["column"] for r in clean.cast_losses(out, casts).collect() if r["lost"]} if casts else set()
+    # whether a value is lost shows in the table with its repeats, which needs no shuffle of rows
+    uncast = {r["column"] for r in clean.cast_losses(df, casts).collect() if r["lost"]} if casts else set()
     if casts.keys() - uncast:
         out = clean.safe_cast(out, {c: t for c, t in casts.items() if c not in uncast})
     numeric = lambda cs: [c for c in cs if c not in treated]
