@@ -11,8 +11,9 @@ members), expanded to nodes, sifted again and verified on the whole sets.
 
 Large families don't make all their pairs: first every group of a shared
 shingle is verified against one of them, the links found are closed to
-components, and only pairs of different components follow.  Nothing is capped;
-what is left out are pairs known to be connected.
+components, and so again with others as long as that connects families; then
+pairs of different components follow.  Shingles that the same groups share are
+met once.  Nothing is capped; what is left out are pairs known to be connected.
 
 Defined cases: texts without words, null or empty, have no shingles and link
 with nothing; texts of fewer words than a shingle are one shingle; repeated
@@ -41,6 +42,8 @@ LEVELS = (2, 4, 8, 16, 32, 64, 128, 256, 512, 1024, 4096, 16384)
 SKETCH = 8
 #: Last shingles of a prefix, by which a pair of groups that meets at several is taken at one: families share these.
 TRAILING = 6
+#: Pairs left for each place left that call for another turn, and the share of the pairs before it that a turn must not leave to be followed by one.
+CROWDED, STALLED = 2, 0.75
 
 
 def sets(texts: pa.Array, size: int) -> Iterator[np.ndarray]:
@@ -199,13 +202,20 @@ class Join:
         to_hub = with_heads.select("grp", F.col("hub_head").alias("a")).union(with_heads.select(F.col("hub").alias("grp"), F.col("head").alias("a")))
         inside = crowded.select("grp", F.col("head").alias("a"))
         first = self.verified(to_hub.union(inside).join(members, "grp").select("a", F.col("node").alias("b")))
-        known = cut_lineage(components(first))
+        links, known = first, cut_lineage(components(first))
+
+        before, turn = float("inf"), 0
+        while True:
+            placed = cut_lineage(self.nodes.select("grp", "node").join(known, "node", "left").withColumn("c", F.coalesce("component", "node")))
+            left = self.unconnected(matched, placed)
+            # families that the last turn connected go on by one of them a shingle; what it didn't connect meets pair by pair
+            if self.pairs <= CROWDED * self.spots or self.pairs > STALLED * before:
+                break
+            found = self.verified(self._to_one(left, placed, turn))
+            links = links.union(found)
+            known = cut_lineage(components(known.select(F.col("node").alias("a"), F.col("component").alias("b")).union(found)))
+            before, turn = self.pairs, turn + 1
 
-        placed = self.nodes.select("grp", "node", "n").join(known, "node", "left").withColumn("c", F.coalesce("component", "node"))
-        # groups as their components see them: a component of a group is met once for each shingle
-        spots = matched.select("shingle", "grp", *_SPOT).join(placed.select("grp", "c").distinct(), "grp")
-        open_ = spots.groupBy("shingle").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low <> high").select("shingle")
-        left = spots.join(open_, "shingle", "left_semi")
         other = left.select("shingle", *[F.col(x).alias(f"{x}2") for x in ("grp", "c", *_SPOT)])
         # a pair that shares a later one of both trailing shingles is met there
         rest = lambda k: f"slice(trailing{k}, greatest(place{k} + 2 - first{k}, 1), {TRAILING})"
@@ -218,7 +228,32 @@ class Join:
         split = placed.groupBy("grp").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low <> high").select("grp")
         torn = placed.join(split, "grp", "left_semi").select("grp", "c", "node")
         within = torn.join(torn.select("grp", F.col("c").alias("c2"), F.col("node").alias("b")), "grp").where("c < c2").select(F.col("node").alias("a"), "b")
-        return first.union(self.verified(second.select("a", "b").union(within)))
+        return links.union(self.verified(second.select("a", "b").union(within)))
+
+    def unconnected(self, matched: DataFrame, placed: DataFrame) -> DataFrame:
+        """Shared shingles of groups as their components see them, where components differ.
+
+        Of shingles that the same have, the last is enough: it is the last that any two of them share.
+        ``spots`` and ``pairs`` tell how many rows are left and how many pairs of different components they make.
+        """
+        groups = placed.select("grp", "c").distinct()
+        marks = [F.bit_xor(F.xxhash64("grp", "c", F.lit(k))).alias(f"x{k}") for k in (0, 1)]
+        own = matched.select("shingle", "grp", "place").join(groups, "grp").groupBy("shingle", "c").agg(F.count("*").alias("k"), F.min(F.struct("grp", "place")).alias("at"), *marks)
+        lists = own.groupBy("shingle").agg(F.sum("k").alias("spots"), F.sum(F.col("k") * F.col("k")).alias("inside"), F.min("at").alias("at"), *[F.bit_xor(f"x{k}").alias(f"x{k}") for k in (0, 1)], F.count("*").alias("several"))
+        last = lists.where("several > 1").groupBy("spots", "inside", "x0", "x1").agg(F.max_by("shingle", "at.place").alias("shingle"))
+        last = cut_lineage(last.select("shingle", "spots", ((F.col("spots") * F.col("spots") - F.col("inside")) / 2).alias("pairs")))
+        self.spots, self.pairs = (x or 0 for x in last.agg(F.sum("spots"), F.sum("pairs")).first())
+        return matched.join(last.select("shingle"), "shingle", "left_semi").select("shingle", "grp", *_SPOT).join(groups, "grp")
+
+    def _to_one(self, left: DataFrame, placed: DataFrame, turn: int) -> DataFrame:
+        """Pairs of nodes (a, b): of each group at a shingle one, with one of a group there that another turn chooses otherwise."""
+        own = ("grp", "c", "n", "place", "known", *_BITS)
+        hub = left.groupBy("shingle").agg(F.min_by(F.struct(*own), F.xxhash64("grp", "c", F.lit(turn))).alias("hub"))
+        met = left.join(hub, "shingle").select("grp", "c", *_SPOT, *[F.col(f"hub.{x}").alias(f"{x}2") for x in own])
+        met = met.where("grp <> grp2 and c <> c2").where(self._may_match()).select("grp", "c", "grp2", "c2").distinct()
+        heads = placed.groupBy("grp", "c").agg(F.min("node").alias("head"))
+        one = heads.withColumnRenamed("head", "a")
+        return met.join(one, ["grp", "c"]).join(heads.toDF("grp2", "c2", "b"), ["grp2", "c2"]).select("a", "b")
 
     def classes(self) -> DataFrame:
         """doc_id, n, tie (hash of the text) and component c of every row that can link."""

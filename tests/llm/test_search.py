@@ -114,6 +114,34 @@ def test_similar_texts(frame, odd):
     assert similar_texts.similar_components(frame([])).isEmpty()
 
 
+def near_family(seed, n, most):
+    """Texts of 400 words, each with up to ``most`` words of a common one replaced."""
+    r, base = random.Random(seed), [f"w{seed}x{k}" for k in range(400)]
+    for i in range(n):
+        own = list(base)
+        for k in r.sample(range(400), r.randint(1, most)):
+            own[k] = f"new{seed}x{i}x{k}"
+        yield " ".join(own)
+
+
+def test_shingles_that_the_same_texts_share_are_met_once(frame):
+    base = prose(77, 400).split()
+    other = [f"other{k}" if k % 60 == 7 else w for k, w in enumerate(base)]  # too many to link, prefix shingles in common
+    join = similar_texts.Join(frame([(1, " ".join(base)), (2, " ".join(other))]), "doc_id", "text", 3, 90)
+    assert join.links().isEmpty()
+    assert (join.spots, join.pairs) == (2, 1)
+
+
+def test_families_are_connected_in_turns_before_pairs_are_made(frame, monkeypatch):
+    turns, to_one = [], similar_texts.Join._to_one
+    monkeypatch.setattr(similar_texts, "CROWDED", 0)
+    monkeypatch.setattr(similar_texts.Join, "_to_one", lambda self, left, placed, turn: turns.append(self.pairs) or to_one(self, left, placed, turn))
+    rows = list(enumerate(near_family(1, 30, 6)))
+    got = similar_texts.similar_components(frame(rows)).collect()
+    assert sorted((tuple(r) for r in got), key=str) == classes(rows, 3, 90)
+    assert turns
+
+
 def test_one_of_each_group_stays(frame, odd):
     rows = [r for r in odd if r[0] != 7] + [(100 + i, t) for i, t in enumerate(family(6, 150, 30, [0, 1, 3, 5, 9]))]
     kept = similar_texts.keep_one(frame(rows))
