@@ -18,6 +18,8 @@ their own keys, sifted by a bitmap of at most 2^``SIEVE_BITS`` bits, and are
 joined with them; what the bitmap lets through in error finds no partner.
 Keys travel packed, a list for each block and range of hashes; ranges are as
 many as the tokens ask for, and values come back in the order of the keys.
+Blocks are scored in a few portions, so what is shuffled for one takes no disk
+beside the next.
 Tables of a depth are removed once the depth after it is written.
 
 The vocabulary isn't bounded, so it stays distributed: texts are packed into
@@ -43,7 +45,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tablecare.llm.texts import Words, id_and_text, mixed, slices
-from tablecare.sources.session import cut_lineage, work_path
+from tablecare.sources.session import work_path
 
 #: Text in a block; its dictionary and packed words are held by one task.
 BLOCK_BYTES = 16 << 20
@@ -61,6 +63,9 @@ SIEVE_BITS, RANGE_BITS = 27, 8
 #: Training tokens to a range of hashes, whose keys are merged by one task; greatest number of ranges as a power of two.
 RANGE_TOKENS, MOST_RANGES = 1 << 21, 20
 
+#: Portions in which blocks are scored, for the disk that their keys and values take, and least number of blocks in one.
+PORTIONS, PORTION_LEAST = 4, 6
+
 BLOCKS = "block long, ids array<long>, held array<boolean>, bounds array<long>, places binary, words binary, counts binary"
 SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
 
@@ -70,32 +75,49 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     spark = docs.sparkSession
     checksum = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))
     rows = id_and_text(docs, id_col, text_col).withColumn("held", checksum % 10 == 0)
-    path = work_path(spark, "blocks")
+    work = _Work(spark)
+    work.paths["blocks"] = path = work_path(spark, "blocks")
     rows.mapInArrow(_pack, BLOCKS).write.option("compression", "zstd").parquet(path)
     blocks = spark.read.schema(BLOCKS).parquet(path)
+    made, tokens = blocks.agg(F.count("*"), F.sum(F.element_at("bounds", -1))).first()
+    bits = min(MOST_RANGES, max(4, ((tokens or 0) // RANGE_TOKENS).bit_length()))
 
-    per_block = blocks.select("block", "words", "counts").mapInArrow(_dictionary, "word long, block long, n long")
-    counts = cut_lineage(per_block.groupBy("word").agg(F.sum("n").alias("c")).where("c > 0"))
+    per_block = blocks.select("words", "counts").mapInArrow(_dictionary(bits), "range long, words binary, n binary")
+    counts = work.write("counts", per_block.groupBy("range").applyInArrow(_summed, "word long, c long"))
     total, distinct = (x or 0 for x in counts.agg(F.sum("c"), F.count("*")).first())
-    often = counts.where(F.col("c") >= max(1.0, FREQUENT_SHARE * total))  # 1 / FREQUENT_SHARE rows at most
-    frequent = often.toArrow().sort_by("word")
-    bits = min(MOST_RANGES, max(4, (total // RANGE_TOKENS).bit_length()))
-    model = _model(blocks, counts, total, distinct, bits)
+    least = max(1.0, FREQUENT_SHARE * total)  # reached by 1 / FREQUENT_SHARE words at most
+    frequent = counts.where(F.col("c") >= least).toArrow().sort_by("word")
+    model = _model(work, blocks, counts, total, distinct, bits)
     shared = spark.sparkContext.broadcast(tuple(frequent.column(c).to_numpy().astype(np.int64) for c in ("word", "c")))
 
-    rare = per_block.join(F.broadcast(often.select("word")), "word", "left_anti").join(counts, "word").where("c <> n")
-    needed = rare.select("block", F.lit(None).cast("long").alias("range"), "word", "c", F.lit(None).cast("binary").alias("packed"))
-    sieve = None
-    if model is not None:
-        sieve = _sieve(model)
-        asked = blocks.select("block", "bounds", "places", "words").mapInArrow(_asked(sieve, bits), "range long, block long, packed binary")
-        held = model.withColumn("range", F.shiftrightunsigned("key", 64 - bits))
-        answers = asked.groupBy("range").cogroup(held.groupBy("range")).applyInArrow(_answered, "range long, block long, packed binary")
-        needed = needed.unionByName(answers, allowMissingColumns=True)
-    found = blocks.groupBy("block").cogroup(needed.groupBy("block")).applyInArrow(_scores(shared, sieve, total, distinct), SCORES)
+    sieve = _sieve(model) if model is not None else None
+    known = counts.where(F.col("c") < least).select(F.col("word").alias("key"), F.col("c").cast("double").alias("value"))
+    known = (known if model is None else model.unionByName(known)).withColumn("range", F.shiftrightunsigned("key", 64 - bits))
+    work.paths["scores"] = out = work_path(spark, "scores")
+    for part in _portions(blocks, made):
+        asked = part.select("block", "bounds", "places", "words").mapInArrow(_asked(shared, sieve, bits), "range long, block long, packed binary")
+        answers = asked.groupBy("range").cogroup(known.groupBy("range")).applyInArrow(_answered, "range long, block long, packed binary")
+        found = part.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_scores(shared, sieve, total, distinct), SCORES)
+        found.write.mode("append").parquet(out)
+        work.drop()
+    del work.paths["scores"]
+    work.drop(*list(work.paths))
+    found = spark.read.schema(SCORES).parquet(out)
     return found.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score")
 
 
+def _portions(blocks: DataFrame, made: int) -> list[DataFrame]:
+    """The blocks in ranges of their numbers, as tasks wrote them; what is shuffled for one is gone before the next."""
+    n = max(1, min(PORTIONS, made // PORTION_LEAST))
+    shares = F.array(*[F.lit(k / n) for k in range(1, n)])
+    cuts = sorted({int(x) for x in blocks.agg(F.percentile("block", shares)).first()[0]}) if n > 1 else []
+    parts = []
+    for low, high in zip([None, *cuts], [*cuts, None], strict=True):
+        part = blocks if low is None else blocks.where(F.col("block") > low)
+        parts.append(part if high is None else part.where(F.col("block") <= high))
+    return parts
+
+
 class _Work:
     """Tables in the shared folder that are removed when used up."""
 
@@ -117,9 +139,8 @@ class _Work:
         jvm.System.gc()
 
 
-def _model(blocks: DataFrame, counts: DataFrame, total: int, distinct: int, bits: int) -> DataFrame | None:
+def _model(work: _Work, blocks: DataFrame, counts: DataFrame, total: int, distinct: int, bits: int) -> DataFrame | None:
     """key and value: of a state what it leaves to the shorter one, of a state's stored continuation its probability."""
-    work = _Work(blocks.sparkSession)
     shorter = counts.select(F.lit(0).cast("long").alias("short"), F.col("word").alias("next"), ((F.col("c") + 0.1) / (total + 0.1 * (distinct + 1))).alias("before"))
     empty = F.lit(0).cast("long")
     contexts = counts.where(F.col("c") >= CONTEXT_LEAST).select(empty.alias("ctx"), empty.alias("short"), F.col("word").alias("next"), F.col("c").alias("n"))
@@ -248,12 +269,33 @@ def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
         yield parts
 
 
-def _dictionary(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A row for each word of each block."""
-    for batch in batches:
-        for row in batch.to_pylist():
-            words, counts = np.frombuffer(row["words"], "<i8"), np.frombuffer(row["counts"], "<i8")
-            yield pa.RecordBatch.from_arrays([pa.array(words), pa.array(np.full(len(words), row["block"])), pa.array(counts)], ["word", "block", "n"])
+def _dictionary(bits: int):
+    """Training counts of each block's words, packed by ranges of the words' hashes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for row in _rows(batches):
+            words, counts = np.frombuffer(row["words"], "<u8"), np.frombuffer(row["counts"], "<i8")
+            words, counts = words[counts > 0], counts[counts > 0].astype("<u4")
+            ranges, cuts = _cut(words, bits)
+            yield pa.RecordBatch.from_arrays([pa.array(ranges), _spaced(words, cuts), _lists(counts, cuts)], ["range", "words", "n"])
+
+    return run
+
+
+def _summed(part: pa.Table) -> pa.Table:
+    """The counts of a range's words, all blocks together."""
+    words = np.concatenate([_joined(x) for x in part.column("words").to_pylist()])
+    index, sums = _totals(words, _unpacked(part.column("n"), "<u4"))
+    return pa.table({"word": pa.array(words[index].view(np.int64)), "c": pa.array(sums)})
+
+
+def _totals(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where one of each distinct key is, in the keys' order, and the sum of its numbers."""
+    if not len(keys):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    order = np.argsort(keys)
+    starts = np.flatnonzero(_new(keys[order]))
+    return order[starts], np.add.reduceat(n[order].astype(np.int64), starts)
 
 
 @dataclass
@@ -400,7 +442,9 @@ def _continuations(sieve: Sieve, depth: int, bits: int):
                 pass
             used = sieve.holds(context) & np.repeat(~np.array(row["held"], bool), np.diff(bounds))[at]
             context, after = context[used], tokens[at[used]]
-            longer, index, n = np.unique(_extended(context, after), return_index=True, return_counts=True)
+            longer = _extended(context, after)
+            index, n = _totals(longer, np.ones(len(longer), np.uint8))
+            longer = longer[index]
             ranges, cuts = _cut(longer, bits)
             # equal contexts side by side in their range, which compresses
             spread = np.uint64(64 - bits)
@@ -460,30 +504,30 @@ def _unpacked(column: pa.ChunkedArray, kind: str) -> np.ndarray:
 def _merged(part: pa.Table) -> pa.Table:
     """The continuations of a range that occur often enough, all blocks together."""
     context, after, n = (_unpacked(part.column(c), k) for c, k in (("ctx", "<u8"), ("next", "<u8"), ("n", "<u4")))
-    _, index, place = np.unique(_extended(context, after), return_index=True, return_inverse=True)
-    sums = np.bincount(place, n, len(index)).astype(np.int64)
+    index, sums = _totals(_extended(context, after), n)
     kept = sums >= NEXT_LEAST
     index = index[kept]
     return pa.table({"ctx": pa.array(context[index].view(np.int64)), "next": pa.array(after[index].view(np.int64)), "n": pa.array(sums[kept])})
 
 
-def _needed(sieve: Sieve, tokens: np.ndarray, before: np.ndarray) -> np.ndarray:
-    """Keys, in order, of the states and stored continuations that a block may need."""
-    keys = [np.zeros(0, np.uint64)]
-    for at, context in _contexts(tokens, before):
+def _needed(sieve: Sieve | None, tokens: np.ndarray, before: np.ndarray, rare: np.ndarray) -> np.ndarray:
+    """Keys, in order, of the rare words, states and stored continuations that a block may need."""
+    keys = [rare]
+    for at, context in _contexts(tokens, before) if sieve else ():
         fit = sieve.holds(context)
         after = ~_extended(context[fit], tokens[at[fit]])
         keys += [_distinct(context[fit]), _distinct(after[sieve.holds(after)])]
     return _distinct(np.concatenate(keys))
 
 
-def _asked(sieve: Sieve, bits: int):
+def _asked(shared: Broadcast, sieve: Sieve | None, bits: int):
     """The keys that each block needs, packed by ranges of hashes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in _rows(batches):
             _, _, tokens, before = _tokens(row)
-            keys = _needed(sieve, tokens, before)
+            words = np.frombuffer(row["words"], "<u8")
+            keys = _needed(sieve, tokens, before, words[_place(shared.value[0], words.view(np.int64)) < 0])
             ranges, cuts = _cut(keys, bits)
             yield pa.RecordBatch.from_arrays([pa.array(ranges), pa.array(np.full(len(ranges), row["block"], np.int64)), _spaced(keys, cuts)], ["range", "block", "packed"])
 
@@ -512,21 +556,23 @@ def _scores(shared: Broadcast, sieve: Sieve | None, total: int, distinct: int):
 
 def _scored(row: dict, needed: pa.Table, frequent: tuple[np.ndarray, np.ndarray], sieve: Sieve | None, total: int, distinct: int) -> tuple:
     bounds, places, tokens, before = _tokens(row)
-    words, counts = np.frombuffer(row["words"], "<i8"), np.frombuffer(row["counts"], "<i8").copy()
-    rare = needed.filter(needed.column("range").is_null())
-    counts[_place(words.view(np.uint64), _hashes(rare.column("word")))] = rare.column("c").to_numpy()
+    words, counts = np.frombuffer(row["words"], "<i8"), np.zeros(len(row["words"]) // 8, np.int64)
     own = _place(frequent[0], words)
     counts[own >= 0] = frequent[1][own[own >= 0]]
+    rare = words[own < 0].view(np.uint64)
+    keys, values = _needed(sieve, tokens, before, rare), _unpacked(needed.sort_by("range").column("packed"), "<f8")
+    keys, values = keys[~np.isnan(values)], np.append(values[~np.isnan(values)], 0.0)
+    counts[own < 0] = values[_place(keys, rare)]  # 0 of words without a training text
     base = ((counts + 0.1) / (total + 0.1 * (distinct + 1)))[places]
-    keys = _needed(sieve, tokens, before) if sieve else np.zeros(0, np.uint64)
-    values = _unpacked(needed.filter(needed.column("range").is_valid()).sort_by("range").column("packed"), "<f8")
-    keys, values = keys[~np.isnan(values)], values[~np.isnan(values)]
     probability = base.copy()
-    for at, context in _contexts(tokens, before):
+    for at, context in _contexts(tokens, before) if sieve else ():
+        fit = sieve.holds(context)
+        at, context = at[fit], context[fit]
         state = _place(keys, context)
         at, context, state = (x[state >= 0] for x in (at, context, state))
-        stored = _place(keys, ~_extended(context, tokens[at]))
-        left = values[state] * probability[at] if len(at) else probability[at]
-        probability[at] = np.where(stored >= 0, values[stored], left) if len(at) else left
+        after = ~_extended(context, tokens[at])
+        stored, fit = np.full(len(at), -1), sieve.holds(after)
+        stored[fit] = _place(keys, after[fit])
+        probability[at] = np.where(stored >= 0, values[stored], values[state] * probability[at])
     sums = lambda x: np.add.reduceat(x, bounds[:-1])
     return row["ids"], row["held"], np.diff(bounds), sums((counts > 0)[places].astype(np.int64)), sums(np.log10(base)), sums(np.log10(probability))

@@ -209,3 +209,22 @@ def test_continuations_of_a_range_add_up_over_blocks():
     rows = [(0, ctx.tobytes(), after.tobytes(), np.array([3, 1, 2], "<u4").tobytes()), (0, ctx[:2].tobytes(), after[:2].tobytes(), np.array([1, 2], "<u4").tobytes())]
     part = pa.table({name: pa.array([r[k] for r in rows]) for k, name in enumerate(("range", "ctx", "next", "n"))})
     assert suffix_tree._merged(part).to_pylist() == [{"ctx": 5, "next": 1, "n": 4}]
+
+
+def test_blocks_are_scored_in_portions(spark, frame, monkeypatch):
+    rows = [(i, prose(i % 7, 60) + f" rare{i // 3}") for i in range(120)]
+    want = {tuple(r) for r in suffix_tree.score(frame(rows)).collect()}
+    monkeypatch.setattr(suffix_tree, "PORTION_LEAST", 1)
+    assert {tuple(r) for r in suffix_tree.score(frame(rows)).collect()} == want
+    blocks = spark.createDataFrame([(k << 32 | j,) for k in range(5) for j in range(3)], "block long")
+    parts = [[r["block"] for r in p.collect()] for p in suffix_tree._portions(blocks, 15)]
+    assert len(parts) == suffix_tree.PORTIONS and sorted(sum(parts, [])) == sorted(r["block"] for r in blocks.collect())
+    assert max(map(len, parts)) <= 5
+
+
+def test_words_add_up_over_blocks():
+    blocks = [([3, 9, 2**63 + 1], [2, 0, 5]), ([3, 4], [1, 7])]
+    batch = pa.RecordBatch.from_pylist([{"words": np.array(w, "<u8").tobytes(), "counts": np.array(n, "<i8").tobytes()} for w, n in blocks])
+    packed = pa.Table.from_batches(suffix_tree._dictionary(1)([batch]))
+    got = [r for k in (0, 1) for r in suffix_tree._summed(packed.filter(pa.compute.equal(packed["range"], k))).to_pylist()]
+    assert got == [{"word": 3, "c": 3}, {"word": 4, "c": 7}, {"word": 1 - 2**63, "c": 5}]
