@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tablecare.sources.session import cut_lineage
+from tablecare.sources.session import cut_lineage, release
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -13,7 +13,8 @@ def components(links: DataFrame) -> DataFrame:
 
     Each round links a node's larger neighbours (large star), then its smaller
     ones (small star), to the smallest; rounds needed grow with the logarithm
-    of the longest chain.  Each is written out, so lost executors cost a round.
+    of the longest chain.  Each is written out, so lost executors cost a round,
+    and leaves nothing in the driver.
     """
     edges = cut_lineage(links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     state = _state(edges)
@@ -25,6 +26,7 @@ def components(links: DataFrame) -> DataFrame:
         small = large.join(low, "a").select(F.explode(F.array(F.struct(F.col("b").alias("a"), "low"), F.struct("a", "low"))).alias("s"))
         after = cut_lineage(small.select(F.col("s.a").alias("a"), F.col("s.low").alias("b")).where("a <> b").distinct())
         before, state = state, _state(after)
+        release(links.sparkSession)
         if state == before:
             return after.select(F.col("a").alias("node"), F.col("b").alias("component")).union(after.select("b", "b").distinct())
         edges = after

@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from tablecare.llm.components import components
 from tablecare.llm.frequency import frequency_levels, level_of
 from tablecare.llm.texts import Words, id_and_text, mixed, shingles, slices
-from tablecare.sources.session import cut_lineage
+from tablecare.sources.session import cut_lineage, release
 
 SIZE, PERCENT = 3, 90
 #: Least numbers of texts for the frequency levels from 1 on; level 0 is certain to be in one text only.
@@ -182,7 +182,9 @@ class Join:
         sifted = sifted.where(self._fits("na", "nb")).where(f"na + nb - ({apart}) >= 2 * ({self._needed('na', 'nb')}) - 1e-6").select("a", "b")
         whole_a, whole_b = (self.sets.select(F.col("node").alias(k), F.col("own").alias(f"own_{k}")) for k in "ab")
         both = sifted.join(whole_b, "b").join(whole_a, "a").select("a", "b", "own_a", "own_b")
-        return cut_lineage(both.mapInArrow(_similar(self.percent), "a long, b long"))
+        found = cut_lineage(both.mapInArrow(_similar(self.percent), "a long, b long"))
+        release(pairs.sparkSession)
+        return found
 
     def links(self) -> DataFrame:
         """Links (a, b) between nodes that connect all similar ones."""

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -39,6 +40,15 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Lets go of the shuffles and broadcasts of queries that are done; Spark removes them with the driver's garbage.
+
+    Listeners hear of a query's end a moment after it, and hold its plan until then.
+    """
+    time.sleep(0.3)
+    spark.sparkContext._jvm.System.gc()
+
+
 def local_copy(df: DataFrame) -> DataFrame:
     """A small result held by the driver, so what is derived from it needs no job.
 

@@ -4,6 +4,7 @@ import hashlib
 import itertools
 import random
 import re
+import time
 from collections import Counter
 
 import numpy as np
@@ -279,3 +280,17 @@ def test_leaks(spark, frame, odd):
     assert containment.find_leaks(frame([]), benchmark).isEmpty()
 
 
+def test_rounds_leave_no_shuffles_in_the_driver(spark):
+    def held(least: int) -> int:
+        for _ in range(20):  # they are removed a moment after the garbage is collected
+            if (now := spark._jvm.org.apache.spark.SparkEnv.get().mapOutputTracker().shuffleStatuses().size()) <= least:
+                break
+            time.sleep(0.2)
+        return now
+
+    links = spark.createDataFrame([(k, k + 1) for k in range(60)], "a long, b long")
+    spark._jvm.System.gc()
+    before = held(0)
+    found = components(links)
+    assert held(before + 4) <= before + 4
+    assert found.where("component = 0").count() == 61
