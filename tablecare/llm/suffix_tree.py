@@ -18,8 +18,9 @@ their own keys, sifted by a bitmap of at most 2^``SIEVE_BITS`` bits, and are
 joined with them; what the bitmap lets through in error finds no partner.
 Keys travel packed, a list for each block and range of hashes; ranges are as
 many as the tokens ask for, and values come back in the order of the keys.
-Blocks are scored in a few portions, so what is shuffled for one takes no disk
-beside the next.
+Blocks ask in a few portions, so that the model is dealt out a few times only,
+and are scored in parts of those; what is shuffled for one takes no disk beside
+the next.
 Tables of a depth are removed once the depth after it is written.
 
 The vocabulary isn't bounded, so it stays distributed: texts are packed into
@@ -45,10 +46,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tablecare.llm.texts import Words, id_and_text, mixed, slices
-from tablecare.sources.session import work_path
+from tablecare.sources.session import release, work_path
 
 #: Text in a block; its dictionary and packed words are held by one task.
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 14 << 20
+#: Ranges of hashes whose continuations a task hands on at a time.
+HANDED = 8
 #: Least counts of a context and of a stored continuation.
 CONTEXT_LEAST, NEXT_LEAST = 16, 4
 DEPTH = 3
@@ -63,10 +66,14 @@ SIEVE_BITS, RANGE_BITS = 27, 8
 #: Training tokens to a range of hashes, whose keys are merged by one task; greatest number of ranges as a power of two.
 RANGE_TOKENS, MOST_RANGES = 1 << 21, 20
 
-#: Portions in which blocks are scored, for the disk that their keys and values take, and least number of blocks in one.
-PORTIONS, PORTION_LEAST = 4, 6
+#: Values from which on it pays to sort them before they are looked up.
+SORTED_LEAST = 1 << 12
+
+#: Portions in which blocks are scored, and in which they ask, for the disk that this takes; least number of blocks in one.
+PORTIONS, ASKING, PORTION_LEAST = 4, 2, 6
 
 BLOCKS = "block long, ids array<long>, held array<boolean>, bounds array<long>, places binary, words binary, counts binary"
+ANSWERS = "range long, block long, packed binary"
 SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
 
 
@@ -94,28 +101,38 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     known = counts.where(F.col("c") < least).select(F.col("word").alias("key"), F.col("c").cast("double").alias("value"))
     known = (known if model is None else model.unionByName(known)).withColumn("range", F.shiftrightunsigned("key", 64 - bits))
     work.paths["scores"] = out = work_path(spark, "scores")
-    for part in _portions(blocks, made):
-        asked = part.select("block", "bounds", "places", "words").mapInArrow(_asked(shared, sieve, bits), "range long, block long, packed binary")
-        answers = asked.groupBy("range").cogroup(known.groupBy("range")).applyInArrow(_answered, "range long, block long, packed binary")
-        found = part.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_scores(shared, sieve, total, distinct), SCORES)
-        found.write.mode("append").parquet(out)
+    for asking in _portions(blocks, made, ASKING):
+        asked = asking.select("block", "bounds", "places", "words").mapInArrow(_asked(shared, sieve, bits), ANSWERS)
+        answers = work.write("answers", asked.groupBy("range").cogroup(known.groupBy("range")).applyInArrow(_answered, ANSWERS))
         work.drop()
+        for span in _spans(asking, made // ASKING, PORTIONS // ASKING):
+            part, own = _within(asking.drop("counts"), *span), _within(answers, *span)
+            found = part.groupBy("block").cogroup(own.groupBy("block")).applyInArrow(_scores(shared, sieve, total, distinct), SCORES)
+            found.write.mode("append").parquet(out)
+            work.drop()
+        work.drop("answers")
     del work.paths["scores"]
     work.drop(*list(work.paths))
     found = spark.read.schema(SCORES).parquet(out)
     return found.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score")
 
 
-def _portions(blocks: DataFrame, made: int) -> list[DataFrame]:
+def _portions(blocks: DataFrame, made: int, most: int = PORTIONS) -> list[DataFrame]:
     """The blocks in ranges of their numbers, as tasks wrote them; what is shuffled for one is gone before the next."""
-    n = max(1, min(PORTIONS, made // PORTION_LEAST))
+    return [_within(blocks, *span) for span in _spans(blocks, made, most)]
+
+
+def _spans(blocks: DataFrame, made: int, most: int) -> list[tuple]:
+    """Greatest block before each portion and in it, null where there is none."""
+    n = max(1, min(most, made // PORTION_LEAST))
     shares = F.array(*[F.lit(k / n) for k in range(1, n)])
     cuts = sorted({int(x) for x in blocks.agg(F.percentile("block", shares)).first()[0]}) if n > 1 else []
-    parts = []
-    for low, high in zip([None, *cuts], [*cuts, None], strict=True):
-        part = blocks if low is None else blocks.where(F.col("block") > low)
-        parts.append(part if high is None else part.where(F.col("block") <= high))
-    return parts
+    return list(zip([None, *cuts], [*cuts, None], strict=True))
+
+
+def _within(table: DataFrame, low: int | None, high: int | None) -> DataFrame:
+    table = table if low is None else table.where(F.col("block") > low)
+    return table if high is None else table.where(F.col("block") <= high)
 
 
 class _Work:
@@ -130,13 +147,13 @@ class _Work:
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, *names: str) -> None:
-        """Removes tables; shuffles of queries that are done go with the garbage of the driver."""
+        """Removes tables, and the shuffles of queries that are done."""
         jvm, conf = self.spark.sparkContext._jvm, self.spark.sparkContext._jsc.hadoopConfiguration()
         for name in names:
             if name in self.paths:
                 path = jvm.org.apache.hadoop.fs.Path(self.paths.pop(name))
                 path.getFileSystem(conf).delete(path, True)
-        jvm.System.gc()
+        release(self.spark)
 
 
 def _model(work: _Work, blocks: DataFrame, counts: DataFrame, total: int, distinct: int, bits: int) -> DataFrame | None:
@@ -167,6 +184,7 @@ def _deeper(work: _Work, blocks: DataFrame, contexts: DataFrame, shorter: DataFr
     pairs = packed.groupBy("range").applyInArrow(_merged, "ctx long, next long, n long")
     # a stored continuation is stored without the oldest word too
     followed = work.write(f"followed{depth}", pairs.join(contexts, "ctx").join(shorter, ["short", "next"]))
+    work.drop()
     share = F.col("n") / F.col("c")
     sums = followed.groupBy("ctx").agg(F.first("c").alias("sum"), F.sum("n").alias("kept"), F.sum("before").alias("b"), F.sum(share * F.log(share / F.col("before"))).alias("gain"))
     left = 1 - F.col("kept") / F.col("sum")
@@ -406,7 +424,13 @@ def _place(ordered: np.ndarray, values: np.ndarray) -> np.ndarray:
     """Where each value is among the ordered ones, -1 where it isn't."""
     if not len(ordered):
         return np.full(len(values), -1, np.int64)
-    at = np.minimum(np.searchsorted(ordered, values), len(ordered) - 1)
+    if len(values) < SORTED_LEAST or not (values[1:] < values[:-1]).any():
+        at = np.searchsorted(ordered, values)
+    else:  # one after the other they are found in the processor's cache
+        order = np.argsort(values)
+        at = np.empty(len(values), np.int64)
+        at[order] = np.searchsorted(ordered, values[order])
+    at = np.minimum(at, len(ordered) - 1)
     return np.where(ordered[at] == values, at, -1)
 
 
@@ -414,7 +438,7 @@ def _tokens(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Bounds of the texts, places of their tokens in the dictionary, tokens, and how many of its text are before each."""
     bounds, places = np.array(row["bounds"], np.int64), np.frombuffer(row["places"], "<u4")
     tokens = np.frombuffer(row["words"], "<u8").astype(np.uint64)[places]
-    return bounds, places, tokens, np.arange(len(places)) - np.repeat(bounds[:-1], np.diff(bounds))
+    return bounds, places, tokens, np.arange(len(places), dtype=np.int32) - np.repeat(bounds[:-1].astype(np.int32), np.diff(bounds))
 
 
 def _contexts(tokens: np.ndarray, before: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -430,6 +454,7 @@ def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
     for batch in batches:
         for k in range(batch.num_rows):
             yield batch.slice(k, 1).to_pylist()[0]
+            pa.default_memory_pool().release_unused()
 
 
 def _continuations(sieve: Sieve, depth: int, bits: int):
@@ -442,6 +467,7 @@ def _continuations(sieve: Sieve, depth: int, bits: int):
                 pass
             used = sieve.holds(context) & np.repeat(~np.array(row["held"], bool), np.diff(bounds))[at]
             context, after = context[used], tokens[at[used]]
+            del row, tokens, before, at, used  # the longest arrays but those
             longer = _extended(context, after)
             index, n = _totals(longer, np.ones(len(longer), np.uint8))
             longer = longer[index]
@@ -449,8 +475,12 @@ def _continuations(sieve: Sieve, depth: int, bits: int):
             # equal contexts side by side in their range, which compresses
             spread = np.uint64(64 - bits)
             order = np.argsort((longer >> spread << spread) | (context[index] >> np.uint64(bits)))
+            del longer
             columns = (context[index[order]], after[index[order]], n[order].astype("<u4"))
-            yield pa.RecordBatch.from_arrays([pa.array(ranges), *(_lists(x, cuts) for x in columns)], ["range", "ctx", "next", "n"])
+            del context, after, index, order, n
+            for k in range(0, len(ranges), HANDED):
+                part = [pa.array(ranges[k : k + HANDED]), *(_lists(x, cuts[k : k + HANDED + 1]) for x in columns)]
+                yield pa.RecordBatch.from_arrays(part, ["range", "ctx", "next", "n"])
 
     return run
 

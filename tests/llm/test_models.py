@@ -222,6 +222,39 @@ def test_blocks_are_scored_in_portions(spark, frame, monkeypatch):
     assert max(map(len, parts)) <= 5
 
 
+def test_the_model_is_dealt_out_twice_at_most(frame, monkeypatch):
+    rows, asked, scored = [(i, prose(i % 7, 60)) for i in range(120)], [], []
+    for name, seen in (("_asked", asked), ("_scores", scored)):
+        monkeypatch.setattr(suffix_tree, name, lambda *a, own=getattr(suffix_tree, name), seen=seen: seen.append(1) or own(*a))
+    monkeypatch.setattr(suffix_tree, "_spans", lambda blocks, made, most: [(None, 0), (0, None)][:most])
+    assert suffix_tree.score(frame(rows)).count() == 120
+    assert (len(asked), len(scored)) == (2, 4)
+
+
+def test_continuations_are_handed_on_in_parts(spark):
+    words = np.unique(np.random.default_rng(5).integers(0, 2**64, 300, dtype=np.uint64))
+    places = np.random.default_rng(6).integers(0, len(words), 4000).astype("<u4")
+    row = {"held": [False, True], "bounds": [0, 3000, 4000], "places": places.tobytes(), "words": words.astype("<u8").tobytes()}
+    every = suffix_tree.Sieve(16, spark.sparkContext.broadcast(np.full(1 << 13, 255, np.uint8)))
+    parts = list(suffix_tree._continuations(every, 1, 6)([pa.RecordBatch.from_pylist([row])]))
+    assert max(p.num_rows for p in parts) <= suffix_tree.HANDED < sum(p.num_rows for p in parts)
+    got = Counter()
+    for part in pa.Table.from_batches(parts).to_pylist():
+        for c, w, n in zip(*(np.frombuffer(part[k], t).tolist() for k, t in (("ctx", "<u8"), ("next", "<u8"), ("n", "<u4"))), strict=True):
+            got[c, w] += n
+    tokens = words[places[:3000]]
+    single = suffix_tree._extended(np.zeros(2999, np.uint64), tokens[:-1])
+    assert got == Counter(zip(single.tolist(), tokens[1:].tolist(), strict=True))
+
+
+def test_values_are_placed_in_any_order():
+    random = np.random.default_rng(4)
+    ordered = np.unique(random.integers(0, 2**64, 9000, dtype=np.uint64))
+    values = random.permutation(np.concatenate([ordered, ordered + np.uint64(1)]))
+    where = {int(x): k for k, x in enumerate(ordered)}
+    assert suffix_tree._place(ordered, values).tolist() == [where.get(int(x), -1) for x in values]
+
+
 def test_words_add_up_over_blocks():
     blocks = [([3, 9, 2**63 + 1], [2, 0, 5]), ([3, 4], [1, 7])]
     batch = pa.RecordBatch.from_pylist([{"words": np.array(w, "<u8").tobytes(), "counts": np.array(n, "<i8").tobytes()} for w, n in blocks])
