@@ -4,13 +4,13 @@ import hashlib
 import itertools
 import random
 import re
-import time
 from collections import Counter
 
 import numpy as np
 import pytest
 
 from tablecare.llm import containment, line_chunks, repeats, similar_texts, top_products
+from tablecare.llm import components as components_module
 from tablecare.llm.components import components
 
 from .conftest import prose
@@ -280,17 +280,12 @@ def test_leaks(spark, frame, odd):
     assert containment.find_leaks(frame([]), benchmark).isEmpty()
 
 
-def test_rounds_leave_no_shuffles_in_the_driver(spark):
-    def held(least: int) -> int:
-        for _ in range(20):  # they are removed a moment after the garbage is collected
-            if (now := spark._jvm.org.apache.spark.SparkEnv.get().mapOutputTracker().shuffleStatuses().size()) <= least:
-                break
-            time.sleep(0.2)
-        return now
-
-    links = spark.createDataFrame([(k, k + 1) for k in range(60)], "a long, b long")
-    spark._jvm.System.gc()
-    before = held(0)
-    found = components(links)
-    assert held(before + 4) <= before + 4
-    assert found.where("component = 0").count() == 61
+def test_stars_take_no_further_round(spark, monkeypatch):
+    written = []
+    monkeypatch.setattr(components_module, "cut_lineage", lambda df, own=components_module.cut_lineage: written.append(1) or own(df))
+    star = spark.createDataFrame([(k, 0) for k in range(1, 30)] + [(7, 0), (41, 40)], "a long, b long")
+    assert sorted(map(tuple, components(star).collect())) == [(k, 0) for k in range(30)] + [(40, 40), (41, 40)]
+    assert len(written) == 1
+    chain = spark.createDataFrame([(k, k + 1) for k in range(60)] + [(100, 70), (100, 80)], "a long, b long")
+    assert sorted(map(tuple, components(chain).collect())) == [(k, 0) for k in range(61)] + [(70, 70), (80, 70), (100, 70)]
+    assert components(star.where("a < 0")).isEmpty()
