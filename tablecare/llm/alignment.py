@@ -286,12 +286,15 @@ def _block(number: int, one: Aligner, held: list[pa.RecordBatch]) -> Iterator[pa
     counts = np.diff(ends, prepend=0)
     places, counts, rows = places[np.repeat(good, counts)], counts[good], rows.select(["key", "n"]).filter(pa.array(good))
     ends = np.cumsum(counts)
-    totals = np.add.reduceat(numbers[places], ends - counts)
-    written = texts[places].tolist()
-    digests = [hashlib.sha256("".join(written[s:e])[:-1].encode()).digest() for s, e in zip((ends - counts).tolist(), ends.tolist(), strict=True)]
+    totals = np.stack([np.add.reduceat(n[places], ends - counts) for n in numbers.T], axis=1)
+    digests = [hashlib.sha256("".join(texts[places[s:e]].tolist())[:-1].encode()).digest() for s, e in zip((ends - counts).tolist(), ends.tolist(), strict=True)]
+    sizes = np.zeros(len(words), np.int64)
+    del found, words, numbers, texts  # several workers share an executor's memory
     of, pairs, times = (np.concatenate(p) for p in zip(*links, strict=True))
+    np.add.at(sizes, of, 1)
     known, refers = np.unique(pairs, return_inverse=True)
-    counts, places, times = _links(np.repeat(np.arange(len(ends)), counts), places, np.bincount(of, minlength=len(words)), refers, times)
+    del links, of, pairs
+    counts, places, times = _links(counts, places, sizes, refers, times)
     used = np.zeros(len(known), bool)  # by texts that have all their words
     used[places] = True
     known, places = known[used], (np.cumsum(used) - 1)[places]
@@ -304,9 +307,12 @@ def _block(number: int, one: Aligner, held: list[pa.RecordBatch]) -> Iterator[pa
     yield pa.RecordBatch.from_arrays([pa.array([number]), *(pa.array([d], pa.binary()) for d in data)], [c.split()[0] for c in BLOCKS.split(", ")])
 
 
-def _links(texts: np.ndarray, words: np.ndarray, sizes: np.ndarray, places: np.ndarray, times: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _links(counts: np.ndarray, words: np.ndarray, sizes: np.ndarray, places: np.ndarray, times: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """How many distinct pairs each text has, their places and times, from each text's words and how many of the links each word has."""
-    has, often = _summed(texts << 32 | words, np.ones(len(words), np.int64))
+    has = np.repeat(np.arange(len(counts)) << 32, counts) | words
+    has.sort()
+    new = np.flatnonzero(np.concatenate([[True], has[1:] != has[:-1]]))
+    often, has = np.diff(new, append=len(has)), has[new]
     texts, words = has >> 32, has & 0xFFFFFFFF
     first, reps = (np.cumsum(sizes) - sizes)[words], sizes[words]
     starts = np.flatnonzero(np.diff(texts, prepend=-1))
